@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import distribution, quality, relations, sources
+from . import cleaning, distribution, drift, quality, relations, sources, target, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (sources, quality, distribution, relations)
+_MODULES = (sources, quality, distribution, relations, target, cleaning, drift, text)
 
 
 def queries() -> dict[str, Query]:

@@ -320,7 +320,7 @@ def _contingency_sql(source: str, columns: list[str]) -> str:
     ok = "(min_e >= 1 AND small <= 0.2)"
     exact = f"(r = 2 AND k = 2 AND NOT {ok})"
     chi = "(CASE WHEN r = 2 AND k = 2 THEN yates ELSE plain END)"
-    odds = "(CASE WHEN c12 * c21 <> 0 THEN c11 * c22 * 1.0 / (c12 * c21) WHEN c11 * c22 = 0 THEN 0.0 ELSE 'inf'::DOUBLE END)"
+    odds = "(CASE WHEN c12 * c21 <> 0 THEN c11 * c22 * 1.0 / (c12 * c21) ELSE 'inf'::DOUBLE END)"
     raw = (
         f"SELECT CAST(row_number() OVER (ORDER BY pair) - 1 AS INTEGER) AS position, *, {chi} AS chi2, {exact} AS exact, {ok} AS ok, "
         f"CASE WHEN {exact} THEN {fisher} ELSE {chi_square_p_sql(chi, '((r - 1) * (k - 1))')} END AS raw_p "

@@ -83,21 +83,32 @@ def top_pair(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def top_pair_scatter(
-    df: DataFrame, columns: Sequence[str] | None = None, rows: int = CHART_ROWS, seed: int = 42
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    rows: int = CHART_ROWS,
+    seed: int = 42,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """``(x, y)`` sample points of the most correlated pair; the columns are named in ``x_name, y_name``."""
     pair = top_pair(df, columns).first()
     if pair is None or pair["col1"] is None:
         return small_table(df.sparkSession, [], "x_name string, y_name string, x double, y double")
     a, b = pair["col1"], pair["col2"]
-    return sample_rows(df, rows, seed).select(
+    return sample_rows(df, rows, seed, keys).select(
         F.lit(a).alias("x_name"), F.lit(b).alias("y_name"), value_of(df, a).alias("x"), value_of(df, b).alias("y")
     )
 
 
-def trend(df: DataFrame, ts: str, value: str, rows: int = CHART_ROWS, seed: int = 42) -> DataFrame:
+def trend(
+    df: DataFrame,
+    ts: str,
+    value: str,
+    rows: int = CHART_ROWS,
+    seed: int = 42,
+    keys: Sequence[str] | None = None,
+) -> DataFrame:
     """``(ts, value)`` of a fixed-size sample in time order."""
-    drawn = sample_rows(df, rows, seed)
+    drawn = sample_rows(df, rows, seed, keys)
     return drawn.select(parsed_time(df, ts).alias("ts"), value_of(df, value).alias("value")).orderBy(
         F.col("ts").asc_nulls_last()
     )

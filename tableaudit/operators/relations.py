@@ -568,9 +568,7 @@ def _raw_contingency_tests(df: DataFrame, columns: Sequence[str] | None, limit:
     exact = (F.col("r") == 2) & (F.col("k") == 2) & ~F.col("cochran_ok")
     labels = F.array(*[F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2")) for a, b in pairs])
     cross = F.col("b") * F.col("c")
-    odds = F.when(cross != 0, F.col("a") * F.col("d") / cross).otherwise(
-        F.when(F.col("a") * F.col("d") == 0, 0.0).otherwise(float("inf"))
-    )
+    odds = F.when(cross != 0, F.col("a") * F.col("d") / cross).otherwise(float("inf"))
     only = lambda c: F.when(exact, F.col(c))
     p = F.coalesce(
         fisher_p(only("a"), only("b"), only("c"), only("d")), chi_square_p(F.when(~exact, F.col("chi2")), F.col("dof"))
