@@ -70,16 +70,19 @@ def pii_matches(df: DataFrame) -> DataFrame:
     stats = {}
     for name in df.columns:
         text = stripped(text_of(df, name))
-        text = F.when(~F.lower(text).isin(K.BLANK_TOKENS), text)
+        blank = (F.octet_length(text) <= 4) & F.lower(text).isin(K.BLANK_TOKENS)
+        text = F.when(~blank, text)
+        # the number patterns match 17 characters at most, 4 bytes each: longer text needs no pattern matching
+        short = F.octet_length(text) <= 68
         stats[name] = {
             "n_values": F.count(text),
             "card": F.count_if(is_luhn_number(text)) if _named(name, K.CARD_NAMES) else F.count_if(F.lit(False)),
-            "email": F.count_if(text.rlike(K.EMAIL_PATTERN)),
-            "phone": F.count_if(text.rlike(K.PHONE_PATTERN)),
-            "ssn": F.count_if(text.rlike(K.SSN_PATTERN)),
-            "ip": F.count_if(text.rlike(K.IP_PATTERN)),
+            "email": F.count_if(text.contains("@") & text.rlike(K.EMAIL_PATTERN)),
+            "phone": F.count_if(short & text.rlike(K.PHONE_PATTERN)),
+            "ssn": F.count_if(short & text.rlike(K.SSN_PATTERN)),
+            "ip": F.count_if(short & text.rlike(K.IP_PATTERN)),
         }
-    return per_column(df, stats, width=12)
+    return per_column(df, stats)
 
 
 def detect_pii(df: DataFrame, sample_rows: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,6 @@ from ..functions import severity
 from ..functions.columns import (
     is_numeric,
     key_of,
-    nan_to_null,
     other_columns,
     quoted,
     row_digest,
@@ -23,8 +22,9 @@ from ..functions.columns import (
 )
 from ..functions.constants import SENTINELS
 from ..plans.aggregates import per_column, small_table
-from ..plans.freq import long_form, most_frequent, value_counts
+from ..plans.freq import most_frequent, value_counts
 
+_FIXED = (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _SIMPLE = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -50,8 +50,7 @@ def _scan(df: DataFrame, sentinels: bool = True) -> DataFrame:
             "distinct_estimate": F.approx_count_distinct(value),
         }
         if sentinels:
-            text = stripped(text_of(df, name))
-            facts["sentinels"] = F.sort_array(F.collect_set(F.when(text.isin(SENTINELS), text)))
+            facts["sentinels"] = _sentinels(df, name)
         stats[name] = facts
     return per_column(df, stats)
 
@@ -125,14 +124,24 @@ def column_quality(df: DataFrame, quasi_share: float = 95.0) -> DataFrame:
 def row_counts(df: DataFrame) -> DataFrame:
     """Distinct rows with their multiplicity ``n``, missing values equal.
 
-    Rows with text or nested values are grouped by a digest of the whole row instead of the row itself.
+    Long text is compared by a bounded key. Tables of more than 32 columns are grouped by a digest of the
+    row, which keeps the shuffle at 32 bytes a row.
     """
-    wide = len(df.columns) > 8 or any(not isinstance(f.dataType, (T.NumericType, T.DateType, T.TimestampType))
-                                      for f in df.schema.fields)
-    keyed = df.select(row_digest(df).alias("row")) if wide else nan_to_null(df)
+    if len(df.columns) > 32:
+        keyed = df.select(row_digest(df).alias("c0"))
+    else:
+        keyed = df.select(*[_row_key(df, f).alias(f"c{i}") for i, f in enumerate(df.schema.fields)])
     return keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _row_key(df: DataFrame, field: T.StructField) -> Column:
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        return value_of(df, field.name)
+    if is_numeric(field.dataType) or isinstance(field.dataType, _FIXED):
+        return quoted(field.name)
+    return key_of(text_of(df, field.name))
+
+
 def duplicates(df: DataFrame) -> DataFrame:
     """``(total_rows, duplicate_rows, duplicate_pct, duplicate_severity)``: rows after the first of a kind."""
     counted = row_counts(df).agg(
@@ -147,11 +156,22 @@ def duplicates(df: DataFrame) -> DataFrame:
 
 def sentinel_values(df: DataFrame) -> DataFrame:
     """``(position, column, sentinels)`` for columns that hold placeholder values, compared as text."""
-    stats = {}
-    for name in df.columns:
-        text = stripped(text_of(df, name))
-        stats[name] = {"sentinels": F.sort_array(F.collect_set(F.when(text.isin(SENTINELS), text)))}
-    return per_column(df, stats).where(F.size("sentinels") > 0)
+    return per_column(df, {c: {"sentinels": _sentinels(df, c)} for c in df.columns}).where(F.size("sentinels") > 0)
+
+
+def _sentinels(df: DataFrame, name: str) -> Column:
+    """Sorted placeholder texts of one column. Only text and whole numbers can equal one."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, T.IntegralType):
+        numbers = [int(s) for s in SENTINELS if s.lstrip("-").isdigit()]
+        seen = F.when(quoted(name).cast("bigint").isin(numbers), quoted(name).cast("string"))
+    elif isinstance(dtype, T.StringType):
+        # longer texts can only match after removal of outer whitespace
+        text = stripped(quoted(name))
+        seen = F.when(text.isin(SENTINELS), text)
+    else:
+        seen = F.lit(None).cast("string")
+    return F.sort_array(F.collect_set(seen))
 
 
 def _normal_keys(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -188,8 +208,7 @@ def variant_groups(df: DataFrame, names: Sequence[str] | None = None) -> DataFra
 
 def _text_columns(df: DataFrame) -> list[str]:
     """Non-numeric columns whose values can differ by case or whitespace."""
-    fixed = (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    return [c for c in other_columns(df) if not isinstance(df.schema[c].dataType, fixed)]
+    return [c for c in other_columns(df) if not isinstance(df.schema[c].dataType, _FIXED)]
 
 
 def category_variants(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
@@ -234,7 +253,7 @@ def table_quality(df: DataFrame) -> DataFrame:
     total = F.greatest(F.col("total_rows") * width, F.lit(1))
     none_if_empty = F.nullif(F.col("total_rows"), F.lit(0))
 
-    def share(part) -> "F.Column":
+    def share(part: Column) -> Column:
         return F.greatest(F.lit(0.0), 100.0 * (1.0 - F.coalesce(part, F.lit(0.0))))
 
     scored = one.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,8 @@ from ..functions.columns import numeric_columns, other_columns, plain_number, qu
 from ..functions.severity import correlation_strength
 from ..functions.tails import chi_square_p, f_p, fisher_p, normal_p, student_p
 from ..plans.aggregates import small_table
-from ..plans.freq import few_valued, value_counts
+from ..plans.freq import few_valued, number_counts, value_counts
+from ..plans.joins import lookup_join
 from ..plans.pairs import all_pairs, pair_moments
 from ..plans.prefix import bucket_limits, bucket_of, running_totals
 from ..plans.quantiles import counts_of, exact_quantiles
@@ -106,10 +108,11 @@ def bh_adjust(
     adjusted = raised.join(above, ["family", "bucket"]).select(
         F.col("family").alias(family),
         F.col("value").alias("__p"),
+        "n",
         F.col("m").alias("family_size_m"),
         F.round(F.least(F.lit(1.0), F.min("q").over(down), F.col("above")), 4).alias("p_adj"),
     )
-    out = df.withColumn("__p", value).join(adjusted, [family, "__p"], "left").drop("__p")
+    out = lookup_join(df.withColumn("__p", value), adjusted, [family, "__p"], n).drop("__p")
     return out.withColumn("is_significant", F.col("p_adj") < 0.05)
 
 
@@ -179,6 +182,7 @@ def _coefficients(df: DataFrame, values: Mapping[str, Column], method: str, min_
     if ranked:
         used = list(dict.fromkeys(c for p in ranked for c in p))
         sizes = df.agg(
+            F.count(F.lit(1)).alias("total"),
             *[F.count(values[c]).alias(f"n{i}") for i, c in enumerate(used)],
             *[F.approx_count_distinct(values[c]).alias(f"d{i}") for i, c in enumerate(used)],
         ).first()
@@ -189,6 +193,7 @@ def _coefficients(df: DataFrame, values: Mapping[str, Column], method: str, min_
             {(r["col1"], r["col2"]): r["n_eff"] for r in kept},
             {c: sizes[f"n{i}"] for i, c in enumerate(used)},
             {c: sizes[f"d{i}"] for i, c in enumerate(used)},
+            sizes["total"],
         )
     rows = []
     for r in kept:
@@ -289,17 +294,11 @@ def _mann_whitney(
     """{test: (U of the first group, normal score)} from value counts of both groups; no row is ranked."""
     both = {t: F.coalesce(a, b) for t, (a, b) in sides.items()}
     limits = bucket_limits(df, both, {t: sum(counts[t]) for t in sides}, rows_per_bucket)
-    items = F.array(
-        *[
-            F.when(both[t].isNotNull(), F.struct(F.lit(t).alias("column"), both[t].alias("value"),
-                                                 a.isNotNull().cast("long").alias("first")))
-            for t, (a, _) in sides.items()
-        ]
-    )
+    flat = {f"{t}:{g}": side for t, pair in sides.items() for g, side in enumerate(pair)}
     counted = (
-        df.select(F.inline(F.array_compact(items)))
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("n1"))
+        number_counts(df, flat)
+        .groupBy(F.split_part("column", F.lit(":"), F.lit(1)).alias("column"), "value")
+        .agg(F.sum("n").alias("n"), F.sum(F.when(F.col("column").endswith(":0"), F.col("n")).otherwise(0)).alias("n1"))
     )
     ranked = running_totals(counted, ["n"], limits)
     rank = F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)
@@ -475,18 +474,39 @@ def contingency_table(df: DataFrame, col1: str, col2: str) -> DataFrame:
     return pairs.groupBy("value1", "value2").agg(F.count(F.lit(1)).alias("n"))
 
 
-def contingency_statistics(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """``(pair, n_eff, r, c, chi2, dof, min_expected, small_share, cochran_ok, a, b, c_, d)`` per column pair.
+#: combined categories up to this many are counted before pairs are formed
+_JOINT_CELLS = 1_000_000
 
-    Both columns of a pair have fewer than 20 values, so a pair has at most 361 cells.
-    """
+
+def _pair_cells(df: DataFrame, pairs: Sequence[tuple[str, str]], joint_cells: float) -> DataFrame:
+    """``(pair, value1, value2, o)``; rows are first reduced to distinct combinations when those are few."""
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    rows = df.select(*[text_of(df, c).alias(f"c{i}") for i, c in enumerate(names)])
+    if joint_cells <= _JOINT_CELLS:
+        rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("w"))
+    else:
+        rows = rows.withColumn("w", F.lit(1))
     items = F.array(
         *[
-            F.struct(F.lit(i).alias("pair"), text_of(df, a).alias("value1"), text_of(df, b).alias("value2"))
+            F.struct(
+                F.lit(i).alias("pair"),
+                F.col(f"c{names.index(a)}").alias("value1"),
+                F.col(f"c{names.index(b)}").alias("value2"),
+            )
             for i, (a, b) in enumerate(pairs)
         ]
     )
-    cells = df.select(F.inline(items)).dropna().groupBy("pair", "value1", "value2").agg(F.count(F.lit(1)).alias("o"))
+    return rows.select("w", F.inline(items)).dropna().groupBy("pair", "value1", "value2").agg(F.sum("w").alias("o"))
+
+
+def contingency_statistics(
+    df: DataFrame, pairs: Sequence[tuple[str, str]], joint_cells: float = float("inf")
+) -> DataFrame:
+    """``(pair, n_eff, r, c, chi2, dof, min_expected, small_share, cochran_ok, a, b, c_, d)`` per column pair.
+
+    Both columns of a pair have fewer than 20 values, so a pair has at most 361 cells.
+    """
+    cells = _pair_cells(df, pairs, joint_cells)
     by = Window.partitionBy
     cells = cells.select(
         "*",
@@ -561,7 +581,8 @@ def _raw_contingency_tests(df: DataFrame, columns: Sequence[str] | None, limit:
     pairs = all_pairs(list(levels))
     if not pairs:
         return small_table(df.sparkSession, [], _CONTINGENCY)
-    stats = contingency_statistics(df, pairs).where((F.col("r") > 1) & (F.col("k") > 1))
+    joint = math.prod(len(v) + 1 for v in levels.values())
+    stats = contingency_statistics(df, pairs, joint).where((F.col("r") > 1) & (F.col("k") > 1))
     stats = stats.withColumn("position", F.row_number().over(Window.partitionBy().orderBy("pair")) - 1)
     if limit is not None:
         stats = stats.where(F.col("position") < limit)

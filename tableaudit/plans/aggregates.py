@@ -12,17 +12,28 @@ from pyspark.sql import functions as F
 from ..functions.columns import quoted
 
 
+#: aggregates per pass that still compile to one fast method, and the most passes a wide table is cut into
+_AGGREGATES = 32
+_PASSES = 8
+
+
+def pass_width(columns: int, aggregates: int) -> int:
+    """Columns per pass: few enough for compact generated code, but never more than ``_PASSES`` passes."""
+    return max(1, _AGGREGATES // max(aggregates, 1), -(-columns // _PASSES))
+
+
 def per_column(
-    df: DataFrame, stats: Mapping[str, Mapping[str, Column]], keys: Sequence[str] = (), width: int = 40
+    df: DataFrame, stats: Mapping[str, Mapping[str, Column]], keys: Sequence[str] = (), width: int | None = None
 ) -> DataFrame:
     """``stats[column][name]`` aggregates as rows ``(keys..., position, column, name...)``.
 
-    Columns are aggregated side by side, ``width`` at a time to keep generated code small. Each part reads
-    only its own columns, so a wide table is still scanned once in total.
+    Columns are aggregated side by side, a few at a time to keep generated code small. The passes run side
+    by side too, and each reads only its own columns, so a wide table is still read once in total.
     """
     names = list(stats)
     if not names:
         raise ValueError("no columns to aggregate")
+    width = width or pass_width(len(names), len(stats[names[0]]))
     parts = []
     for start in range(0, len(names), width):
         chunk = names[start : start + width]

@@ -11,18 +11,19 @@ SMALL_CODES = 100_000
 
 
 def value_codes(df: DataFrame, value: Column, small: int = SMALL_CODES) -> tuple[DataFrame, bool]:
-    """``(value, code)`` with codes 0, 1, ... and whether the table is small enough to broadcast.
+    """``(value, n, code)`` with codes 0, 1, ... and whether the table is small enough to broadcast.
 
     Many distinct values are sorted into ranges. The sorted table is checkpointed before its partitions are
     numbered, so that a recomputation cannot move a value to another range.
     """
-    distinct = df.select(value.alias("value")).where(F.col("value").isNotNull()).distinct()
+    present = df.select(value.alias("value")).where(F.col("value").isNotNull())
+    distinct = present.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     if distinct.limit(small + 1).count() <= small:
-        return distinct.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code")), True
+        return distinct.select("value", "n", (F.row_number().over(Window.orderBy("value")) - 1).alias("code")), True
     ranged = distinct.repartitionByRange("value").withColumn("part", F.spark_partition_id())
     ranged = materialise(ranged)
     before = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     starts = starts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = F.row_number().over(Window.partitionBy("part").orderBy("value"))
-    return ranged.join(starts, "part").select("value", (F.col("start") + inside - 1).alias("code")), False
+    return ranged.join(starts, "part").select("value", "n", (F.col("start") + inside - 1).alias("code")), False

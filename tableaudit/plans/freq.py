@@ -8,25 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import key_of, quoted, text_of
+from ..functions.columns import is_numeric, key_of, plain_number, quoted, text_of, value_of
 
 
-def long_form(
-    df: DataFrame, columns: Mapping[str, Column], name: str = "column", keep: Sequence[str] = ()
-) -> DataFrame:
-    """``(keep..., name, value)`` without missing values; ``columns`` maps a label to an expression."""
+def long_form(df: DataFrame, columns: Mapping[str, Column], name: str = "column") -> DataFrame:
+    """``(name, value)`` without missing values; ``columns`` maps a label to an expression."""
     labels = list(columns)
-    wide = df.select(*[quoted(k) for k in keep], *[columns[c].alias(f"v{i}") for i, c in enumerate(labels)])
+    wide = df.select(*[columns[c].alias(c) for c in labels])
     if len(labels) == 1:
-        long = wide.select(*[quoted(k) for k in keep], F.lit(labels[0]).alias(name), F.col("v0").alias("value"))
+        long = wide.select(F.lit(labels[0]).alias(name), quoted(labels[0]).alias("value"))
     else:
-        long = wide.unpivot(
-            [quoted(k) for k in keep], [F.col(f"v{i}") for i in range(len(labels))], "__slot", "value"
-        )
-        if labels != [f"v{i}" for i in range(len(labels))]:
-            lookup = F.create_map(*[F.lit(x) for i, c in enumerate(labels) for x in (f"v{i}", c)])
-            long = long.withColumn("__slot", lookup[F.col("__slot")])
-        long = long.withColumnRenamed("__slot", name)
+        long = wide.unpivot([], [quoted(c) for c in labels], name, "value")
     return long.where(F.col("value").isNotNull())
 
 
@@ -36,12 +28,20 @@ def value_counts(df: DataFrame, columns: Sequence[str], whole: bool = False) ->
     Partial counts are formed before the shuffle, so a value held by a third of all rows costs one row per
     task. Long text travels as a bounded key unless ``whole`` is set.
     """
-    texts = {}
+    texts, floats = {}, []
     for c in columns:
-        text = text_of(df, c)
-        bounded = not whole and isinstance(df.schema[c].dataType, (T.StringType, T.ArrayType, T.MapType, T.StructType))
-        texts[c] = key_of(text) if bounded else text
-    return long_form(df, texts).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        dtype = df.schema[c].dataType
+        if isinstance(dtype, (T.FloatType, T.DoubleType)):
+            texts[c] = value_of(df, c).cast("string")
+            floats.append(c)
+        else:
+            long_text = isinstance(dtype, (T.StringType, T.ArrayType, T.MapType, T.StructType))
+            texts[c] = key_of(text_of(df, c)) if long_text and not whole else text_of(df, c)
+    counts = long_form(df, texts).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    if floats:  # one spelling per number is enough to count by; the readable one is for distinct values only
+        readable = F.when(F.col("column").isin(floats), plain_number(F.col("value").try_cast("double")))
+        counts = counts.withColumn("value", F.coalesce(readable, F.col("value")))
+    return counts
 
 
 def number_counts(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
@@ -67,5 +67,6 @@ def few_valued(df: DataFrame, columns: Sequence[str], limit: int) -> list[str]:
     """
     if not columns:
         return []
-    row = df.agg(*[F.approx_count_distinct(text_of(df, c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    values = [value_of(df, c) if is_numeric(df.schema[c].dataType) else text_of(df, c) for c in columns]
+    row = df.agg(*[F.approx_count_distinct(v).alias(f"c{i}") for i, v in enumerate(values)]).first()
     return [c for i, c in enumerate(columns) if row[i] <= 2 * limit + 10]

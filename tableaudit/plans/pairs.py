@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.moments import safe_corr
 
 #: more pairs than this are accumulated as matrix products instead of single aggregates
-MATRIX_PAIRS = 60
-_PAIRS_PER_AGGREGATE = 30
+MATRIX_PAIRS = 12
+_PAIRS_PER_AGGREGATE = 8
 
 
 def all_pairs(names: Sequence[str]) -> list[tuple[str, str]]:
@@ -23,8 +23,9 @@ def all_pairs(names: Sequence[str]) -> list[tuple[str, str]]:
 
 def _by_expressions(df, columns, pairs, keys) -> DataFrame:
     parts = []
-    for start in range(0, len(pairs), _PAIRS_PER_AGGREGATE):
-        chunk = pairs[start : start + _PAIRS_PER_AGGREGATE]
+    width = max(_PAIRS_PER_AGGREGATE, -(-len(pairs) // 8))
+    for start in range(0, len(pairs), width):
+        chunk = pairs[start : start + width]
         used = list(dict.fromkeys(c for pair in chunk for c in pair))
         flat = df.select(*keys, *[columns[c].alias(f"x{i}") for i, c in enumerate(used)])
         aggs, rows = [], []

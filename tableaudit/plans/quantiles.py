@@ -13,7 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 2_000_000
+from .freq import long_form
+
+DIRECT_ROWS = 1_000_000
 ACCURACY = 20_000
 
 
@@ -45,16 +47,29 @@ def counts_of(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, int]:
 def _narrow(df: DataFrame, columns: Mapping[str, Column], wide: list[_Bracket]) -> None:
     """One sketch scan and one counting scan that shrink every bracket."""
     margin = 2.0 / ACCURACY
+    # open brackets of one column share a sketch
+    groups: dict[tuple, list[_Bracket]] = {}
+    for b in wide:
+        groups.setdefault((b.label, b.start, b.end), []).append(b)
     sketches = []
-    for i, b in enumerate(wide):
-        value = columns[b.label]
-        span = max(b.inside, 1)
+    for i, same in enumerate(groups.values()):
+        value, span = columns[same[0].label], max(same[0].inside, 1)
         p = [
-            min(1.0, max(0.0, (b.low - b.below) / span - margin)),
-            min(1.0, max(0.0, (b.high - b.below + 1) / span + margin)),
+            min(1.0, max(0.0, edge))
+            for b in same
+            for edge in ((b.low - b.below) / span - margin, (b.high - b.below + 1) / span + margin)
         ]
-        sketches.append(F.percentile_approx(F.when(b.holds(value), value), p, ACCURACY).alias(f"q{i}"))
-    found = df.agg(*sketches).first()
+        sketches.append(F.percentile_approx(F.when(same[0].holds(value), value), p, ACCURACY).alias(f"q{i}"))
+    row = df.agg(*sketches).first()
+    edges = {id(b): row[i][2 * k : 2 * k + 2] for i, same in enumerate(groups.values()) for k, b in enumerate(same)}
+    found = [edges[id(b)] for b in wide]
+    _prove(df, columns, wide, found)
+
+
+def _prove(
+    df: DataFrame, columns: Mapping[str, Column], wide: list[_Bracket], found: Sequence[Sequence[float]]
+) -> None:
+    """Count rows under and inside each proposed range, and adopt every edge that is proven right."""
     checks = []
     for i, b in enumerate(wide):
         value, (start, end) = columns[b.label], found[i]
@@ -81,8 +96,12 @@ def order_statistics(
     ranks: Mapping[str, Sequence[int]],
     counts: Mapping[str, int],
     direct: int = DIRECT_ROWS,
+    guesses: Mapping[str, tuple[float, float]] | None = None,
 ) -> dict[tuple[str, int], float]:
-    """Value at each zero-based rank of each numeric expression (missing values are left out)."""
+    """Value at each zero-based rank of each numeric expression (missing values are left out).
+
+    ``guesses`` may propose a value range per label; it is proven like any other bracket.
+    """
     brackets: list[_Bracket] = []
     for label, wanted in ranks.items():
         n = counts[label]
@@ -96,25 +115,23 @@ def order_statistics(
                 brackets.append(_Bracket(label, rank, rank, inside=n, distinct=n))
     if not brackets:
         return {}
+    guessed = [b for b in brackets if b.label in (guesses or {}) and b.distinct > direct]
+    if guessed:
+        _prove(df, columns, guessed, [guesses[b.label] for b in guessed])
     for _ in range(6):
         wide = [b for b in brackets if b.distinct > direct]
         if not wide:
             break
         _narrow(df, columns, wide)
-    items = F.array(
-        *[
-            F.when(b.holds(columns[b.label]), F.struct(F.lit(i).alias("slot"), columns[b.label].alias("value")))
-            for i, b in enumerate(brackets)
-        ]
-    )
-    counted = df.select(F.inline(F.array_compact(items))).groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
+    inside = {str(i): F.when(b.holds(columns[b.label]), columns[b.label]) for i, b in enumerate(brackets)}
+    counted = long_form(df, inside, "slot").groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("slot").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
     picks, where = [], {}
     for i, b in enumerate(brackets):
         for rank in sorted(set(r for r in ranks[b.label] if b.low <= r <= b.high)):
             where[(b.label, rank)] = len(picks)
-            hit = (F.col("slot") == i) & (F.col("before") <= rank - b.below)
+            hit = (F.col("slot") == str(i)) & (F.col("before") <= rank - b.below)
             picks.append(F.max(F.when(hit, F.col("value"))).alias(f"p{len(picks)}"))
     row = counted.agg(*picks).first()
     return {key: row[i] for key, i in where.items()}

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .freq import number_counts
-from .pairs import all_pairs
 from .prefix import ROWS_PER_BUCKET, average_ranks, bucket_limits
 
 #: rank tables up to this many distinct values are broadcast (16 bytes a row)
@@ -76,47 +76,63 @@ def rank_correlations(
     pair_counts: Mapping[tuple[str, str], int],
     counts: Mapping[str, int],
     distinct: Mapping[str, int],
+    total: int,
     rows_per_bucket: int = ROWS_PER_BUCKET,
     broadcast_values: int = BROADCAST_VALUES,
 ) -> dict[tuple[str, str], float | None]:
     """Spearman's rho of each pair over its pair-complete rows; None without spread.
 
-    Pairs whose columns are missing on the same rows share one ranking per column. A pair with different
-    gaps is ranked on its own rows.
+    Ranks depend on the rows they are taken over. Pairs that are complete on the same rows, because their
+    columns have no gaps or the same gaps, are ranked together: one ranking per column and set of gaps.
     """
-    shared = [p for p in pairs if pair_counts[p] == counts[p[0]] == counts[p[1]]]
+    gaps = _gap_classes(pairs, pair_counts, counts, total)
+    groups: dict[frozenset, list[tuple[str, str]]] = {}
+    for pair in pairs:
+        groups.setdefault(frozenset(gaps[c] for c in pair if gaps[c] is not None), []).append(pair)
+    found, keys = [], []
+    for gap, members in groups.items():
+        part = df
+        for c in sorted(gap):
+            part = part.where(columns[c].isNotNull())
+        used = {c: columns[c] for c in dict.fromkeys(c for p in members for c in p)}
+        n = pair_counts[members[0]]
+        sums = _rank_sums(part, used, members, dict.fromkeys(used, n), distinct, rows_per_bucket, broadcast_values)
+        found.append(sums.select(F.lit(len(keys)).alias("group"), F.array(*sums.columns).alias("sums")))
+        keys.append((members, list(used)))
     out: dict[tuple[str, str], float | None] = {}
-    if shared:
-        used = {c: columns[c] for c in dict.fromkeys(c for p in shared for c in p)}
-        out.update(_correlate(df, used, shared, counts, distinct, rows_per_bucket, broadcast_values))
-    for a, b in pairs:
-        if (a, b) in out or (a, b) in shared:
+    # one job: the groups run side by side
+    for row in reduce(DataFrame.unionByName, found).collect():
+        members, names = keys[row["group"]]
+        squares = dict(zip(names, row["sums"]))
+        for (a, b), cross in zip(members, row["sums"][len(names) :]):
+            sa, sb = squares[a], squares[b]
+            # ranks of a column without spread are all zero once centred
+            out[(a, b)] = None if not sa or not sb else max(-1.0, min(1.0, cross / (sa * sb) ** 0.5))
+    return out
+
+
+def _gap_classes(pairs, pair_counts, counts, total) -> dict[str, str | None]:
+    """For each column the first column with the same missing rows, None if nothing is missing."""
+    out: dict[str, str | None] = {}
+    for c in dict.fromkeys(c for p in pairs for c in p):
+        if counts[c] == total:
+            out[c] = None
             continue
-        both = columns[a].isNotNull() & columns[b].isNotNull()
-        part = df.where(both)
-        n = {a: pair_counts[(a, b)], b: pair_counts[(a, b)]}
-        out.update(
-            _correlate(
-                part, {a: columns[a], b: columns[b]}, [(a, b)], n, distinct, rows_per_bucket, broadcast_values
-            )
-        )
+        same = [
+            d
+            for d in out
+            if out[d] == d and counts[d] == counts[c] == pair_counts.get((d, c), pair_counts.get((c, d), -1))
+        ]
+        out[c] = same[0] if same else c
     return out
 
 
-def _correlate(df, columns, pairs, counts, distinct, rows_per_bucket, broadcast_values):
+def _rank_sums(df, columns, pairs, counts, distinct, rows_per_bucket, broadcast_values) -> DataFrame:
+    """One row: the sum of squared centred ranks of each column, then the cross sums of each pair."""
     rows, names = _ranked(df, columns, counts, distinct, rows_per_bucket, broadcast_values)
     at = {c: i for i, c in enumerate(names)}
     w = F.col("w")
-    squares = rows.agg(
+    return rows.agg(
         *[F.sum(w * F.col(f"r{i}") * F.col(f"r{i}")).alias(f"s{i}") for i in range(len(names))],
-        *[
-            F.sum(w * F.col(f"r{at[a]}") * F.col(f"r{at[b]}")).alias(f"p{k}")
-            for k, (a, b) in enumerate(pairs)
-        ],
-    ).first()
-    out = {}
-    for k, (a, b) in enumerate(pairs):
-        sa, sb, cross = squares[f"s{at[a]}"], squares[f"s{at[b]}"], squares[f"p{k}"]
-        # ranks of a column without spread are all zero once centred
-        out[(a, b)] = None if not sa or not sb else max(-1.0, min(1.0, cross / (sa * sb) ** 0.5))
-    return out
+        *[F.sum(w * F.col(f"r{at[a]}") * F.col(f"r{at[b]}")).alias(f"p{k}") for k, (a, b) in enumerate(pairs)],
+    )
