@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from .operators import claims as C
 from .operators.distribution import categorical_profile, numeric_profile
+from .operators.facts import Facts
 from .operators.pii import detect_pii
 from .operators.quality import category_variants, column_quality, sentinel_values, table_quality
 from .operators.relations import correlations, group_tests, redundant_pairs, simpsons, vif_scores
@@ -21,6 +22,7 @@ class Audit:
         self.df = df
         self.target = target if target is not None else detect_target(df)
         self.order_col = order_col
+        self.facts = Facts(df)
 
     @cached_property
     def schema(self) -> DataFrame:
@@ -48,7 +50,7 @@ class Audit:
 
     @cached_property
     def numeric_dist(self) -> DataFrame:
-        return numeric_profile(self.df)
+        return numeric_profile(self.df, facts=self.facts)
 
     @cached_property
     def categorical_dist(self) -> DataFrame:
@@ -56,7 +58,7 @@ class Audit:
 
     @cached_property
     def correlations(self) -> DataFrame:
-        return correlations(self.df)
+        return correlations(self.df, facts=self.facts)
 
     @cached_property
     def group_tests(self) -> DataFrame:
@@ -64,15 +66,15 @@ class Audit:
 
     @cached_property
     def simpsons(self) -> DataFrame:
-        return simpsons(self.df)
+        return simpsons(self.df, facts=self.facts)
 
     @cached_property
     def redundant(self) -> DataFrame:
-        return redundant_pairs(self.df)
+        return redundant_pairs(self.df, facts=self.facts)
 
     @cached_property
     def vif(self) -> DataFrame:
-        return vif_scores(self.df)
+        return vif_scores(self.df, facts=self.facts)
 
     @cached_property
     def class_distribution(self) -> DataFrame | None:

@@ -118,8 +118,3 @@ def row_digest(df: DataFrame) -> Column:
             F.when(text.isNull(), F.lit("-")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
         )
     return F.unhex(F.sha2(F.concat(*parts), 256))
-
-
-def position_of(names: Sequence[str], column: Column) -> Column:
-    """1-based position of a column name in a list."""
-    return F.array_position(F.array(*[F.lit(n) for n in names]), column).cast("int")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
+from typing import TYPE_CHECKING
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -10,13 +11,16 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import severity
-from ..functions.columns import numeric_columns, other_columns, position_of, value_of
+from ..functions.columns import numeric_columns, other_columns, value_of
 from ..functions.moments import omnibus, sample_kurtosis, sample_skewness
 from ..functions.shapiro import shapiro_wilk
 from ..plans.aggregates import per_column, small_table
 from ..plans.freq import long_form, value_counts
 from ..plans.quantiles import exact_quantiles
 
+if TYPE_CHECKING:
+    from .facts import Facts
+
 SHAPIRO_ROWS = 5000
 
 
@@ -135,6 +139,19 @@ def spread(
     }
 
 
+def sketched_spread(df: DataFrame, values: Mapping[str, Column]) -> dict[str, dict[str, float]]:
+    """Quartiles, median and median absolute deviation from quantile sketches."""
+    row = df.agg(*[F.percentile_approx(v, [0.25, 0.5, 0.75], 10_000) for v in values.values()]).first()
+    quarts = dict(zip(values, row))
+    row = df.agg(
+        *[F.percentile_approx(F.abs(v - F.lit(quarts[c][1])), 0.5, 10_000) for c, v in values.items()]
+    ).first()
+    return {
+        c: {"q25": quarts[c][0], "median": quarts[c][1], "q75": quarts[c][2], "mad": mad}
+        for c, mad in zip(values, row)
+    }
+
+
 def outlier_rules(
     value: Column, s: Mapping[str, float], mad_limit: float = 3.5, fence: float = 1.5
 ) -> tuple[Column, Column]:
@@ -195,17 +212,22 @@ def _outlier_share(counted: DataFrame) -> DataFrame:
     )
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Every distribution statistic of each numeric column that has values, rounded to 4 decimals."""
-    values = numeric_values(df, columns)
-    if not values:
-        return _no_profile(df)
-    found = [r for r in moments(df, values).collect() if r["n"] > 0]
+def numeric_profile(
+    df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True, facts: Facts | None = None
+) -> DataFrame:
+    """Every distribution statistic of each numeric column that has values, rounded to 4 decimals.
+
+    ``exact=False`` takes quartiles and median deviations from sketches: two scans less per quantile.
+    """
+    from .facts import Facts
+
+    facts = facts or Facts(df, columns)
+    found = [r for r in facts.moments if r["n"] > 0]
     if not found:
         return _no_profile(df)
-    values = {r["column"]: values[r["column"]] for r in found}
+    values = {r["column"]: facts.values[r["column"]] for r in found}
     counts = {r["column"]: r["n"] for r in found}
-    spreads = spread(df, values, counts)
+    spreads = spread(df, values, counts) if exact else sketched_spread(df, values)
     rows = [
         (
             r["position"], r["column"], r["mean"], r["std"], r["variance"], r["low"], r["high"], r["kurtosis"],
@@ -221,8 +243,11 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         "kurtosis double, q25 double, median double, q75 double, mad double",
     )
     flagged = _outlier_share(count_outliers(df, values, spreads)).drop("position", "n")
-    tested = normality_from(df, values, found).withColumnsRenamed(
-        {"statistic": "normality_statistic", "p_value": "normality_p"}
+    tested = small_table(
+        df.sparkSession,
+        [tuple(r) for r in facts.normality],
+        "column string, n bigint, test_used string, normality_statistic double, normality_p double, "
+        "skewness double, is_normal boolean",
     )
     joined = table.join(tested, "column").join(flagged, "column")
     r4 = lambda c: F.round(c, 4)

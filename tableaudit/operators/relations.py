@@ -20,6 +20,7 @@ from ..plans.prefix import bucket_limits, bucket_of, running_totals
 from ..plans.quantiles import counts_of, exact_quantiles
 from ..plans.ranks import rank_correlations
 from .distribution import moments, normality_from, numeric_values
+from .facts import Facts
 
 
 # --- choosing columns -------------------------------------------------------------------------------
@@ -117,36 +118,33 @@ def bh_adjust(
 
 
 # --- correlations -----------------------------------------------------------------------------------
-def pearson_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def pearson_matrix(
+    df: DataFrame, columns: Sequence[str] | None = None, facts: Facts | None = None
+) -> DataFrame:
     """``(pair, col1, col2, n_eff, cov, var1, var2, r)`` of every column pair, pairwise complete."""
     values = numeric_values(df, columns)
-    if len(values) < 2:
-        return _no_pairs(df)
+    if facts is not None or len(values) < 2:
+        return (facts or Facts(df, columns)).pair_table()
     return pair_moments(df, values)
 
 
-def _no_pairs(df: DataFrame) -> DataFrame:
-    return small_table(
-        df.sparkSession,
-        [],
-        "pair int, col1 string, col2 string, n_eff bigint, cov double, var1 double, var2 double, r double",
-    )
-
-
 _CORRELATION = (
     "position int, col1 string, col2 string, method string, r double, n_eff bigint"
 )
 
 
 def correlations(
-    df: DataFrame, columns: Sequence[str] | None = None, method: str = "auto", min_n: int = 8
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    method: str = "auto",
+    min_n: int = 8,
+    facts: Facts | None = None,
 ) -> DataFrame:
     """Correlation family: coefficient, p value, adjusted p value and strength of every column pair.
 
     ``auto`` takes Pearson when both columns pass the normality gate and Spearman otherwise.
     """
-    values = numeric_values(df, columns)
-    rows = _coefficients(df, values, method, min_n) if len(values) >= 2 else []
+    rows = _coefficients(df, facts or Facts(df, columns), method, min_n)
     table = small_table(df.sparkSession, rows, _CORRELATION)
     n, r = F.col("n_eff"), F.coalesce(F.col("r"), F.lit(0.0))
     t = F.abs("r") * F.sqrt(F.try_divide(n - 2, 1 - F.col("r") * F.col("r")))
@@ -168,13 +166,12 @@ def correlations(
     )
 
 
-def _coefficients(df: DataFrame, values: Mapping[str, Column], method: str, min_n: int) -> list[tuple]:
-    found = pair_moments(df, values).orderBy("pair").collect()
-    kept = [r for r in found if r["n_eff"] >= min_n]
+def _coefficients(df: DataFrame, facts: Facts, method: str, min_n: int) -> list[tuple]:
+    values = facts.values
+    kept = [r for r in facts.pairs if r["n_eff"] >= min_n]
     pairs = [(r["col1"], r["col2"]) for r in kept]
     if method == "auto":
-        gate = normality_from(df, values, moments(df, values).collect())
-        normal = {r["column"] for r in gate.where("is_normal").select("column").collect()}
+        normal = {r["column"] for r in facts.normality if r["is_normal"]}
     else:
         normal = set(values) if method == "pearson" else set()
     ranked = [p for p in pairs if not (p[0] in normal and p[1] in normal)]
@@ -205,15 +202,17 @@ def _coefficients(df: DataFrame, values: Mapping[str, Column], method: str, min_
     return rows
 
 
-def redundant_pairs(df: DataFrame, limit: float = 0.90, columns: Sequence[str] | None = None) -> DataFrame:
+def redundant_pairs(
+    df: DataFrame, limit: float = 0.90, columns: Sequence[str] | None = None, facts: Facts | None = None
+) -> DataFrame:
     """``(pair, col1, col2, corr)`` with an absolute Pearson correlation above ``limit``."""
     size = F.abs("r")
-    return pearson_matrix(df, columns).where(size > limit).select("pair", "col1", "col2", F.round(size, 4).alias("corr"))
+    return pearson_matrix(df, columns, facts).where(size > limit).select("pair", "col1", "col2", F.round(size, 4).alias("corr"))
 
 
-def vif_scores(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def vif_scores(df: DataFrame, columns: Sequence[str] | None = None, facts: Facts | None = None) -> DataFrame:
     """``(column, max_r2, vif)``: 1 / (1 - largest squared pairwise correlation), 999 near collinearity."""
-    pairs = pearson_matrix(df, columns)
+    pairs = pearson_matrix(df, columns, facts)
     ends = F.array(F.col("col1"), F.col("col2"))
     r2 = pairs.select(F.explode(ends).alias("column"), (F.col("r") * F.col("r")).alias("r2"))
     best = r2.groupBy("column").agg(F.coalesce(F.max("r2"), F.lit(0.0)).alias("max_r2"))
@@ -231,6 +230,7 @@ def simpsons(
     min_r: float = 0.20,
     min_group: int = 6,
     min_group_r: float = 0.15,
+    facts: Facts | None = None,
 ) -> DataFrame:
     """Pairs whose correlation changes sign inside subgroups: one row per reversing subgroup.
 
@@ -244,14 +244,14 @@ def simpsons(
     spark = df.sparkSession
     levels = {c: v for c, v in category_values(df, groups).items() if 2 <= len(v) <= 5}
     overall = []
-    if len(values) >= 2 and levels:
+    if levels:
         overall = [
             (r["pair"], r["col1"], r["col2"], r["r"])
-            for r in pair_moments(df, values).where((F.col("n_eff") >= min_n) & (F.abs("r") >= min_r)).collect()
+            for r in (facts or Facts(df, columns)).pairs
+            if r["n_eff"] >= min_n and r["r"] is not None and abs(r["r"]) >= min_r
         ]
     if not overall:
         return small_table(spark, [], schema)
-    overall.sort()
     names = list(levels)
     level = F.array(*[F.struct(F.lit(i).alias("z"), text_of(df, c).alias("category")) for i, c in enumerate(names)])
     used = list(dict.fromkeys(c for _, a, b, _ in overall for c in (a, b)))

@@ -11,31 +11,39 @@ from pyspark.sql import functions as F
 from .freq import number_counts
 from .prefix import ROWS_PER_BUCKET, average_ranks, bucket_limits
 
-#: rank tables up to this many distinct values are broadcast (16 bytes a row)
-BROADCAST_VALUES = 500_000
+#: rank tables are broadcast, smallest first, while they hold this many distinct values together (about 60 MB)
+BROADCAST_VALUES = 1_000_000
 #: a value holding more than one part in this many of the rows is spread over several join keys
 HOT_SHARE = 64
 _SALTS = 64
 
 
-def _salted_join(rows: DataFrame, ranks: DataFrame, key: str, total: int) -> DataFrame:
+def hot_values(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, list[float]]:
+    """Values that hold more than ``1 / HOT_SHARE`` of a column, and possibly a few more, from one sketch scan.
+
+    Such a value spans at least four of the quantiles taken here, so it shows up as a repeated quantile. The
+    list has ``4 * HOT_SHARE`` entries at most.
+    """
+    if not columns:
+        return {}
+    grid = [k / (4 * HOT_SHARE) for k in range(1, 4 * HOT_SHARE)]
+    row = df.agg(*[F.percentile_approx(v, grid, 20 * 4 * HOT_SHARE) for v in columns.values()]).first()
+    return {c: sorted({x for x, y in zip(q, q[1:]) if x == y}) if q else [] for c, q in zip(columns, row)}
+
+
+def _salted_join(rows: DataFrame, ranks: DataFrame, key: str, hot: Sequence[float]) -> DataFrame:
     """Shuffle join of rows to their rank, with hot values spread by the rest of the row.
 
-    At most ``HOT_SHARE`` values can each hold a ``1/HOT_SHARE`` part of the rows, so the list of hot values
-    is bounded. The rows are distinct, so rows that share a hot value differ elsewhere and spread out.
+    The rows are distinct, so rows that share a hot value differ elsewhere and spread out.
     """
-    hot = [r[key] for r in ranks.where(F.col("n") * HOT_SHARE > total).select(key).collect()]
-    ranks = ranks.drop("n")
     if not hot:
         return rows.join(ranks, key, "left")
-    is_hot = F.col(key).isin(hot)
+    is_hot = F.col(key).isin(list(hot))
     others = [c for c in rows.columns if c != key]
-    salted = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*others), F.lit(_SALTS))).otherwise(F.lit(0)))
-    spread = ranks.withColumn(
-        "__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0))))
-    )
-    salted = salted.withColumn("__salt", F.col("__salt").cast("int"))
-    return salted.join(spread, [key, "__salt"], "left").drop("__salt")
+    salt = F.when(is_hot, F.pmod(F.xxhash64(*others), F.lit(_SALTS))).otherwise(F.lit(0)).cast("int")
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = ranks.withColumn("__salt", F.explode(copies))
+    return rows.withColumn("__salt", salt).join(spread, [key, "__salt"], "left").drop("__salt")
 
 
 def _ranked(
@@ -50,8 +58,13 @@ def _ranked(
     names = list(columns)
     limits = bucket_limits(df, columns, counts, rows_per_bucket)
     flat = df.select(*[columns[c].alias(f"x{i}") for i, c in enumerate(names)])
-    # an estimate is within a few percent of the true number of distinct values
-    small = [c for c in names if min(distinct[c] * 1.5, counts[c]) <= broadcast_values]
+    small, room = set(), broadcast_values
+    for c in sorted(names, key=lambda c: distinct[c]):
+        size = min(distinct[c] * 1.5, counts[c])  # an estimate is within a few percent of the true number
+        if size <= room:
+            small.add(c)
+            room -= size
+    hot = hot_values(df, {c: columns[c] for c in names if c not in small})
     if len(small) < len(names):
         rows = flat.groupBy(*flat.columns).agg(F.count(F.lit(1)).alias("w"))
     else:
@@ -60,12 +73,12 @@ def _ranked(
         table = average_ranks(number_counts(df, {c: columns[c]}), {c: limits[c]} if c in limits else {})
         n = counts[c]
         table = table.select(
-            F.col("value").alias(f"x{i}"), ((F.col("rank") - (n + 1) / 2.0) / float(max(n, 1))).alias(f"r{i}"), "n"
+            F.col("value").alias(f"x{i}"), ((F.col("rank") - (n + 1) / 2.0) / float(max(n, 1))).alias(f"r{i}")
         )
         if c in small:
-            rows = rows.join(F.broadcast(table.drop("n")), f"x{i}", "left")
+            rows = rows.join(F.broadcast(table), f"x{i}", "left")
         else:
-            rows = _salted_join(rows, table, f"x{i}", n)
+            rows = _salted_join(rows, table, f"x{i}", hot[c])
     return rows, names
 
 
