@@ -147,3 +147,56 @@ def omnibus_sql(n: str, g1: str, g2: str) -> str:
     d = f"(1.0 + {x} * sqrt(2.0 / ({a} - 4.0)))"
     z2 = f"((1.0 - 2.0 / (9.0 * {a}) - sign({d}) * cbrt((1.0 - 2.0 / {a}) / abs({d}))) / sqrt(2.0 / (9.0 * {a})))"
     return f"(pow({z1}, 2) + pow({z2}, 2))"
+
+
+def shapiro_sql(source: str) -> str:
+    """From (label, x) to (label, n, skew, w, p) for samples of 12 to 5000 values.
+
+    The normal scores start from a rational approximation and take two Newton steps on the integrated density.
+    """
+    dens = "exp(-{z} * {z} / 2.0) / sqrt(2.0 * pi())"
+
+    def newton(z: str) -> str:
+        below = f"(0.5 + {_simpson('exp(-{x} * {x} / 2.0)', z, 200)} / sqrt(2.0 * pi()))"
+        return f"{z} - ({below} - q) / ({dens.replace('{z}', z)})"
+
+    t = "sqrt(-2.0 * ln(1.0 - q))"
+    start = (
+        f"{t} - (2.515517 + 0.802853 * {t} + 0.010328 * {t} * {t}) / "
+        f"(1.0 + 1.432788 * {t} + 0.189269 * {t} * {t} + 0.001308 * {t} * {t} * {t})"
+    )
+    placed = (
+        "SELECT label, x, row_number() OVER (PARTITION BY label ORDER BY x) AS i, count(*) OVER (PARTITION BY label) AS n "
+        f"FROM ({source}) WHERE x IS NOT NULL"
+    )
+    # scores are found for the upper half and mirrored
+    upper = f"SELECT *, greatest((i - 0.375) / (n + 0.25), 1.0 - (i - 0.375) / (n + 0.25)) AS q FROM ({placed})"
+    zero = f"SELECT *, {start} AS z0 FROM ({upper})"
+    one = f"SELECT *, {newton('z0')} AS z1 FROM ({zero})"
+    two = f"SELECT *, (CASE WHEN i - 0.375 < (n + 0.25) / 2.0 THEN -1.0 ELSE 1.0 END) * ({newton('z1')}) AS m FROM ({one})"
+    sums = (
+        "SELECT *, sum(m * m) OVER w AS ss, max(m) OVER w AS top, max(m) FILTER (WHERE i = n - 1) OVER w AS nxt, "
+        f"1.0 / sqrt(n) AS u FROM ({two}) WINDOW w AS (PARTITION BY label)"
+    )
+
+    def poly(x: str, *c: float) -> str:
+        return "(" + " + ".join(f"{k!r} * pow({x}, {i})" for i, k in enumerate(c)) + ")"
+
+    last = f"(top / sqrt(ss) + {poly('u', 0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)})"
+    second = f"(nxt / sqrt(ss) + {poly('u', 0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)})"
+    scale = f"((ss - 2 * top * top - 2 * nxt * nxt) / (1 - 2 * {last} * {last} - 2 * {second} * {second}))"
+    weight = (
+        f"(CASE WHEN i = n THEN {last} WHEN i = 1 THEN -{last} WHEN i = n - 1 THEN {second} WHEN i = 2 THEN -{second} "
+        f"ELSE m / sqrt({scale}) END)"
+    )
+    stat = (
+        f"SELECT label, count(*) AS n, skewness(x) AS skew, pow(sum({weight} * x), 2) / (var_pop(x) * count(*)) AS w "
+        f"FROM ({sums}) GROUP BY label"
+    )
+    mean = poly("ln(n)", -1.5861, -0.31082, -0.083751, 0.0038915)
+    sd = f"exp({poly('ln(n)', -0.4803, -0.082676, 0.0030302)})"
+    half = normal_p_sql("z") + " / 2.0"
+    return (
+        f"SELECT label, n, skew, w, CASE WHEN z > 0 THEN {half} ELSE 1.0 - {half} END AS p "
+        f"FROM (SELECT *, (ln(1.0 - w) - {mean}) / {sd} AS z FROM ({stat}))"
+    )

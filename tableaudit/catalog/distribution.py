@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.constants import SHAPIRO
 from ..operators.distribution import categorical_profile, moments, normality, numeric_profile, numeric_values, outliers
-from ..operators.quality import column_quality
 from .common import (
-    DOCS_LABELS,
     GAPPY_LINEITEM,
-    docs_labels,
     gappy_lineitem,
     omnibus_sql,
+    shapiro_sql,
     steady,
     steady_sql,
     table,
@@ -148,6 +147,14 @@ def embedding_normality(spark, sf_dir):
     return normality(df)
 
 
+def _embedding_sql() -> str:
+    source = union_all([f"SELECT 'd{i}' AS label, CAST(embedding[{i + 1}] AS DOUBLE) AS x FROM embeddings" for i in range(8)])
+    return (
+        f"SELECT label AS \"column\", n, '{SHAPIRO}' AS test_used, round(w, 4) AS statistic, round(p, 4) AS p_value, "
+        f"round(skew, 4) AS skewness, p > 0.05 AND abs(skew) < 0.5 AS is_normal FROM ({shapiro_sql(source)})"
+    )
+
+
 def order_categories(spark, sf_dir):
     return categorical_profile(
         table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", F.col("o_orderdate").cast("date").cast("string").alias("day"))
@@ -181,7 +188,7 @@ QUERIES = {
     "lineitem_moments": (lineitem_moments, _moments_sql()),
     "event_outliers": (event_outliers, _outliers_sql()),
     "event_normality": (event_normality, _normality_sql()),
-    "embedding_normality": (embedding_normality, None),
+    "embedding_normality": (embedding_normality, _embedding_sql()),
     "order_categories": (
         order_categories,
         _categories_sql(

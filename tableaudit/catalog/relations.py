@@ -21,15 +21,14 @@ from ..operators.relations import (
 )
 from ..plans.pairs import all_pairs
 from .common import (
-    DOCS_LABELS,
     GAPPY_LINEITEM,
     PRICED_LINEITEM,
     adjusted_sql,
     chi_square_p_sql,
-    docs_labels,
     gappy_lineitem,
     normal_p_sql,
     priced_lineitem,
+    shapiro_sql,
     spearman_sql,
     student_p_sql,
     table,
@@ -197,12 +196,18 @@ def _mann_whitney_sql(source: str, num: str, cat: str, position: int) -> str:
     )
 
 
+_VARIABLES = "'''' || num_col || ''' by ''' || cat_col || ''' (' || v1 || ' vs ' || v2 || ')'"
+
+
+def _ranked_p(tests: str) -> str:
+    return f"SELECT *, least(1.0, {normal_p_sql('greatest(z, 0.0)')}) AS raw_p FROM ({tests})"
+
+
 def _group_family(tests: str) -> str:
-    raw = f"SELECT *, least(1.0, {normal_p_sql('greatest(z, 0.0)')}) AS raw_p FROM ({tests})"
     return (
-        f"SELECT position, '{K.MANN_WHITNEY}' AS test_name, '''' || num_col || ''' by ''' || cat_col || ''' (' || v1 || ' vs ' || v2 || ')' AS variables, "
-        "num_col, cat_col, round(u, 4) AS statistic, round(raw_p, 4) AS raw_p_value, round(d, 4) AS effect_size, 'Cohen''s d' AS effect_size_type, "
-        f"n_eff, p_adj, p_adj < 0.05 AS is_significant FROM ({adjusted_sql(raw)})"
+        f"SELECT position, '{K.MANN_WHITNEY}' AS test_name, {_VARIABLES} AS variables, num_col, cat_col, "
+        "round(u, 4) AS statistic, round(raw_p, 4) AS raw_p_value, round(d, 4) AS effect_size, 'Cohen''s d' AS effect_size_type, "
+        f"n_eff, p_adj, p_adj < 0.05 AS is_significant FROM ({adjusted_sql(_ranked_p(tests))})"
     )
 
 
@@ -216,13 +221,11 @@ def all_group_tests(spark, sf_dir):
     return group_tests(gappy_lineitem(spark, sf_dir), limit=None)
 
 
-_ALL_GROUPS = union_all(
-    [
-        _mann_whitney_sql(GAPPY_LINEITEM, num, cat, i * 4 + j)
-        for i, cat in enumerate(("l_returnflag", "l_linestatus"))
-        for j, num in enumerate(_GAPPY)
-    ]
-)
+_ALL_TESTS = [
+    _mann_whitney_sql(GAPPY_LINEITEM, num, cat, i * 4 + j)
+    for i, cat in enumerate(("l_returnflag", "l_linestatus"))
+    for j, num in enumerate(_GAPPY)
+]
 _STATUS_GROUPS = union_all(
     [_mann_whitney_sql(_REVERSING, num, "l_linestatus", j) for j, num in enumerate(("level", "rate", "l_tax"))]
 )
@@ -237,6 +240,48 @@ def embedding_group_tests(spark, sf_dir):
     return group_tests(df, limit=None)
 
 
+def _embedding_tests_sql() -> str:
+    """Normality of both groups, then Levene's test, then a t test; Mann-Whitney if a group is not normal."""
+    dims = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS d{i}" for i in range(6))
+    source = f"SELECT CASE WHEN label < 5 THEN 'lower' ELSE 'upper' END AS half, {dims} FROM embeddings"
+    parts = []
+    for i in range(6):
+        values = f"SELECT half AS label, d{i} AS x FROM ({source})"
+        away = f"SELECT label, x, abs(x - median(x) OVER (PARTITION BY label)) AS z FROM ({values})"
+        groups = (
+            "SELECT label, count(*) AS n, avg(x) AS m, var_samp(x) AS v, avg(z) AS zm, var_samp(z) AS zv "
+            f"FROM ({away}) GROUP BY label"
+        )
+        pairs = (
+            "SELECT a.n AS n1, b.n AS n2, a.m AS m1, b.m AS m2, a.v AS s1, b.v AS s2, (a.n + b.n - 2) * (a.n * a.zm * a.zm + "
+            "b.n * b.zm * b.zm - pow(a.n * a.zm + b.n * b.zm, 2) / (a.n + b.n)) / ((a.n - 1) * a.zv + (b.n - 1) * b.zv) AS f "
+            f"FROM ({groups}) a, ({groups}) b WHERE a.label = 'lower' AND b.label = 'upper'"
+        )
+        normal = f"(SELECT bool_and(p > 0.05 AND abs(skew) < 0.5) FROM ({shapiro_sql(values)}))"
+        parts.append(
+            f"SELECT r.*, {normal} AS normal, {student_p_sql('sqrt(f)', 'n1 + n2 - 2.0')} > 0.05 AS equal_var, t.* "
+            f"FROM ({_mann_whitney_sql(source, f'd{i}', 'half', i)}) r, ({pairs}) t"
+        )
+    pooled = "(((n1 - 1) * s1 + (n2 - 1) * s2) / (n1 + n2 - 2.0))"
+    staged = (
+        f"SELECT *, CASE WHEN equal_var THEN (m1 - m2) / sqrt({pooled} * (1.0 / n1 + 1.0 / n2)) "
+        "ELSE (m1 - m2) / sqrt(s1 / n1 + s2 / n2) END AS t, CASE WHEN equal_var THEN n1 + n2 - 2.0 ELSE "
+        "pow(s1 / n1 + s2 / n2, 2) / (pow(s1 / n1, 2) / (n1 - 1) + pow(s2 / n2, 2) / (n2 - 1)) END AS dof "
+        f"FROM ({union_all(parts)})"
+    )
+    raw = (
+        f"SELECT *, CASE WHEN normal THEN {student_p_sql('t', 'dof')} ELSE least(1.0, {normal_p_sql('greatest(z, 0.0)')}) END "
+        f"AS raw_p FROM ({staged})"
+    )
+    welch = K.WELCH_T.replace("'", "''")
+    return (
+        f"SELECT position, CASE WHEN NOT normal THEN '{K.MANN_WHITNEY}' WHEN equal_var THEN '{K.STUDENT_T}' ELSE '{welch}' END "
+        f"AS test_name, {_VARIABLES} AS variables, num_col, cat_col, round(CASE WHEN normal THEN t ELSE u END, 4) AS statistic, "
+        "round(raw_p, 4) AS raw_p_value, round(d, 4) AS effect_size, 'Cohen''s d' AS effect_size_type, n_eff, p_adj, "
+        f"p_adj < 0.05 AS is_significant FROM ({adjusted_sql(raw)})"
+    )
+
+
 def levene_statistics(spark, sf_dir):
     """Spread of event values by kind of event, against errors."""
     events = table(spark, sf_dir, "events")
@@ -291,7 +336,7 @@ def order_associations(spark, sf_dir):
     return contingency_tests(_order_flags(spark, sf_dir), limit=None)
 
 
-def _contingency_sql(source: str, columns: list[str]) -> str:
+def _raw_contingency(source: str, columns: list[str]) -> str:
     parts = []
     for i, (x, y) in enumerate(all_pairs(columns)):
         cells = f"SELECT CAST({x} AS VARCHAR) AS a, CAST({y} AS VARCHAR) AS b, count(*) AS o FROM ({source}) WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY ALL"
@@ -321,20 +366,41 @@ def _contingency_sql(source: str, columns: list[str]) -> str:
     exact = f"(r = 2 AND k = 2 AND NOT {ok})"
     chi = "(CASE WHEN r = 2 AND k = 2 THEN yates ELSE plain END)"
     odds = "(CASE WHEN c12 * c21 <> 0 THEN c11 * c22 * 1.0 / (c12 * c21) ELSE 'inf'::DOUBLE END)"
-    raw = (
-        f"SELECT CAST(row_number() OVER (ORDER BY pair) - 1 AS INTEGER) AS position, *, {chi} AS chi2, {exact} AS exact, {ok} AS ok, "
+    return (
+        f"SELECT CAST(row_number() OVER (ORDER BY pair) - 1 AS INTEGER) AS position, *, {chi} AS chi2, {exact} AS exact, {ok} AS ok, {odds} AS odds, "
         f"CASE WHEN {exact} THEN {fisher} ELSE {chi_square_p_sql(chi, '((r - 1) * (k - 1))')} END AS raw_p "
         f"FROM ({union_all(parts)}) WHERE r > 1 AND k > 1"
     )
+
+
+def _contingency_sql(source: str, columns: list[str]) -> str:
+    raw = _raw_contingency(source, columns)
     return (
         f"SELECT position, CASE WHEN exact THEN '{K.FISHER.replace(chr(39), chr(39) * 2)}' WHEN ok THEN '{K.CHI_SQUARE}' ELSE '{K.CHI_SQUARE_WARNING}' END AS test_name, "
         "'Categorical: ''' || col1 || ''' & ''' || col2 || '''' AS variables, col1, col2, "
-        f"round(CASE WHEN exact THEN {odds} ELSE chi2 END, 4) AS statistic, round(raw_p, 4) AS raw_p_value, "
+        f"round(CASE WHEN exact THEN odds ELSE chi2 END, 4) AS statistic, round(raw_p, 4) AS raw_p_value, "
         "round(sqrt(chi2 / n / (least(r, k) - 1)), 4) AS effect_size, 'Cramer''s V' AS effect_size_type, CAST(n AS BIGINT) AS n_eff, "
         f"p_adj, p_adj < 0.05 AS is_significant FROM ({adjusted_sql(raw)})"
     )
 
 
+def _line_associations_sql() -> str:
+    """The first five group tests, then the one pair of flags, adjusted together."""
+    tests = _ranked_p(union_all(_ALL_TESTS[:5]))
+    flags = _raw_contingency(GAPPY_LINEITEM, ["l_returnflag", "l_linestatus"])
+    both = (
+        f"SELECT position, '{K.MANN_WHITNEY}' AS test_name, {_VARIABLES} AS variables, raw_p, d AS effect, "
+        f"'Cohen''s d' AS effect_size_type, n_eff FROM ({tests}) UNION ALL "
+        f"SELECT 5, CASE WHEN ok THEN '{K.CHI_SQUARE}' ELSE '{K.CHI_SQUARE_WARNING}' END, "
+        "'Categorical: ''' || col1 || ''' & ''' || col2 || '''', raw_p, "
+        f"sqrt(chi2 / n / (least(r, k) - 1)), 'Cramer''s V', CAST(n AS BIGINT) FROM ({flags})"
+    )
+    return (
+        "SELECT position, test_name, variables, round(raw_p, 4) AS raw_p_value, round(effect, 4) AS effect_size, "
+        f"effect_size_type, n_eff, p_adj, p_adj < 0.05 AS is_significant FROM ({adjusted_sql(both)})"
+    )
+
+
 def line_associations(spark, sf_dir):
     """Group tests and contingency tests of the same table as one adjusted family."""
     return association_tests(gappy_lineitem(spark, sf_dir)).drop("statistic")
@@ -403,15 +469,15 @@ QUERIES = {
         _simpson_sql(GAPPY_LINEITEM, _GAPPY, ["l_returnflag", "l_linestatus"], None, 0.0, 0.0),
     ),
     "status_group_tests": (status_group_tests, _group_family(_STATUS_GROUPS)),
-    "all_group_tests": (all_group_tests, _group_family(_ALL_GROUPS)),
-    "embedding_group_tests": (embedding_group_tests, None),
+    "all_group_tests": (all_group_tests, _group_family(union_all(_ALL_TESTS))),
+    "embedding_group_tests": (embedding_group_tests, _embedding_tests_sql()),
     "levene": (levene_statistics, _levene_sql()),
     "flag_crosstab": (
         flag_crosstab,
         "SELECT l_returnflag AS value1, l_linestatus AS value2, count(*) AS n FROM lineitem GROUP BY ALL",
     ),
     "order_associations": (order_associations, _contingency_sql(_ORDER_FLAGS, _FLAGS)),
-    "line_associations": (line_associations, None),
+    "line_associations": (line_associations, _line_associations_sql()),
     "line_p_values": (line_p_values, _LINE_P),
     "insights": (insights, _insight_sql()),
 }
