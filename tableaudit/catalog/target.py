@@ -42,30 +42,26 @@ def _hash(seed: int, *texts: str) -> str:
 
 
 def order_split(spark, sf_dir):
-    """Split of line items in the order of a hash of their order: size and content of both parts."""
-    parts = split(table(spark, sf_dir, "lineitem"), keys=["l_orderkey"])
+    """Split of line items in the order of a hash of their keys: size and content of both parts."""
+    parts = split(table(spark, sf_dir, "lineitem"), keys=["l_orderkey", "l_partkey", "l_linenumber", "l_suppkey"])
     both = parts.train.withColumn("part", F.lit("train")).unionByName(parts.test.withColumn("part", F.lit("test")))
     return both.groupBy("part", "l_returnflag").agg(
         F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.sum("l_orderkey").alias("keys")
     )
 
 
-_LINE_TEXT = [
-    "CAST(l_orderkey AS VARCHAR)", "CAST(l_partkey AS VARCHAR)", "CAST(l_suppkey AS VARCHAR)", "CAST(l_linenumber AS VARCHAR)",
-    "CAST(l_quantity AS VARCHAR)", "CAST(l_extendedprice AS VARCHAR)", "CAST(l_discount AS VARCHAR)", "CAST(l_tax AS VARCHAR)",
-    "l_returnflag", "l_linestatus", "CAST(l_shipdate AS VARCHAR)",
-]
+_KEY_HASH = _hash(42, *[f"CAST({k} AS VARCHAR)" for k in ("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")])
 
 _ORDER_SPLIT = (
     "SELECT CASE WHEN place <= floor(total * 0.8) THEN 'train' ELSE 'test' END AS part, l_returnflag, count(*) AS n, sum(l_quantity) AS quantity, "
-    f"CAST(sum(l_orderkey) AS BIGINT) AS keys FROM (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY {_hash(42, 'CAST(l_orderkey AS VARCHAR)')}, "
-    f"{_hash(43, *_LINE_TEXT)}) AS place FROM lineitem) GROUP BY ALL"
+    f"CAST(sum(l_orderkey) AS BIGINT) AS keys FROM (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY {_KEY_HASH}) AS place "
+    "FROM lineitem) GROUP BY ALL"
 )
 
 
 def flag_split(spark, sf_dir):
     """Split of rows that are mostly equal: the parts still have exact sizes."""
-    parts = split(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus"))
+    parts = split(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus"), keys=["l_returnflag", "l_linestatus"])
     both = parts.train.withColumn("part", F.lit("train")).unionByName(parts.test.withColumn("part", F.lit("test")))
     return both.groupBy("part", "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
 

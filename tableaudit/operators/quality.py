@@ -22,7 +22,7 @@ from ..functions.columns import (
 )
 from ..functions.constants import SENTINELS
 from ..plans.aggregates import per_column, small_table
-from ..plans.freq import most_frequent, value_counts
+from ..plans.freq import bucket_counts, most_frequent, value_counts
 
 _FIXED = (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _SIMPLE = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -47,7 +47,6 @@ def _scan(df: DataFrame, sentinels: bool = True) -> DataFrame:
             "present": F.count(value),
             "is_constant": F.coalesce(F.min(value) == F.max(value), F.lit(False)),
             "has_negative": F.coalesce(F.min(value) < 0, F.lit(False)) if numeric else F.lit(False),
-            "distinct_estimate": F.approx_count_distinct(value),
         }
         if sentinels:
             facts["sentinels"] = _sentinels(df, name)
@@ -82,9 +81,9 @@ def _missing(counts: DataFrame, legacy: bool = False, *extra: str) -> DataFrame:
 def column_quality(df: DataFrame, quasi_share: float = 95.0) -> DataFrame:
     """One row per column: missing values, constant and near-constant values, negatives, placeholders.
 
-    Near-constant columns need exact value counts. A column whose top value covers 95 % of the rows has at
-    most 5 % distinct values (plus one), so only columns with few distinct values, as estimated in the first
-    scan, are counted; identifiers and measurements never reach that shuffle.
+    Near-constant columns need exact value counts. A value that covers 95 % of the rows makes its hash
+    bucket cover 95 %, so only columns with such a bucket are counted by value; identifiers, measurements
+    and free text never reach that shuffle.
     """
     facts = _scan(df).collect()
     spark = df.sparkSession
@@ -93,14 +92,13 @@ def column_quality(df: DataFrame, quasi_share: float = 95.0) -> DataFrame:
         spark,
         rows,
         "position int, column string, total_rows bigint, present bigint, is_constant boolean, "
-        "has_negative boolean, distinct_estimate bigint, sentinels array<string>",
+        "has_negative boolean, sentinels array<string>",
     )
-    allowed = 1.5 * (1 - quasi_share / 100.0)
-    candidates = [
-        r["column"]
-        for r in facts
-        if r["present"] > 0 and not r["is_constant"] and r["distinct_estimate"] <= allowed * r["present"] + 20
-    ]
+    varied = {r["column"]: r["present"] for r in facts if r["present"] > 0 and not r["is_constant"]}
+    candidates = []
+    if varied:
+        largest = bucket_counts(df, list(varied)).groupBy("column").agg(F.max("n").alias("n")).collect()
+        candidates = [r["column"] for r in largest if r["n"] * 100.0 >= quasi_share * varied[r["column"]]]
     if candidates:
         share = F.col("top_n") * 100.0 / F.col("total")
         top = (

@@ -16,7 +16,7 @@ from ..plans.codes import value_codes
 from ..plans.freq import few_valued, most_frequent, value_counts
 from ..plans.joins import lookup_join
 from ..plans.pairs import pair_moments
-from ..plans.quantiles import order_statistics
+from ..plans.quantiles import order_positions
 from ..sources.sampling import HASH_RANGE, row_hash
 from .imputing import apply_fill, fit_fill
 from .relations import redundant_pairs, vif_scores
@@ -27,7 +27,7 @@ def detect_target(df: DataFrame) -> str | None:
     for c in df.columns:
         if c.lower() in TARGET_NAMES:
             return c
-    maybe = few_valued(df, df.columns, 2)
+    maybe = few_valued(df, df.columns, 3)
     if not maybe:
         return None
     found = most_frequent(value_counts(df, maybe)).where("nunique = 2").select("column").collect()
@@ -140,7 +140,7 @@ def split(
     n = df.count()
     if n < min_rows:
         return Split("SKIPPED")
-    train, test = _cut(df, int(n * frac), n, [row_hash(df, keys, seed), row_hash(df, None, seed + 1)])
+    train, test = _cut(df, int(n * frac), n, [row_hash(df, keys, seed), row_hash(df, None, seed + 1)][0 if keys else 1 :])
     return Split("COMPLETED", train, test)
 
 
@@ -156,11 +156,11 @@ def _cut(df: DataFrame, take: int, n: int, hashes: list) -> tuple[DataFrame, Dat
     # the hash is uniform, so the cut is close to its share of the range unless many rows are copies
     spot, slack = take / n, 6.0 * (take / n * (1 - take / n) / n) ** 0.5
     guess = {"h": ((spot - slack) * HASH_RANGE, (spot + slack) * HASH_RANGE)}
-    limit = order_statistics(df, {"h": h}, {"h": [take - 1]}, {"h": n}, guesses=guess)[("h", take - 1)]
-    row = df.agg(F.count_if(h < limit).alias("below"), F.count_if(h == limit).alias("ties")).first()
-    if row["below"] + row["ties"] == take:
+    place = order_positions(df, {"h": h}, {"h": [take - 1]}, {"h": n}, guesses=guess)
+    limit, below, ties = place[("h", take - 1)]
+    if below + ties == take:
         return df.where(h <= limit), df.where(h > limit)
-    head, tail = _cut(df.where(h == limit), take - row["below"], row["ties"], hashes[1:])
+    head, tail = _cut(df.where(h == limit), take - below, ties, hashes[1:])
     return df.where(h < limit).unionByName(head), df.where(h > limit).unionByName(tail)
 
 

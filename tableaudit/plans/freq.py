@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import is_numeric, key_of, plain_number, quoted, text_of, value_of
+from ..functions.columns import key_of, plain_number, quoted, text_of, value_of
 
 
 def long_form(df: DataFrame, columns: Mapping[str, Column], name: str = "column") -> DataFrame:
@@ -60,13 +60,27 @@ def most_frequent(counts: DataFrame) -> DataFrame:
 
 
 def few_valued(df: DataFrame, columns: Sequence[str], limit: int) -> list[str]:
-    """Columns that may have fewer than ``limit`` distinct values.
+    """Columns that may have fewer than ``limit`` distinct values (``limit`` well below the bucket count).
 
-    A sketch of 512 registers cannot show more than ``1.1 * limit`` for such a column while ``limit`` is
-    below a few dozen, so nothing is lost; identifiers and free text are left out without a shuffle.
+    Such a column fills fewer than ``limit`` hash buckets, so nothing is lost; identifiers and free text are
+    left out after a shuffle of a few bucket counts per task.
     """
     if not columns:
         return []
-    values = [value_of(df, c) if is_numeric(df.schema[c].dataType) else text_of(df, c) for c in columns]
-    row = df.agg(*[F.approx_count_distinct(v).alias(f"c{i}") for i, v in enumerate(values)]).first()
-    return [c for i, c in enumerate(columns) if row[i] <= 2 * limit + 10]
+    filled = bucket_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["column"]: r["n"] for r in filled.collect()}
+    return [c for c in columns if sizes.get(c, 0) < limit]
+
+
+_BUCKETS = 128
+
+
+def bucket_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, value, n)``: non-missing rows per hash bucket of the value, 128 buckets a column."""
+    buckets = {}
+    for c in columns:
+        value = value_of(df, c) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else quoted(c)
+        if isinstance(df.schema[c].dataType, (T.MapType, T.ArrayType, T.StructType)):
+            value = text_of(df, c)
+        buckets[c] = F.when(value.isNotNull(), F.pmod(F.xxhash64(value), F.lit(_BUCKETS)).cast("int"))
+    return long_form(df, buckets).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))

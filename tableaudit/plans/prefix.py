@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
-_FAN = 64
+MAX_BUCKETS = 16384
+_FAN = 128
 
 
 def bucket_limits(
@@ -28,7 +28,7 @@ def bucket_limits(
         return {}
     row = df.agg(
         *[
-            F.percentile_approx(columns[c], [k / size for k in range(1, size)], 10 * MAX_BUCKETS).alias(f"b{i}")
+            F.percentile_approx(columns[c], [k / size for k in range(1, size)], max(1000, 10 * size)).alias(f"b{i}")
             for i, (c, size) in enumerate(big.items())
         ]
     ).first()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .freq import long_form
 
 DIRECT_ROWS = 1_000_000
-ACCURACY = 20_000
+ACCURACY = 2_000
 
 
 @dataclass
@@ -28,7 +28,7 @@ class _Bracket:
     end: float | None = None
     below: int = 0  # rows under the range
     inside: int = 0  # rows in the range
-    distinct: int = 0  # upper estimate of distinct values in the range
+    distinct: int = 0  # most distinct values the range can hold
 
     def holds(self, value: Column) -> Column:
         cond = value.isNotNull()
@@ -62,8 +62,11 @@ def _narrow(df: DataFrame, columns: Mapping[str, Column], wide: list[_Bracket])
         sketches.append(F.percentile_approx(F.when(same[0].holds(value), value), p, ACCURACY).alias(f"q{i}"))
     row = df.agg(*sketches).first()
     edges = {id(b): row[i][2 * k : 2 * k + 2] for i, same in enumerate(groups.values()) for k, b in enumerate(same)}
-    found = [edges[id(b)] for b in wide]
-    _prove(df, columns, wide, found)
+    # a sketch misplaces a rank by 1 / ACCURACY at most: that many rows lie strictly between the edges
+    most = [b.high - b.low + 8 * b.inside // ACCURACY + 8 for b in wide]
+    _prove(df, columns, wide, [edges[id(b)] for b in wide])
+    for b, limit in zip(wide, most):
+        b.distinct = min(b.distinct, limit)
 
 
 def _prove(
@@ -76,18 +79,17 @@ def _prove(
         checks += [
             F.count(F.when(value < start, 1)).alias(f"lt{i}"),
             F.count(F.when(value <= end, 1)).alias(f"le{i}"),
-            F.approx_count_distinct(F.when((value >= start) & (value <= end), value)).alias(f"d{i}"),
         ]
     row = df.agg(*checks).first()
     for i, b in enumerate(wide):
-        under, upto, distinct = row[f"lt{i}"], row[f"le{i}"], row[f"d{i}"]
+        under, upto = row[f"lt{i}"], row[f"le{i}"]
         top = b.below + b.inside
         if under <= b.low:
             b.start, b.below = found[i][0], under
         if upto > b.high:
             b.end, top = found[i][1], upto
         b.inside = top - b.below
-        b.distinct = min(b.inside, distinct if under <= b.low and upto > b.high else b.inside)
+        b.distinct = 1 if b.start is not None and b.start == b.end else b.inside
 
 
 def order_statistics(
@@ -98,7 +100,20 @@ def order_statistics(
     direct: int = DIRECT_ROWS,
     guesses: Mapping[str, tuple[float, float]] | None = None,
 ) -> dict[tuple[str, int], float]:
-    """Value at each zero-based rank of each numeric expression (missing values are left out).
+    """Value at each zero-based rank of each numeric expression (missing values are left out)."""
+    found = order_positions(df, columns, ranks, counts, direct, guesses)
+    return {key: value for key, (value, _, _) in found.items()}
+
+
+def order_positions(
+    df: DataFrame,
+    columns: Mapping[str, Column],
+    ranks: Mapping[str, Sequence[int]],
+    counts: Mapping[str, int],
+    direct: int = DIRECT_ROWS,
+    guesses: Mapping[str, tuple[float, float]] | None = None,
+) -> dict[tuple[str, int], tuple[float, int, int]]:
+    """(value, rows below it, rows equal to it) at each zero-based rank of each numeric expression.
 
     ``guesses`` may propose a value range per label; it is proven like any other bracket.
     """
@@ -132,9 +147,10 @@ def order_statistics(
         for rank in sorted(set(r for r in ranks[b.label] if b.low <= r <= b.high)):
             where[(b.label, rank)] = len(picks)
             hit = (F.col("slot") == str(i)) & (F.col("before") <= rank - b.below)
-            picks.append(F.max(F.when(hit, F.col("value"))).alias(f"p{len(picks)}"))
+            place = F.struct("value", (F.col("before") + b.below).alias("below"), "n")
+            picks.append(F.max(F.when(hit, place)).alias(f"p{len(picks)}"))
     row = counted.agg(*picks).first()
-    return {key: row[i] for key, i in where.items()}
+    return {key: tuple(row[i]) for key, i in where.items()}
 
 
 def exact_quantiles(

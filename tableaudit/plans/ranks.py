@@ -9,12 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .freq import number_counts
+from .joins import EASY_ROWS, HOT_SHARE
 from .prefix import ROWS_PER_BUCKET, average_ranks, bucket_limits
 
 #: rank tables are broadcast, smallest first, while they hold this many distinct values together (about 60 MB)
 BROADCAST_VALUES = 1_000_000
-#: a value holding more than one part in this many of the rows is spread over several join keys
-HOT_SHARE = 64
 _SALTS = 64
 
 
@@ -27,7 +26,7 @@ def hot_values(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, list[f
     if not columns:
         return {}
     grid = [k / (4 * HOT_SHARE) for k in range(1, 4 * HOT_SHARE)]
-    row = df.agg(*[F.percentile_approx(v, grid, 20 * 4 * HOT_SHARE) for v in columns.values()]).first()
+    row = df.agg(*[F.percentile_approx(v, grid, 40 * HOT_SHARE) for v in columns.values()]).first()
     return {c: sorted({x for x, y in zip(q, q[1:]) if x == y}) if q else [] for c, q in zip(columns, row)}
 
 
@@ -53,6 +52,7 @@ def _ranked(
     distinct: Mapping[str, int],
     rows_per_bucket: int,
     broadcast_values: int,
+    easy_rows: int,
 ) -> tuple[DataFrame, list[str]]:
     """Rows with one centred and scaled rank per column, and a weight."""
     names = list(columns)
@@ -64,7 +64,8 @@ def _ranked(
         if size <= room:
             small.add(c)
             room -= size
-    hot = hot_values(df, {c: columns[c] for c in names if c not in small})
+    big = {c: columns[c] for c in names if c not in small}
+    hot = hot_values(df, big) if max(counts.values()) > easy_rows else dict.fromkeys(big, ())
     if len(small) < len(names):
         rows = flat.groupBy(*flat.columns).agg(F.count(F.lit(1)).alias("w"))
     else:
@@ -92,6 +93,7 @@ def rank_correlations(
     total: int,
     rows_per_bucket: int = ROWS_PER_BUCKET,
     broadcast_values: int = BROADCAST_VALUES,
+    easy_rows: int = EASY_ROWS,
 ) -> dict[tuple[str, str], float | None]:
     """Spearman's rho of each pair over its pair-complete rows; None without spread.
 
@@ -109,7 +111,7 @@ def rank_correlations(
             part = part.where(columns[c].isNotNull())
         used = {c: columns[c] for c in dict.fromkeys(c for p in members for c in p)}
         n = pair_counts[members[0]]
-        sums = _rank_sums(part, used, members, dict.fromkeys(used, n), distinct, rows_per_bucket, broadcast_values)
+        sums = _rank_sums(part, used, members, dict.fromkeys(used, n), distinct, rows_per_bucket, broadcast_values, easy_rows)
         found.append(sums.select(F.lit(len(keys)).alias("group"), F.array(*sums.columns).alias("sums")))
         keys.append((members, list(used)))
     out: dict[tuple[str, str], float | None] = {}
@@ -140,9 +142,9 @@ def _gap_classes(pairs, pair_counts, counts, total) -> dict[str, str | None]:
     return out
 
 
-def _rank_sums(df, columns, pairs, counts, distinct, rows_per_bucket, broadcast_values) -> DataFrame:
+def _rank_sums(df, columns, pairs, counts, distinct, rows_per_bucket, broadcast_values, easy_rows) -> DataFrame:
     """One row: the sum of squared centred ranks of each column, then the cross sums of each pair."""
-    rows, names = _ranked(df, columns, counts, distinct, rows_per_bucket, broadcast_values)
+    rows, names = _ranked(df, columns, counts, distinct, rows_per_bucket, broadcast_values, easy_rows)
     at = {c: i for i, c in enumerate(names)}
     w = F.col("w")
     return rows.agg(

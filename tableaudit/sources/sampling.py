@@ -7,16 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import text_of
+from pyspark.sql import types as T
 
+from ..functions.columns import quoted, text_of
 
+
+_NESTED = (T.ArrayType, T.MapType, T.StructType)
 HASH_RANGE = 2.0**52
 SAMPLE_DIRECT_ROWS = 5_000_000
 
 
 def row_hash(df: DataFrame, keys: Sequence[str] | None = None, seed: int = 42) -> Column:
-    """Uniform 52-bit whole number per row as a double, from the MD5 of the key texts and the seed."""
-    parts = [F.coalesce(text_of(df, k), F.lit("\u0000")) for k in (keys or df.columns)]
+    """Uniform 52-bit whole number per row as a double.
+
+    With ``keys``, from the MD5 of the key texts and the seed, which other systems can reproduce. Without,
+    from a faster hash of all columns.
+    """
+    if not keys:
+        columns = [text_of(df, f.name) if isinstance(f.dataType, _NESTED) else quoted(f.name) for f in df.schema.fields]
+        # missing values do not change the hash, so their places are hashed as well
+        gaps = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
+        return F.pmod(F.xxhash64(F.lit(seed), gaps, *columns), F.lit(2**52)).cast("double")
+    parts = [F.coalesce(quoted(k).cast("string"), F.lit("\u0000")) for k in keys]
     digest = F.md5(F.concat_ws("\u001f", F.lit(str(seed)), *parts))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
 

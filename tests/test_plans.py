@@ -87,7 +87,7 @@ def test_rank_correlations(table, frame, broadcast, bucket, monkeypatch):
     pair_counts = {p: int(frame[list(p)].dropna().shape[0]) for p in pairs}
     counts = {c: int(frame[c].count()) for c in "xyz"}
     distinct = {c: int(frame[c].nunique()) for c in "xyz"}
-    got = ranks.rank_correlations(table, columns, pairs, pair_counts, counts, distinct, len(frame), bucket, broadcast)
+    got = ranks.rank_correlations(table, columns, pairs, pair_counts, counts, distinct, len(frame), bucket, broadcast, 0)
     for a, b in pairs:
         both = frame[[a, b]].dropna().rank()
         assert got[(a, b)] == pytest.approx(both[a].corr(both[b]), abs=1e-12)
@@ -118,7 +118,7 @@ def test_matrix_moments_of_constants(spark):
 @pytest.mark.parametrize("share", [64, 2, 1])
 def test_lookup_join(table, frame, share):
     counts = number_counts(table, {"y": F.col("y")}).select(F.col("value").alias("y"), "n", (F.col("value") * 2).alias("twice"))
-    joined = lookup_join(table.select("x", "y"), counts, ["y"], len(frame), share)
+    joined = lookup_join(table.select("x", "y"), counts, ["y"], len(frame), share, easy_rows=0)
     rows = joined.collect()
     assert len(rows) == len(frame)
     assert all(r["twice"] == (None if r["y"] is None else r["y"] * 2) for r in rows)
