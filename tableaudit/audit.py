@@ -22,7 +22,7 @@ class Audit:
         self.df = df
         self.target = target if target is not None else detect_target(df)
         self.order_col = order_col
-        self.facts = Facts(df)
+        self.facts = Facts(df, order_col=order_col)
 
     @cached_property
     def schema(self) -> DataFrame:
@@ -62,7 +62,7 @@ class Audit:
 
     @cached_property
     def group_tests(self) -> DataFrame:
-        return group_tests(self.df, order_col=self.order_col)
+        return group_tests(self.df, order_col=self.order_col, facts=self.facts)
 
     @cached_property
     def simpsons(self) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..operators.relations import category_values
 from ..operators.target import detect_target, detect_target_or_classes, schema_evidence
 from ..plans.aggregates import small_table
-from ..sources.readers import flatten, infer_types, resolve_parts
+from ..plans.materialise import ensure_checkpoint_dir
+from ..sources.readers import flatten, infer_types, read_table, resolve_parts
 from ..sources.sampling import sample_rows
+from ..sources.sinks import write_run
 from .common import DOCS_LABELS, docs_labels, table, union_all
 
 
@@ -43,6 +45,14 @@ def typed_text(spark, sf_dir):
     return infer_types(text)
 
 
+def csv_round_trip(spark, sf_dir):
+    """A table written as a run's CSV and read back: the same values and types."""
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext.getCheckpointDir()
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    return read_table(spark, write_run(customers, root, "round-trip", "customer.csv", "csv"))
+
+
 def flat_events(spark, sf_dir):
     """Nested objects become dotted columns."""
     events = table(spark, sf_dir, "events")
@@ -110,6 +120,7 @@ QUERIES = {
         "CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance, nullif(c_mktsegment, 'BUILDING') AS segment, "
         "c_acctbal > 0 AS in_credit FROM customer",
     ),
+    "csv_round_trip": (csv_round_trip, "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer"),
     "flat_events": (
         flat_events,
         'SELECT event_id, event_type AS "body.kind", CAST(json_extract(props, \'$.k\') AS BIGINT) AS "body.props.k" '

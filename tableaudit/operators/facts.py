@@ -17,8 +17,9 @@ _PAIRS = "pair int, col1 string, col2 string, n_eff bigint, cov double, var1 dou
 class Facts:
     """Moments, normality and pair moments of the numeric columns: one row per column or pair, kept on the driver."""
 
-    def __init__(self, df: DataFrame, columns: Sequence[str] | None = None):
+    def __init__(self, df: DataFrame, columns: Sequence[str] | None = None, order_col: str | None = None):
         self.df = df
+        self.order_col = order_col
         self.values: dict[str, Column] = numeric_values(df, columns)
 
     @cached_property
@@ -35,6 +36,13 @@ class Facts:
             return []
         return sorted(pair_moments(self.df, self.values).collect(), key=lambda r: r["pair"])
 
+    @cached_property
+    def levels(self) -> dict[str, list[str]]:
+        """Values of the low-cardinality columns, in group order."""
+        from .relations import category_values
+
+        return category_values(self.df, order_col=self.order_col)
+
     def pair_table(self) -> DataFrame:
         rows = [tuple(r[part.split()[0]] for part in _PAIRS.split(", ")) for r in self.pairs]
         return small_table(self.df.sparkSession, rows, _PAIRS)

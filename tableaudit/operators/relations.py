@@ -247,7 +247,8 @@ def simpsons(
         "category string, subgroup_corr double, n_eff bigint"
     )
     spark = df.sparkSession
-    levels = {c: v for c, v in category_values(df, groups).items() if 2 <= len(v) <= 5}
+    known = facts.levels if facts is not None and groups is None else category_values(df, groups)
+    levels = {c: v for c, v in known.items() if 2 <= len(v) <= 5}
     overall = []
     if levels:
         overall = [
@@ -343,22 +344,25 @@ def group_tests(
     min_n: int = 8,
     order_col: str | None = None,
     rows_per_bucket: int = 2_000_000,
+    facts: Facts | None = None,
 ) -> DataFrame:
     """Two-group tests of every numeric column by every two-valued categorical, in column order.
 
     Both groups normal: Student's t, or Welch's when Levene's test rejects equal variances. Otherwise
     Mann-Whitney. ``limit`` keeps the first tests of the family; None runs all of them.
     """
-    return _adjusted(_raw_group_tests(df, columns, groups, limit, min_n, order_col, rows_per_bucket))
+    return _adjusted(_raw_group_tests(df, columns, groups, limit, min_n, order_col, rows_per_bucket, facts))
 
 
 def _adjusted(tests: DataFrame) -> DataFrame:
     return adjust_family(tests).withColumn("raw_p_value", F.round("raw_p_value", 4))
 
 
-def _raw_group_tests(df, columns, groups, limit, min_n, order_col, rows_per_bucket) -> DataFrame:
+def _raw_group_tests(df, columns, groups, limit, min_n, order_col, rows_per_bucket, facts=None) -> DataFrame:
     values = numeric_values(df, columns)
-    levels = {c: v for c, v in category_values(df, groups, order_col=order_col).items() if len(v) == 2}
+    shared = facts is not None and groups is None and order_col == facts.order_col
+    levels = facts.levels if shared else category_values(df, groups, order_col=order_col)
+    levels = {c: v for c, v in levels.items() if len(v) == 2}
     sides, names = {}, {}
     for cat, (v1, v2) in levels.items():
         text = text_of(df, cat)
