@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import constants as K
-from ..functions.columns import quoted, stripped, text_of
+from ..functions.columns import is_numeric, quoted, stripped, text_of, value_of
 from ..plans.aggregates import per_column
 from ..sources.sampling import sample_rows as take_sample
 
@@ -67,22 +68,41 @@ def _rules(column: str) -> Column:
 
 def pii_matches(df: DataFrame) -> DataFrame:
     """``(position, column, n_values, card, email, phone, ssn, ip)``: matching values, in one scan."""
-    stats = {}
-    for name in df.columns:
-        text = stripped(text_of(df, name))
+    return per_column(df, {name: _match_counts(df, name) for name in df.columns})
+
+
+def _match_counts(df: DataFrame, name: str) -> dict[str, Column]:
+    """Aggregates of one column. Only text needs pattern matching; a number is judged by its digits."""
+    dtype = df.schema[name].dataType
+    text = stripped(text_of(df, name))
+    none = F.count_if(F.lit(False))
+    card = F.count_if(is_luhn_number(text)) if _named(name, K.CARD_NAMES) else none
+    if isinstance(dtype, T.StringType):
         blank = (F.octet_length(text) <= 4) & F.lower(text).isin(K.BLANK_TOKENS)
         text = F.when(~blank, text)
         # the number patterns match 17 characters at most, 4 bytes each: longer text needs no pattern matching
         short = F.octet_length(text) <= 68
-        stats[name] = {
+        return {
             "n_values": F.count(text),
-            "card": F.count_if(is_luhn_number(text)) if _named(name, K.CARD_NAMES) else F.count_if(F.lit(False)),
+            "card": F.count_if(is_luhn_number(text)) if _named(name, K.CARD_NAMES) else none,
             "email": F.count_if(text.contains("@") & text.rlike(K.EMAIL_PATTERN)),
             "phone": F.count_if(short & text.rlike(K.PHONE_PATTERN)),
             "ssn": F.count_if(short & text.rlike(K.SSN_PATTERN)),
             "ip": F.count_if(short & text.rlike(K.IP_PATTERN)),
         }
-    return per_column(df, stats)
+    found = {"n_values": F.count(text), "card": card, "email": none, "phone": none, "ssn": none, "ip": none}
+    if isinstance(dtype, T.IntegralType):
+        value = quoted(name)
+        # 9 to 15 digits, or 16 that start with 1
+        found["phone"] = F.count_if(value.between(10**8, 2 * 10**15 - 1))
+        found["ssn"] = F.count_if(value.between(10**8, 10**9 - 1))
+        found["n_values"] = F.count(value)
+    elif isinstance(dtype, T.DecimalType) and dtype.scale == 0:
+        found["phone"] = F.count_if(text.rlike(K.PHONE_PATTERN))
+        found["ssn"] = F.count_if(text.rlike(K.SSN_PATTERN))
+    elif is_numeric(dtype):
+        found["n_values"] = F.count(value_of(df, name))
+    return found
 
 
 def detect_pii(df: DataFrame, sample_rows: int | None = None) -> DataFrame:

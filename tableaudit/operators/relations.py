@@ -13,7 +13,7 @@ from ..functions.columns import numeric_columns, other_columns, plain_number, qu
 from ..functions.severity import correlation_strength
 from ..functions.tails import chi_square_p, f_p, fisher_p, normal_p, student_p
 from ..plans.aggregates import small_table
-from ..plans.freq import few_valued, number_counts, value_counts
+from ..plans.freq import few_valued, value_counts
 from ..plans.joins import lookup_join
 from ..plans.pairs import all_pairs, pair_moments
 from ..plans.prefix import bucket_limits, bucket_of, running_totals
@@ -300,11 +300,12 @@ def _mann_whitney(
     """{test: (U of the first group, normal score)} from value counts of both groups; no row is ranked."""
     both = {t: F.coalesce(a, b) for t, (a, b) in sides.items()}
     limits = bucket_limits(df, both, {t: sum(counts[t]) for t in sides}, rows_per_bucket)
-    flat = {f"{t}:{g}": side for t, pair in sides.items() for g, side in enumerate(pair)}
+    cells = [x for t, (a, _) in sides.items() for x in (F.lit(t), both[t], a.isNotNull().cast("long"))]
     counted = (
-        number_counts(df, flat)
-        .groupBy(F.split_part("column", F.lit(":"), F.lit(1)).alias("column"), "value")
-        .agg(F.sum("n").alias("n"), F.sum(F.when(F.col("column").endswith(":0"), F.col("n")).otherwise(0)).alias("n1"))
+        df.select(F.stack(F.lit(len(sides)), *cells).alias("column", "value", "first"))
+        .where(F.col("value").isNotNull())
+        .groupBy("column", "value")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("n1"))
     )
     ranked = running_totals(counted, ["n"], limits)
     rank = F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)
@@ -363,19 +364,25 @@ def _raw_group_tests(df, columns, groups, limit, min_n, order_col, rows_per_buck
     shared = facts is not None and groups is None and order_col == facts.order_col
     levels = facts.levels if shared else category_values(df, groups, order_col=order_col)
     levels = {c: v for c, v in levels.items() if len(v) == 2}
-    sides, names = {}, {}
+    sides: dict[str, tuple[Column, Column]] = {}
+    names = {}
     for cat, (v1, v2) in levels.items():
         text = text_of(df, cat)
         for num, value in values.items():
             test = f"t{len(sides)}"
             sides[test] = (F.when(text == v1, value), F.when(text == v2, value))
             names[test] = (num, cat, v1, v2)
-    stats = {}
-    if sides:
-        flat = {f"{t}:{g}": side for t, pair in sides.items() for g, side in enumerate(pair)}
-        stats = {r["column"]: r for r in moments(df, flat).collect()}
-    kept = [t for t in sides if min(stats[f"{t}:0"]["n"], stats[f"{t}:1"]["n"]) >= min_n]
-    kept = kept if limit is None else kept[:limit]
+    stats: dict = {}
+    kept: list[str] = []
+    # a limited family stops early: later tests are not computed
+    step = len(sides) if limit is None else 2 * limit
+    for part in (list(sides)[i : i + step] for i in range(0, len(sides), max(step, 1))):
+        flat = {f"{t}:{g}": side for t in part for g, side in enumerate(sides[t])}
+        stats |= {r["column"]: r for r in moments(df, flat).collect()}
+        kept += [t for t in part if min(stats[f"{t}:0"]["n"], stats[f"{t}:1"]["n"]) >= min_n]
+        if limit is not None and len(kept) >= limit:
+            kept = kept[:limit]
+            break
     rows = _run_group_tests(df, kept, sides, names, stats, rows_per_bucket) if kept else []
     table = small_table(df.sparkSession, rows, _GROUP_TEST)
     # each family member carries the statistic its p value is read from
@@ -548,7 +555,7 @@ def contingency_statistics(
     )
     plain = F.col("fit") + F.when(F.col("filled") < r * c, F.col("n") - F.col("e_filled")).otherwise(0.0)
     # in a 2x2 table every cell is off by the same amount
-    gap = F.abs(F.col("a") * F.col("d") - F.col("b") * F.col("c")) / F.col("n")
+    gap = F.abs(F.col("a").cast("double") * F.col("d") - F.col("b").cast("double") * F.col("c")) / F.col("n")
     inverse = lambda col, field: F.aggregate(
         col, F.lit(0.0), lambda acc, x: acc + 1.0 / x[field]
     )
@@ -570,6 +577,11 @@ def contingency_statistics(
     )
 
 
+_CELL_STATS = [
+    ("pair", "int"), ("n", "double"), ("r", "int"), ("k", "int"), ("chi2", "double"), ("dof", "int"),
+    ("cochran_ok", "boolean"), ("cramers_v", "double"), ("a", "bigint"), ("b", "bigint"), ("c", "bigint"), ("d", "bigint"),
+]
+
 _CONTINGENCY = (
     "position int, test_name string, variables string, col1 string, col2 string, statistic double, "
     "raw_p_value double, effect_size double, effect_size_type string, n_eff bigint"
@@ -586,31 +598,37 @@ def contingency_tests(
 
 
 def _raw_contingency_tests(df: DataFrame, columns: Sequence[str] | None, limit: int | None) -> DataFrame:
-    levels = category_values(df, columns)
+    levels = {c: v for c, v in category_values(df, columns).items() if len(v) > 1}
     pairs = all_pairs(list(levels))
-    if not pairs:
+    found: list[tuple] = []
+    # a limited family stops early: later pairs are not counted
+    step = len(pairs) if limit is None else 2 * limit
+    for part in (pairs[i : i + step] for i in range(0, len(pairs), max(step, 1))):
+        joint = math.prod(len(levels[c]) + 1 for c in {c for pair in part for c in pair})
+        usable = contingency_statistics(df, part, joint).where((F.col("r") > 1) & (F.col("k") > 1))
+        rows = usable.select(*[name for name, _ in _CELL_STATS]).orderBy("pair").collect()
+        found += [(len(found) + i, part[r["pair"]][0], part[r["pair"]][1], *r[1:]) for i, r in enumerate(rows)]
+        if limit is not None and len(found) >= limit:
+            found = found[:limit]
+            break
+    if not found:
         return small_table(df.sparkSession, [], _CONTINGENCY)
-    joint = math.prod(len(v) + 1 for v in levels.values())
-    stats = contingency_statistics(df, pairs, joint).where((F.col("r") > 1) & (F.col("k") > 1))
-    stats = stats.withColumn("position", F.row_number().over(Window.partitionBy().orderBy("pair")) - 1)
-    if limit is not None:
-        stats = stats.where(F.col("position") < limit)
+    schema = "position int, col1 string, col2 string, " + ", ".join(f"{n} {t}" for n, t in _CELL_STATS[1:])
+    stats = small_table(df.sparkSession, found, schema)
     exact = (F.col("r") == 2) & (F.col("k") == 2) & ~F.col("cochran_ok")
-    labels = F.array(*[F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2")) for a, b in pairs])
-    cross = F.col("b") * F.col("c")
-    odds = F.when(cross != 0, F.col("a") * F.col("d") / cross).otherwise(float("inf"))
+    cross = F.col("b").cast("double") * F.col("c")
+    odds = F.when(cross != 0, F.col("a").cast("double") * F.col("d") / cross).otherwise(float("inf"))
     only = lambda c: F.when(exact, F.col(c))
     p = F.coalesce(
         fisher_p(only("a"), only("b"), only("c"), only("d")), chi_square_p(F.when(~exact, F.col("chi2")), F.col("dof"))
     )
     name = F.when(exact, K.FISHER).when(F.col("cochran_ok"), K.CHI_SQUARE).otherwise(K.CHI_SQUARE_WARNING)
-    pair = F.get(labels, F.col("pair"))
     return stats.select(
-        F.col("position").cast("int").alias("position"),
+        "position",
         name.alias("test_name"),
-        F.format_string("Categorical: '%s' & '%s'", pair["col1"], pair["col2"]).alias("variables"),
-        pair["col1"].alias("col1"),
-        pair["col2"].alias("col2"),
+        F.format_string("Categorical: '%s' & '%s'", "col1", "col2").alias("variables"),
+        "col1",
+        "col2",
         F.round(F.when(exact, odds).otherwise(F.col("chi2")), 4).alias("statistic"),
         F.coalesce(p, F.lit(1.0)).alias("raw_p_value"),
         F.round(F.coalesce("cramers_v", F.lit(0.0)), 4).alias("effect_size"),
