@@ -65,4 +65,5 @@ from .operators.target import (  # noqa: E402
 )
 from .sources.readers import infer_types, read_table, resolve_parts  # noqa: E402
 from .sources.sampling import sample_rows  # noqa: E402
-from .sources.sinks import materialise, write_run  # noqa: E402
+from .plans.materialise import materialise  # noqa: E402
+from .sources.sinks import write_run  # noqa: E402

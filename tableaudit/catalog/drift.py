@@ -143,7 +143,7 @@ _EVENT_ORDER = "CAST('0x' || substr(md5('42' || chr(31) || event_id), 1, 13) AS
 
 def event_trend(spark, sf_dir):
     out = trend(table(spark, sf_dir, "events"), "ts", "value", rows=1000, keys=["event_id"])
-    return out.select(F.unix_micros("ts").alias("micros"), "value")
+    return out.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "value")
 
 
 def priority_frequency(spark, sf_dir):
@@ -194,7 +194,7 @@ QUERIES = {
         event_scatter,
         f"SELECT 'value' AS x_name, 'root' AS y_name, value AS x, round(sqrt(value), 6) AS y FROM events ORDER BY {_EVENT_ORDER} LIMIT 1000",
     ),
-    "event_trend": (event_trend, f"SELECT epoch_us(ts) AS micros, value FROM events ORDER BY {_EVENT_ORDER} LIMIT 1000"),
+    "event_trend": (event_trend, f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, value FROM events ORDER BY {_EVENT_ORDER} LIMIT 1000"),
     "priority_frequency": (
         priority_frequency,
         "SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1",

@@ -14,7 +14,7 @@ from ..operators.relations import correlations, group_tests, redundant_pairs, si
 from ..operators.target import class_balance, class_distribution, leakage
 from .common import DOCS_LABELS, PRICED_LINEITEM, docs_labels, priced_lineitem, table, union_all
 from .distribution import profile_sql
-from .quality import _CONTACTS, _QUALITY_SOURCE, _column_quality_sql, _contacts, _pii_sql, _score_sql
+from .quality import _QUALITY_SOURCE, _column_quality_sql, _contacts, _pii_sql, _score_sql
 from .relations import (
     _PRICED,
     _REVERSING,

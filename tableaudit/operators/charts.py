@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, other_columns, quoted, text_of, value_of
+from ..functions.columns import numeric_columns, other_columns, quoted, value_of
 from ..plans.aggregates import per_column, small_table
 from ..plans.freq import value_counts
-from ..plans.quantiles import counts_of, exact_quantiles
+from ..plans.quantiles import exact_quantiles
 from ..sources.sampling import sample_rows
 from .distribution import numeric_values
 from .features import detect_datetime, parsed_time

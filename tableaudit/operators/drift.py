@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, quoted, value_of
@@ -30,7 +30,6 @@ def rolling_mean_last(
 
     Each task keeps only its own last rows before anything is shuffled, also for one key with most rows.
     """
-    order = [parsed_time(df, ts).desc_nulls_first(), value_of(df, value).desc_nulls_first()]
     slim = df.select(*[quoted(k) for k in by], parsed_time(df, ts).alias("__ts"), value_of(df, value).alias("__v"))
     order = [F.col("__ts").desc_nulls_first(), F.col("__v").desc_nulls_first()]
     mean = F.round(F.avg("__v"), 4).alias("rolling_mean_last")
@@ -149,7 +148,7 @@ def temporal_report(df: DataFrame, target: str | None = None) -> DataFrame:
         stat, p, drift = row["ks_stat"], row["ks_pvalue"], row["drift_detected"]
     when = parsed_time(df, ts)
     span = df.agg(F.min(when).alias("first_time"), F.max(when).alias("last_time"))
-    facts = [(True, ts, metric, mean, stat, p, drift)]
-    names = [part.split()[0] for part in schema.split(", ")]
-    literals = [F.lit(x).cast(part.split()[1]).alias(n) for x, n, part in zip(facts[0], names, schema.split(", "))]
+    facts = (True, ts, metric, mean, stat, p, drift)
+    fields = [part.split() for part in schema.split(", ")]
+    literals = [F.lit(x).cast(kind).alias(name) for x, (name, kind) in zip(facts, fields)]
     return span.select(*literals, "first_time", "last_time")

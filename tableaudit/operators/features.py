@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import numeric_columns, other_columns, quoted, stripped, text_of
+from ..functions.columns import numeric_columns, other_columns, quoted, stripped
 from ..plans.aggregates import small_table
 from ..plans.pairs import pair_moments
 from .distribution import moments, numeric_values

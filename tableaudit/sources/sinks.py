@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..plans.materialise import materialise
-
-__all__ = ["materialise", "run_path", "write_run"]
-
 _WRITERS = {"csv": {"header": True, "escape": '"'}, "parquet": {}, "orc": {}, "json": {}}
 
 
