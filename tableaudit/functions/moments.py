@@ -59,7 +59,7 @@ def omnibus(n: Column, g1: Column, g2: Column) -> tuple[Column, Column]:
 
 
 def safe_corr(sxy: Column, sxx: Column, syy: Column) -> Column:
-    """Pearson r from centred sums; NULL when either side has no spread."""
+    """Pearson r from centred sums; NULL when either side has no spread or no finite spread."""
     r = F.try_divide(sxy, F.sqrt(sxx) * F.sqrt(syy))
     # least and greatest skip NULL, so a missing r must not reach them
-    return F.when(r.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+    return F.when(r.isNotNull() & ~F.isnan(r), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))

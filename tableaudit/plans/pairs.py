@@ -80,6 +80,8 @@ def _by_matrices(df: DataFrame, columns: Mapping[str, Column], pairs: Sequence[t
             yield pa.RecordBatch.from_pydict(
                 {
                     "pair": np.arange(len(pairs), dtype=np.int32),
+                    "col1": [a for a, _ in pairs],
+                    "col2": [b for _, b in pairs],
                     "n": total["n"][first, second],
                     "sx": total["x"][first, second],
                     "sy": total["x"][second, first],
@@ -89,11 +91,10 @@ def _by_matrices(df: DataFrame, columns: Mapping[str, Column], pairs: Sequence[t
                 }
             )
 
-    schema = "pair int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    added = flat.mapInArrow(sums, schema).groupBy("pair").agg(
+    schema = "pair int, col1 string, col2 string, n double, sx double, sy double, sxx double, syy double, sxy double"
+    added = flat.mapInArrow(sums, schema).groupBy("pair", "col1", "col2").agg(
         *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
     )
-    labels = F.array(*[F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2")) for a, b in pairs])
 
     def central(cross: str, left: str, right: str) -> Column:
         n = F.col("n")
@@ -101,8 +102,8 @@ def _by_matrices(df: DataFrame, columns: Mapping[str, Column], pairs: Sequence[t
 
     return added.select(
         "pair",
-        F.get(labels, F.col("pair"))["col1"].alias("col1"),
-        F.get(labels, F.col("pair"))["col2"].alias("col2"),
+        "col1",
+        "col2",
         F.col("n").cast("long").alias("n_eff"),
         central("sxy", "sx", "sy").alias("cov"),
         # a constant column leaves rounding dust instead of an exact zero

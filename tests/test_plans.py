@@ -11,7 +11,7 @@ from tableaudit.plans import prefix, quantiles, ranks
 from tableaudit.plans.codes import value_codes
 from tableaudit.plans.freq import few_valued, number_counts, value_counts
 from tableaudit.plans.joins import lookup_join
-from tableaudit.plans.pairs import _by_expressions, _by_matrices, all_pairs
+from tableaudit.plans.pairs import _by_expressions, _by_matrices, all_pairs, pair_moments
 
 
 @pytest.fixture(scope="module")
@@ -109,6 +109,11 @@ def test_pair_moments_agree(table, frame):
             assert r["var1"] == pytest.approx(both[a].var(ddof=0), rel=1e-9)
 
 
+def test_infinite_values_give_no_correlation(spark):
+    df = spark.createDataFrame([(float(i), float("inf") if i == 3 else float(i * i)) for i in range(20)], "a double, b double")
+    assert pair_moments(df, _columns("ab")).first()["r"] is None
+
+
 def test_matrix_moments_of_constants(spark):
     df = spark.range(50).select(F.lit(0.1).alias("k"), F.col("id").cast("double").alias("v"))
     row = _by_matrices(df, {"k": F.col("k"), "v": F.col("v")}, [("k", "v")]).first()
