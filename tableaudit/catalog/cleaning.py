@@ -216,7 +216,8 @@ QUERIES = {
     ),
     "engineered_report": (
         engineered_report,
-        "SELECT 'log1p' AS kind, 'value_log1p' AS feature, 'value' AS source, round(skewness(value), 4) AS before, round(skewness(ln(1 + value)), 4) AS after FROM events "
+        "SELECT 'log1p' AS kind, 'value_log1p' AS feature, 'value' AS source, round(skewness(value), 4) AS before, round(skewness(ln(1 + value + shift)), 4) AS after "
+        "FROM events, (SELECT CASE WHEN min(value) <= 0 THEN abs(min(value)) + 1 ELSE 0 END AS shift FROM events) "
         + "".join(
             f"UNION ALL SELECT 'date_part', 'ts_{p}', 'ts', NULL, NULL " for p in ("year", "month", "dayofweek", "is_weekend")
         ),
