@@ -1,0 +1,23 @@
+"""Registered queries of this subpackage, each with the SQL that gives the same rows where SQL can."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import op3_token_counts, op9_best_fit, op10_token_files
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+_MODULES = (op3_token_counts, op9_best_fit, op10_token_files)
+
+
+def queries() -> dict[str, Query]:
+    return {name: entry[0] for module in _MODULES for name, entry in module.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        name: entry[1] for module in _MODULES for name, entry in module.QUERIES.items() if entry[1] is not None
+    }
