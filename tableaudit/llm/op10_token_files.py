@@ -71,21 +71,27 @@ def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[list[b
     place = max(0, min(BLOCK - 1, int(np.ceil(percentile * BLOCK)) - 1))
     width = np.partition(bits, place, axis=1)[:, place]
     over = bits > width[:, None]
-    out: list[bytes] = [b""] * count
+    spare = over.sum(axis=1)
+    row, place = np.nonzero(over)
+    high = (diff[row, place] >> width[row].astype(np.uint32)).astype("<u4").tobytes()
+    places = place.astype(np.uint8).tobytes()
+    ends = np.cumsum(spare).tolist()
+    packed: list[bytes] = [b""] * count
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
-        part = diff[rows]
         if w:
-            as_bits = np.unpackbits(part.astype("<u4").view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2, bitorder="little")
-            packed = np.packbits(as_bits[:, :, :w].reshape(len(rows), -1), axis=1, bitorder="little")
-        else:
-            packed = np.empty((len(rows), 0), np.uint8)
-        high = (part >> np.uint32(w)).astype("<u4") if w < 32 else None
-        for i, row in enumerate(rows.tolist()):
-            places = np.flatnonzero(over[row])
-            rest = places.astype(np.uint8).tobytes() + high[i][places].tobytes() if len(places) else b""
-            out[row] = struct.pack("<IBH", int(low[row]), w, len(places)) + packed[i].tobytes() + rest
-    return out, int(over.sum())
+            kind, size = ("<u2", 16) if w <= 16 else ("<u4", 32)
+            part = diff[rows].astype(kind).view(np.uint8).reshape(len(rows), BLOCK, size // 8)
+            as_bits = np.unpackbits(part, axis=2, bitorder="little")[:, :, :w]
+            data = np.packbits(as_bits.reshape(len(rows), -1), axis=1, bitorder="little").tobytes()
+            size = w * BLOCK // 8
+            for i, at in enumerate(rows.tolist()):
+                packed[at] = data[i * size : (i + 1) * size]
+    out = []
+    for lowest, w, n, end, data in zip(low.tolist(), width.tolist(), spare.tolist(), ends, packed):
+        block = struct.pack("<IBH", lowest, w, n) + data
+        out.append(block + places[end - n : end] + high[4 * (end - n) : 4 * end] if n else block)
+    return out, ends[-1]
 
 
 def unpack_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
@@ -98,11 +104,13 @@ def unpack_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     for w, rows in by_width.items():
         size = w * BLOCK // 8
         if w:
-            packed = np.frombuffer(b"".join([data[starts[i] + 7 : starts[i] + 7 + size] for i in rows]), np.uint8)
+            begins = starts[rows].tolist()
+            packed = np.frombuffer(b"".join([data[s + 7 : s + 7 + size] for s in begins]), np.uint8)
             as_bits = np.unpackbits(packed.reshape(len(rows), size), axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            whole = np.zeros((len(rows), BLOCK, 32), np.uint8)
+            kind, wide = ("<u2", 16) if w <= 16 else ("<u4", 32)
+            whole = np.zeros((len(rows), BLOCK, wide), np.uint8)
             whole[:, :, :w] = as_bits
-            values = np.packbits(whole, axis=2, bitorder="little").view("<u4").reshape(len(rows), BLOCK)
+            values = np.packbits(whole, axis=2, bitorder="little").view(kind).reshape(len(rows), BLOCK)
         else:
             values = np.zeros((len(rows), BLOCK), np.uint32)
         out[rows] = values

@@ -32,7 +32,7 @@ from .tokens import END_OF_DOCUMENT, default_path, encoder
 
 CAPACITY = 2048
 #: Documents of one length are ranked in groups of about so many.
-RANK_GROUP = 100_000
+RANK_GROUP = 500
 #: Placement runs that may be broadcast; 40 bytes each.
 BROADCAST_RUNS = 500_000
 
@@ -124,15 +124,19 @@ def best_fit_runs(counts: Mapping[int, int], capacity: int = CAPACITY) -> list[t
 
 def ranked(pieces: DataFrame, counts: Mapping[int, int]) -> DataFrame:
     """Add ``rank`` from 0 among the pieces of one length, by doc_id inside groups that split frequent lengths."""
-    groups = max(1, -(-max(counts.values(), default=0) // RANK_GROUP))
-    rows = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "turn"), F.lit(groups)))
+    spark = pieces.sparkSession
+    # one row per length, at most as many as the capacity
+    groups = spark.createDataFrame([(k, -(-n // RANK_GROUP)) for k, n in counts.items()], "length bigint, __groups bigint")
+    rows = pieces.join(F.broadcast(groups), "length").withColumn(
+        "__group", F.pmod(F.xxhash64("doc_id", "piece", "turn"), F.col("__groups"))
+    )
     sizes = rows.groupBy("length", "__group").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "__group", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inside = Window.partitionBy("length", "__group").orderBy("doc_id", "piece", "turn")
     numbered = rows.withColumn("__inside", F.row_number().over(inside) - 1)
     joined = numbered.join(starts, ["length", "__group"])
-    return joined.withColumn("rank", F.col("__before") + F.col("__inside")).drop("__group", "__before", "__inside")
+    return joined.withColumn("rank", F.col("__before") + F.col("__inside")).drop("__group", "__groups", "__before", "__inside")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_OF_DOCUMENT, ids: bool = False) -> DataFrame:

@@ -23,10 +23,22 @@ CACHED_PIECES = 600_000
 LONGEST_CACHED = 48
 
 PIECES_A_STRING = 2000
+ENDS = ".,"
 
 _UNSAFE = re.compile(r" (?!\S)")
 _SAFE = re.compile(r" (?=\S)")
 _SPACE = re.compile(r"\s")
+_MORE_LINES = re.compile(r"\n(?!\S)|\s\n")
+
+
+def _letters() -> dict[int, str]:
+    """How byte-level tokenizers write bytes: visible Latin-1 characters stand for themselves, others for the next free letters."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_AS_LETTERS = _letters()
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -53,6 +65,9 @@ class Encoder:
         line = self._ids([" a\n b", " a", "\n", " b"])
         #: Id of a line break, if it stands alone between two pieces.
         self.line = line[2][0] if len(line[2]) == 1 and line[0] == line[1] + line[2] + line[3] else None
+        self.words = self._words()
+        #: Ids of signs that end a word; they are apart from its letters.
+        self.ends = dict(zip(ENDS, self._each(list(ENDS))))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -60,46 +75,86 @@ class Encoder:
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(ids, "<u4").tobytes() for ids in self._ids(texts)]
 
-    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces with a space before them. Many pieces share a string, a line break between two."""
+    def _words(self) -> "Tokenizer | None":
+        """The model behind a splitter that only looks for line breaks, for pieces that are single words.
+
+        Byte-level tokenizers write bytes as letters; a word of letters, with the space before it, is never cut by their
+        pattern, so it can go to the model directly.
+        """
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        if self.line is None or type(self.tokenizer.pre_tokenizer) is not pre_tokenizers.ByteLevel or self.tokenizer.normalizer:
+            return None
+        words = Tokenizer(self.tokenizer.model)
+        words.pre_tokenizer = pre_tokenizers.Split(_AS_LETTERS[ord("\n")], "isolated")
+        return words
+
+    def _joined(self, tokenizer, pieces: list[str], lead: str, plain: bool, out: dict[str, bytes]) -> None:
+        """Put the ids of pieces, with ``lead`` before each, into ``out``; many share a string, a line break between two."""
+        groups = [pieces[i : i + PIECES_A_STRING] for i in range(0, len(pieces), PIECES_A_STRING)]
+        strings = [lead + ("\n" + lead).join(group) for group in groups]
+        if plain:
+            strings = [x.encode().decode("latin-1").translate(_AS_LETTERS) for x in strings]
+        for group, done in zip(groups, tokenizer.encode_batch_fast(strings, add_special_tokens=False)):
+            flat = np.array(done.ids, "<u4")
+            ends = np.append(np.flatnonzero(flat == self.line), len(flat)) * 4
+            starts = np.concatenate([[0], ends[:-1] + 4])
+            out.update(zip(group, map(flat.tobytes().__getitem__, map(slice, starts.tolist(), ends.tolist()))))
+
+    def _pieces(self, pieces: set[str], lead: str, out: dict[str, bytes]) -> None:
+        """Put the ids of pieces, with ``lead`` before each, into ``out``."""
         if self.line is None:
-            return dict(zip(pieces, self._each([" " + p for p in pieces])))
+            out.update(zip(pieces, self._each([lead + p for p in pieces])))
+            return
+        if self.words is not None:
+            plain = set(filter(str.isalpha, pieces))
+            rest = pieces - plain
+            ended = [(p, p[:-1]) for p in rest if p[-1] in ENDS and p[:-1].isalpha()]
+            plain.update([w for _, w in ended])
+            self._joined(self.words, list(plain), lead, True, out)
+            out.update([(p, out[w] + self.ends[p[-1]]) for p, w in ended])
+            rest.difference_update([p for p, _ in ended])
+            pieces = rest
         broken = [p for p in pieces if _SPACE.search(p)]
-        out = dict(zip(broken, self._each([" " + p for p in broken])))
-        whole = [p for p in pieces if p not in out] if broken else pieces
-        groups = [whole[i : i + PIECES_A_STRING] for i in range(0, len(whole), PIECES_A_STRING)]
-        for group, ids in zip(groups, self._ids([" " + "\n ".join(g) for g in groups])):
-            flat = np.array(ids, "<u4")
-            cuts = (np.flatnonzero(flat == self.line) * 4).tolist()
-            data = flat.tobytes()
-            out.update(zip(group, [data[a:b] for a, b in zip([0, *(x + 4 for x in cuts)], [*cuts, len(data)])]))
-        return out
+        out.update(zip(broken, self._each([lead + p for p in broken])))
+        self._joined(self.tokenizer, list(pieces.difference(broken)), lead, False, out)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text, as bytes."""
         rows, heads, new = [], [], set()
         for text in texts:
-            pieces = (_SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")) if text else [""]
+            if not text:
+                pieces = [""]
+            elif _UNSAFE.search(text):
+                pieces = _SAFE.split(text)
+            elif self.line is None or _MORE_LINES.search(text):
+                pieces = text.split(" ")
+            else:  # a line break stays with the word after it
+                pieces = text.replace("\n", " \n").split(" ")
             heads.append(pieces[0])
             pieces[0] = ""  # the first piece has no space before it
             new.update(pieces)
             rows.append(pieces)
         new.discard("")
-        new -= self.known.keys()
-        if len(self.known) + len(new) > self.cached:
-            self.known = {}
-            new = {p for pieces in rows for p in pieces if p}
         table = self.known
+        new -= table.keys()
+        if len(table) + len(new) > self.cached:
+            self.known = table = {}
+            new = {p for pieces in rows for p in pieces if p}
+        lines = {p for p in new if p[0] == "\n" and len(p) > 1}
+        self._pieces(new - lines, " ", table)
+        if lines:
+            line, after = np.array([self.line], "<u4").tobytes(), {}
+            self._pieces({p[1:] for p in lines}, "", after)
+            table.update([(p, line + after[p[1:]]) for p in lines])
+        if "\n" in new:
+            table["\n"] = self._each(["\n"])[0]
         table[""] = b""
-        extra = {}
-        for piece, ids in self._pieces(list(new)).items():
-            (table if len(piece) <= LONGEST_CACHED else extra)[piece] = ids
-        out = []
-        for head, pieces in zip(self._each(heads), rows):
-            if extra:
-                out.append(head + b"".join([table[p] if p in table else extra[p] for p in pieces]))
-            else:
-                out.append(head + b"".join(map(table.__getitem__, pieces)))
+        first = {"": b""}
+        self._pieces({h for h in heads if h}, "", first)
+        out = [first[head] + b"".join(map(table.__getitem__, pieces)) for head, pieces in zip(heads, rows)]
+        for p in [p for p in new if len(p) > LONGEST_CACHED]:
+            del table[p]
         return out
 
 
