@@ -2,8 +2,8 @@
 
 Each round points every vertex at the smallest vertex it can see, first among its larger neighbours, then among its
 smaller ones; the number of rounds grows with the logarithm of a component's size. A vertex with very many neighbours
-costs one minimum per task and a join that adaptive execution splits; no neighbourhood is gathered in one place. Every
-round is written to the shared folder.
+costs one minimum per task and a join that adaptive execution splits, for which the minima are written first; no
+neighbourhood is gathered in one place. Every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -24,12 +24,13 @@ def _smallest(pairs: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     near = _both(edges)
-    return near.filter("v > u").join(_smallest(near), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return near.filter("v > u").join(keep(_smallest(near)), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``edges`` point from the larger to the smaller vertex."""
-    least = _smallest(edges)
+    edges = keep(edges)
+    least = keep(_smallest(edges))
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 

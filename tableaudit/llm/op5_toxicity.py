@@ -217,7 +217,7 @@ def keep_ordinary(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            yield batch.filter(pa.array(model.scores(batch.column("text").to_pylist()) < threshold))
+            yield batch.filter(pa.array(model.scores(batch.column("text").to_pylist()) < threshold, pa.bool_()))
 
     return docs.mapInArrow(chosen, docs.schema)
 

@@ -200,6 +200,22 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, rep
     return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def keep_first(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, replicas: int = REPLICAS) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns.
+
+    Of rows with equal doc_id and text one stays; rows without a doc_id stay, since nothing tells them apart.
+    """
+    found = keep(near_duplicates(docs, k, radius, replicas))
+    firsts = found.filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.filter("doc_id IS NOT NULL").join(firsts, "doc_id", "left_semi")
+    repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not repeated.isEmpty():
+        repeated = keep(repeated)
+        once = named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        named = named.join(repeated, "doc_id", "left_anti").union(once)
+    return named.select(docs.columns).union(docs.filter("doc_id IS NULL"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))

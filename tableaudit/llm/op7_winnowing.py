@@ -196,6 +196,21 @@ def contamination(
     return state
 
 
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """The rows of ``docs`` in which no window of any item occurs, with all their columns."""
+    for sent in _sent(docs.sparkSession, items, window, gram, block_bytes):
+
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = sent.value
+            for batch in text_slices(batches):
+                yield batch.filter(pa.array([not index.search(words_of(t))[1] for t in batch.column("text").to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def _sent(spark: SparkSession, items: DataFrame, window: int, gram: int, block_bytes: int) -> Iterator:
     for block in _blocks(items, block_bytes):
         yield spark.sparkContext.broadcast(Index(block, window, gram))
