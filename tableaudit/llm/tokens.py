@@ -1,29 +1,32 @@
 """Token ids of whole texts by a tokenizer file, for use inside Spark tasks.
 
-Most of the time of byte-level BPE goes into words that were seen before. ``Encoder`` cuts a text before spaces,
-where byte-level pre-tokenizers always cut too, and keeps the ids of each piece in a bounded table, so the tokenizer
-itself only sees new pieces. Every piece is encoded by the tokenizer; the ids equal those of the whole text.
+Most of the time of byte-level BPE goes into words that occur again and again. ``Encoder`` cuts texts before spaces,
+where byte-level pre-tokenizers always cut too, finds the distinct pieces of a batch with Arrow, lets the tokenizer
+encode each of them once, and puts the ids of the texts together with array operations. Every id comes from the
+tokenizer; the ids equal those of the whole text.
 
 A space is a safe place to cut when a visible character follows it or stands before it: the pattern of these
 tokenizers joins one space to the visible characters after it and never joins a visible character to a space after
-it. Other spaces stay inside their piece.
+it. Other spaces stay inside their piece. A single line break between visible characters is a safe place too.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_OF_DOCUMENT = 0
-#: Pieces kept per Python worker; about 250 bytes each. The table is emptied when it is full.
-CACHED_PIECES = 600_000
-LONGEST_CACHED = 48
-
+#: Text whose distinct pieces are looked for at once.
+BATCH_BYTES = 16_000_000
 PIECES_A_STRING = 2000
 ENDS = ".,"
+_CUT, _MARK = "\0", "\1"
 
 _UNSAFE = re.compile(r" (?!\S)")
 _SAFE = re.compile(r" (?=\S)")
@@ -54,109 +57,176 @@ class Encoder:
     Names of special tokens inside a text are ordinary text. A null text has no ids.
     """
 
-    def __init__(self, path: str, cached: int = CACHED_PIECES):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cached = cached
-        self.known: dict[str, bytes] = {}
         line = self._ids([" a\n b", " a", "\n", " b"])
         #: Id of a line break, if it stands alone between two pieces.
         self.line = line[2][0] if len(line[2]) == 1 and line[0] == line[1] + line[2] + line[3] else None
-        self.words = self._words()
+        self.words, self.bare_words, self.begins = self._words(path)
         #: Ids of signs that end a word; they are apart from its letters.
-        self.ends = dict(zip(ENDS, self._each(list(ENDS))))
+        self.ends = {c: ids[0] for c, ids in zip(ENDS, self._ids(list(ENDS)))} if self.words is not None else {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(ids, "<u4").tobytes() for ids in self._ids(texts)]
-
-    def _words(self) -> "Tokenizer | None":
-        """The model behind a splitter that only looks for line breaks, for pieces that are single words.
+    def _words(self, path: str):
+        """The model behind splitters that only look for line breaks, for pieces that are single words.
 
         Byte-level tokenizers write bytes as letters; a word of letters, with the space before it, is never cut by their
-        pattern, so it can go to the model directly.
+        pattern, so it can go to the model directly. The model keeps no words of its own: they come once a batch. With
+        the two forms, one that drops line breaks and one that keeps them, comes which ids begin with a space.
         """
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         if self.line is None or type(self.tokenizer.pre_tokenizer) is not pre_tokenizers.ByteLevel or self.tokenizer.normalizer:
-            return None
-        words = Tokenizer(self.tokenizer.model)
-        words.pre_tokenizer = pre_tokenizers.Split(_AS_LETTERS[ord("\n")], "isolated")
-        return words
-
-    def _joined(self, tokenizer, pieces: list[str], lead: str, plain: bool, out: dict[str, bytes]) -> None:
-        """Put the ids of pieces, with ``lead`` before each, into ``out``; many share a string, a line break between two."""
+            return None, None, None
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)["model"]
+        plain = {k: v for k, v in spec.items() if v is not None and k not in ("type", "vocab", "merges")}
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in spec["merges"]]
+        model = models.BPE(vocab=spec["vocab"], merges=merges, cache_capacity=0, **plain)
+        dropping, keeping = Tokenizer(model), Tokenizer(model)
+        dropping.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(_AS_LETTERS[ord("\n")])
+        keeping.pre_tokenizer = pre_tokenizers.Split(_AS_LETTERS[ord("\n")], "isolated")
+        begins = np.zeros(max(spec["vocab"].values()) + 1, bool)
+        begins[[i for token, i in spec["vocab"].items() if token[0] == _AS_LETTERS[ord(" ")]]] = True
+        return dropping, keeping, begins
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after the other, and how many each has."""
+        found = self._ids(texts)
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(x) for x in found], np.int64)
+
+    def _joined(self, pieces: list[str], lead: str, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``_each`` for pieces without white space, with ``lead`` before each; many share a string, a line break
+        between two."""
         groups = [pieces[i : i + PIECES_A_STRING] for i in range(0, len(pieces), PIECES_A_STRING)]
         strings = [lead + ("\n" + lead).join(group) for group in groups]
         if plain:
             strings = [x.encode().decode("latin-1").translate(_AS_LETTERS) for x in strings]
-        for group, done in zip(groups, tokenizer.encode_batch_fast(strings, add_special_tokens=False)):
-            flat = np.array(done.ids, "<u4")
-            ends = np.append(np.flatnonzero(flat == self.line), len(flat)) * 4
-            starts = np.concatenate([[0], ends[:-1] + 4])
-            out.update(zip(group, map(flat.tobytes().__getitem__, map(slice, starts.tolist(), ends.tolist()))))
-
-    def _pieces(self, pieces: set[str], lead: str, out: dict[str, bytes]) -> None:
-        """Put the ids of pieces, with ``lead`` before each, into ``out``."""
+        flat, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        if plain and lead:  # every word begins with an id that begins with a space, and no other id does
+            for done in self.words.encode_batch_fast(strings, add_special_tokens=False):
+                ids = np.array(done.ids, np.uint32)
+                flat.append(ids)
+                sizes.append(np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids))))
+            return np.concatenate(flat), np.concatenate(sizes)
+        for done in (self.bare_words if plain else self.tokenizer).encode_batch_fast(strings, add_special_tokens=False):
+            ids = np.array(done.ids, np.uint32)
+            breaks = ids == self.line
+            flat.append(ids[~breaks])
+            sizes.append(np.diff(np.flatnonzero(np.concatenate([[True], breaks, [True]]))) - 1)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _pieces(self, pieces: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``_each`` for any distinct pieces, with ``lead`` before each."""
         if self.line is None:
-            out.update(zip(pieces, self._each([lead + p for p in pieces])))
-            return
-        if self.words is not None:
-            plain = set(filter(str.isalpha, pieces))
-            rest = pieces - plain
-            ended = [(p, p[:-1]) for p in rest if p[-1] in ENDS and p[:-1].isalpha()]
-            plain.update([w for _, w in ended])
-            self._joined(self.words, list(plain), lead, True, out)
-            out.update([(p, out[w] + self.ends[p[-1]]) for p, w in ended])
-            rest.difference_update([p for p, _ in ended])
-            pieces = rest
-        broken = [p for p in pieces if _SPACE.search(p)]
-        out.update(zip(broken, self._each([lead + p for p in broken])))
-        self._joined(self.tokenizer, list(pieces.difference(broken)), lead, False, out)
-
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Ids of each text, as bytes."""
-        rows, heads, new = [], [], set()
-        for text in texts:
+            return self._each([lead + p for p in pieces])
+        groups: list[list[int]] = [[], [], []]  # words, broken pieces, others
+        for i, p in enumerate(pieces):
+            groups[0 if self.words is not None and p.isalpha() else 1 if not p or _SPACE.search(p) else 2].append(i)
+        parts = [[pieces[i] for i in group] for group in groups]
+        done = [
+            self._joined(parts[0], lead, True),
+            self._each([lead + p if p else "" for p in parts[1]]),
+            self._joined(parts[2], lead, False),
+        ]
+        sizes = np.zeros(len(pieces), np.int64)
+        order = np.concatenate([np.array(group, np.int64) for group in groups])
+        sizes[order] = given = np.concatenate([d[1] for d in done])
+        flat = np.concatenate([d[0] for d in done])
+        starts = np.zeros(len(pieces), np.int64)
+        starts[order] = np.cumsum(given) - given
+        return flat[_spread(starts, sizes)], sizes
+
+    def _distinct(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the distinct pieces of a batch and how many each has.
+
+        A piece has a space before it, but for those that begin with a mark or a line break. Words with and without a
+        sign at their end share their ids.
+        """
+        with_space: dict[str, int] = {}
+        without: dict[str, int] = {}
+        n = len(pieces)
+        stem, bare = np.zeros(n, np.int64), np.zeros(n, bool)
+        line, end = np.zeros(n, bool), np.zeros(n, np.int64)
+        for i, p in enumerate(pieces):
+            names = with_space
+            if p[:1] == _MARK or p[:1] == "\n" and len(p) > 1:
+                names, bare[i], line[i], p = without, True, p[0] == "\n", p[1:]
+            elif p == "\n":
+                names, bare[i] = without, True
+            if p[-1:] in self.ends and p[:-1].isalpha():
+                end[i], p = self.ends[p[-1]] + 1, p[:-1]
+            stem[i] = names.setdefault(p, len(names))
+        one, two = self._pieces(list(with_space), " "), self._pieces(list(without), "")
+        flat, sizes = (np.concatenate([a, b]) for a, b in zip(one, two))
+        starts = np.cumsum(sizes) - sizes
+        stem[bare] += len(with_space)
+        inner = sizes[stem]
+        whole = inner + line + (end > 0)
+        at = np.cumsum(whole) - whole
+        out = np.empty(int(whole.sum()), np.uint32)
+        if line.any():
+            out[at[line]] = self.line
+        out[_spread(at + line, inner)] = flat[_spread(starts[stem], inner)]
+        closed = end > 0
+        out[(at + whole - 1)[closed]] = end[closed] - 1
+        return out, whole
+
+    def _batch(self, texts: Sequence[str | None]) -> list[bytes]:
+        joined, direct = [], {}
+        for i, text in enumerate(texts):
             if not text:
-                pieces = [""]
+                text = ""
+            elif _MARK in text or _CUT in text:
+                direct[i] = text
+                text = ""
             elif _UNSAFE.search(text):
-                pieces = _SAFE.split(text)
+                text = _CUT.join(_SAFE.split(text))
             elif self.line is None or _MORE_LINES.search(text):
-                pieces = text.split(" ")
+                text = text.replace(" ", _CUT)
             else:  # a line break stays with the word after it
-                pieces = text.replace("\n", " \n").split(" ")
-            heads.append(pieces[0])
-            pieces[0] = ""  # the first piece has no space before it
-            new.update(pieces)
-            rows.append(pieces)
-        new.discard("")
-        table = self.known
-        new -= table.keys()
-        if len(table) + len(new) > self.cached:
-            self.known = table = {}
-            new = {p for pieces in rows for p in pieces if p}
-        lines = {p for p in new if p[0] == "\n" and len(p) > 1}
-        self._pieces(new - lines, " ", table)
-        if lines:
-            line, after = np.array([self.line], "<u4").tobytes(), {}
-            self._pieces({p[1:] for p in lines}, "", after)
-            table.update([(p, line + after[p[1:]]) for p in lines])
-        if "\n" in new:
-            table["\n"] = self._each(["\n"])[0]
-        table[""] = b""
-        first = {"": b""}
-        self._pieces({h for h in heads if h}, "", first)
-        out = [first[head] + b"".join(map(table.__getitem__, pieces)) for head, pieces in zip(heads, rows)]
-        for p in [p for p in new if len(p) > LONGEST_CACHED]:
-            del table[p]
+                text = text.replace("\n", " \n").replace(" ", _CUT)
+            joined.append(_MARK + text)  # the first piece has no space before it
+        lists = pc.split_pattern(pa.array(joined, pa.large_string()), _CUT)
+        coded = lists.flatten().dictionary_encode()
+        ids, sizes = self._distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        index = coded.indices.to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        lengths = sizes[index]
+        data = ids[_spread(starts[index], lengths)].astype("<u4", copy=False).tobytes()
+        edges = (np.concatenate([[0], np.cumsum(lengths)])[lists.offsets.to_numpy()] * 4).tolist()
+        out = [data[a:b] for a, b in zip(edges[:-1], edges[1:])]
+        for i, own in zip(direct, self._ids(list(direct.values()))):
+            out[i] = np.array(own, "<u4").tobytes()
         return out
 
+    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Ids of each text, as bytes."""
+        out: list[bytes] = []
+        first, size = 0, 0
+        for i, text in enumerate(texts):
+            size += len(text or "")
+            if size > BATCH_BYTES or i == len(texts) - 1:
+                out += self._batch(texts[first : i + 1])
+                first, size = i + 1, 0
+        return out
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of runs of the given sizes, one run after the other."""
+    before = np.cumsum(sizes) - sizes
+    total = int(sizes.sum())
+    kind = np.int32 if total < 1 << 31 else np.int64
+    out = np.repeat((starts - before).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

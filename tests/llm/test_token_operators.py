@@ -16,7 +16,7 @@ from tableaudit.llm.common import scratch
 from tableaudit.llm.tokens import Encoder, default_path
 
 PATH = default_path()
-ENCODER = Encoder(PATH, cached=200)
+ENCODER = Encoder(PATH)
 
 TEXTS = [
     None,
