@@ -86,7 +86,7 @@ class Audit:
 
     @cached_property
     def leakage(self) -> DataFrame | None:
-        return leakage(self.df, self.target) if self.target else None
+        return leakage(self.df, self.target, order_col=self.order_col) if self.target else None
 
     def tables(self) -> dict[str, DataFrame]:
         """Every evidence table by name."""

@@ -193,7 +193,8 @@ QUERIES = {
     ),
     "line_interactions": (
         line_interactions,
-        f"WITH s AS ({_INTERACTING}), m AS (SELECT avg(l_quantity) AS a, avg(l_extendedprice) AS b, avg(unit_price) AS c FROM s) "
+        f"WITH s AS ({_INTERACTING}), m AS (SELECT CAST(printf('%.12g', avg(l_quantity)) AS DOUBLE) AS a, CAST(printf('%.12g', avg(l_extendedprice)) AS DOUBLE) AS b, "
+        "CAST(printf('%.12g', avg(unit_price)) AS DOUBLE) AS c FROM s) "
         f"SELECT {steady_sql('l_quantity', 2)} AS l_quantity, {steady_sql('l_extendedprice', 2)} AS l_extendedprice, "
         f"{steady_sql('((l_quantity - a) * (unit_price - c))', 2)} AS l_quantity_x_unit_price, "
         f"{steady_sql('((l_extendedprice - b) * (unit_price - c))', 2)} AS l_extendedprice_x_unit_price FROM s, m",

@@ -162,7 +162,7 @@ def order_categories(spark, sf_dir):
 
 
 def document_categories(spark, sf_dir):
-    """Whole texts are counted; long values are shown by their first 256 characters."""
+    """Whole texts are counted and shown; ties go by the first 256 characters and a digest."""
     return categorical_profile(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
 
@@ -170,10 +170,10 @@ def _categories_sql(source: str, columns: dict[str, str], top: int = 5) -> str:
     parts = []
     for i, (c, e) in enumerate(columns.items()):
         key = f"CASE WHEN length({e}) <= 256 THEN {e} ELSE substr({e}, 1, 256) || chr(0) || sha256({e}) END"
-        counts = f"SELECT {key} AS k, count(*) AS n FROM {source} WHERE {e} IS NOT NULL GROUP BY ALL"
+        counts = f"SELECT {key} AS k, min({e}) AS whole, count(*) AS n FROM {source} WHERE {e} IS NOT NULL GROUP BY 1"
         parts.append(
             f"(SELECT {i} AS position, '{c}' AS \"column\", t.nunique, round(t.nunique * 1.0 / t.total, 4) AS unique_ratio, "
-            f"CAST(row_number() OVER (ORDER BY n DESC, k) AS INTEGER) AS place, split_part(k, chr(0), 1) AS value, n, round(n * 100.0 / t.total, 2) AS pct "
+            f"CAST(row_number() OVER (ORDER BY n DESC, k) AS INTEGER) AS place, whole AS value, n, round(n * 100.0 / t.total, 2) AS pct "
             f"FROM ({counts}) c, (SELECT count(*) AS nunique, CAST(sum(n) AS BIGINT) AS total FROM ({counts})) t QUALIFY place <= {top})"
         )
     return union_all(parts)

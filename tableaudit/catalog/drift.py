@@ -13,6 +13,7 @@ from ..operators.charts import (
     top_pair,
     top_pair_scatter,
     trend,
+    trend_means,
 )
 from ..operators.drift import drift_ks, rolling_mean_last, temporal_report
 from .common import GAPPY_LINEITEM, gappy_lineitem, table, union_all
@@ -84,6 +85,12 @@ def heatmap(spark, sf_dir):
     return corr_heatmap(gappy_lineitem(spark, sf_dir)).select("x", "y", F.round("r", 6).alias("r"))
 
 
+def order_trend(spark, sf_dir):
+    """The mean price of all orders by month."""
+    means = trend_means(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "month")
+    return means.select(F.date_format("ts", "yyyy-MM").alias("month"), "n", F.round("mean", 4).alias("mean"))
+
+
 def _heatmap_sql() -> str:
     return union_all(
         [
@@ -195,6 +202,10 @@ QUERIES = {
         f"SELECT 'value' AS x_name, 'root' AS y_name, value AS x, round(sqrt(value), 6) AS y FROM events ORDER BY {_EVENT_ORDER} LIMIT 1000",
     ),
     "event_trend": (event_trend, f"SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, value FROM events ORDER BY {_EVENT_ORDER} LIMIT 1000"),
+    "order_trend": (
+        order_trend,
+        "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1",
+    ),
     "priority_frequency": (
         priority_frequency,
         "SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1",

@@ -385,25 +385,25 @@ def _contingency_sql(source: str, columns: list[str]) -> str:
 
 
 def _line_associations_sql() -> str:
-    """The first five group tests, then the one pair of flags, adjusted together."""
-    tests = _ranked_p(union_all(_ALL_TESTS[:5]))
+    """All group tests, then the one pair of flags, adjusted together."""
+    tests = _ranked_p(union_all(_ALL_TESTS))
     flags = _raw_contingency(GAPPY_LINEITEM, ["l_returnflag", "l_linestatus"])
     both = (
-        f"SELECT position, '{K.MANN_WHITNEY}' AS test_name, {_VARIABLES} AS variables, raw_p, d AS effect, "
+        f"SELECT position, '{K.MANN_WHITNEY}' AS test_name, {_VARIABLES} AS variables, round(u, 4) AS statistic, raw_p, d AS effect, "
         f"'Cohen''s d' AS effect_size_type, n_eff FROM ({tests}) UNION ALL "
-        f"SELECT 5, CASE WHEN ok THEN '{K.CHI_SQUARE}' ELSE '{K.CHI_SQUARE_WARNING}' END, "
-        "'Categorical: ''' || col1 || ''' & ''' || col2 || '''', raw_p, "
+        f"SELECT {len(_ALL_TESTS)}, CASE WHEN ok THEN '{K.CHI_SQUARE}' ELSE '{K.CHI_SQUARE_WARNING}' END, "
+        "'Categorical: ''' || col1 || ''' & ''' || col2 || '''', round(CASE WHEN exact THEN odds ELSE chi2 END, 4), raw_p, "
         f"sqrt(chi2 / n / (least(r, k) - 1)), 'Cramer''s V', CAST(n AS BIGINT) FROM ({flags})"
     )
     return (
-        "SELECT position, test_name, variables, round(raw_p, 4) AS raw_p_value, round(effect, 4) AS effect_size, "
+        "SELECT position, test_name, variables, statistic, round(raw_p, 4) AS raw_p_value, round(effect, 4) AS effect_size, "
         f"effect_size_type, n_eff, p_adj, p_adj < 0.05 AS is_significant FROM ({adjusted_sql(both)})"
     )
 
 
 def line_associations(spark, sf_dir):
     """Group tests and contingency tests of the same table as one adjusted family."""
-    return association_tests(gappy_lineitem(spark, sf_dir)).drop("statistic")
+    return association_tests(gappy_lineitem(spark, sf_dir))
 
 
 # --- false-discovery control and ranking ---------------------------------------------------------------------------
@@ -462,7 +462,7 @@ QUERIES = {
     "vif": (vif, _vif_sql()),
     "sign_reversals": (
         sign_reversals,
-        _simpson_sql(_REVERSING, ["level", "rate", "l_tax"], ["l_linestatus", "l_returnflag"], 3, 0.2, 0.15),
+        _simpson_sql(_REVERSING, ["level", "rate", "l_tax"], ["l_linestatus", "l_returnflag"], None, 0.2, 0.15),
     ),
     "weak_reversals": (
         weak_reversals,

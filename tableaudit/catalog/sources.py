@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators.relations import category_values
@@ -50,7 +52,16 @@ def csv_round_trip(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     root = spark.sparkContext.getCheckpointDir()
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    return read_table(spark, write_run(customers, root, "round-trip", "customer.csv", "csv"))
+    return read_table(spark, write_run(customers, root, f"round-trip-{uuid.uuid4().hex}", "customer.csv", "csv"))
+
+
+def json_round_trip(spark, sf_dir):
+    """A table written as JSON lines and read back by its extension: the same values and types."""
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext.getCheckpointDir()
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    path = write_run(customers, root, f"round-trip-{uuid.uuid4().hex}", "customer.jsonl", "json")
+    return read_table(spark, path).select(*customers.columns)
 
 
 def flat_events(spark, sf_dir):
@@ -68,9 +79,7 @@ def sampled_orders(spark, sf_dir):
 
 
 def lineitem_schema(spark, sf_dir):
-    return schema_evidence(table(spark, sf_dir, "lineitem"), "l_linestatus").select(
-        "position", "column", "is_numeric", "is_target", "total_rows", "total_cols"
-    )
+    return schema_evidence(table(spark, sf_dir, "lineitem"), "l_linestatus")
 
 
 _LINEITEM = [
@@ -80,6 +89,12 @@ _LINEITEM = [
 ]
 
 
+_DTYPE = (
+    "CASE typeof({c}) WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' "
+    "ELSE lower(typeof({c})) END"
+)
+
+
 def targets(spark, sf_dir):
     """The detected target column of three tables."""
     found = [
@@ -121,6 +136,7 @@ QUERIES = {
         "c_acctbal > 0 AS in_credit FROM customer",
     ),
     "csv_round_trip": (csv_round_trip, "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer"),
+    "json_round_trip": (json_round_trip, "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer"),
     "flat_events": (
         flat_events,
         'SELECT event_id, event_type AS "body.kind", CAST(json_extract(props, \'$.k\') AS BIGINT) AS "body.props.k" '
@@ -135,8 +151,8 @@ QUERIES = {
         lineitem_schema,
         union_all(
             [
-                f"SELECT {i} AS position, '{c}' AS \"column\", {str(num).lower()} AS is_numeric, "
-                f"{str(c == 'l_linestatus').lower()} AS is_target, count(*) AS total_rows, 11 AS total_cols FROM lineitem"
+                f"SELECT {i} AS position, '{c}' AS \"column\", {_DTYPE.format(c=c)} AS dtype, {str(num).lower()} AS is_numeric, "
+                f"{str(c == 'l_linestatus').lower()} AS is_target, count(*) AS total_rows, 11 AS total_cols FROM lineitem GROUP BY typeof({c})"
                 for i, (c, num) in enumerate(_LINEITEM)
             ]
         ),

@@ -36,6 +36,27 @@ def _leakage_sql(source: str, columns: list[str], target: str, limit: float) ->
     )
 
 
+def ordered_leakage(spark, sf_dir):
+    """Priorities numbered by the first order that has them: how each number of an order goes with them."""
+    orders = table(spark, sf_dir, "orders").withColumn("level", F.ascii("o_orderpriority").cast("double"))
+    return leakage(orders.select("o_orderkey", "o_totalprice", "level", "o_orderpriority"), "o_orderpriority", -1.0, "o_orderkey").select(
+        "position", "column", F.round("correlation", 3).alias("correlation")
+    )
+
+
+def _ordered_leakage_sql() -> str:
+    source = (
+        "SELECT o.*, ascii(o_orderpriority) AS level, code FROM orders o JOIN (SELECT o_orderpriority AS p, "
+        "row_number() OVER (ORDER BY min(o_orderkey), o_orderpriority) - 1 AS code FROM orders GROUP BY 1) ON o_orderpriority = p"
+    )
+    return union_all(
+        [
+            f"SELECT {i} AS position, '{c}' AS \"column\", round(abs(corr({c}, code)), 3) AS correlation FROM ({source})"
+            for i, c in enumerate(("o_orderkey", "o_totalprice", "level"))
+        ]
+    )
+
+
 def _hash(seed: int, *texts: str) -> str:
     text = " || chr(31) || ".join([f"'{seed}'", *texts])
     return f"CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT)"
@@ -122,6 +143,7 @@ QUERIES = {
         status_leakage,
         _leakage_sql(_REVERSING, ["level", "rate", "l_tax"], "CAST(l_linestatus = 'O' AS INTEGER)", 0.9),
     ),
+    "ordered_leakage": (ordered_leakage, _ordered_leakage_sql()),
     "order_split": (order_split, _ORDER_SPLIT),
     "flag_split": (flag_split, _FLAG_SPLIT),
     "prepared_parts": (prepared_parts, _PREPARED),

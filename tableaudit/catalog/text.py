@@ -120,7 +120,7 @@ def relationship_claims(spark, sf_dir):
 
 
 def _relationship_sql() -> str:
-    reversals = _simpson_sql(_REVERSING, ["level", "rate", "l_tax"], ["l_linestatus", "l_returnflag"], 3, 0.2, 0.15)
+    reversals = _simpson_sql(_REVERSING, ["level", "rate", "l_tax"], ["l_linestatus", "l_returnflag"], None, 0.2, 0.15)
     return _numbered_sql(
         [
             (10, "relationship", "finding", "'Simpson''s Paradox detected between ''' || feature_x || ''' and ''' || feature_y || ''': overall correlation (r=' || overall_corr || ') reverses direction when conditioned on subgroup ''' || group_var || '''.'",

@@ -98,7 +98,11 @@ def stripped(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
-def key_of(col: Column, longest: int = 256) -> Column:
+#: Longer text travels as its first characters and a digest.
+KEY_LENGTH = 256
+
+
+def key_of(col: Column, longest: int = KEY_LENGTH) -> Column:
     """Text as a grouping key of bounded width.
 
     Short text is its own key. Longer text keeps its first characters and adds the SHA-256 digest of the

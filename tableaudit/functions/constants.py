@@ -31,8 +31,6 @@ IP_PATTERN = r"(?U)^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
 CARD_NAMES = ["card", "cc", "credit"]
 EMAIL_NAMES = ["email"]
 PHONE_NAMES = ["phone", "mobile", "tel"]
-SSN_NAMES = ["ssn", "tax_id", "social"]
-IP_NAMES = ["ip"]
 PERSON_NAMES = ["first_name", "last_name", "full_name", "customer_name", "user_name"]
 BLANK_TOKENS = ["", "nan", "none", "null"]
 

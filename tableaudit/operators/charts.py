@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, other_columns, quoted, value_of
 from ..plans.aggregates import per_column, small_table
-from ..plans.freq import value_counts
+from ..plans.freq import value_counts, whole_texts
 from ..plans.quantiles import exact_quantiles
 from ..sources.sampling import sample_rows
 from .distribution import numeric_values
@@ -49,8 +49,8 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def box_stats(df: DataFrame, columns: Sequence[str] | None = None, fence: float = 1.5) -> DataFrame:
-    """Quartiles, whiskers inside the fences and points outside, for the first four numeric columns."""
-    names = list(columns) if columns is not None else numeric_columns(df, flags=False)[:4]
+    """Quartiles, whiskers inside the fences and points outside, for every numeric column."""
+    names = list(columns) if columns is not None else numeric_columns(df, flags=False)
     values = numeric_values(df, names)
     quarts = exact_quantiles(df, values, [0.25, 0.5, 0.75])
     stats = {}
@@ -114,11 +114,16 @@ def trend(
     )
 
 
+def trend_means(df: DataFrame, ts: str, value: str, unit: str = "day") -> DataFrame:
+    """``(ts, n, mean)`` of all rows by calendar unit, in time order; rows without a time come last."""
+    rows = df.select(F.date_trunc(unit, parsed_time(df, ts)).alias("ts"), value_of(df, value).alias("value"))
+    means = rows.groupBy("ts").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    return means.orderBy(F.col("ts").asc_nulls_last())
+
+
 def frequency(df: DataFrame, column: str) -> DataFrame:
     """``(value, n)`` of one column, most frequent first."""
-    return value_counts(df, [column]).select(
-        F.substring_index("value", "\u0000", 1).alias("value"), "n"
-    ).orderBy(F.desc("n"), "value")
+    return whole_texts(df, value_counts(df, [column])).select("value", "n").orderBy(F.desc("n"), "value")
 
 
 def missing_matrix(df: DataFrame) -> DataFrame:
@@ -146,6 +151,7 @@ def chart_tables(df: DataFrame, target: str | None = None) -> dict[str, DataFram
     dates = detect_datetime(df)
     if dates and numeric:
         out["trend"] = trend(df, dates[0], numeric[0])
+        out["trend_means"] = trend_means(df, dates[0], numeric[0])
     elif other:
         out["frequency"] = frequency(df, other[0])
     return out

@@ -272,25 +272,25 @@ def redundancy_claims(redundant: DataFrame) -> DataFrame:
     )
 
 
-def balance_claims(distribution: DataFrame, balance: DataFrame, most: int = 1000) -> DataFrame:
+def balance_claims(distribution: DataFrame, balance: DataFrame, most: int | None = None) -> DataFrame:
     """One claim with the class counts, largest class first; none for fewer than two classes.
 
-    A sentence lists up to ``most`` classes and otherwise states their number; ``distribution`` stays whole.
+    The sentence lists every class. With ``most``, one with more classes states their number instead.
     """
     item = F.transform(
         "items", lambda x: F.concat(F.lit("'"), x["class"], F.lit("': "), (-x["size"]).cast("string"))
     )
     listed = (
-        distribution.orderBy(F.desc("n"), "class")
-        .limit(most)
+        (distribution if most is None else distribution.orderBy(F.desc("n"), "class").limit(most))
         .agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("size"), "class"))).alias("items"))
         .select(F.concat(F.lit("{"), F.concat_ws(", ", item), F.lit("}")).alias("listed"))
     )
     both = balance.unionByName(listed, allowMissingColumns=True)
     both = both.agg(*[F.max(c).alias(c) for c in both.columns]).where(F.col("imbalance_ratio").isNotNull())
-    classes = F.when(F.col("classes") <= most, F.col("listed")).otherwise(
-        F.concat(F.col("classes").cast("string"), F.lit(" classes"))
-    )
+    classes = F.col("listed")
+    if most is not None:
+        number = F.concat(F.col("classes").cast("string"), F.lit(" classes"))
+        classes = F.when(F.col("classes") <= most, classes).otherwise(number)
     return _claims(
         both,
         14,

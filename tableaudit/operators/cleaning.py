@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import is_numeric, nan_to_null, numeric_columns, quoted, value_of
+from ..functions.columns import is_numeric, nan_to_null, numeric_columns, quoted, row_digest, value_of
 from ..functions.constants import MISSING_FLAG_SUFFIX
 from ..plans.aggregates import small_table
 from ..plans.pairs import all_pairs, pair_moments
@@ -18,13 +19,49 @@ from .imputing import apply_fill, fit_fill
 from .quality import missing_values, row_counts
 
 
-@dataclass
 class Cleaned:
-    data: DataFrame
-    imputed: DataFrame  # before duplicate rows are dropped
-    report: DataFrame  # one row per column
-    mechanism: str
-    notes: str
+    """A cleaned table. What only describes it is computed when it is asked for.
+
+    ``imputed`` is the table before duplicate rows are dropped, ``data`` after.
+    """
+
+    def __init__(self, imputed: DataFrame, filled: DataFrame, flags: Sequence[str], plan: Sequence[tuple], outliers: dict | None):
+        self.imputed = imputed
+        self._filled, self._flags, self._plan, self._outliers = filled, list(flags), list(plan), outliers
+
+    @cached_property
+    def data(self) -> DataFrame:
+        if not any(isinstance(f.dataType, T.MapType) for f in self.imputed.schema.fields):
+            return self.imputed.dropDuplicates()
+        # maps have no equality of their own
+        keyed = self.imputed.withColumn("__row", row_digest(self.imputed))
+        return keyed.dropDuplicates(["__row"]).drop("__row")
+
+    @cached_property
+    def report(self) -> DataFrame:
+        """One row per column."""
+        found = self._outliers
+        if found is None:
+            found = _outlier_counts(self._filled, _audited(self._filled))
+        rows = [(i, c, gaps, action, text, found.get(c), capped) for i, (c, gaps, action, text, capped) in enumerate(self._plan)]
+        return small_table(
+            self._filled.sparkSession,
+            rows,
+            "position int, column string, null_count bigint, action string, fill_value string, outliers bigint, "
+            "winsorized boolean",
+        )
+
+    @cached_property
+    def _mechanism(self) -> tuple[str, str]:
+        return missing_mechanism(self._filled, self._flags)
+
+    @property
+    def mechanism(self) -> str:
+        return self._mechanism[0]
+
+    @property
+    def notes(self) -> str:
+        return self._mechanism[1]
 
     def duplicates_removed(self) -> DataFrame:
         """One row with the number of dropped rows."""
@@ -32,6 +69,10 @@ class Cleaned:
         return copies
 
 
+def _audited(df: DataFrame) -> list[str]:
+    return [c for c in numeric_columns(df) if not c.endswith(MISSING_FLAG_SUFFIX)]
+
+
 def missing_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add ``<column>_was_missing`` with 0 or 1."""
     flags = {
@@ -93,14 +134,13 @@ def clean(
     fill = fit_fill(df, [c for c in flagged if c in numeric], [c for c in flagged if c not in numeric])
     imputed = apply_fill(missing_flags(df, flagged), fill)
     flags = [c + MISSING_FLAG_SUFFIX for c in flagged]
-    mechanism, note = missing_mechanism(imputed, flags)
-    audited = [c for c in numeric if not c.endswith(MISSING_FLAG_SUFFIX)]
-    found = _outlier_counts(imputed, audited)
-    capped = [c for c in audited if cap_outliers and c != target and found.get(c, 0) > 0]
-    if capped:
-        imputed = winsorize(imputed, capped)
-    rows = []
-    for i, c in enumerate(df.columns):
+    found, capped, filled = None, [], imputed
+    if cap_outliers:
+        found = _outlier_counts(imputed, _audited(imputed))
+        capped = [c for c in _audited(imputed) if c != target and found.get(c, 0) > 0]
+        imputed = winsorize(imputed, capped) if capped else imputed
+    plan = []
+    for c in df.columns:
         if c == target:
             action = "target"
         elif c in high:
@@ -110,14 +150,8 @@ def clean(
         else:
             action = "none"
         text = None if c not in fill else (f"{fill[c]:.2f}" if c in numeric else str(fill[c]))
-        rows.append((i, c, gaps[c]["null_count"], action, text, found.get(c), c in capped))
-    report = small_table(
-        df.sparkSession,
-        rows,
-        "position int, column string, null_count bigint, action string, fill_value string, outliers bigint, "
-        "winsorized boolean",
-    )
-    return Cleaned(imputed.dropDuplicates(), imputed, report, mechanism, note)
+        plan.append((c, gaps[c]["null_count"], action, text, c in capped))
+    return Cleaned(imputed, filled, flags, plan, found)
 
 
 def _outlier_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:

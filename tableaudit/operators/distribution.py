@@ -15,7 +15,7 @@ from ..functions.columns import numeric_columns, other_columns, value_of
 from ..functions.moments import omnibus, sample_kurtosis, sample_skewness
 from ..functions.shapiro import shapiro_wilk
 from ..plans.aggregates import per_column, small_table
-from ..plans.freq import long_form, value_counts
+from ..plans.freq import long_form, value_counts, whole_texts
 from ..plans.quantiles import exact_quantiles
 
 if TYPE_CHECKING:
@@ -300,7 +300,7 @@ def categorical_profile(df: DataFrame, top: int = 5, columns: Sequence[str] | No
     counts = value_counts(df, names)
     totals = counts.groupBy("column").agg(F.count(F.lit(1)).alias("nunique"), F.sum("n").alias("total"))
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    best = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    best = whole_texts(df, counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top))
     every = small_table(df.sparkSession, [(i, c) for i, c in enumerate(names)], "position int, column string")
     return (
         every.join(totals, "column", "left")
@@ -311,7 +311,7 @@ def categorical_profile(df: DataFrame, top: int = 5, columns: Sequence[str] | No
             F.coalesce("nunique", F.lit(0)).alias("nunique"),
             F.coalesce(F.round(F.col("nunique") / F.col("total"), 4), F.lit(0.0)).alias("unique_ratio"),
             "place",
-            F.substring_index("value", "\u0000", 1).alias("value"),
+            "value",
             "n",
             F.round(F.col("n") * 100.0 / F.col("total"), 2).alias("pct"),
         )

@@ -66,28 +66,25 @@ def date_parts(df: DataFrame, columns: Sequence[str] | None = None, keep: bool =
 
 
 def interaction_pairs(
-    df: DataFrame, columns: Sequence[str], lo: float = 0.2, hi: float = 0.85, top: int = 5
+    df: DataFrame, columns: Sequence[str], lo: float = 0.2, hi: float = 0.85, top: int | None = None
 ) -> list[tuple[str, str, float]]:
-    """(a, b, |r|) of the most correlated pairs with ``lo < |r| < hi``, strongest first."""
+    """(a, b, |r|) of the pairs with ``lo < |r| < hi``, strongest first; ``top`` keeps the first ones."""
     values = numeric_values(df, columns)
     if len(values) < 2:
         return []
     size = F.abs("r")
-    best = (
-        pair_moments(df, values)
-        .where((size > lo) & (size < hi))
-        .orderBy(F.desc(size), "pair")
-        .limit(top)
-        .select("col1", "col2", size.alias("size"))
-        .collect()
-    )
-    return [tuple(r) for r in best]
+    best = pair_moments(df, values).where((size > lo) & (size < hi)).orderBy(F.desc(size), "pair")
+    best = best if top is None else best.limit(top)
+    return [tuple(r) for r in best.select("col1", "col2", size.alias("size")).collect()]
 
 
 def interactions(
-    df: DataFrame, columns: Sequence[str] | None = None, lo: float = 0.2, hi: float = 0.85, top: int = 5
+    df: DataFrame, columns: Sequence[str] | None = None, lo: float = 0.2, hi: float = 0.85, top: int | None = None
 ) -> DataFrame:
-    """Add ``a_x_b`` = (a - mean a) * (b - mean b) for moderately correlated pairs."""
+    """Add ``a_x_b`` = (a - mean a) * (b - mean b) for moderately correlated pairs.
+
+    Means are rounded to 12 significant digits: the order in which tasks add up does not show.
+    """
     names = list(columns) if columns is not None else numeric_columns(df, flags=False)
     pairs = interaction_pairs(df, names, lo, hi, top)
     return _add_interactions(df, pairs)
@@ -99,7 +96,7 @@ def _add_interactions(df: DataFrame, pairs: Sequence[tuple[str, str, float]]) ->
     used = list(dict.fromkeys(c for a, b, _ in pairs for c in (a, b)))
     values = numeric_values(df, used)
     means = df.agg(*[F.avg(values[c]).alias(f"m{i}") for i, c in enumerate(used)]).first()
-    centred = {c: values[c] - F.lit(means[i]) for i, c in enumerate(used)}
+    centred = {c: values[c] - F.lit(float(f"{means[i]:.12g}")) for i, c in enumerate(used)}
     return df.withColumns({f"{a}_x_{b}": centred[a] * centred[b] for a, b, _ in pairs})
 
 
@@ -163,9 +160,9 @@ def squared_skewed(df: DataFrame, columns: Sequence[str] | None = None, skew: fl
 
 
 def raw_interactions(
-    df: DataFrame, columns: Sequence[str] | None = None, lo: float = 0.3, top: int = 10
+    df: DataFrame, columns: Sequence[str] | None = None, lo: float = 0.3, top: int | None = None
 ) -> DataFrame:
-    """Add plain products of the ``top`` pairs with ``|r| > lo``."""
+    """Add plain products of the pairs with ``|r| > lo``, strongest first."""
     names = list(columns) if columns is not None else numeric_columns(df, flags=False)
     values = numeric_values(df, names)
     pairs = interaction_pairs(df, names, lo, float("inf"), top)

@@ -22,7 +22,7 @@ from ..functions.columns import (
 )
 from ..functions.constants import SENTINELS
 from ..plans.aggregates import per_column, small_table
-from ..plans.freq import bucket_counts, most_frequent, value_counts
+from ..plans.freq import bucket_counts, most_frequent, value_counts, whole_texts
 
 _FIXED = (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _SIMPLE = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -106,11 +106,11 @@ def column_quality(df: DataFrame, quasi_share: float = 95.0) -> DataFrame:
             .where((share >= quasi_share) & (F.col("nunique") > 1))
             .select(
                 F.col("column"),
-                F.substring_index("top_value", "\u0000", 1).alias("top_value"),
+                F.col("top_value"),
                 F.round(share, 2).alias("top_pct"),
             )
         )
-        table = table.join(top, "column", "left")
+        table = table.join(whole_texts(df, top, "top_value"), "column", "left")
     else:
         table = table.withColumns({"top_value": F.lit(None).cast("string"), "top_pct": F.lit(None).cast("double")})
     table = table.withColumn("is_quasi_constant", F.col("top_pct").isNotNull())
@@ -215,12 +215,9 @@ def category_variants(df: DataFrame, names: Sequence[str] | None = None) -> Data
     if not names:
         return small_table(df.sparkSession, [], "column string, normalised string, variant string, n bigint")
     forms = _normal_keys(df, names).groupBy("column", "norm", "form").agg(F.count(F.lit(1)).alias("n"))
-    return forms.join(variant_groups(df, names), ["column", "norm"], "left_semi").select(
-        "column",
-        F.substring_index("norm", "\u0000", 1).alias("normalised"),
-        F.substring_index("form", "\u0000", 1).alias("variant"),
-        "n",
-    )
+    found = forms.join(variant_groups(df, names), ["column", "norm"], "left_semi")
+    found = whole_texts(df, whole_texts(df, found, "form"), "norm", form=lambda text: F.lower(stripped(text)))
+    return found.select("column", F.col("norm").alias("normalised"), F.col("form").alias("variant"), "n")
 
 
 def table_quality(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.columns import numeric_columns, other_columns, plain_number, quoted, text_of
 from ..functions.severity import correlation_strength
-from ..functions.tails import chi_square_p, f_p, fisher_p, normal_p, student_p
+from ..functions.tails import chi_square_p, exact_u_p, f_p, fisher_p, normal_p, student_p
 from ..plans.aggregates import small_table
 from ..plans.freq import few_valued, value_counts
 from ..plans.joins import lookup_join
@@ -230,7 +230,7 @@ def simpsons(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     groups: Sequence[str] | None = None,
-    limit: int | None = 3,
+    limit: int | None = None,
     min_n: int = 15,
     min_r: float = 0.20,
     min_group: int = 6,
@@ -239,7 +239,7 @@ def simpsons(
 ) -> DataFrame:
     """Pairs whose correlation changes sign inside subgroups: one row per reversing subgroup.
 
-    Only pairs that pass the overall rule are computed per subgroup.
+    Only pairs that pass the overall rule are computed per subgroup. ``limit`` keeps the first findings.
     """
     values = numeric_values(df, columns)
     schema = (
@@ -324,24 +324,11 @@ def _mann_whitney(
     return out
 
 
-def _exact_u_p(u: float, n1: int, n2: int) -> float:
-    """Two-sided p value of U without ties, by counting arrangements (used when a group has at most 8 values)."""
-    ways = [1] + [0] * (n1 * n2)
-    for i in range(1, n1 + 1):
-        # Gaussian binomial coefficient: times (1 - q^(n2+i)), divided by (1 - q^i)
-        for k in range(n1 * n2, n2 + i - 1, -1):
-            ways[k] -= ways[k - n2 - i]
-        for k in range(i, n1 * n2 + 1):
-            ways[k] += ways[k - i]
-    top = int(max(u, n1 * n2 - u))
-    return min(1.0, 2.0 * sum(ways[top:]) / sum(ways))
-
-
 def group_tests(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     groups: Sequence[str] | None = None,
-    limit: int | None = 5,
+    limit: int | None = None,
     min_n: int = 8,
     order_col: str | None = None,
     rows_per_bucket: int = 2_000_000,
@@ -437,7 +424,7 @@ def _run_group_tests(df, kept, sides, names, stats, rows_per_bucket) -> list[tup
         if t in u:
             test, (stat, z, untied) = K.MANN_WHITNEY, u[t]
             if untied and min(n1, n2) <= 8:
-                exact = _exact_u_p(stat, n1, n2)
+                exact = exact_u_p(stat, n1, n2)
         else:
             test, stat, dof = student_or_welch(a, b, equal[t])
         rows.append((position, test, *names[t], stat, dof, z, exact, cohens_d(a, b), n1 + n2))
@@ -591,9 +578,12 @@ _CONTINGENCY = (
 def contingency_tests(
     df: DataFrame,
     columns: Sequence[str] | None = None,
-    limit: int | None = 8,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Association tests of low-cardinality column pairs: chi-square, or Fisher's exact test on a sparse 2x2."""
+    """Association tests of low-cardinality column pairs: chi-square, or Fisher's exact test on a sparse 2x2.
+
+    ``limit`` keeps the first tests of the family; None runs all of them.
+    """
     return _adjusted(_raw_contingency_tests(df, columns, limit))
 
 
@@ -640,11 +630,14 @@ def _raw_contingency_tests(df: DataFrame, columns: Sequence[str] | None, limit:
 def association_tests(
     df: DataFrame,
     columns: Sequence[str] | None = None,
-    group_limit: int | None = 5,
-    limit: int | None = 8,
+    group_limit: int | None = None,
+    limit: int | None = None,
     order_col: str | None = None,
 ) -> DataFrame:
-    """Two-group tests followed by contingency tests, adjusted together as one family of at most ``limit``."""
+    """Two-group tests followed by contingency tests, adjusted together as one family.
+
+    ``group_limit`` keeps the first group tests, ``limit`` the first tests of the family.
+   """
     numeric = [c for c in (columns or df.columns) if c in numeric_columns(df, flags=False)]
     other = [c for c in (columns or df.columns) if c in other_columns(df)]
     common = ["position", "test_name", "variables", "statistic", "raw_p_value", "effect_size", "effect_size_type", "n_eff"]

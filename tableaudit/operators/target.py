@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import severity
-from ..functions.columns import is_numeric, numeric_columns, other_columns, quoted, text_of, value_of
+from ..functions.columns import is_numeric, key_of, numeric_columns, other_columns, quoted, text_of, value_of
 from ..functions.constants import TARGET_NAMES
 from ..plans.aggregates import small_table
 from ..plans.codes import value_codes
@@ -81,13 +81,19 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
     )
 
 
-def target_codes(df: DataFrame, target: str, name: str = "target_code", small: int = 100_000) -> DataFrame:
-    """``df`` with the target as a number: itself if numeric, else 0, 1, ... by ascending value, missing -1."""
+def target_codes(
+    df: DataFrame, target: str, name: str = "target_code", small: int = 100_000, order_col: str | None = None
+) -> DataFrame:
+    """``df`` with the target as a number: itself if numeric, else 0, 1, ... by ascending value, missing -1.
+
+    With ``order_col`` the codes follow the first appearance of the values in that row order. Codes are joined by
+    bounded keys, so that few but long texts are not broadcast.
+    """
     if is_numeric(df.schema[target].dataType):
         return df.withColumn(name, value_of(df, target))
-    codes, broadcast = value_codes(df, text_of(df, target), small)
-    codes = codes.select(F.col("value").alias("__value"), "n", F.col("code").cast("double").alias(name))
-    rows = df.withColumn("__value", F.coalesce(text_of(df, target), F.lit("")))
+    codes, broadcast = value_codes(df, text_of(df, target), small, quoted(order_col) if order_col else None)
+    codes = codes.select(key_of(F.col("value")).alias("__value"), "n", F.col("code").cast("double").alias(name))
+    rows = df.withColumn("__value", F.coalesce(key_of(text_of(df, target)), F.lit("")))
     is_missing = text_of(df, target).isNull()
     if broadcast:
         joined = rows.join(F.broadcast(codes.drop("n")), "__value", "left")
@@ -96,13 +102,17 @@ def target_codes(df: DataFrame, target: str, name: str = "target_code", small: i
     return joined.withColumn(name, F.when(is_missing, -1.0).otherwise(F.col(name))).drop("__value")
 
 
-def leakage(df: DataFrame, target: str, limit: float = 0.95) -> DataFrame:
-    """``(position, column, correlation)`` for numeric columns that nearly repeat the target."""
+def leakage(df: DataFrame, target: str, limit: float = 0.95, order_col: str | None = None) -> DataFrame:
+    """``(position, column, correlation)`` for numeric columns that nearly repeat the target.
+
+    ``order_col`` gives the row order in which a text target's values are numbered.
+    """
     names = numeric_columns(df, exclude=[target])
     if not names:
         return small_table(df.sparkSession, [], "position int, column string, correlation double")
-    slim = df.select(*[quoted(c) for c in names], quoted(target))
-    coded = target_codes(slim, target, "__target")
+    order = [quoted(order_col).alias("__order")] if order_col else []
+    slim = df.select(*[quoted(c) for c in names], quoted(target), *order)
+    coded = target_codes(slim, target, "__target", order_col="__order" if order_col else None)
     values = {c: value_of(slim, c) for c in names} | {"__target": F.col("__target")}
     found = pair_moments(coded, values, [(c, "__target") for c in names])
     size = F.abs("r")

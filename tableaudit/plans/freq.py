@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import key_of, plain_number, quoted, text_of, value_of
+from ..functions.columns import KEY_LENGTH, key_of, plain_number, quoted, text_of, value_of
 
 
 def long_form(df: DataFrame, columns: Mapping[str, Column], name: str = "column") -> DataFrame:
@@ -44,6 +44,28 @@ def value_counts(df: DataFrame, columns: Sequence[str], whole: bool = False) ->
     return counts
 
 
+def whole_texts(
+    df: DataFrame, found: DataFrame, value: str = "value", column: str = "column", form: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """``found`` with the whole text in place of each bounded key in ``value``.
+
+    Only texts longer than a key are read, and one copy of each travels. ``form`` is what was done to the text before
+    the key was made.
+    """
+    kinds = (T.StringType, T.ArrayType, T.MapType, T.StructType)
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
+    if not names:
+        return found
+    texts = [form(text_of(df, c)) if form else text_of(df, c) for c in names]
+    rows = F.array(*[F.struct(F.lit(c).alias(column), t.alias("__whole")) for c, t in zip(names, texts)])
+    long = df.select(F.inline(rows)).where(F.length("__whole") > KEY_LENGTH)
+    keyed = long.select(column, key_of(F.col("__whole")).alias(value), "__whole")
+    wanted = found.where(F.length(value) > KEY_LENGTH).select(column, value).distinct()
+    whole = keyed.join(wanted, [column, value], "left_semi").groupBy(column, value).agg(F.max("__whole").alias("__whole"))
+    out = found.join(whole, [column, value], "left").withColumn(value, F.coalesce("__whole", value))
+    return out.select(*found.columns)
+
+
 def number_counts(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     """``(column, value, n)`` of numeric expressions, values as doubles."""
     return long_form(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))

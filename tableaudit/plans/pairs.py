@@ -58,25 +58,37 @@ def _by_matrices(df: DataFrame, columns: Mapping[str, Column], pairs: Sequence[t
     """Each task adds up cross products of its rows as matrices; only k x k sums are shuffled."""
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
     flat = df.select(*[columns[c].alias(f"x{i}") for i, c in enumerate(names)])
-    means = flat.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(names))]).first()
+    finite = [F.when(F.abs(f"x{i}") < float("inf"), F.col(f"x{i}")) for i in range(len(names))]
+    means = flat.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(finite)]).first()
     centre = np.array([m if m is not None else 0.0 for m in means])
     first = np.array([names.index(a) for a, _ in pairs])
     second = np.array([names.index(b) for _, b in pairs])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(names)
-        total = {s: np.zeros((k, k)) for s in ("n", "x", "xx", "xy")}
+        total = {s: np.zeros((k, k)) for s in ("n", "x", "xx", "xy", "spoiled")}
         seen = False
         for batch in batches:
             seen = True
-            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - centre
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
             mask = (~np.isnan(x)).astype(float)
-            x = np.where(mask > 0, x, 0.0)
+            # an infinite value is present: it counts, and leaves its pairs without a correlation
+            x = np.where(np.isinf(x), np.nan, x) - centre
+            x[mask == 0] = 0.0
+            spoiled = np.isnan(x)
+            if spoiled.any():
+                total["spoiled"] += spoiled.astype(float).T @ mask
+                x[spoiled] = 0.0
             total["n"] += mask.T @ mask
             total["x"] += x.T @ mask
             total["xx"] += (x * x).T @ mask
             total["xy"] += x.T @ x
         if seen:
+            # an infinite value in either column spoils the cross moment, one in a column its own moments
+            own, other = total["spoiled"], total["spoiled"].T
+            total["x"][own > 0] = np.nan
+            total["xx"][own > 0] = np.nan
+            total["xy"][(own > 0) | (other > 0)] = np.nan
             yield pa.RecordBatch.from_pydict(
                 {
                     "pair": np.arange(len(pairs), dtype=np.int32),

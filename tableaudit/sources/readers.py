@@ -78,26 +78,28 @@ def read_csv(
     na_tokens: Sequence[str] = tuple(NA_TOKENS),
     infer: bool = True,
 ) -> DataFrame:
-    """Delimited text with a header. Files that are not UTF-8 are read again as Latin-1.
+    """Delimited text with a header. Files whose bytes are not UTF-8 are read as Latin-1, each file by itself.
 
     ``multiline=None`` looks for quoted line breaks first (a line with an odd number of quotes), so that
     files without them stay splittable.
     """
+    lines = spark.read.text(path)  # bytes as they are
     if multiline is None:
-        lines = spark.read.text(path)
         quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
         multiline = not lines.where(quotes % 2 == 1).isEmpty()
 
-    def load(encoding: str) -> DataFrame:
-        return spark.read.csv(path, header=True, sep=sep, multiLine=multiline, quote='"', escape='"', encoding=encoding)
-
-    df = load("UTF-8")
-    texts = [quoted(c) for c in df.columns]
-    spoiled = any("�" in c for c in df.columns) or (
-        bool(texts) and not df.where(reduce(Column.__or__, [F.contains(t, F.lit("�")) for t in texts])).isEmpty()
-    )
-    if spoiled:
-        df = load("ISO-8859-1")
+    def load(paths: str | list[str], encoding: str) -> DataFrame:
+        return spark.read.csv(paths, header=True, sep=sep, multiLine=multiline, quote='"', escape='"', encoding=encoding)
+
+    # one row per file
+    files = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+    other = files.where(~F.col("valid")).collect()
+    if not other:
+        df = load(path, "UTF-8")
+    else:
+        df = load([r["file"] for r in other], "ISO-8859-1")
+        rest = [r["file"] for r in files.where("valid").collect()]
+        df = df.unionByName(load(rest, "UTF-8"), allowMissingColumns=True) if rest else df
     return infer_types(df, na_tokens) if infer else df
 
 
@@ -124,23 +126,36 @@ def read_json(
 ) -> DataFrame:
     """JSON documents (one value per file), or JSON lines with ``lines=True``, which stays splittable.
 
-    A root object yields the records of ``records_key``, or of its first list-valued key in file order.
+    A root object yields the records of ``records_key``, or of its first list-valued key in file order, chosen for each
+    file.
     """
     if lines:
         return flatten(spark.read.json(path))
     df = spark.read.json(path, multiLine=True)
     lists = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
-    key = records_key
-    if key is None and lists:
-        document = spark.read.text(path, wholetext=True)
-        root = document.where(F.ltrim("value").startswith("{")).select(F.json_object_keys("value").alias("keys")).first()
-        if root is not None:
-            key = next((k for k in root["keys"] if k in lists), None)
-    if key is not None:
-        df = df.select(F.explode(quoted(key)).alias("record"))
-        element = df.schema["record"].dataType
-        df = df.select("record.*") if isinstance(element, T.StructType) else df
-    return flatten(df)
+    if records_key is not None:
+        return flatten(_records(df, records_key))
+    if not lists:
+        return flatten(df)
+    document = spark.read.text(path, wholetext=True)
+    keys = F.filter(F.json_object_keys("value"), lambda k: k.isin(lists))
+    first = F.when(F.ltrim("value").startswith("{"), F.get(keys, F.lit(0)))
+    chosen = document.select(F.col("_metadata.file_path").alias("__file"), first.alias("__key"))
+    found = [r["__key"] for r in chosen.select("__key").distinct().orderBy("__key").collect()]
+    if len(found) == 1:
+        return flatten(df if found[0] is None else _records(df, found[0]))
+    # one row per file
+    by_file = df.select("*", F.col("_metadata.file_path").alias("__file")).join(chosen, "__file", "left")
+    parts = [_records(by_file.where(F.col("__key") == k), k) for k in found if k is not None]
+    if None in found:
+        parts.append(by_file.where(F.col("__key").isNull()).drop("__file", "__key", *lists))
+    return flatten(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+
+
+def _records(df: DataFrame, key: str) -> DataFrame:
+    """The elements of a list-valued column as rows."""
+    df = df.select(F.explode(quoted(key)).alias("record"))
+    return df.select("record.*") if isinstance(df.schema["record"].dataType, T.StructType) else df
 
 
 def jdbc_options(

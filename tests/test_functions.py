@@ -1,6 +1,7 @@
 """Tail probabilities, Shapiro-Wilk and moment formulas against published values."""
 
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -124,3 +125,45 @@ def test_perfect_and_missing_spread(spark):
     assert df.select(M.safe_corr(F.col("a"), F.lit(0.0), F.col("c"))).first()[0] is None
     assert df.select(M.safe_corr(F.lit(2.0), F.lit(2.0), F.lit(2.0))).first()[0] == pytest.approx(1.0)
     assert math.isclose(tails.student_two_sided(float("inf"), 3), 0.0)
+
+
+@pytest.mark.parametrize("n", [10**9, 10**12, 10**14])
+def test_tails_at_very_large_counts(n):
+    for t in (1e-3, 0.5, 2.0, 5.0):
+        # the normal tail and its first correction in 1 / n
+        near = tails.normal_two_sided(t) + (t**3 + t) / (2 * n) * math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+        assert tails.student_two_sided(t, n) == pytest.approx(near, abs=1e-12)
+        assert tails.f_tail(t * t, 1, n) == pytest.approx(near, abs=1e-12)
+    quarter = n // 4
+    assert tails.fisher_two_sided(quarter, quarter, quarter, quarter) == 1.0
+    shift = round(math.sqrt(n) / 4)  # one standard deviation
+    p = tails.fisher_two_sided(quarter + shift, quarter - shift, quarter - shift, quarter + shift)
+    assert p == pytest.approx(tails.normal_two_sided(1.0), abs=8 / math.sqrt(n) + 1e-8)
+
+
+def test_student_and_f_forms_meet():
+    for t in (0.1, 1.0, 3.0):
+        below, above = tails.student_two_sided(t, 99_999.0), tails.student_two_sided(t, 100_001.0)
+        assert below == pytest.approx(above, rel=1e-8)
+    assert tails.f_tail(2.5, 3, 299_999) == pytest.approx(tails.f_tail(2.5, 3, 300_001), rel=1e-7)
+
+
+def test_fisher_counts_every_table_as_rare():
+    draw = random.Random(4)
+    for _ in range(300):
+        a, b, c, d = (draw.randrange(25) for _ in range(4))
+        if not a + b + c + d:
+            continue
+        row, col, n = a + b, a + c, a + b + c + d
+        ways = {k: math.comb(col, k) * math.comb(n - col, row - k) for k in range(max(0, row + col - n), min(row, col) + 1)}
+        want = sum(w for w in ways.values() if w <= ways[a]) / sum(ways.values())
+        assert tails.fisher_two_sided(a, b, c, d) == pytest.approx(want, abs=1e-10)
+
+
+def test_u_of_a_few_against_very_many(monkeypatch):
+    for n1, n2, u in ((1, 4000, 3990), (3, 4000, 10_000), (5, 3000, 11_000), (8, 2000, 12_000)):
+        counted = tails.exact_u_p(u, n1, n2)
+        monkeypatch.setattr(tails, "EXACT_U_CELLS", 0)
+        assert tails.exact_u_p(u, n1, n2) == pytest.approx(counted, abs=5e-4)
+        monkeypatch.undo()
+    assert 0 < tails.exact_u_p(1.2e9, 8, 10**9) < 1e-3

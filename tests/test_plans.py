@@ -172,3 +172,23 @@ def test_plain_numbers(spark):
     cases = {4532015112830366.0: "4532015112830366.0", 1e7: "10000000.0", 12.5: "12.5", 0.0001: "0.0001", -3.0: "-3.0", 12345678.25: "12345678.25"}
     df = spark.createDataFrame([(k,) for k in cases], "x double")
     assert {r[0]: r[1] for r in df.select("x", plain_number(F.col("x"))).collect()} == cases
+
+
+def test_infinite_values_count_the_same_in_both_forms(spark):
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({f"c{i}": rng.normal(size=60) for i in range(6)})
+    frame.loc[::10, "c1"] = np.nan
+    frame.loc[[3, 4], "c2"] = np.inf
+    df = spark.createDataFrame(frame).repartition(3)
+    columns = {c: F.when(~F.isnan(c), F.col(c)) for c in frame.columns}
+    keys = all_pairs(list(columns))
+    few = {(r["col1"], r["col2"]): r for r in _by_expressions(df, columns, keys, []).collect()}
+    for r in _by_matrices(df, columns, keys).collect():
+        one = few[r["col1"], r["col2"]]
+        assert r["n_eff"] == one["n_eff"]
+        infinite = "c2" in (r["col1"], r["col2"])
+        assert infinite == (r["cov"] is None or not np.isfinite(r["cov"])) == (not np.isfinite(one["cov"]))
+        if not infinite:
+            assert r["cov"] == pytest.approx(one["cov"], abs=1e-12)
+    found = {(r["col1"], r["col2"]): r["r"] for r in pair_moments(df, columns).collect()}
+    assert all((v is None) == ("c2" in k) for k, v in found.items())

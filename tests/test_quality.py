@@ -189,3 +189,19 @@ def test_categorical_ties_take_the_smallest(spark):
     assert rows[0][3] == 28.57
     none = A.categorical_profile(spark.createDataFrame([(None,)], "v string")).collect()
     assert [(r["nunique"], r["value"]) for r in none] == [(0, None)]
+
+
+def test_long_texts_are_shown_whole(spark):
+    long = "x" * 300
+    rows = [(long + "A", "a"), (long + "a", "a"), (long + "a", "a"), ("q\0r", "a"), ("q\0R", "a")] + [(long + "b", "a")] * 200
+    df = spark.createDataFrame(rows, "t string, `other.name` string")
+    found = {(r["variant"], r["n"]) for r in A.category_variants(df, ["t"]).collect()}
+    assert found == {(long + "A", 1), (long + "a", 2), ("q\0r", 1), ("q\0R", 1)}
+    assert {r["normalised"] for r in A.category_variants(df, ["t"]).collect()} == {long + "a", "q\0r"}
+    quality = {r["column"]: r["top_value"] for r in A.column_quality(df).collect()}
+    assert quality["t"] == long + "b"
+    best = [(r["value"], r["n"]) for r in A.categorical_profile(df, columns=["t"]).orderBy("place").collect()]
+    assert best[:2] == [(long + "b", 200), (long + "a", 2)]
+    from tableaudit.operators.charts import frequency
+
+    assert [r["value"] for r in frequency(df, "t").limit(1).collect()] == [long + "b"]
