@@ -142,13 +142,13 @@ def _normality_sql() -> str:
 
 
 def embedding_normality(spark, sf_dir):
-    """Normality of the first embedding dimensions: Shapiro-Wilk for small tables."""
-    df = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(8)])
+    """Normality of all embedding dimensions: Shapiro-Wilk for small tables."""
+    df = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(64)])
     return normality(df)
 
 
 def _embedding_sql() -> str:
-    source = union_all([f"SELECT 'd{i}' AS label, CAST(embedding[{i + 1}] AS DOUBLE) AS x FROM embeddings" for i in range(8)])
+    source = "SELECT 'd' || unnest(range(64)) AS label, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings"
     return (
         f"SELECT label AS \"column\", n, '{SHAPIRO}' AS test_used, round(w, 4) AS statistic, round(p, 4) AS p_value, "
         f"round(skew, 4) AS skewness, p > 0.05 AND abs(skew) < 0.5 AS is_normal FROM ({shapiro_sql(source)})"
