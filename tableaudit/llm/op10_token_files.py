@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.common import table
 from .common import record, scratch, text_slices
-from .tokens import default_path, encoder
+from .tokens import BATCH_BYTES, default_path, encoder
 
 BLOCK = 256
 #: Share of a block's differences that the packed width must hold; the rest are exceptions.
@@ -192,7 +192,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 image=[write_image(names, held, percentile)],
             )
 
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, BATCH_BYTES):
             coded = encoder(tokenizer).encode(batch.column("text").to_pylist())
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coded):
                 names.append(doc_id)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.common import table
 from .common import record, text_slices
-from .tokens import default_path, encoder
+from .tokens import BATCH_BYTES, default_path, encoder
 
 _SCHEMA = pa.schema([("length", pa.int64())])
 
@@ -27,7 +27,7 @@ def lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     """The number of ids of each document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, BATCH_BYTES):
             coded = encoder(tokenizer).encode(batch.column("text").to_pylist())
             yield record(_SCHEMA, length=[len(x) // 4 for x in coded])
 

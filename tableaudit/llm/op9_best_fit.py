@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.common import table
 from .common import keep, record, text_slices
-from .tokens import END_OF_DOCUMENT, default_path, encoder
+from .tokens import BATCH_BYTES, END_OF_DOCUMENT, default_path, encoder
 
 CAPACITY = 2048
 #: Documents of one length are ranked in groups of about so many.
@@ -53,7 +53,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, BATCH_BYTES):
             rows: list[tuple] = []
             coded = encoder(tokenizer).encode(batch.column("text").to_pylist())
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), coded):
