@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog.common import table
-from .common import record, scratch, text_slices
+from .common import record, scratch, table, text_slices
 from .tokens import BATCH_BYTES, default_path, encoder
 
 BLOCK = 256

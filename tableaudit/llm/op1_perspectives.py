@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..catalog.common import table
+
 
 CHUNK_TURNS = 64
 CONTEXT = ("system",)

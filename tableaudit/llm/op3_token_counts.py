@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..catalog.common import table
-from .common import record, text_slices
+from .common import record, table, text_slices
 from .tokens import BATCH_BYTES, default_path, encoder
 
 _SCHEMA = pa.schema([("length", pa.int64())])

@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..catalog.common import table
-from .common import keep, record
+from .common import keep, record, table
 
 PARTS = 4
 ROWS_A_BLOCK = 2048

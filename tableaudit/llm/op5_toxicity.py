@@ -28,8 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog.common import table
-from .common import record, text_slices
+from .common import record, table, text_slices
 from .op7_winnowing import words_of
 
 TOXIC_ROWS = 2000

@@ -28,8 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog.common import table
-from .common import keep, record, text_slices
+from .common import keep, record, table, text_slices
 from .components import components
 
 SHINGLE = 3

@@ -26,8 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog.common import table
-from .common import grams, keep, record, text_slices
+from .common import grams, keep, record, table, text_slices
 
 WINDOW = 10
 GRAM = 5

@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..catalog.common import table
-from .common import keep, record, text_slices
+from .common import keep, record, table, text_slices
 from .tokens import BATCH_BYTES, END_OF_DOCUMENT, default_path, encoder
 
 CAPACITY = 2048
