@@ -28,6 +28,23 @@ from .relations import (
 )
 from .target import _leakage_sql
 
+# The wording of claims, as SQL expressions.
+# fmt: off
+_MISSING_TEXT = "'Column ''' || \"column\" || ''' has ' || missing_pct || '% missing values (' || null_count || ' rows), categorized as ' || severity || ' severity.'"
+_DUPLICATE_TEXT = "'Dataset contains ' || duplicate_rows || ' duplicate rows (' || duplicate_pct || '%), representing a ' || duplicate_severity || ' uniqueness concern.'"
+_CONSTANT_TEXT = "'Feature ''' || \"column\" || ''' is a zero-variance constant column with 1 unique value across all rows.'"
+_QUASI_TEXT = "'Feature ''' || \"column\" || ''' is quasi-constant, with value ''' || top_value || ''' accounting for ' || top_pct || '% of observations.'"
+_SCORE_TEXT = "'Overall Data Quality Score is ' || overall_score || '/100 with Grade ' || grade || '.'"
+_SHAPE_TEXT = "'Numeric feature ''' || \"column\" || ''' exhibits mean=' || mean || ', median=' || median || ', skewness=' || skewness || ' (' || skewness_severity || ').'"
+_NORMAL_TEXT = "'Numeric feature ''' || \"column\" || ''' ' || CASE WHEN is_normal THEN 'complies with' ELSE 'departs from' END || ' normal distribution assumptions per ' || test_used || ' (p=' || normality_p || ').'"
+_OUTLIER_TEXT = "'Feature ''' || \"column\" || ''' contains ' || total_outliers || ' outliers (' || outlier_pct || '%), representing a ' || outlier_severity || ' outlier presence.'"
+_REVERSAL_TEXT = "'Simpson''s Paradox detected between ''' || feature_x || ''' and ''' || feature_y || ''': overall correlation (r=' || overall_corr || ') reverses direction when conditioned on subgroup ''' || group_var || '''.'"
+_PAIR_TEXT = "'Pairwise correlation between ' || pair || ' is statistically significant (' || method || ', r=' || corr || ', FDR p_adj=' || p_adj || ').'"
+_REDUNDANT_TEXT = "'Features ''' || col1 || ''' and ''' || col2 || ''' exhibit high feature redundancy with correlation r=' || round(abs(r), 4) || '.'"
+_BALANCE_TEXT = "'Target variable exhibits a class distribution of ' || listed || ' with a minority/majority imbalance ratio of ' || ratio || ' (' || sev || ' imbalance).'"
+_LEAKAGE_TEXT = "'Data leakage warning: Column ''' || \"column\" || ''' has near-perfect correlation (r=' || correlation || ') with the target variable.'"
+# fmt: on
+
 _SHOWN = ["claim_id", "category", "claim", "status"]
 
 
@@ -65,14 +82,14 @@ _TABLE_SQL = _score_sql(_QUALITY_SOURCE, _QUALITY_COLUMNS, "0", "0")
 
 _QUALITY_CLAIMS = _numbered_sql(
     [
-        (1, "quality", "position", "'Column ''' || \"column\" || ''' has ' || missing_pct || '% missing values (' || null_count || ' rows), categorized as ' || severity || ' severity.'",
+        (1, "quality", "position", _MISSING_TEXT,
          f"SELECT * FROM ({_COLUMNS_SQL}) WHERE null_count > 0"),
-        (2, "quality", "0", "'Dataset contains ' || duplicate_rows || ' duplicate rows (' || duplicate_pct || '%), representing a ' || duplicate_severity || ' uniqueness concern.'", _TABLE_SQL),
-        (3, "quality", "position", "'Feature ''' || \"column\" || ''' is a zero-variance constant column with 1 unique value across all rows.'",
+        (2, "quality", "0", _DUPLICATE_TEXT, _TABLE_SQL),
+        (3, "quality", "position", _CONSTANT_TEXT,
          f"SELECT * FROM ({_COLUMNS_SQL}) WHERE is_constant"),
-        (4, "quality", "position", "'Feature ''' || \"column\" || ''' is quasi-constant, with value ''' || top_value || ''' accounting for ' || top_pct || '% of observations.'",
+        (4, "quality", "position", _QUASI_TEXT,
          f"SELECT * FROM ({_COLUMNS_SQL}) WHERE is_quasi_constant"),
-        (6, "quality", "0", "'Overall Data Quality Score is ' || overall_score || '/100 with Grade ' || grade || '.'", _TABLE_SQL),
+        (6, "quality", "0", _SCORE_TEXT, _TABLE_SQL),
     ]
 )
 
@@ -98,9 +115,9 @@ def _distribution_sql() -> str:
     order = "CASE \"column\" WHEN 'value' THEN 0 ELSE 3 END"
     return _numbered_sql(
         [
-            (7, "distribution", order, "'Numeric feature ''' || \"column\" || ''' exhibits mean=' || mean || ', median=' || median || ', skewness=' || skewness || ' (' || skewness_severity || ').'", source),
-            (7, "distribution", f"1 + {order}", "'Numeric feature ''' || \"column\" || ''' ' || CASE WHEN is_normal THEN 'complies with' ELSE 'departs from' END || ' normal distribution assumptions per ' || test_used || ' (p=' || normality_p || ').'", source),
-            (7, "distribution", f"2 + {order}", "'Feature ''' || \"column\" || ''' contains ' || total_outliers || ' outliers (' || outlier_pct || '%), representing a ' || outlier_severity || ' outlier presence.'",
+            (7, "distribution", order, _SHAPE_TEXT, source),
+            (7, "distribution", f"1 + {order}", _NORMAL_TEXT, source),
+            (7, "distribution", f"2 + {order}", _OUTLIER_TEXT,
              f"SELECT * FROM ({source}) WHERE total_outliers > 0"),
         ]
     )
@@ -123,18 +140,27 @@ def _relationship_sql() -> str:
     reversals = _simpson_sql(_REVERSING, ["level", "rate", "l_tax"], ["l_linestatus", "l_returnflag"], None, 0.2, 0.15)
     return _numbered_sql(
         [
-            (10, "relationship", "finding", "'Simpson''s Paradox detected between ''' || feature_x || ''' and ''' || feature_y || ''': overall correlation (r=' || overall_corr || ') reverses direction when conditioned on subgroup ''' || group_var || '''.'",
+            (10, "relationship", "finding", _REVERSAL_TEXT,
              f"SELECT DISTINCT finding, feature_x, feature_y, group_var, overall_corr FROM ({reversals})"),
-            (11, "relationship", "position", "'Pairwise correlation between ' || pair || ' is statistically significant (' || method || ', r=' || corr || ', FDR p_adj=' || p_adj || ').'",
+            (11, "relationship", "position", _PAIR_TEXT,
              f"SELECT * FROM ({_family_sql(_spearman_tests(_REVERSING, ['level', 'rate', 'l_tax']))}) WHERE is_significant"),
             (12, "relationship", "position", "'Group difference test (' || test_name || ') on ' || variables || ' indicates a statistically significant difference (p_adj=' || p_adj || ', effect size ' || effect_size_type || '=' || effect_size || ').'",
              f"SELECT * FROM ({_group_family(_STATUS_GROUPS)}) WHERE is_significant"),
-            (13, "relationship", "position", "'Features ''' || col1 || ''' and ''' || col2 || ''' exhibit high feature redundancy with correlation r=' || round(abs(r), 4) || '.'",
+            (13, "relationship", "position", _REDUNDANT_TEXT,
              f"SELECT * FROM ({_pearson_tests(PRICED_LINEITEM, _PRICED)}) WHERE abs(r) > 0.9"),
         ]
     )
 
 
+def _balance_sql(source: str, target: str) -> str:
+    counts = f"SELECT CAST({target} AS VARCHAR) AS c, count(*) AS n FROM ({source}) WHERE {target} IS NOT NULL GROUP BY {target}"
+    ratio = "round(min(n) * 1.0 / max(n), 4)"
+    return (
+        f"SELECT '{{' || string_agg('''' || c || ''': ' || n, ', ' ORDER BY n DESC, c) || '}}' AS listed, {ratio} AS ratio, "
+        f"CASE WHEN {ratio} < 0.2 THEN 'severe' WHEN {ratio} < 0.5 THEN 'moderate' ELSE 'balanced' END AS sev FROM ({counts}) HAVING count(*) > 1"
+    )
+
+
 def anomaly_claims(spark, sf_dir):
     """Imbalance of a label and leakage into a money target."""
     docs, priced = docs_labels(spark, sf_dir), priced_lineitem(spark, sf_dir)
@@ -146,28 +172,53 @@ def anomaly_claims(spark, sf_dir):
 
 
 def _anomaly_sql() -> str:
-    counts = f"SELECT CAST(toxic AS VARCHAR) AS c, count(*) AS n FROM ({DOCS_LABELS}) WHERE toxic IS NOT NULL GROUP BY toxic"
-    ratio = "round(min(n) * 1.0 / max(n), 4)"
-    balance = (
-        f"SELECT '{{' || string_agg('''' || c || ''': ' || n, ', ' ORDER BY n DESC, c) || '}}' AS listed, {ratio} AS ratio, "
-        f"CASE WHEN {ratio} < 0.2 THEN 'severe' WHEN {ratio} < 0.5 THEN 'moderate' ELSE 'balanced' END AS sev FROM ({counts}) HAVING count(*) > 1"
-    )
+    balance = _balance_sql(DOCS_LABELS, "toxic")
     return _numbered_sql(
         [
-            (14, "anomaly", "0", "'Target variable exhibits a class distribution of ' || listed || ' with a minority/majority imbalance ratio of ' || ratio || ' (' || sev || ' imbalance).'", balance),
-            (15, "anomaly", "position", "'Data leakage warning: Column ''' || \"column\" || ''' has near-perfect correlation (r=' || correlation || ') with the target variable.'",
+            (14, "anomaly", "0", _BALANCE_TEXT, balance),
+            (15, "anomaly", "position", _LEAKAGE_TEXT,
              _leakage_sql(PRICED_LINEITEM, ["l_quantity", "l_extendedprice", "unit_price", "charge"], "revenue", 0.95)),
         ]
     )
 
 
 def audited_orders(spark, sf_dir):
-    """All claims of a whole audit of orders, gated and counted by category."""
-    orders = table(spark, sf_dir, "orders").select(
-        "o_totalprice", "o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("year")
+    """All claims of a whole audit of orders, every column included, gated."""
+    return C.gate_claims(audit(table(spark, sf_dir, "orders"), target="o_orderstatus").claims()).select(*_SHOWN, "confidence")
+
+
+def _audit_sql() -> str:
+    source, numeric = "SELECT * FROM orders", ["o_orderkey", "o_custkey", "o_totalprice"]
+    columns = _column_quality_sql(
+        source, ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], set(numeric)
+    )
+    score = _score_sql(source, ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], "0", "0")
+    profile = profile_sql(source, numeric)
+    centres = union_all(
+        [f"SELECT '{c}' AS \"column\", round(avg({c}), 4) AS mean, round(median({c}), 4) AS median FROM orders" for c in numeric]
+    )
+    shapes = f"SELECT p.* REPLACE (m.mean AS mean, m.median AS median) FROM ({profile}) p JOIN ({centres}) m ON p.\"column\" = m.\"column\""
+    at = "CASE \"column\" " + " ".join(f"WHEN '{c}' THEN {3 * i}" for i, c in enumerate(numeric)) + " END"
+    codes = f"SELECT *, dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS code FROM ({source})"
+    reversals = _simpson_sql(source, numeric, ["o_orderstatus", "o_orderpriority"], None, 0.2, 0.15)
+    found = _numbered_sql(
+        [
+            (1, "quality", "position", _MISSING_TEXT, f"SELECT * FROM ({columns}) WHERE null_count > 0"),
+            (2, "quality", "0", _DUPLICATE_TEXT, score),
+            (3, "quality", "position", _CONSTANT_TEXT, f"SELECT * FROM ({columns}) WHERE is_constant"),
+            (4, "quality", "position", _QUASI_TEXT, f"SELECT * FROM ({columns}) WHERE is_quasi_constant"),
+            (6, "quality", "0", _SCORE_TEXT, score),
+            (7, "distribution", at, _SHAPE_TEXT, shapes),
+            (7, "distribution", f"1 + {at}", _NORMAL_TEXT, profile),
+            (7, "distribution", f"2 + {at}", _OUTLIER_TEXT, f"SELECT * FROM ({profile}) WHERE total_outliers > 0"),
+            (10, "relationship", "finding", _REVERSAL_TEXT, f"SELECT DISTINCT finding, feature_x, feature_y, group_var, overall_corr FROM ({reversals})"),
+            (11, "relationship", "position", _PAIR_TEXT, f"SELECT * FROM ({_family_sql(_pearson_tests(source, numeric))}) WHERE is_significant"),
+            (13, "relationship", "position", _REDUNDANT_TEXT, f"SELECT * FROM ({_pearson_tests(source, numeric)}) WHERE abs(r) > 0.9"),
+            (14, "anomaly", "0", _BALANCE_TEXT, _balance_sql(source, "o_orderstatus")),
+            (15, "anomaly", "position", _LEAKAGE_TEXT, _leakage_sql(codes, numeric, "code", 0.95)),
+        ]
     )
-    gated = C.gate_claims(audit(orders, target="o_orderstatus").claims())
-    return gated.groupBy("category", "status").agg(F.count(F.lit(1)).alias("n"))
+    return f"SELECT *, 'high' AS confidence FROM ({found})"
 
 
 # --- gate over a large table of claims -------------------------------------------------------------------------
@@ -260,7 +311,7 @@ QUERIES = {
     "distribution_claims": (distribution_claims, _distribution_sql()),
     "relationship_claims": (relationship_claims, _relationship_sql()),
     "anomaly_claims": (anomaly_claims, _anomaly_sql()),
-    "audited_orders": (audited_orders, None),
+    "audited_orders": (audited_orders, _audit_sql()),
     "gated_orders": (gated_orders, f"SELECT o_orderkey, claim, status, failure_reason FROM ({_gate_sql(_ORDER_CLAIMS)})"),
     "gate_totals": (gate_totals, f"SELECT status, count(*) AS n FROM ({_gate_sql(_ORDER_CLAIMS)}) GROUP BY status"),
     "gated_documents": (
