@@ -54,6 +54,45 @@ _READ = pa.schema(
 
 
 # --- the codec -----------------------------------------------------------------------------------------------
+def _bit_lengths(values: np.ndarray) -> np.ndarray:
+    if not values.size or values.max() < 1 << 16:
+        return _SHORT_LENGTHS[values]
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+
+
+_SHORT_LENGTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of values, lowest first; eight values make ``width`` bytes. One row a block."""
+    wide = np.uint32 if width <= 24 else np.uint64
+    eight = np.ascontiguousarray(values.reshape(-1, 8).T).astype(wide) & wide((1 << width) - 1)
+    out = np.empty((eight.shape[1], width), np.uint8)
+    for j in range(width):
+        low = 8 * j
+        byte = np.zeros(eight.shape[1], wide)
+        for i in range(low // width, min(7, (low + 7) // width) + 1):
+            shift = i * width - low
+            byte |= eight[i] << wide(shift) if shift >= 0 else eight[i] >> wide(-shift)
+        out[:, j] = byte.astype(np.uint8)
+    return out.reshape(len(values), -1)
+
+
+def _unpack(data: np.ndarray, width: int) -> np.ndarray:
+    """The values of blocks from their packed bytes, one row a block."""
+    wide = np.uint32 if width <= 24 else np.uint64
+    parts = np.ascontiguousarray(data.reshape(-1, width).T).astype(wide)
+    out = np.empty((parts.shape[1], 8), np.uint32)
+    for i in range(8):
+        low = i * width
+        value = np.zeros(parts.shape[1], wide)
+        for j in range(low // 8, (low + width - 1) // 8 + 1):
+            shift = 8 * j - low
+            value |= parts[j] << wide(shift) if shift >= 0 else parts[j] >> wide(-shift)
+        out[:, i] = value & wide((1 << width) - 1)
+    return out.reshape(len(data), -1)
+
+
 def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[list[bytes], int]:
     """Blocks of unsigned 32-bit ids, and how many ids were exceptions."""
     n = len(ids)
@@ -66,9 +105,9 @@ def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[list[b
     grid = grid.reshape(count, BLOCK)
     low = grid.min(axis=1)
     diff = grid - low[:, None]
-    bits = np.frexp(diff.astype(np.float64))[1].astype(np.uint8)  # bit length, 0 for 0
-    place = max(0, min(BLOCK - 1, int(np.ceil(percentile * BLOCK)) - 1))
-    width = np.partition(bits, place, axis=1)[:, place]
+    bits = _bit_lengths(diff)
+    at = max(0, min(BLOCK - 1, int(np.ceil(percentile * BLOCK)) - 1))
+    width = np.partition(bits, at, axis=1)[:, at]
     over = bits > width[:, None]
     spare = over.sum(axis=1)
     row, place = np.nonzero(over)
@@ -77,15 +116,12 @@ def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[list[b
     ends = np.cumsum(spare).tolist()
     packed: list[bytes] = [b""] * count
     for w in np.unique(width).tolist():
-        rows = np.flatnonzero(width == w)
         if w:
-            kind, size = ("<u2", 16) if w <= 16 else ("<u4", 32)
-            part = diff[rows].astype(kind).view(np.uint8).reshape(len(rows), BLOCK, size // 8)
-            as_bits = np.unpackbits(part, axis=2, bitorder="little")[:, :, :w]
-            data = np.packbits(as_bits.reshape(len(rows), -1), axis=1, bitorder="little").tobytes()
+            rows = np.flatnonzero(width == w)
+            data = _pack(diff[rows], w).tobytes()
             size = w * BLOCK // 8
-            for i, at in enumerate(rows.tolist()):
-                packed[at] = data[i * size : (i + 1) * size]
+            for i, own in enumerate(rows.tolist()):
+                packed[own] = data[i * size : (i + 1) * size]
     out = []
     for lowest, w, n, end, data in zip(low.tolist(), width.tolist(), spare.tolist(), ends, packed):
         block = struct.pack("<IBH", lowest, w, n) + data
@@ -95,31 +131,21 @@ def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[list[b
 
 def unpack_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     """Ids of the blocks that begin at ``starts`` in ``data``."""
-    out = np.empty((len(starts), BLOCK), np.uint32)
-    heads = [struct.unpack_from("<IBH", data, s) for s in starts.tolist()]
-    by_width: dict[int, list[int]] = {}
-    for i, (_, w, _) in enumerate(heads):
-        by_width.setdefault(w, []).append(i)
-    for w, rows in by_width.items():
-        size = w * BLOCK // 8
+    out = np.zeros((len(starts), BLOCK), np.uint32)
+    begins = starts.tolist()
+    heads = [struct.unpack_from("<IBH", data, s) for s in begins]
+    low, width, spare = (np.array(x, np.int64) for x in zip(*heads))
+    for w in np.unique(width).tolist():
         if w:
-            begins = starts[rows].tolist()
-            packed = np.frombuffer(b"".join([data[s + 7 : s + 7 + size] for s in begins]), np.uint8)
-            as_bits = np.unpackbits(packed.reshape(len(rows), size), axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            kind, wide = ("<u2", 16) if w <= 16 else ("<u4", 32)
-            whole = np.zeros((len(rows), BLOCK, wide), np.uint8)
-            whole[:, :, :w] = as_bits
-            values = np.packbits(whole, axis=2, bitorder="little").view(kind).reshape(len(rows), BLOCK)
-        else:
-            values = np.zeros((len(rows), BLOCK), np.uint32)
-        out[rows] = values
-        for i in rows:
-            low, _, n = heads[i]
-            if n:
-                at = int(starts[i]) + 7 + size
-                places = np.frombuffer(data, np.uint8, n, at)
-                out[i, places] += np.frombuffer(data, "<u4", n, at + n) << np.uint32(w)
-            out[i] += np.uint32(low)
+            rows = np.flatnonzero(width == w)
+            size = w * BLOCK // 8
+            packed = b"".join([data[s + 7 : s + 7 + size] for s in starts[rows].tolist()])
+            out[rows] = _unpack(np.frombuffer(packed, np.uint8).reshape(len(rows), size), w)
+    for i in np.flatnonzero(spare).tolist():
+        n, w = int(spare[i]), int(width[i])
+        at = begins[i] + 7 + w * BLOCK // 8
+        out[i, np.frombuffer(data, np.uint8, n, at)] += np.frombuffer(data, "<u4", n, at + n) << np.uint32(w)
+    out += low.astype(np.uint32)[:, None]
     return out.reshape(-1)
 
 

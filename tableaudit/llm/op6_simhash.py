@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import quoted
 from .common import keep, record, table, text_slices
 from .components import components
 
@@ -212,7 +213,7 @@ def keep_first(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, replicas
         repeated = keep(repeated)
         once = named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         named = named.join(repeated, "doc_id", "left_anti").union(once)
-    return named.select(docs.columns).union(docs.filter("doc_id IS NULL"))
+    return named.select(*[quoted(c) for c in docs.columns]).union(docs.filter("doc_id IS NULL"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 END_OF_DOCUMENT = 0
 #: Text whose distinct pieces are looked for at once.
 BATCH_BYTES = 16_000_000
+#: Words kept with their ids from batch to batch; about 40 bytes each. Beyond, only the last batch is kept.
+KEPT_WORDS = 800_000
 PIECES_A_STRING = 2000
 ENDS = ".,"
 _CUT, _MARK = "\0", "\1"
@@ -67,6 +69,7 @@ class Encoder:
         #: Id of a line break, if it stands alone between two pieces.
         self.line = line[2][0] if len(line[2]) == 1 and line[0] == line[1] + line[2] + line[3] else None
         self.words, self.bare_words, self.begins = self._words(path)
+        self.kept: tuple[pa.Array, np.ndarray, np.ndarray] | None = None
         #: Ids of signs that end a word; they are apart from its letters.
         self.ends = {c: ids[0] for c, ids in zip(ENDS, self._ids(list(ENDS)))} if self.words is not None else {}
 
@@ -143,6 +146,27 @@ class Encoder:
         starts[order] = np.cumsum(given) - given
         return flat[_spread(starts, sizes)], sizes
 
+    def _remembered(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``_pieces`` with a space before each; those of earlier batches come from there."""
+        words = pa.array(pieces, pa.large_string())
+        if self.kept is None:
+            flat, sizes = self._pieces(pieces, " ")
+            self.kept = words, flat, sizes
+            return flat, sizes
+        old, flat, sizes = self.kept
+        found = pc.fill_null(pc.index_in(words, value_set=old), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(found < 0)
+        more, more_sizes = self._pieces([pieces[i] for i in new.tolist()], " ")
+        found[new] = len(old) + np.arange(len(new))
+        flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, more_sizes])
+        own = sizes[found]
+        out = flat[_spread((np.cumsum(sizes) - sizes)[found], own)]
+        if len(sizes) > KEPT_WORDS:
+            self.kept = words, out, own
+        else:
+            self.kept = pa.concat_arrays([old, words.take(pa.array(new))]), flat, sizes
+        return out, own
+
     def _distinct(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the distinct pieces of a batch and how many each has.
 
@@ -163,7 +187,7 @@ class Encoder:
             if p[-1:] in self.ends and p[:-1].isalpha():
                 end[i], p = self.ends[p[-1]] + 1, p[:-1]
             stem[i] = names.setdefault(p, len(names))
-        one, two = self._pieces(list(with_space), " "), self._pieces(list(without), "")
+        one, two = self._remembered(list(with_space)), self._pieces(list(without), "")
         flat, sizes = (np.concatenate([a, b]) for a, b in zip(one, two))
         starts = np.cumsum(sizes) - sizes
         stem[bare] += len(with_space)
