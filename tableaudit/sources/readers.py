@@ -169,7 +169,10 @@ def jdbc_options(
     bounds: tuple[int, int] | None = None,
     partitions: int | None = None,
 ) -> dict[str, str]:
-    """Options of a MySQL table read; a numeric ``partition_column`` with ``bounds`` reads it in parallel."""
+    """Options of a MySQL table read; a numeric ``partition_column`` with ``bounds`` reads it in parallel.
+
+    Without both, one task reads the whole table.
+    """
     options = {"url": f"jdbc:mysql://{host}:{port}/{database}", "dbtable": table}
     if username is not None:
         options["user"] = username

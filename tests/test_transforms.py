@@ -10,6 +10,7 @@ import tableaudit as A
 from tableaudit.functions import tails
 from tableaudit.operators import features as H
 from tableaudit.operators import target as T
+from tableaudit.operators.charts import trend_means
 
 
 # --- cleaning ------------------------------------------------------------------------------------------------
@@ -306,3 +307,37 @@ def test_gate(spark, text, pct, p, normal, reason):
     row = A.gate(df, "claim", "pct", "p", "ok").first()
     assert row["status"] == ("supported" if reason is None else "unsupported")
     assert (row["failure_reason"] or "").startswith(reason or "")
+
+
+def test_clean_drops_equal_rows_that_hold_maps(spark):
+    df = spark.createDataFrame([({"a": 1}, 1), ({"a": 1}, 1), ({"a": 2}, 1)], "m map<string,int>, n int")
+    done = A.clean(df)
+    assert done.data.count() == 2 and done.data.columns == ["m", "n"]
+
+
+def test_interactions_do_not_depend_on_the_order_of_rows(spark):
+    rng = np.random.default_rng(4)
+    a = rng.normal(1e6, 1, 4000)
+    frame = pd.DataFrame({"k": range(4000), "a": a, "b": a + rng.normal(0, 2, 4000)})
+    df = spark.createDataFrame(frame)
+    means = []
+    for n in (1, 5, 16):
+        out = H.interactions(df.repartition(n), ["a", "b"]).select("k", "a_x_b").orderBy("k").toPandas()
+        means.append(out["a_x_b"].to_numpy())
+    assert all(np.array_equal(means[0], m) for m in means[1:])
+
+
+def test_codes_by_first_appearance(spark):
+    rows = [(1, "z", 0.0), (2, "a", 1.0), (3, "z", 0.0), (4, "m" * 300, 2.0), (5, None, -1.0)]
+    df = spark.createDataFrame(rows, "at bigint, t string, v double")
+    for small in (100, 0):
+        coded = T.target_codes(df, "t", small=small, order_col="at")
+        assert {r["at"]: r["target_code"] for r in coded.collect()} == {1: 0.0, 2: 1.0, 3: 0.0, 4: 2.0, 5: -1.0}
+    found = {r["column"]: r["correlation"] for r in A.leakage(df, "t", order_col="at").collect()}
+    assert found["v"] == 1.0
+
+
+def test_trend_means_use_all_rows(spark):
+    df = spark.createDataFrame([("2024-01-01", 1.0), ("2024-01-31", 3.0), ("2024-02-01", None), ("x", 9.0)], "d string, v double")
+    found = [(r["ts"] and r["ts"].strftime("%Y-%m"), r["n"], r["mean"]) for r in trend_means(df, "d", "v", "month").collect()]
+    assert found == [("2024-01", 2, 2.0), ("2024-02", 0, None), (None, 1, 9.0)]
