@@ -23,9 +23,9 @@ import pyarrow.compute as pc
 
 END_OF_DOCUMENT = 0
 #: Text whose distinct pieces are looked for at once.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 8_000_000
 #: Words kept with their ids from batch to batch; about 40 bytes each. Beyond, only the last batch is kept.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 500_000
 PIECES_A_STRING = 2000
 ENDS = ".,"
 _CUT, _MARK = "\0", "\1"
