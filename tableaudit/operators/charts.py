@@ -151,7 +151,6 @@ def chart_tables(df: DataFrame, target: str | None = None) -> dict[str, DataFram
     dates = detect_datetime(df)
     if dates and numeric:
         out["trend"] = trend(df, dates[0], numeric[0])
-        out["trend_means"] = trend_means(df, dates[0], numeric[0])
     elif other:
         out["frequency"] = frequency(df, other[0])
     return out
