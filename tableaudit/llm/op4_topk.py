@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, record, table
 
-PARTS = 4
+PARTS = 2
 ROWS_A_BLOCK = 2048
 QUERIES_A_BLOCK = 1024
 #: Groups of list blocks that every query block is dealt to; queries are copied so many times.
