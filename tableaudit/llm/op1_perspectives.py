@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-
-
 CHUNK_TURNS = 64
 CONTEXT = ("system",)
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
