@@ -9,6 +9,11 @@ over many tasks; ``start`` is the place of a chunk in the whole rendering, and t
 in order are the rendering. The text crosses the network once, by conversation and chunk; who speaks and how long
 chunks are is worked out from small counts.
 
+Equal and null turn numbers can fill a chunk with any number of turns. If a chunk has more than ``CHUNK_TURNS`` turns or,
+with several turns, more than ``CHUNK_CHARS`` characters of text, turns are numbered inside their chunk, equal ones as one
+row with a count, by running totals in ranges of (conversation, chunk, turn, role, text), and chunks are cut by that
+number and by characters. The rows of such a chunk have one chunk number and rising ``start``.
+
 Defined cases: turns are ordered by turn, then role, then text, a null turn number last; a null text is empty; a null
 role speaks as an unnamed user and is no participant; rows without a conversation id form one conversation; repeated
 rows are repeated turns; marks of the format inside texts and names are broken up by a space; a conversation without
@@ -22,9 +27,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keep, table
 
 CHUNK_TURNS = 64
+CHUNK_CHARS = 4_000_000
 CONTEXT = ("system",)
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 _LAST = (1 << 62) - 1
@@ -45,11 +51,45 @@ def _header(role: Column, speaker: Column, context: Sequence[str]) -> Column:
     return F.concat(F.lit(OPEN), who, F.lit("\n"))
 
 
-def rotate(turns: DataFrame, context: Sequence[str] = CONTEXT, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
+def _cut(rows: DataFrame, place: Sequence[str], chunk_turns: int, chunk_chars: int) -> DataFrame:
+    """The rows, equal ones of a piece as one with ``copies``, with the ``piece`` and ``cut`` of their chunk.
+
+    A piece has at most ``chunk_turns`` turns; the turns of a cut start in the same ``chunk_chars`` characters of the chunk.
+    """
+    order = [*place, "turn", "role", "text"]
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    same = rows.groupBy(*order).agg(F.count("*").alias("n"))
+    # written, so a row's range does not change when a lost executor recomputes others
+    dealt = keep(same.repartitionByRange(tasks, *order).withColumn("part", F.spark_partition_id()))
+    size = F.char_length("text").cast("bigint")
+    dealt = dealt.withColumn("size", size).withColumn("chars", F.col("n") * F.col("size"))
+    earlier = Window.partitionBy(*place).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("part", *place).agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    total = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0))
+    starts = starts.select("part", *place, total("n", earlier).alias("n0"), total("chars", earlier).alias("chars0"))
+    inside = Window.partitionBy("part", *place).orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = dealt.join(starts, ["part", *place]).select(
+        *order, "n", "size", (F.col("n0") + total("n", inside)).alias("first"), (F.col("chars0") + total("chars", inside)).alias("at")
+    )
+    end = F.col("first") + F.col("n")
+    pieces = F.sequence(F.floor(F.col("first") / chunk_turns), F.floor((end - 1) / chunk_turns))
+    low = F.greatest("first", F.col("piece") * chunk_turns)
+    found = numbered.withColumn("piece", F.explode(pieces)).withColumn("low", low)
+    high = F.least(F.col("first") + F.col("n"), (F.col("piece") + 1) * chunk_turns)
+    cuts = F.transform(
+        F.sequence(F.col("low"), high - 1), lambda i: F.floor((F.col("at") + (i - F.col("first")) * F.col("size")) / chunk_chars)
+    )
+    found = found.withColumn("cuts", cuts).withColumn("cut", F.explode(F.array_distinct("cuts")))
+    return found.select(*order, "piece", "cut", F.size(F.filter("cuts", lambda c: c == F.col("cut"))).alias("copies"))
+
+
+def rotate(
+    turns: DataFrame, context: Sequence[str] = CONTEXT, chunk_turns: int = CHUNK_TURNS, chunk_chars: int = CHUNK_CHARS
+) -> DataFrame:
     """(conv_id, speaker, chunk, start, n_turns, text, loss_spans) for every participant of every conversation.
 
     ``turns`` has conv_id, turn, role and text. ``loss_spans`` are (start, end) in the text of the chunk; ``start`` is the
-    number of characters before the chunk.
+    number of characters before the chunk. In order of chunk and start the texts are the whole rendering.
     """
     rows = turns.select(
         F.col("conv_id").isNull().alias("none"),
@@ -59,11 +99,18 @@ def rotate(turns: DataFrame, context: Sequence[str] = CONTEXT, chunk_turns: int
         _clean(F.col("text")).alias("text"),
     ).withColumn("chunk", F.floor(F.col("turn") / chunk_turns))
     key, place = ["none", "conv"], ["none", "conv", "chunk"]
+    chars = F.sum(F.char_length("text").cast("bigint"))
+    load = rows.groupBy(*place).agg(F.count("*").alias("n"), chars.alias("chars"))
+    large = not load.filter((F.col("n") > chunk_turns) | ((F.col("n") > 1) & (F.col("chars") > chunk_chars))).isEmpty()
+    if large:
+        rows = _cut(rows, place, chunk_turns, chunk_chars)
+        place += ["piece", "cut"]
+    copies = F.col("copies") if large else F.lit(1)
 
     # lengths by role: one row per conversation, chunk and role
     sizes = rows.groupBy(*place, "role").agg(
-        F.count("*").alias("n"),
-        F.sum(F.char_length("text").cast("bigint")).alias("chars"),
+        F.sum(copies).alias("n"),
+        F.sum(copies * F.char_length("text").cast("bigint")).alias("chars"),
     )
     speakers = sizes.filter((F.col("role") != "") & ~F.col("role").isin(*context)).select(*key, F.col("role").alias("speaker"))
     # a header is counted for every turn; own turns have the assistant's
@@ -73,11 +120,13 @@ def rotate(turns: DataFrame, context: Sequence[str] = CONTEXT, chunk_turns: int
     chunks = sizes.groupBy(*place).agg(F.sum(as_other).alias("length"))
     gains = sizes.select(*place, F.col("role").alias("speaker"), own_gain.alias("gain"))
     sides = chunks.join(speakers.distinct(), key).join(gains, [*place, "speaker"], "left")
-    before = Window.partitionBy(*key, "speaker").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*key, "speaker").orderBy(*place[2:]).rowsBetween(Window.unboundedPreceding, -1)
     own_length = F.col("length") + F.coalesce("gain", F.lit(0))
     sides = sides.select(*place, "speaker", F.coalesce(F.sum(own_length).over(before), F.lit(0)).alias("start"))
 
-    held = rows.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    held = rows.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", copies.alias("copies")))).alias("turns"))
+    if large:
+        held = held.withColumn("turns", F.flatten(F.transform("turns", lambda t: F.array_repeat(t, t["copies"]))))
     parts = F.transform(
         "turns",
         lambda t: F.struct(

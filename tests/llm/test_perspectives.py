@@ -55,3 +55,20 @@ def test_rotation(spark):
     assert rendered(done) == plain(rows)
     assert max(r["n_turns"] for r in done) <= 64
     assert perspectives.rotate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_equal_and_null_turn_numbers_fill_no_chunk(spark):
+    draw = random.Random(4)
+    turn = lambda: (draw.choice(["ann", "bob", "system", None]), draw.choice(["same", "", None, f"t{draw.randrange(500)}"]))
+    rows = [(1, 5, *turn(), "s", 1) for _ in range(3000)]  # one turn number
+    rows += [(None, None, *turn(), "s", 1) for _ in range(3000)] + [(None, i % 40, *turn(), "s", 1) for i in range(1000)]
+    rows += [(2, None, "cy", "the same row", "s", 1)] * 2000 + [(2, 70, "ann", "x", "s", 1), (3, 0, "ann", "y", "s", 1)]
+    rows += [(4, i, "ann", "long " * 400, "s", 1) for i in range(50)] + [(4, 50, "bob", "longer " * 4000, "s", 1)]
+    rows += [(5, 1, "ann", "long " * 400, "s", 1)] * 50
+    turns = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    done = perspectives.rotate(turns, chunk_chars=10_000).collect()
+    assert max(r["n_turns"] for r in done) <= 64
+    assert all(len(r["text"]) < 10_000 + 2000 + 64 * 60 for r in done if r["n_turns"] > 1 and "longer" not in r["text"])
+    done.sort(key=lambda r: r["start"])
+    assert rendered(done) == plain(rows)
+    assert {r["chunk"] for r in done if r["conv_id"] == 1} == {0}
