@@ -199,7 +199,9 @@ def drop_contaminated(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """The rows of ``docs`` in which no window of any item occurs, with all their columns."""
-    for sent in _sent(docs.sparkSession, items, window, gram, block_bytes):
+    for number, sent in enumerate(_sent(docs.sparkSession, items, window, gram, block_bytes)):
+        if number:  # one block's index at a time
+            docs = keep(docs)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value

@@ -80,3 +80,13 @@ def test_winnowing_keeps_a_fingerprint_of_every_shared_span():
             found = winnowing.grams(winnowing.word_hashes(t), 5)
             own.append(set(found[winnowing.winnow(found, 6)].tolist()))
         assert own[0] & own[1]
+
+
+def test_one_block_of_items_at_a_time(spark):
+    rows, items = data()
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id bigint, text string, items int")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert len(list(winnowing._blocks(bench, 800))) > 2
+    clean = winnowing.drop_contaminated(docs, bench, block_bytes=800)
+    assert clean._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(repr, clean.collect())) == sorted(map(repr, winnowing.drop_contaminated(docs, bench).collect()))
