@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: one on ordinary documents, one on toxic documents. The toxic
-one starts from the ordinary one, since toxic documents are mostly ordinary text, and goes on with what marks toxic
-text: the words and word beginnings that recur in it in many different surroundings and hardly in ordinary text. A text
+Two zstandard dictionaries are made from labelled text. The ordinary one is trained on ordinary documents. The toxic one
+is not trained: it is the ordinary one, since toxic documents are mostly ordinary text, and what marks toxic text, chosen
+by counting: the words and word beginnings that recur in it in many different surroundings and hardly in ordinary text. A text
 is cut into windows of words. A window that gets shorter with the toxic dictionary than with the ordinary one holds
 toxic text; how much shorter is its margin. A document's margins (the largest ones, how many pass one and two bytes, their sum and share)
 meet weights and a threshold that are calibrated on labelled documents kept apart from the dictionaries.
