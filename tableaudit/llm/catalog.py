@@ -6,11 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_perspectives, op2_chaining, op3_token_counts, op4_topk, op5_toxicity, op6_simhash, op7_winnowing, op8_pii, op9_best_fit, op10_token_files
+from . import (
+    op1_perspectives,
+    op2_chaining,
+    op3_token_counts,
+    op4_topk,
+    op5_toxicity,
+    op6_simhash,
+    op7_winnowing,
+    op8_pii,
+    op9_best_fit,
+    op10_token_files,
+    op11_shards,
+    op12_periodic_runs,
+    op13_importance,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (op1_perspectives, op2_chaining, op3_token_counts, op4_topk, op5_toxicity, op6_simhash, op7_winnowing, op8_pii, op9_best_fit, op10_token_files)
+_MODULES = (
+    op1_perspectives,
+    op2_chaining,
+    op3_token_counts,
+    op4_topk,
+    op5_toxicity,
+    op6_simhash,
+    op7_winnowing,
+    op8_pii,
+    op9_best_fit,
+    op10_token_files,
+    op11_shards,
+    op12_periodic_runs,
+    op13_importance,
+)
 
 
 def queries() -> dict[str, Query]:
