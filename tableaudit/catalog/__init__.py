@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning, distribution, drift, quality, relations, sources, target, text
+from . import cleaning, distribution, drift, quality, relations, segments, sources, target, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (sources, quality, distribution, relations, target, cleaning, drift, text)
+_MODULES = (sources, quality, distribution, relations, target, cleaning, drift, text, segments)
 
 
 def queries() -> dict[str, Query]:

@@ -79,3 +79,36 @@ REASON_DROP = (
 REASON_ANOMALY = (
     "Banned Anomaly Claim: Observations classified as anomalies without underlying statistical evidence."
 )
+REASON_NUMBER = "Numeric Mismatch: %s is %s in the text and %s in the evidence."
+REASON_LABEL = "Label Mismatch: %s is '%s' in the text and '%s' in the evidence."
+REASON_NO_EVIDENCE = "No Evidence: nothing is known of the subject of this claim."
+
+# --- wording of claims; the names in braces are facts of the evidence ----------------
+SENTENCES = {
+    "missingness": "Column '{column}' has {missing_pct}% missing values ({null_count} rows), categorized as {severity} severity.",
+    "duplicates": "Dataset contains {duplicate_rows} duplicate rows ({duplicate_pct}%), representing a {severity} uniqueness concern.",
+    "constant_column": "Feature '{column}' is a zero-variance constant column with 1 unique value across all rows.",
+    "quasi_constant": "Feature '{column}' is quasi-constant, with value '{value}' accounting for {top_pct}% of observations.",
+    "pii": "Column '{column}' contains potential {type} PII with {confidence} confidence.",
+    "quality_score": "Overall Data Quality Score is {overall_score}/100 with Grade {grade}.",
+    "shape": "Numeric feature '{column}' exhibits mean={mean}, median={median}, skewness={skewness} ({severity}).",
+    "normality": "Numeric feature '{column}' {verdict} normal distribution assumptions per {test} (p={p_value}).",
+    "outliers": "Feature '{column}' contains {total_outliers} outliers ({outlier_pct}%), representing a {severity} outlier presence.",
+    "simpsons": (
+        "Simpson's Paradox detected between '{feature_x}' and '{feature_y}': overall correlation (r={overall_corr}) "
+        "reverses direction when conditioned on subgroup '{group_var}'."
+    ),
+    "correlation": "Pairwise correlation between {pair} is statistically significant ({method}, r={corr}, FDR p_adj={p_adj}).",
+    "group_test": (
+        "Group difference test ({test}) on {variables} indicates a statistically significant difference (p_adj={p_adj}, "
+        "effect size {effect}={effect_size})."
+    ),
+    "redundancy": "Features '{col1}' and '{col2}' exhibit high feature redundancy with correlation r={corr}.",
+    "imbalance": (
+        "Target variable exhibits a class distribution of {classes} with a minority/majority imbalance ratio of {ratio} "
+        "({severity} imbalance)."
+    ),
+    "leakage": "Data leakage warning: Column '{column}' has near-perfect correlation (r={correlation}) with the target variable.",
+}
+VERDICT_NORMAL = "complies with"
+VERDICT_NOT_NORMAL = "departs from"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import TYPE_CHECKING
 
 import pandas as pd
@@ -16,7 +17,8 @@ from ..functions.moments import omnibus, sample_kurtosis, sample_skewness
 from ..functions.shapiro import shapiro_wilk
 from ..plans.aggregates import per_column, small_table
 from ..plans.freq import long_form, value_counts, whole_texts
-from ..plans.quantiles import exact_quantiles
+from ..plans.quantiles import DIRECT_ROWS, exact_quantiles
+from ..plans.spreads import counted_spreads
 
 if TYPE_CHECKING:
     from .facts import Facts
@@ -139,6 +141,27 @@ def spread(
     }
 
 
+def spread_table(
+    df: DataFrame, values: Mapping[str, Column], counts: Mapping[str, int], mad_limit: float = 3.5, fence: float = 1.5
+) -> DataFrame:
+    """``(column, n, q25, median, q75, mad, mad_count, iqr_count, total_outliers)`` of each expression with values.
+
+    Columns of up to ``DIRECT_ROWS`` values take everything from one table of value counts; larger ones bracket their
+    quantiles and count outliers in a scan.
+    """
+    small = {c: v for c, v in values.items() if 0 < counts[c] <= DIRECT_ROWS}
+    large = {c: v for c, v in values.items() if counts[c] > DIRECT_ROWS}
+    parts = []
+    if small:
+        parts.append(counted_spreads(long_form(df, small), ["column"], mad_limit, fence))
+    if large:
+        found = spread(df, large, counts)
+        rows = [(c, s["q25"], s["median"], s["q75"], s["mad"]) for c, s in found.items()]
+        table = small_table(df.sparkSession, rows, "column string, q25 double, median double, q75 double, mad double")
+        parts.append(table.join(count_outliers(df, large, found, mad_limit, fence).drop("position"), "column"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def sketched_spread(df: DataFrame, values: Mapping[str, Column]) -> dict[str, dict[str, float]]:
     """Quartiles, median and median absolute deviation from quantile sketches."""
     row = df.agg(*[F.percentile_approx(v, [0.25, 0.5, 0.75], 10_000) for v in values.values()]).first()
@@ -192,8 +215,9 @@ def outliers(
     counts = {r["column"]: r["n"] for r in moments(df, values).select("column", "n").collect()} if values else {}
     if not any(counts.values()):
         return _no_outliers(df)
-    counted = count_outliers(df, values, spread(df, values, counts), mad_limit, fence)
-    return _outlier_share(counted)
+    places = small_table(df.sparkSession, [(i, c) for i, c in enumerate(c for c in values if counts[c] > 0)], "position int, column string")
+    counted = places.join(spread_table(df, values, counts, mad_limit, fence), "column")
+    return _outlier_share(counted.select("position", "column", "n", "mad_count", "iqr_count", "total_outliers"))
 
 
 def _no_outliers(df: DataFrame) -> DataFrame:
@@ -213,12 +237,21 @@ def _outlier_share(counted: DataFrame) -> DataFrame:
 
 
 def numeric_profile(
-    df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True, facts: Facts | None = None
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    exact: bool = True,
+    facts: Facts | None = None,
+    by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every distribution statistic of each numeric column that has values, rounded to 4 decimals.
 
-    ``exact=False`` takes quartiles and median deviations from sketches: two scans less per quantile.
+    ``exact=False`` takes quartiles and median deviations from sketches: two scans less per quantile. With ``by``, one row
+    per segment and column.
     """
+    if by:
+        from .segments import numeric_profile_by
+
+        return numeric_profile_by(df, by, columns)
     from .facts import Facts
 
     facts = facts or Facts(df, columns)
@@ -227,22 +260,22 @@ def numeric_profile(
         return _no_profile(df)
     values = {r["column"]: facts.values[r["column"]] for r in found}
     counts = {r["column"]: r["n"] for r in found}
-    spreads = spread(df, values, counts) if exact else sketched_spread(df, values)
     rows = [
-        (
-            r["position"], r["column"], r["mean"], r["std"], r["variance"], r["low"], r["high"], r["kurtosis"],
-            spreads[r["column"]]["q25"], spreads[r["column"]]["median"], spreads[r["column"]]["q75"],
-            spreads[r["column"]]["mad"],
-        )
-        for r in found
-    ]
+        (r["position"], r["column"], r["mean"], r["std"], r["variance"], r["low"], r["high"], r["kurtosis"]) for r in found
+    ]
     table = small_table(
         df.sparkSession,
         rows,
-        "position int, column string, mean double, std double, variance double, min double, max double, "
-        "kurtosis double, q25 double, median double, q75 double, mad double",
+        "position int, column string, mean double, std double, variance double, min double, max double, kurtosis double",
     )
-    flagged = _outlier_share(count_outliers(df, values, spreads)).drop("position", "n")
+    if exact:
+        spreads = spread_table(df, values, counts)
+    else:
+        sketched = sketched_spread(df, values)
+        rows = [(c, s["q25"], s["median"], s["q75"], s["mad"]) for c, s in sketched.items()]
+        spreads = small_table(df.sparkSession, rows, "column string, q25 double, median double, q75 double, mad double")
+        spreads = spreads.join(count_outliers(df, values, sketched).drop("position"), "column")
+    flagged = _outlier_share(spreads).drop("n")
     tested = small_table(
         df.sparkSession,
         [tuple(r) for r in facts.normality],
@@ -286,11 +319,18 @@ def _no_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def categorical_profile(df: DataFrame, top: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
+def categorical_profile(
+    df: DataFrame, top: int = 5, columns: Sequence[str] | None = None, by: Sequence[str] | None = None
+) -> DataFrame:
     """``(position, column, nunique, unique_ratio, place, value, n, pct)``: the most frequent values.
 
-    Ties go to the smallest value. The top-``top`` filter runs inside every task before the final shuffle.
+    Ties go to the smallest value. The top-``top`` filter runs inside every task before the final shuffle. With ``by``,
+    the most frequent values of every segment.
     """
+    if by:
+        from .segments import categorical_profile_by
+
+        return categorical_profile_by(df, by, top, columns)
     names = list(columns) if columns is not None else other_columns(df)
     schema = (
         "position int, column string, nunique bigint, unique_ratio double, place int, value string, n bigint, pct double"

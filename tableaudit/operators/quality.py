@@ -78,13 +78,17 @@ def _missing(counts: DataFrame, legacy: bool = False, *extra: str) -> DataFrame:
     return out.withColumn("severity", level(F.col("missing_pct")))
 
 
-def column_quality(df: DataFrame, quasi_share: float = 95.0) -> DataFrame:
+def column_quality(df: DataFrame, quasi_share: float = 95.0, by: Sequence[str] | None = None) -> DataFrame:
     """One row per column: missing values, constant and near-constant values, negatives, placeholders.
 
     Near-constant columns need exact value counts. A value that covers 95 % of the rows makes its hash
     bucket cover 95 %, so only columns with such a bucket are counted by value; identifiers, measurements
-    and free text never reach that shuffle.
+    and free text never reach that shuffle. With ``by``, one row per segment and column.
     """
+    if by:
+        from .segments import column_quality_by
+
+        return column_quality_by(df, by, quasi_share)
     facts = _scan(df).collect()
     spark = df.sparkSession
     rows = [tuple(r) for r in facts]
@@ -220,8 +224,15 @@ def category_variants(df: DataFrame, names: Sequence[str] | None = None) -> Data
     return found.select("column", F.col("norm").alias("normalised"), F.col("form").alias("variant"), "n")
 
 
-def table_quality(df: DataFrame) -> DataFrame:
-    """One row: missing cells, duplicates, score parts, overall score, grade and dimensionality."""
+def table_quality(df: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    """One row: missing cells, duplicates, score parts, overall score, grade and dimensionality.
+
+    With ``by``, one row per segment.
+    """
+    if by:
+        from .segments import table_quality_by
+
+        return table_quality_by(df, by)
     width = len(df.columns)
     cells = per_column(
         df,
@@ -245,13 +256,18 @@ def table_quality(df: DataFrame) -> DataFrame:
     parts = [cells, copies, variants]
     one = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     one = one.agg(*[F.max(c).alias(c) for c in one.columns])
+    return scored(one, width)
+
+
+def scored(one: DataFrame, width: int, *keys: str) -> DataFrame:
+    """Score parts, overall score and grade from the counts of a table (or of each segment) with ``width`` columns."""
     total = F.greatest(F.col("total_rows") * width, F.lit(1))
     none_if_empty = F.nullif(F.col("total_rows"), F.lit(0))
 
     def share(part: Column) -> Column:
         return F.greatest(F.lit(0.0), 100.0 * (1.0 - F.coalesce(part, F.lit(0.0))))
 
-    scored = one.select(
+    parts = one.select(
         "*",
         share(F.col("total_nulls") / total).alias("__complete"),
         share(F.col("duplicate_rows") / none_if_empty).alias("__unique"),
@@ -263,7 +279,8 @@ def table_quality(df: DataFrame) -> DataFrame:
     )
     dup_pct = F.coalesce(F.round(F.col("duplicate_rows") * 100.0 / none_if_empty, 4), F.lit(0.0))
     ratio = F.coalesce(F.round(F.lit(float(width)) / none_if_empty, 4), F.lit(0.0))
-    return scored.select(
+    return parts.select(
+        *keys,
         "total_rows",
         F.lit(width).alias("total_cols"),
         "total_nulls",

@@ -139,11 +139,17 @@ def correlations(
     method: str = "auto",
     min_n: int = 8,
     facts: Facts | None = None,
+    by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Correlation family: coefficient, p value, adjusted p value and strength of every column pair.
 
-    ``auto`` takes Pearson when both columns pass the normality gate and Spearman otherwise.
+    ``auto`` takes Pearson when both columns pass the normality gate and Spearman otherwise. With ``by``, one family per
+    segment.
     """
+    if by:
+        from .segments import correlations_by
+
+        return correlations_by(df, by, columns, method, min_n)
     rows = _coefficients(df, facts or Facts(df, columns), method, min_n)
     table = small_table(df.sparkSession, rows, _CORRELATION)
     n, r = F.col("n_eff"), F.coalesce(F.col("r"), F.lit(0.0))
@@ -236,11 +242,17 @@ def simpsons(
     min_group: int = 6,
     min_group_r: float = 0.15,
     facts: Facts | None = None,
+    by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Pairs whose correlation changes sign inside subgroups: one row per reversing subgroup.
 
-    Only pairs that pass the overall rule are computed per subgroup. ``limit`` keeps the first findings.
+    Only pairs that pass the overall rule are computed per subgroup. ``limit`` keeps the first findings. With ``by``, the
+    rule is applied inside every segment, whole.
     """
+    if by:
+        from .segments import simpsons_by
+
+        return simpsons_by(df, by, columns, groups, min_n, min_r, min_group, min_group_r)
     values = numeric_values(df, columns)
     schema = (
         "finding int, feature_x string, feature_y string, group_var string, overall_corr double, "

@@ -20,6 +20,7 @@ from ..plans.quantiles import order_positions
 from ..sources.sampling import HASH_RANGE, row_hash
 from .imputing import apply_fill, fit_fill
 from .relations import redundant_pairs, vif_scores
+from .segments import class_balance_by, class_distribution_by
 
 
 def detect_target(df: DataFrame) -> str | None:
@@ -65,16 +66,25 @@ def schema_evidence(df: DataFrame, target: str | None = None) -> DataFrame:
     return counted.select(F.inline(items), "total_rows", F.lit(len(df.columns)).alias("total_cols"))
 
 
-def class_distribution(df: DataFrame, target: str) -> DataFrame:
-    """``(class, n)`` without missing values."""
+def class_distribution(df: DataFrame, target: str, by: Sequence[str] | None = None) -> DataFrame:
+    """``(class, n)`` without missing values; with ``by``, of every segment."""
+    if by:
+        return class_distribution_by(df, target, by)
     return value_counts(df, [target], whole=True).select(F.col("value").alias("class"), "n")
 
 
-def class_balance(df: DataFrame, target: str) -> DataFrame:
-    """One row: number of classes, smallest and largest class, their ratio and its severity."""
+def class_balance(df: DataFrame, target: str, by: Sequence[str] | None = None) -> DataFrame:
+    """One row: number of classes, smallest and largest class, their ratio and its severity; one a segment with ``by``."""
+    if by:
+        return class_balance_by(df, target, by)
     sized = class_distribution(df, target).agg(
         F.count(F.lit(1)).alias("classes"), F.min("n").alias("min_count"), F.max("n").alias("max_count")
     )
+    return balanced(sized)
+
+
+def balanced(sized: DataFrame) -> DataFrame:
+    """Ratio and severity from the number of classes and the sizes of the smallest and the largest one."""
     ratio = F.when(F.col("classes") > 1, F.round(F.col("min_count") / F.col("max_count"), 4))
     return sized.withColumn("imbalance_ratio", ratio).withColumn(
         "imbalance_severity", F.coalesce(severity.imbalance_severity(F.col("imbalance_ratio")), F.lit("balanced"))
