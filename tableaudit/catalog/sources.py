@@ -10,7 +10,7 @@ from ..operators.relations import category_values
 from ..operators.target import detect_target, detect_target_or_classes, schema_evidence
 from ..plans.aggregates import small_table
 from ..plans.materialise import ensure_checkpoint_dir
-from ..sources.readers import flatten, infer_types, read_table, resolve_parts
+from ..sources.readers import EmptyDatasetError, flatten, infer_types, read_table, resolve_parts
 from ..sources.sampling import sample_rows
 from ..sources.sinks import write_run
 from .common import DOCS_LABELS, docs_labels, table, union_all
@@ -64,6 +64,48 @@ def json_round_trip(spark, sf_dir):
     return read_table(spark, path).select(*customers.columns)
 
 
+def quoted_csv(spark, sf_dir):
+    """Documents with line breaks written as CSV and read back by splits: the same texts."""
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext.getCheckpointDir()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    back = read_table(spark, write_run(docs, root, f"quoted-{uuid.uuid4().hex}", "documents.csv", "csv"))
+    return back.select("doc_id", "source", F.length("text").cast("bigint").alias("size"), F.md5("text").alias("digest"))
+
+
+def json_documents(spark, sf_dir):
+    """Documents written as JSON files, each one object with a list of up to 500 records, and read back by splits."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/documents-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.struct("source", "n_chars").alias("about"), "text")
+    part = F.floor(F.monotonically_increasing_id() / 500)
+    files = docs.groupBy(part.alias("part")).agg(F.collect_list(F.struct("doc_id", "about", "text")).alias("records"))
+    document = F.to_json(F.struct(F.struct("part", F.array(F.lit(1)).alias("list")).alias("meta"), "records"))
+    files.select(document.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    back = read_table(spark, folder, "json")
+    return back.select(
+        "doc_id",
+        F.col("`about.source`").alias("source"),
+        F.col("`about.n_chars`").alias("n_chars"),
+        F.md5("text").alias("digest"),
+    )
+
+
+def empty_inputs(spark, sf_dir):
+    """What reading says of every table as it is and without its rows."""
+    ensure_checkpoint_dir(spark)
+    root, found = spark.sparkContext.getCheckpointDir(), []
+    for name in ("region", "customer", "orders", "documents"):
+        df = table(spark, sf_dir, name)
+        for kind, rows in (("all", df), ("none", df.where(F.lit(False)))):
+            path = f"{sf_dir}/{name}.parquet" if kind == "all" else write_run(rows, root, uuid.uuid4().hex, f"{name}.parquet")
+            try:
+                found.append((name, kind, "rows" if read_table(spark, path, "parquet").columns == df.columns else "other columns"))
+            except EmptyDatasetError:
+                found.append((name, kind, "empty"))
+    return small_table(spark, found, "source string, kind string, outcome string")
+
+
 def flat_events(spark, sf_dir):
     """Nested objects become dotted columns."""
     events = table(spark, sf_dir, "events")
@@ -137,6 +179,21 @@ QUERIES = {
     ),
     "csv_round_trip": (csv_round_trip, "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer"),
     "json_round_trip": (json_round_trip, "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer"),
+    "quoted_csv": (
+        quoted_csv,
+        "SELECT doc_id, source, length(text) AS size, md5(text) AS digest FROM documents",
+    ),
+    "json_documents": (json_documents, "SELECT doc_id, source, n_chars, md5(text) AS digest FROM documents"),
+    "empty_inputs": (
+        empty_inputs,
+        union_all(
+            [
+                f"SELECT '{t}' AS source, 'all' AS kind, CASE WHEN count(*) > 0 THEN 'rows' ELSE 'empty' END AS outcome FROM {t} "
+                f"UNION ALL SELECT '{t}', 'none', 'empty'"
+                for t in ("region", "customer", "orders", "documents")
+            ]
+        ),
+    ),
     "flat_events": (
         flat_events,
         'SELECT event_id, event_type AS "body.kind", CAST(json_extract(props, \'$.k\') AS BIGINT) AS "body.props.k" '

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.target import class_balance, class_distribution, leakage, ml_prepare, split
+from ..operators.target import class_balance, class_distribution, leakage, ml_prepare, ml_readiness, split
+from ..plans.pairs import all_pairs
 from .common import DOCS_LABELS, PRICED_LINEITEM, docs_labels, priced_lineitem, table, union_all
 from .relations import _REVERSING, _reversing
 
@@ -22,6 +26,23 @@ def price_leakage(spark, sf_dir):
     return leakage(priced_lineitem(spark, sf_dir), "revenue")
 
 
+def readiness(spark, sf_dir):
+    """Supervised checks of line items with a target, redundancy checks of priced ones without."""
+    checks = ml_readiness(_reversing(spark, sf_dir), "l_linestatus") | ml_readiness(priced_lineitem(spark, sf_dir))
+    item = {
+        "class_distribution": (F.col("class"), F.col("n")),
+        "class_balance": (F.col("imbalance_severity"), F.col("imbalance_ratio")),
+        "leakage": (F.col("column"), F.col("correlation")),
+        "redundant": (F.concat_ws(" & ", "col1", "col2"), F.col("corr")),
+        "vif": (F.col("column"), F.col("vif")),
+    }
+    parts = [
+        checks[name].select(F.lit(name).alias("check"), what.alias("item"), value.cast("double").alias("value"))
+        for name, (what, value) in item.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def status_leakage(spark, sf_dir):
     """A level that nearly repeats a text target with two values."""
     return leakage(_reversing(spark, sf_dir), "l_linestatus", limit=0.9)
@@ -124,7 +145,27 @@ _PREPARED = (
     "coalesce(priority, (SELECT priority FROM top)) AS priority, status FROM cut"
 )
 
+_REDUNDANT = union_all(
+    [
+        f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS r FROM ({PRICED_LINEITEM})"
+        for a, b in all_pairs(["l_quantity", "l_extendedprice", "revenue", "unit_price", "charge"])
+    ]
+)
+_IS_OPEN = "CAST(l_linestatus = 'O' AS INTEGER)"
+_READINESS = (
+    f"WITH classes AS (SELECT l_linestatus AS c, count(*) AS n FROM ({_REVERSING}) GROUP BY 1), pairs AS ({_REDUNDANT}), "
+    "ends AS (SELECT a AS c, r * r AS r2 FROM pairs UNION ALL SELECT b, r * r FROM pairs) "
+    "SELECT 'class_distribution' AS \"check\", c AS item, n::DOUBLE AS value FROM classes "
+    "UNION ALL SELECT 'class_balance', CASE WHEN ratio < 0.2 THEN 'severe' WHEN ratio < 0.5 THEN 'moderate' ELSE 'balanced' END, ratio "
+    "FROM (SELECT round(min(n) / max(n), 4) AS ratio FROM classes) "
+    "UNION ALL SELECT 'leakage', \"column\", correlation FROM "
+    f"({_leakage_sql(_REVERSING, ['level', 'rate', 'l_tax'], _IS_OPEN, 0.95)}) "
+    "UNION ALL SELECT 'redundant', a || ' & ' || b, round(r, 4) FROM pairs WHERE r > 0.9 "
+    "UNION ALL SELECT 'vif', c, round(CASE WHEN max(r2) < 0.9999 THEN 1 / (1 - max(r2)) ELSE 999.0 END, 2) FROM ends GROUP BY c"
+)
+
 QUERIES = {
+    "readiness": (readiness, _READINESS),
     "toxic_classes": (
         toxic_classes,
         f'SELECT CAST(toxic AS VARCHAR) AS "class", count(*) AS n FROM ({DOCS_LABELS}) WHERE toxic IS NOT NULL GROUP BY toxic',

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 from ..functions.columns import is_numeric, quoted, stripped
 from ..functions.constants import NA_TOKENS
+from ..plans.materialise import ensure_checkpoint_dir
+from .splits import csv_records, json_records, parse_csv
 
 _INTEGER = r"^[+-]?\d{1,19}$"
 _NUMBER = r"(?i)^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity)$"
@@ -80,8 +83,8 @@ def read_csv(
 ) -> DataFrame:
     """Delimited text with a header. Files whose bytes are not UTF-8 are read as Latin-1, each file by itself.
 
-    ``multiline=None`` looks for quoted line breaks first (a line with an odd number of quotes), so that
-    files without them stay splittable.
+    ``multiline=None`` looks for quoted line breaks first (a line with an odd number of quotes). Files with such breaks are
+    split like others: see ``splits.csv_records``.
     """
     lines = spark.read.text(path)  # bytes as they are
     if multiline is None:
@@ -91,15 +94,22 @@ def read_csv(
     def load(paths: str | list[str], encoding: str) -> DataFrame:
         return spark.read.csv(paths, header=True, sep=sep, multiLine=multiline, quote='"', escape='"', encoding=encoding)
 
-    # one row per file
     files = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"))
-    other = files.where(~F.col("valid")).collect()
-    if not other:
-        df = load(path, "UTF-8")
+    found = files.collect()  # one row per file
+    groups = [([r["file"] for r in found if r["valid"] == valid], name) for valid, name in ((False, "ISO-8859-1"), (True, "UTF-8"))]
+    groups = [g for g in groups if g[0]]
+    if not groups:
+        return load(path, "UTF-8")
+    if multiline:
+        records, _ = csv_records(spark, path, sep)
+        # the reader of whole files only looks at the first record here, for the names
+        parts = [
+            parse_csv(records.where(F.col("file").isin(names)) if len(groups) > 1 else records, load(names, encoding).columns, sep)
+            for names, encoding in groups
+        ]
     else:
-        df = load([r["file"] for r in other], "ISO-8859-1")
-        rest = [r["file"] for r in files.where("valid").collect()]
-        df = df.unionByName(load(rest, "UTF-8"), allowMissingColumns=True) if rest else df
+        parts = [load(path if len(groups) == 1 else names, encoding) for names, encoding in groups]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return infer_types(df, na_tokens) if infer else df
 
 
@@ -124,40 +134,30 @@ def flatten(df: DataFrame) -> DataFrame:
 def read_json(
     spark: SparkSession, path: str, records_key: str | None = None, lines: bool = False
 ) -> DataFrame:
-    """JSON documents (one value per file), or JSON lines with ``lines=True``, which stays splittable.
+    """JSON documents (one value per file), or JSON lines with ``lines=True``.
 
-    A root object yields the records of ``records_key``, or of its first list-valued key in file order, chosen for each
-    file.
+    A root list yields its elements; a root object yields the records of ``records_key``, or of its first list-valued key in
+    file order, chosen for each file, or itself where it has no list. Documents with lists are read by many tasks: their
+    records are written to the checkpoint folder as lines once, see ``splits.json_records``.
     """
     if lines:
         return flatten(spark.read.json(path))
-    df = spark.read.json(path, multiLine=True)
-    lists = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
-    if records_key is not None:
-        return flatten(_records(df, records_key))
-    if not lists:
-        return flatten(df)
-    document = spark.read.text(path, wholetext=True)
-    keys = F.filter(F.json_object_keys("value"), lambda k: k.isin(lists))
-    first = F.when(F.ltrim("value").startswith("{"), F.get(keys, F.lit(0)))
-    chosen = document.select(F.col("_metadata.file_path").alias("__file"), first.alias("__key"))
-    found = [r["__key"] for r in chosen.select("__key").distinct().orderBy("__key").collect()]
-    if len(found) == 1:
-        return flatten(df if found[0] is None else _records(df, found[0]))
-    # one row per file
-    by_file = df.select("*", F.col("_metadata.file_path").alias("__file")).join(chosen, "__file", "left")
-    parts = [_records(by_file.where(F.col("__key") == k), k) for k in found if k is not None]
-    if None in found:
-        parts.append(by_file.where(F.col("__key").isNull()).drop("__file", "__key", *lists))
+    records, single = json_records(spark, path, records_key)
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/json-{uuid.uuid4().hex}"
+    line = F.concat(F.lit('{"record": '), F.regexp_replace("text", r"[\r\n]+", " "), F.lit("}"))
+    records.select(line.alias("value")).write.text(folder)
+    parts = []
+    df = spark.read.json(folder)
+    if "record" in df.columns:
+        parts.append(df.select("record.*") if isinstance(df.schema["record"].dataType, T.StructType) else df.select("record"))
+    if single and records_key is None:
+        parts.append(spark.read.json(single, multiLine=True))
+    if not parts:
+        return flatten(spark.read.json(path, multiLine=True).limit(0))
     return flatten(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
 
 
-def _records(df: DataFrame, key: str) -> DataFrame:
-    """The elements of a list-valued column as rows."""
-    df = df.select(F.explode(quoted(key)).alias("record"))
-    return df.select("record.*") if isinstance(df.schema["record"].dataType, T.StructType) else df
-
-
 def jdbc_options(
     table: str,
     database: str,

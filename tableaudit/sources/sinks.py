@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-_WRITERS = {"csv": {"header": True, "escape": '"'}, "parquet": {}, "orc": {}, "json": {}}
+#: outer white space is part of a value
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+_WRITERS = {"csv": _CSV, "parquet": {}, "orc": {}, "json": {}}
 
 
 def run_path(root: str, run_id: str, name: str) -> str:
