@@ -13,7 +13,7 @@ of every text.
 
 Defined cases: a null or empty text has one empty window and a low score; a document with contradicting labels counts
 as toxic; labels that are neither 0 nor 1 and null ids are left out; a null doc_id is not held out; without labels of
-both kinds every score is 0; repeated rows stay. Extra columns of documents are not read.
+both kinds every score is 0; repeated rows stay, and of the texts of a repeated doc_id the smallest is learned from. Extra columns of documents are not read.
 """
 
 from __future__ import annotations
@@ -186,8 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = (
         texts.filter(F.char_length("text").between(1, LONGEST))
         .join(F.broadcast(sample), "doc_id")  # at most TOXIC_ROWS + ORDINARY_ROWS ids
+        .groupBy("doc_id", "toxic")
+        .agg(F.min("text").alias("text"))  # whatever the order of rows
         .withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(1000)) / 1000)
-        .dropDuplicates(["doc_id"])
         .orderBy("doc_id")
         .collect()
     )

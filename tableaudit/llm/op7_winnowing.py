@@ -74,11 +74,36 @@ class Windows:
         sizes = [len(k) for k in keys]
         keys = np.concatenate(keys)
         order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.owner = np.repeat(np.arange(len(items), dtype=np.int32), sizes)[order]
-        self.place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])[order]
+        owner = np.repeat(np.arange(len(items), dtype=np.int32), sizes)[order]
+        place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])[order]
+        self._group(keys[order], owner, place)
         self.prints = np.unique(np.concatenate([self.fingerprints(h)[1] for h in hashes]))
 
+    def _group(self, keys: np.ndarray, owner: np.ndarray, place: np.ndarray) -> None:
+        """Every window once: its hash, one place that has its words, and the number of the list of items that have it.
+
+        Windows of a template that many items share lead to one list, which is kept once.
+        """
+        self.lists: list[np.ndarray] = [np.array([i], np.int64) for i in self.ids]
+        known: dict[bytes, int] = {}
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        last = np.concatenate([first[1:], [len(keys)]])
+        alone = last - first == 1
+        at, number = [first[alone]], [owner[first[alone]].astype(np.int64)]
+        for a, b in zip(first[~alone].tolist(), last[~alone].tolist()):
+            texts: dict[bytes, list[int]] = {}
+            for i in range(a, b):
+                texts.setdefault(self._text(owner[i], place[i]), []).append(i)
+            for rows in texts.values():  # more than one only where hashes of different windows agree
+                own = np.unique(np.array([self.ids[o] for o in owner[rows].tolist()], np.int64))
+                if (at_list := known.setdefault(own.tobytes(), len(self.lists))) == len(self.lists):
+                    self.lists.append(own)
+                at.append(np.array(rows[:1]))
+                number.append(np.array([at_list]))
+        at, number = np.concatenate(at), np.concatenate(number)
+        order = np.argsort(keys[at], kind="stable")
+        self.keys, self.owner, self.place, self.number = (x[order] for x in (keys[at], owner[at], place[at], number))
+
     def fingerprints(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and values of the hashes kept from a text's words."""
         found = grams(hashes, self.gram)
@@ -89,8 +114,8 @@ class Windows:
         ends = self.ends[owner]
         return self.texts[owner][ends[place - 1] + 1 if place else 0 : ends[place + self.size - 1]]
 
-    def search(self, words: list[bytes], hashes: np.ndarray) -> Iterator[tuple[int, set[int]]]:
-        """Places in ``words`` where a window occurs, with the items that have it."""
+    def search(self, words: list[bytes], hashes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Places in ``words`` where a window occurs, with the number of the list of items that have it."""
         places, values = self.fingerprints(hashes)
         if not len(places):
             return
@@ -105,9 +130,9 @@ class Windows:
         for i, a, b in zip(around.tolist(), low.tolist(), high.tolist()):
             if a < b:
                 own = b" ".join(words[i : i + self.size])
-                items = {self.ids[o] for o, p in zip(self.owner[a:b].tolist(), self.place[a:b].tolist()) if self._text(o, p) == own}
-                if items:
-                    yield i, items
+                for k in range(a, b):
+                    if self._text(self.owner[k], self.place[k]) == own:
+                        yield i, int(self.number[k])
 
 
 class Index:
@@ -126,9 +151,12 @@ class Index:
         spans: list[tuple[int, int]] = []
         items: set[int] = set()
         for group in self.groups:
-            for i, found in group.search(words, hashes):
+            lists = set()
+            for i, number in group.search(words, hashes):
                 spans.append((i, i + group.size))
-                items |= found
+                lists.add(number)
+            for number in lists:
+                items.update(group.lists[number].tolist())
         return merged(spans), items
 
 
@@ -170,9 +198,11 @@ def contamination(
     state = source.select("*", F.array().cast(_HITS).alias("spans"), F.array().cast("array<bigint>").alias("items"))
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     kinds = [("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.list_(span)), ("items", pa.list_(pa.int64()))]
-    blocks = list(_sent(spark, items, window, gram, block_bytes))
-    for number, sent in enumerate(blocks):
-        final = number == len(blocks) - 1
+    blocks = _sent(spark, items, window, gram, block_bytes)
+    sent = next(blocks)
+    while sent is not None:
+        after = next(blocks, None)
+        final = after is None
         schema = pa.schema([("n_words", pa.int64()) if final and k[0] == "text" else k for k in kinds])
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent, final=final, schema=schema) -> Iterator[pa.RecordBatch]:
@@ -192,6 +222,8 @@ def contamination(
         state = state.mapInArrow(search, columns)
         if not final:
             state = keep(state)
+            sent.unpersist()
+        sent = after
     return state
 
 

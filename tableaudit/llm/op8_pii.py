@@ -45,8 +45,9 @@ _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _URL = re.compile(r"(?:https?|ftp)://[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]+)?(?:[/?#][^\s<>\"']*)?", re.IGNORECASE)
-_ACCOUNT = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|#))?\s*[:=#]?\s*([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])", re.IGNORECASE)
-_SECRET = re.compile(r"\s*[=:]\s*[\"']?([A-Za-z0-9_+/=.-]{8,})")
+#: White space is never given back: what follows it cannot be white space.
+_ACCOUNT = re.compile(r"(?:\s*+(?:number|no\.?|nr\.?|#))?\s*+[:=#]?\s*+([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])", re.IGNORECASE)
+_SECRET = re.compile(r"\s*+[=:]\s*+[\"']?([A-Za-z0-9_+/=.-]{8,})")
 _ACCESS_KEY = re.compile(r"[0-9A-Z]{16}(?![0-9A-Za-z])")
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -145,12 +146,13 @@ def spans_of(text: str | None) -> list[Span]:
         elif what == "+":
             span = _phone(text, at) if at >= last[3] else None
         elif what == "url":
-            found = _URL.match(text, at)
+            found = _URL.match(text, at) if at >= last[4] else None
             span = (at, 4, at + len(found[0].rstrip(".,;:!?)]}"))) if found else None
         elif what == "account":
             span = _account(text, end + 1)
         else:
-            span = _secret(text, at, end + 1)
+            # a cue inside a value leads to a part of that value, unless only the sign after it is left
+            span = _secret(text, at, end + 1) if end + 2 >= last[6] else None
         if span and span[0] >= last[span[1]]:
             out.append(span)
             last[span[1]] = span[2]

@@ -66,3 +66,34 @@ def test_redaction_leaves_no_base_span():
         text = "".join(draw.choices("a1@. +-(", k=60))
         cut = pii.redacted(text)
         assert (cut == text) == (not pii.spans_of(text))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "iban" + " " * 1_000_000 + "x",
+        "iban \t" * 150_000,
+        "http://a/" * 100_000,
+        "https://" * 100_000,
+        "token=" * 150_000,
+        "password " + " " * 1_000_000 + "= abcdefgh1",
+        "+1" + " " * 1_000_000,
+        "1." * 400_000,
+        "a@" * 400_000,
+        "9" * 1_000_000,
+    ],
+    ids=lambda t: t[:12],
+)
+def test_long_texts_take_linear_time(text):
+    import time
+
+    start = time.time()
+    pii.spans_of(text)
+    assert time.time() - start < 10
+
+
+def test_cues_inside_values():
+    """Skipping cues inside a value loses none that starts after it."""
+    text = "token=aaaatoken= bbbbbbbb9 password:xxxxxxtoken = cccccccc secret=ttokentoken=zzzzzzzz"
+    got = [text[a:b] for a, k, b in pii.spans_of(text) if pii.KINDS[k] == "secret"]
+    assert got == ["aaaatoken=", "bbbbbbbb9", "xxxxxxtoken", "cccccccc", "ttokentoken=zzzzzzzz"]

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tableaudit.llm import op7_winnowing as winnowing
@@ -90,3 +91,28 @@ def test_one_block_of_items_at_a_time(spark):
     clean = winnowing.drop_contaminated(docs, bench, block_bytes=800)
     assert clean._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert sorted(map(repr, clean.collect())) == sorted(map(repr, winnowing.drop_contaminated(docs, bench).collect()))
+
+
+def test_template_of_many_items():
+    """Windows of a template lead to one list of items, whatever their number."""
+    import time
+
+    template = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join([f"own{i}", *template])) for i in range(3000)]
+    index = winnowing.Index(items)
+    group = index.groups[0]
+    assert len(group.keys) == 291 + 3000 and len(group.lists) == 3001
+    start = time.time()
+    spans, found = index.search([b"x", *[w.encode() for w in template], b"y"])
+    assert spans == [(1, 301)] and found == set(range(3000))
+    assert time.time() - start < 1
+    assert index.search([b"own7", *[w.encode() for w in template[:9]]]) == ([(0, 10)], {7})
+
+
+def test_windows_with_one_hash(monkeypatch):
+    """Windows are told apart by their words when their hashes agree."""
+    monkeypatch.setattr(winnowing, "grams", lambda hashes, k: np.zeros(max(0, len(hashes) - k + 1), np.uint64))
+    index = winnowing.Index([(1, "a b c"), (2, "a b d"), (3, "a b c")], window=3, gram=3)
+    assert index.search([b"a", b"b", b"c"]) == ([(0, 3)], {1, 3})
+    assert index.search([b"a", b"b", b"d"]) == ([(0, 3)], {2})
+    assert index.search([b"a", b"b", b"e"]) == ([], set())
