@@ -26,6 +26,8 @@ END_OF_DOCUMENT = 0
 BATCH_BYTES = 8_000_000
 #: Words kept with their ids from batch to batch; about 40 bytes each. Beyond, only the last batch is kept.
 KEPT_WORDS = 500_000
+#: The same of whole pieces, with the signs at their ends.
+KEPT_PIECES = 1_000_000
 PIECES_A_STRING = 2000
 ENDS = ".,"
 _CUT, _MARK = "\0", "\1"
@@ -34,6 +36,10 @@ _UNSAFE = re.compile(r" (?!\S)")
 _SAFE = re.compile(r" (?=\S)")
 _SPACE = re.compile(r"\s")
 _MORE_LINES = re.compile(r"\n(?!\S)|\s\n")
+#: White space but for spaces and line breaks: of ASCII, of Latin-1, and the rest.
+_RARE = tuple("\t\x0b\x0c\r\x1c\x1d\x1e\x1f"), tuple("\x85\xa0"), tuple(
+    chr(c) for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
 
 
 def _letters() -> dict[int, str]:
@@ -44,6 +50,23 @@ def _letters() -> dict[int, str]:
 
 
 _AS_LETTERS = _letters()
+_HIDDEN = re.compile("[" + "".join(re.escape(chr(b)) for b in _AS_LETTERS if b >= 0x7F) + "]")
+
+
+def _as_letters(text: str) -> str:
+    """The bytes of a text without control characters but line breaks, as letters."""
+    written = text.encode().decode("latin-1")
+    if not text.isascii():
+        written = _HIDDEN.sub(lambda m: _AS_LETTERS[ord(m[0])], written)
+    return written.replace(" ", _AS_LETTERS[0x20]).replace("\n", _AS_LETTERS[0x0A])
+
+
+def _layout(text: str) -> tuple[bool, bool]:
+    """(a space that is no safe place to cut, a line break that is none) is somewhere in a text."""
+    if any(c in text for c in _RARE[0]) or not text.isascii() and any(c in text for group in _RARE[1:] for c in group):
+        return _UNSAFE.search(text) is not None, _MORE_LINES.search(text) is not None
+    both = " \n" in text
+    return both or "  " in text or text[-1] == " ", both or "\n\n" in text or "\n " in text or text[-1] == "\n"
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:
@@ -70,6 +93,7 @@ class Encoder:
         self.line = line[2][0] if len(line[2]) == 1 and line[0] == line[1] + line[2] + line[3] else None
         self.words, self.bare_words, self.begins = self._words(path)
         self.kept: tuple[pa.Array, np.ndarray, np.ndarray] | None = None
+        self.known: tuple[pa.Array, np.ndarray, np.ndarray] | None = None
         #: Ids of signs that end a word; they are apart from its letters.
         self.ends = {c: ids[0] for c, ids in zip(ENDS, self._ids(list(ENDS)))} if self.words is not None else {}
 
@@ -110,7 +134,7 @@ class Encoder:
         groups = [pieces[i : i + PIECES_A_STRING] for i in range(0, len(pieces), PIECES_A_STRING)]
         strings = [lead + ("\n" + lead).join(group) for group in groups]
         if plain:
-            strings = [x.encode().decode("latin-1").translate(_AS_LETTERS) for x in strings]
+            strings = [_as_letters(x) for x in strings]
         flat, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         if plain and lead:  # every word begins with an id that begins with a space, and no other id does
             for done in self.words.encode_batch_fast(strings, add_special_tokens=False):
@@ -202,6 +226,28 @@ class Encoder:
         out[(at + whole - 1)[closed]] = end[closed] - 1
         return out, whole
 
+    def _known(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): where the ids of each distinct piece of a batch stand; only new pieces are encoded."""
+        if self.known is None:
+            ids, sizes = self._distinct(pieces.to_pylist())
+            self.known = pieces, ids, sizes
+            return ids, np.cumsum(sizes) - sizes, sizes
+        old, ids, sizes = self.known
+        found = pc.fill_null(pc.index_in(pieces, value_set=old), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            fresh = pieces.take(pa.array(new))
+            more, more_sizes = self._distinct(fresh.to_pylist())
+            found[new] = len(old) + np.arange(len(new))
+            old, ids, sizes = pa.concat_arrays([old, fresh]), np.concatenate([ids, more]), np.concatenate([sizes, more_sizes])
+        starts = np.cumsum(sizes) - sizes
+        own = starts[found], sizes[found]
+        if len(old) > KEPT_PIECES:
+            self.known = pieces, ids[_spread(*own)], own[1]
+        else:
+            self.known = old, ids, sizes
+        return ids, *own
+
     def _batch(self, texts: Sequence[str | None]) -> list[bytes]:
         joined, direct = [], {}
         for i, text in enumerate(texts):
@@ -210,18 +256,19 @@ class Encoder:
             elif _MARK in text or _CUT in text:
                 direct[i] = text
                 text = ""
-            elif _UNSAFE.search(text):
-                text = _CUT.join(_SAFE.split(text))
-            elif self.line is None or _MORE_LINES.search(text):
-                text = text.replace(" ", _CUT)
-            else:  # a line break stays with the word after it
-                text = text.replace("\n", " \n").replace(" ", _CUT)
+            else:
+                unsafe, more_lines = _layout(text)
+                if unsafe:
+                    text = _CUT.join(_SAFE.split(text))
+                elif self.line is None or more_lines:
+                    text = text.replace(" ", _CUT)
+                else:  # a line break stays with the word after it
+                    text = text.replace("\n", " \n").replace(" ", _CUT)
             joined.append(_MARK + text)  # the first piece has no space before it
         lists = pc.split_pattern(pa.array(joined, pa.large_string()), _CUT)
         coded = lists.flatten().dictionary_encode()
-        ids, sizes = self._distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, starts, sizes = self._known(coded.dictionary)
         index = coded.indices.to_numpy()
-        starts = np.cumsum(sizes) - sizes
         lengths = sizes[index]
         data = ids[_spread(starts[index], lengths)].astype("<u4", copy=False).tobytes()
         edges = (np.concatenate([[0], np.cumsum(lengths)])[lists.offsets.to_numpy()] * 4).tolist()
