@@ -1,15 +1,15 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
 Vectors are split by components into ``parts``; each part of a query against each part of the rows is a score list, and
-the score is the sum over the parts. The lists are cut into blocks of rows that stay where they are; queries, in blocks
-too, are dealt to all of them.
+the score is the sum over the parts. The lists are cut into blocks of rows that stay where they are, all parts of a row
+in one block; queries, in blocks too, are dealt to all of them.
 
 1. Every list block reports its ``k`` best partial scores for each query. The sums of what is known name ``k`` likely
    rows a query, whose scores are resolved; the k-th of them is a cutoff that no result lies below.
 2. The cutoff goes to all list blocks with the queries. A row whose partial scores all lie below cutoff / parts cannot
-   reach the cutoff, so reporting the entries at or above that threshold is sufficient.
-3. Reported rows with all their partial scores known are settled; rows that can still reach the cutoff, each unknown
-   part counted at the threshold, are resolved from their vectors.
+   reach the cutoff, so the entries at or above that threshold are sufficient; each block collects them as bitmaps.
+3. The remaining scores of rows with an entry are resolved exactly where both blocks lie, and the best ``k`` of each
+   block that reach the cutoff are reported. No entry leaves its block otherwise.
 
 Equal vectors: only the ``k`` + 1 smallest ids of a vector can be among any results, so the others leave the candidates
 before the phases; queries with equal vectors are answered once. A vector held by a third of all rows so costs as much
@@ -38,10 +38,9 @@ QUERIES_A_BLOCK = 1024
 SLOTS = 256
 _LOWEST = -(1 << 62)
 
-_BLOCK = pa.schema(
-    [("block", pa.int64()), ("part", pa.int32()), ("ids", pa.binary()), ("data", pa.binary()), ("cuts", pa.binary())]
-)
-_BLOCK_SQL = "block bigint, part int, ids binary, data binary, cuts binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("data", pa.list_(pa.binary())), ("cuts", pa.binary())])
+_BLOCK_SQL = "block bigint, ids binary, data array<binary>, cuts binary"
+_SCORE = pa.schema([("query", pa.int64()), ("row", pa.int64()), ("score", pa.int64())])
 _ENTRY = pa.schema([("query", pa.int64()), ("row", pa.int64()), ("part", pa.int32()), ("score", pa.int64())])
 _ENTRY_SQL = "query bigint, row bigint, part int, score bigint"
 
@@ -74,11 +73,10 @@ def _blocks(rows: DataFrame, width: int, parts: int, size: int) -> DataFrame:
                 stop = min(at + size, len(own))
                 yield record(
                     _BLOCK,
-                    block=[number] * parts,
-                    part=list(range(parts)),
-                    ids=[own[at:stop].tobytes()] * parts,
-                    data=[grid[at:stop, a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])],
-                    cuts=[low[at:stop].tobytes()] * parts,
+                    block=[number],
+                    ids=[own[at:stop].tobytes()],
+                    data=[[grid[at:stop, a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]],
+                    cuts=[low[at:stop].tobytes()],
                 )
                 number, at = number + 1, stop
             ids, data, cuts, held = [own[at:]], [grid[at:]], [low[at:]], len(own) - at
@@ -109,25 +107,24 @@ def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _pairs(queries: DataFrame, rows: DataFrame, slots: int) -> DataFrame:
-    """Every block of queries beside every list block of the same part."""
-    lists = rows.select(F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int").alias("slot"), "part", "ids", "data")
+    """Every block of queries beside every list block."""
+    lists = rows.select(F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int").alias("slot"), "ids", "data")
     dealt = queries.select(
         F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"),
-        "part",
         F.col("ids").alias("q_ids"),
         F.col("data").alias("q_data"),
         "cuts",
     )
-    return dealt.join(lists, ["slot", "part"]).drop("slot")
+    return dealt.join(lists, "slot").drop("slot")
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple]:
-    for part, q_ids, q_data, cuts, ids, data in zip(
-        *(batch.column(c).to_pylist() for c in ("part", "q_ids", "q_data", "cuts", "ids", "data"))
-    ):
+    """Ids of both sides, partial scores by part, and cutoffs, of each pair of blocks."""
+    for q_ids, q_data, cuts, ids, data in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_data", "cuts", "ids", "data"))):
         q, c = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-        scores = _product(np.frombuffer(q_data, "<i8").reshape(len(q), -1), np.frombuffer(data, "<i8").reshape(len(c), -1))
-        yield part, q, c, scores, np.frombuffer(cuts, "<i8")
+        grid = lambda x, n: np.frombuffer(x, "<i8").reshape(n, -1)
+        scores = (_product(grid(a, len(q)), grid(b, len(c))) for a, b in zip(q_data, data))
+        yield q, c, scores, np.frombuffer(cuts, "<i8")
 
 
 def _best_lists(pairs: DataFrame, k: int) -> DataFrame:
@@ -145,11 +142,12 @@ def _best_lists(pairs: DataFrame, k: int) -> DataFrame:
             return tuple(x[place < k] for x in (query, row, part, score))
 
         for batch in batches:
-            for part, q, c, scores, _ in _unpacked(batch):
-                top = np.argpartition(-scores, min(k, len(c)) - 1, axis=1)[:, :k]
-                at = np.arange(len(q))[:, None]
-                n = top.size
-                held.append((np.repeat(q, top.shape[1]), c[top].reshape(-1), np.full(n, part), scores[at, top].reshape(-1)))
+            for q, c, lists, _ in _unpacked(batch):
+                for part, scores in enumerate(lists):
+                    top = np.argpartition(-scores, min(k, len(c)) - 1, axis=1)[:, :k]
+                    at = np.arange(len(q))[:, None]
+                    n = top.size
+                    held.append((np.repeat(q, top.shape[1]), c[top].reshape(-1), np.full(n, part), scores[at, top].reshape(-1)))
             if held:
                 held = [merged()]
         if held:
@@ -158,17 +156,30 @@ def _best_lists(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.mapInArrow(best, _ENTRY_SQL)
 
 
-def _sufficient(pairs: DataFrame, parts: int) -> DataFrame:
-    """Phase 2: all entries that are not below cutoff / parts."""
+def _reaching(pairs: DataFrame, parts: int, k: int) -> DataFrame:
+    """Phases 2 and 3: the ``k`` best rows of each pair of blocks that reach the cutoff, for each query."""
 
-    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, q, c, scores, cuts in _unpacked(batch):
-                a, b = np.nonzero(scores >= -(-cuts // parts)[:, None])
-                if len(a):
-                    yield record(_ENTRY, query=q[a], row=c[b], part=np.full(len(a), part), score=scores[a, b])
-
-    return pairs.mapInArrow(enough, _ENTRY_SQL)
+            for q, c, lists, cuts in _unpacked(batch):
+                lists = list(lists)
+                least = -(-cuts // parts)[:, None]
+                sufficient = lists[0] >= least  # which entries are at or above the threshold, in any list
+                for scores in lists[1:]:
+                    sufficient |= scores >= least
+                a, b = np.nonzero(sufficient)
+                total = sum(scores[a, b] for scores in lists)
+                reach = total >= cuts[a]
+                a, b, total = a[reach], b[reach], total[reach]
+                order = np.lexsort((c[b], -total, a))
+                a, b, total = a[order], b[order], total[order]
+                new = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.empty(0, bool)
+                place = np.arange(len(a)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(a) else a
+                best = place < k
+                if best.any():
+                    yield record(_SCORE, query=q[a[best]], row=c[b[best]], score=total[best])
+
+    return pairs.mapInArrow(resolve, "query bigint, row bigint, score bigint")
 
 
 def _inner(a: str, b: str) -> Column:
@@ -202,7 +213,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = PARTS,
     want = k + 1  # a query's own row is among the candidates
 
     lists = keep(_blocks(rows.withColumn("cut", F.lit(0).cast("bigint")), width, parts, rows_a_block))
-    slots = max(1, min(SLOTS, lists.count() // parts))
+    slots = max(1, min(SLOTS, lists.count()))
 
     def paired(cut: DataFrame) -> DataFrame:
         few = cut.repartition(max(1, -(-count // QUERIES_A_BLOCK)))
@@ -215,17 +226,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = PARTS,
     cuts = _first(likely, want).filter(F.col("place") == want).select(F.col("query").alias("id"), F.col("score").alias("cut"))
     cut = keep(queries.join(cuts, "id", "left").withColumn("cut", F.coalesce("cut", F.lit(_LOWEST).cast("bigint"))))
 
-    # 2: sufficient entries
-    entries = _sufficient(paired(cut), parts).groupBy("query", "row")
-    entries = keep(entries.agg(F.sum("score").alias("score"), F.count("*").alias("n")))
-
-    # 3: what is settled and what must be resolved; an unknown part lies below the threshold
-    low = cut.select(F.col("id").alias("query"), "cut")
-    open_ = entries.filter(F.col("n") < parts).join(low, "query")
-    reach = F.col("score") + (parts - F.col("n")) * F.ceil(F.col("cut") / parts)
-    late = _resolved(open_.filter(reach >= F.col("cut")).select("query", "row"), queries, rows)
-    scored = entries.filter(F.col("n") == parts).select("query", "row", "score").union(late)
-    answers = _first(scored, want).drop("place")
+    # 2 and 3: sufficient entries, their remaining scores, and what reaches the cutoff
+    answers = _first(_reaching(paired(cut), parts, want), want).drop("place")
 
     mine = asked.select("query", F.col("id").alias("asker")).join(answers, "query").filter("asker <> row")
     order = Window.partitionBy("asker").orderBy(F.desc("score"), "row")
