@@ -19,6 +19,7 @@ from ..plans.pairs import all_pairs, pair_moments
 from ..plans.prefix import bucket_limits, bucket_of, running_totals
 from ..plans.quantiles import counts_of, exact_quantiles
 from ..plans.ranks import BROADCAST_VALUES, rank_correlations
+from ..plans.tiles import is_wide, tiled_best, tiled_pairs
 from .distribution import moments, normality_from, numeric_values
 from .facts import Facts
 
@@ -123,6 +124,8 @@ def pearson_matrix(
 ) -> DataFrame:
     """``(pair, col1, col2, n_eff, cov, var1, var2, r)`` of every column pair, pairwise complete."""
     values = numeric_values(df, columns)
+    if is_wide(values):
+        return tiled_pairs(df, values)
     if facts is not None or len(values) < 2:
         return (facts or Facts(df, columns)).pair_table()
     return pair_moments(df, values)
@@ -218,15 +221,21 @@ def redundant_pairs(
 ) -> DataFrame:
     """``(pair, col1, col2, corr)`` with an absolute Pearson correlation above ``limit``."""
     size = F.abs("r")
-    return pearson_matrix(df, columns, facts).where(size > limit).select("pair", "col1", "col2", F.round(size, 4).alias("corr"))
+    values = numeric_values(df, columns)
+    pairs = tiled_pairs(df, values, limit) if is_wide(values) else pearson_matrix(df, columns, facts)
+    return pairs.where(size > limit).select("pair", "col1", "col2", F.round(size, 4).alias("corr"))
 
 
 def vif_scores(df: DataFrame, columns: Sequence[str] | None = None, facts: Facts | None = None) -> DataFrame:
     """``(column, max_r2, vif)``: 1 / (1 - largest squared pairwise correlation), 999 near collinearity."""
-    pairs = pearson_matrix(df, columns, facts)
-    ends = F.array(F.col("col1"), F.col("col2"))
-    r2 = pairs.select(F.explode(ends).alias("column"), (F.col("r") * F.col("r")).alias("r2"))
-    best = r2.groupBy("column").agg(F.coalesce(F.max("r2"), F.lit(0.0)).alias("max_r2"))
+    values = numeric_values(df, columns)
+    if is_wide(values):
+        best = tiled_best(df, values)
+    else:
+        ends = F.array(F.col("col1"), F.col("col2"))
+        pairs = pearson_matrix(df, columns, facts)
+        r2 = pairs.select(F.explode(ends).alias("column"), (F.col("r") * F.col("r")).alias("r2"))
+        best = r2.groupBy("column").agg(F.coalesce(F.max("r2"), F.lit(0.0)).alias("max_r2"))
     vif = F.when(F.col("max_r2") < 0.9999, F.try_divide(F.lit(1.0), 1.0 - F.col("max_r2"))).otherwise(999.0)
     return best.select("column", "max_r2", F.round(vif, 2).alias("vif"))
 
@@ -263,9 +272,11 @@ def simpsons(
     levels = {c: v for c, v in known.items() if 2 <= len(v) <= 5}
     overall = []
     if levels:
+        # of a wide table only the pairs that pass the rule leave their tiles
+        pairs = tiled_pairs(df, values, min_r).collect() if is_wide(values) else (facts or Facts(df, columns)).pairs
         overall = [
             (r["pair"], r["col1"], r["col2"], r["r"])
-            for r in (facts or Facts(df, columns)).pairs
+            for r in sorted(pairs, key=lambda r: r["pair"])
             if r["n_eff"] >= min_n and r["r"] is not None and abs(r["r"]) >= min_r
         ]
     if not overall:
