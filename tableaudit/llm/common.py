@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -34,6 +36,11 @@ def keep(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_state() -> dict:
+    """What a Python worker keeps from task to task. The package travels with each job, so its own modules do not last."""
+    return sys.modules.setdefault("_tableaudit_worker_state", types.ModuleType("_tableaudit_worker_state")).__dict__
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches with a ``text`` column into runs of rows of about ``size`` bytes of text."""
     for batch in batches:

@@ -15,19 +15,21 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import worker_state
+
 END_OF_DOCUMENT = 0
 #: Text whose distinct pieces are looked for at once.
 BATCH_BYTES = 8_000_000
-#: Words kept with their ids from batch to batch; about 40 bytes each. Beyond, only the last batch is kept.
-KEPT_WORDS = 500_000
-#: The same of whole pieces, with the signs at their ends.
-KEPT_PIECES = 1_000_000
+#: Words and whole pieces, with the signs at their ends, that are kept with their ids from batch to batch, about 40 bytes
+#: each. Beyond, those stay that were met in the last few batches: rare ones come and go.
+KEPT = 1_000_000
+KEPT_BATCHES = 8
 PIECES_A_STRING = 2000
 ENDS = ".,"
 _CUT, _MARK = "\0", "\1"
@@ -76,6 +78,40 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Known:
+    """Ids of pieces that were met before."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.encode, self.batch = encode, 0
+        self.pieces = pa.array([], pa.large_string())
+        self.ids = np.empty(0, np.uint32)
+        self.sizes = self.met = np.empty(0, np.int64)
+
+    def find(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): where the ids of each of some distinct pieces stand; only new ones are encoded."""
+        self.batch += 1
+        found = pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            fresh = pieces.take(pa.array(new))
+            found[new] = len(self.pieces) + np.arange(len(new))
+            more, sizes = self.encode(fresh.to_pylist())
+            self.pieces = pa.concat_arrays([self.pieces, fresh])
+            self.ids, self.sizes = np.concatenate([self.ids, more]), np.concatenate([self.sizes, sizes])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        self.met[found] = self.batch
+        ids, starts = self.ids, np.cumsum(self.sizes) - self.sizes
+        own = starts[found], self.sizes[found]
+        if len(self.pieces) > KEPT:
+            kept = np.flatnonzero(self.met > self.batch - KEPT_BATCHES)
+            if len(kept) > 2 * KEPT:
+                kept = np.flatnonzero(self.met == self.batch)
+            self.pieces = self.pieces.take(pa.array(kept))
+            self.ids = ids[_spread(starts[kept], self.sizes[kept])]
+            self.sizes, self.met = self.sizes[kept], self.met[kept]
+        return ids, *own
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
@@ -92,8 +128,8 @@ class Encoder:
         #: Id of a line break, if it stands alone between two pieces.
         self.line = line[2][0] if len(line[2]) == 1 and line[0] == line[1] + line[2] + line[3] else None
         self.words, self.bare_words, self.begins = self._words(path)
-        self.kept: tuple[pa.Array, np.ndarray, np.ndarray] | None = None
-        self.known: tuple[pa.Array, np.ndarray, np.ndarray] | None = None
+        self.known_words = Known(lambda words: self._pieces(words, " "))
+        self.known = Known(self._distinct)
         #: Ids of signs that end a word; they are apart from its letters.
         self.ends = {c: ids[0] for c, ids in zip(ENDS, self._ids(list(ENDS)))} if self.words is not None else {}
 
@@ -170,27 +206,6 @@ class Encoder:
         starts[order] = np.cumsum(given) - given
         return flat[_spread(starts, sizes)], sizes
 
-    def _remembered(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """``_pieces`` with a space before each; those of earlier batches come from there."""
-        words = pa.array(pieces, pa.large_string())
-        if self.kept is None:
-            flat, sizes = self._pieces(pieces, " ")
-            self.kept = words, flat, sizes
-            return flat, sizes
-        old, flat, sizes = self.kept
-        found = pc.fill_null(pc.index_in(words, value_set=old), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        new = np.flatnonzero(found < 0)
-        more, more_sizes = self._pieces([pieces[i] for i in new.tolist()], " ")
-        found[new] = len(old) + np.arange(len(new))
-        flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, more_sizes])
-        own = sizes[found]
-        out = flat[_spread((np.cumsum(sizes) - sizes)[found], own)]
-        if len(sizes) > KEPT_WORDS:
-            self.kept = words, out, own
-        else:
-            self.kept = pa.concat_arrays([old, words.take(pa.array(new))]), flat, sizes
-        return out, own
-
     def _distinct(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the distinct pieces of a batch and how many each has.
 
@@ -211,9 +226,10 @@ class Encoder:
             if p[-1:] in self.ends and p[:-1].isalpha():
                 end[i], p = self.ends[p[-1]] + 1, p[:-1]
             stem[i] = names.setdefault(p, len(names))
-        one, two = self._remembered(list(with_space)), self._pieces(list(without), "")
-        flat, sizes = (np.concatenate([a, b]) for a, b in zip(one, two))
-        starts = np.cumsum(sizes) - sizes
+        flat, starts, sizes = self.known_words.find(pa.array(list(with_space), pa.large_string()))
+        more, more_sizes = self._pieces(list(without), "")
+        starts = np.concatenate([starts, len(flat) + np.cumsum(more_sizes) - more_sizes])
+        flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, more_sizes])
         stem[bare] += len(with_space)
         inner = sizes[stem]
         whole = inner + line + (end > 0)
@@ -226,28 +242,6 @@ class Encoder:
         out[(at + whole - 1)[closed]] = end[closed] - 1
         return out, whole
 
-    def _known(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, start, size): where the ids of each distinct piece of a batch stand; only new pieces are encoded."""
-        if self.known is None:
-            ids, sizes = self._distinct(pieces.to_pylist())
-            self.known = pieces, ids, sizes
-            return ids, np.cumsum(sizes) - sizes, sizes
-        old, ids, sizes = self.known
-        found = pc.fill_null(pc.index_in(pieces, value_set=old), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        new = np.flatnonzero(found < 0)
-        if len(new):
-            fresh = pieces.take(pa.array(new))
-            more, more_sizes = self._distinct(fresh.to_pylist())
-            found[new] = len(old) + np.arange(len(new))
-            old, ids, sizes = pa.concat_arrays([old, fresh]), np.concatenate([ids, more]), np.concatenate([sizes, more_sizes])
-        starts = np.cumsum(sizes) - sizes
-        own = starts[found], sizes[found]
-        if len(old) > KEPT_PIECES:
-            self.known = pieces, ids[_spread(*own)], own[1]
-        else:
-            self.known = old, ids, sizes
-        return ids, *own
-
     def _batch(self, texts: Sequence[str | None]) -> list[bytes]:
         joined, direct = [], {}
         for i, text in enumerate(texts):
@@ -267,7 +261,7 @@ class Encoder:
             joined.append(_MARK + text)  # the first piece has no space before it
         lists = pc.split_pattern(pa.array(joined, pa.large_string()), _CUT)
         coded = lists.flatten().dictionary_encode()
-        ids, starts, sizes = self._known(coded.dictionary)
+        ids, starts, sizes = self.known.find(coded.dictionary)
         index = coded.indices.to_numpy()
         lengths = sizes[index]
         data = ids[_spread(starts[index], lengths)].astype("<u4", copy=False).tobytes()
@@ -299,11 +293,9 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder per file and Python worker, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One encoder per file and Python worker, kept between tasks with the pieces it knows."""
+    kept = worker_state().setdefault("encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
