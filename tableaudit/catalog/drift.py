@@ -42,7 +42,7 @@ def _distance_sql(source: str, ts: str, value: str) -> str:
     return f"SELECT n_early, n_late, ks_stat FROM ({_drift_sql(source, ts, value)})"
 
 
-def _drift_sql(source: str, ts: str, value: str) -> str:
+def _drift_sql(source: str, ts: str, value: str, raw: bool = False) -> str:
     """The p value is the limit distribution of samples above 10 000 values, by its series."""
     placed = (
         f"SELECT {value} AS v, row_number() OVER (ORDER BY {ts} NULLS LAST, {value} NULLS LAST) <= count(*) OVER () // 2 AS early FROM {source}"
@@ -52,6 +52,8 @@ def _drift_sql(source: str, ts: str, value: str) -> str:
         f"(SELECT v, count(*) FILTER (WHERE early) AS e, count(*) FILTER (WHERE NOT early) AS l FROM ({placed}) WHERE v IS NOT NULL GROUP BY v) "
         "WINDOW w AS (ORDER BY v)"
     )
+    if raw:
+        return f"SELECT CAST(max(n1) AS BIGINT) AS n_early, CAST(max(n2) AS BIGINT) AS n_late, max(abs(gap)) AS d FROM ({steps})"
     x = "(d * sqrt(n1 * n2 * 1.0 / (n1 + n2)))"
     tail = f"2.0 * list_sum(list_transform(range(1, 101), lambda k : (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * {x} * {x})))"
     p = f"least(1.0, greatest(0.0, {tail}))"
@@ -61,6 +63,40 @@ def _drift_sql(source: str, ts: str, value: str) -> str:
     )
 
 
+def order_drift_limit(spark, sf_dir):
+    """The same with p value and decision by the limit distribution, whatever the number of orders."""
+    return drift_ks(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", method="limit")
+
+
+def event_drift_limit(spark, sf_dir):
+    return drift_ks(table(spark, sf_dir, "events"), "ts", "value", method="limit")
+
+
+def purchase_drift_exact(spark, sf_dir):
+    """Drift of the values of one kind of event in the first days, by counting paths."""
+    return drift_ks(table(spark, sf_dir, "events").where(_EARLY), "ts", "value", method="exact")
+
+
+_EARLY = "event_type = 'purchase' AND ts < TIMESTAMP_NTZ '2024-01-05 00:00:00'"
+
+
+def _exact_sql() -> str:
+    """Paths counted by a walk over the lattice of both halves."""
+    source = "(SELECT * FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-05 00:00:00')"
+    found = f"SELECT n_early AS m, n_late AS n, d FROM ({_drift_sql(source, 'ts', 'value', raw=True)})"
+    return (
+        f"WITH RECURSIVE f AS MATERIALIZED ({found}), walk(i, shares) AS ("
+        # one row of the lattice after the other: the share of paths to (i, j) that have touched a line
+        "SELECT 0, list_transform(range(n + 1), lambda j : CASE WHEN j / n >= d - 1e-12 THEN 1.0::DOUBLE ELSE 0.0 END) FROM f "
+        "UNION ALL SELECT i + 1, list_reduce(list_transform(range(n + 1), lambda j : [j::DOUBLE, shares[j + 1]]), "
+        "lambda acc, x : list_append(acc, CASE WHEN abs((i + 1) / m - x[1] / n) >= d - 1e-12 THEN 1.0 "
+        "ELSE (x[2] * (i + 1) + acc[-1] * x[1]) / (i + 1 + x[1]) END), "
+        "[CASE WHEN (i + 1) / m >= d - 1e-12 THEN 1.0::DOUBLE ELSE shares[1] END])[2:] FROM walk, f WHERE i < m) "
+        "SELECT m::BIGINT AS n_early, n::BIGINT AS n_late, round(d, 4) AS ks_stat, round(shares[-1], 4) AS ks_pvalue, "
+        "shares[-1] < 0.05 AS drift_detected FROM walk, f WHERE i = m"
+    )
+
+
 def ship_drift(spark, sf_dir):
     """Drift of prices by shipping date, with halves above 10 000 values."""
     return drift_ks(table(spark, sf_dir, "lineitem"), "l_shipdate", "l_extendedprice")
@@ -178,6 +214,9 @@ QUERIES = {
     "order_drift": (order_drift, _distance_sql("orders", "o_orderdate", "o_totalprice")),
     "event_drift": (event_drift, _distance_sql("events", "ts", "value")),
     "ship_drift": (ship_drift, _drift_sql("lineitem", "l_shipdate", "l_extendedprice")),
+    "order_drift_limit": (order_drift_limit, _drift_sql("orders", "o_orderdate", "o_totalprice")),
+    "event_drift_limit": (event_drift_limit, _drift_sql("events", "ts", "value")),
+    "purchase_drift_exact": (purchase_drift_exact, _exact_sql()),
     "event_timeline": (
         event_timeline,
         f"SELECT true AS has_datetime, 'ts' AS date_col, 'value' AS metric, ({_rolling('events', 'ts', 'value')}) AS rolling_mean_last, "

@@ -30,6 +30,8 @@ from .common import (
     priced_lineitem,
     shapiro_sql,
     spearman_sql,
+    steady,
+    steady_sql,
     student_p_sql,
     table,
     union_all,
@@ -42,7 +44,8 @@ _PRICED = ["l_quantity", "l_extendedprice", "revenue", "unit_price", "charge"]
 # --- Pearson ------------------------------------------------------------------------------------------------
 def pearson_pairs(spark, sf_dir):
     found = pearson_matrix(gappy_lineitem(spark, sf_dir))
-    return found.select("pair", "col1", "col2", "n_eff", F.round("r", 6).alias("r"))
+    rounded = [steady(F.col(c), 6).alias(c) for c in ("cov", "var1", "var2")]
+    return found.select("pair", "col1", "col2", "n_eff", *rounded, F.round("r", 6).alias("r"))
 
 
 def wide_pearson_pairs(spark, sf_dir):
@@ -54,7 +57,9 @@ def wide_pearson_pairs(spark, sf_dir):
 def _pearson_sql(source: str, columns: list[str]) -> str:
     return union_all(
         [
-            f"SELECT {i} AS pair, '{a}' AS col1, '{b}' AS col2, regr_count({a}, {b}) AS n_eff, round(corr({a}, {b}), 6) AS r FROM ({source})"
+            f"SELECT {i} AS pair, '{a}' AS col1, '{b}' AS col2, regr_count({a}, {b}) AS n_eff, "
+            f"{steady_sql(f'covar_pop({a}, {b})', 6)} AS cov, {steady_sql(f'var_pop({a}) FILTER ({b} IS NOT NULL)', 6)} AS var1, "
+            f"{steady_sql(f'var_pop({b}) FILTER ({a} IS NOT NULL)', 6)} AS var2, round(corr({a}, {b}), 6) AS r FROM ({source})"
             for i, (a, b) in enumerate(all_pairs(columns))
         ]
     )
@@ -237,36 +242,47 @@ _STATUS_GROUPS = union_all(
 
 
 def embedding_group_tests(spark, sf_dir):
-    """Embedding dimensions by lower and upper labels: t tests where both groups are normal."""
+    """All 64 embedding dimensions by lower and upper labels: t tests where both groups are normal."""
     df = table(spark, sf_dir, "embeddings").select(
         F.when(F.col("label") < 5, "lower").otherwise("upper").alias("half"),
-        *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(6)],
+        *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(64)],
     )
     return group_tests(df, limit=None)
 
 
 def _embedding_tests_sql() -> str:
     """Normality of both groups, then Levene's test, then a t test; Mann-Whitney if a group is not normal."""
-    dims = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS d{i}" for i in range(6))
-    source = f"SELECT CASE WHEN label < 5 THEN 'lower' ELSE 'upper' END AS half, {dims} FROM embeddings"
-    parts = []
-    for i in range(6):
-        values = f"SELECT half AS label, d{i} AS x FROM ({source})"
-        away = f"SELECT label, x, abs(x - median(x) OVER (PARTITION BY label)) AS z FROM ({values})"
-        groups = (
-            "SELECT label, count(*) AS n, avg(x) AS m, var_samp(x) AS v, avg(z) AS zm, var_samp(z) AS zv "
-            f"FROM ({away}) GROUP BY label"
-        )
-        pairs = (
-            "SELECT a.n AS n1, b.n AS n2, a.m AS m1, b.m AS m2, a.v AS s1, b.v AS s2, (a.n + b.n - 2) * (a.n * a.zm * a.zm + "
-            "b.n * b.zm * b.zm - pow(a.n * a.zm + b.n * b.zm, 2) / (a.n + b.n)) / ((a.n - 1) * a.zv + (b.n - 1) * b.zv) AS f "
-            f"FROM ({groups}) a, ({groups}) b WHERE a.label = 'lower' AND b.label = 'upper'"
-        )
-        normal = f"(SELECT bool_and(p > 0.05 AND abs(skew) < 0.5) FROM ({shapiro_sql(values)}))"
-        parts.append(
-            f"SELECT r.*, {normal} AS normal, {student_p_sql('sqrt(f)', 'n1 + n2 - 2.0')} > 0.05 AS equal_var, t.* "
-            f"FROM ({_mann_whitney_sql(source, f'd{i}', 'half', i)}) r, ({pairs}) t"
-        )
+    values = (
+        "SELECT i, half, x FROM (SELECT CASE WHEN label < 5 THEN 'lower' ELSE 'upper' END AS half, unnest(range(64)) AS i, "
+        "CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
+    )
+    away = f"SELECT *, abs(x - median(x) OVER (PARTITION BY i, half)) AS z FROM ({values})"
+    groups = (
+        "SELECT i, half, count(*) AS n, avg(x) AS m, var_samp(x) AS v, avg(z) AS zm, var_samp(z) AS zv "
+        f"FROM ({away}) GROUP BY i, half"
+    )
+    pairs = (
+        "SELECT a.i, a.n AS n1, b.n AS n2, a.m AS m1, b.m AS m2, a.v AS s1, b.v AS s2, (a.n + b.n - 2) * (a.n * a.zm * a.zm + "
+        "b.n * b.zm * b.zm - pow(a.n * a.zm + b.n * b.zm, 2) / (a.n + b.n)) / ((a.n - 1) * a.zv + (b.n - 1) * b.zv) AS f "
+        f"FROM ({groups}) a JOIN ({groups}) b ON a.i = b.i AND a.half = 'lower' AND b.half = 'upper'"
+    )
+    ranked = f"SELECT *, rank() OVER (PARTITION BY i ORDER BY x) + (count(*) OVER (PARTITION BY i, x) - 1) / 2.0 AS r FROM ({values})"
+    sums = f"SELECT i, sum(r) FILTER (WHERE half = 'lower') AS r1 FROM ({ranked}) GROUP BY i"
+    ties = f"SELECT i, sum(k * k * k - k) AS ties FROM (SELECT i, CAST(count(*) AS DOUBLE) AS k FROM ({values}) GROUP BY i, x) GROUP BY i"
+    tested = shapiro_sql(f"SELECT i || ':' || half AS label, x FROM ({values})")
+    normal = (
+        "SELECT CAST(split_part(label, ':', 1) AS BIGINT) AS i, bool_and(p > 0.05 AND abs(skew) < 0.5) AS normal "
+        f"FROM ({tested}) GROUP BY 1"
+    )
+    u = "(r1 - n1 * (n1 + 1.0) / 2.0)"
+    var = "(n1 * 1.0 * n2 / 12.0 * (n1 + n2 + 1.0 - ties / ((n1 + n2) * (n1 + n2 - 1.0))))"
+    parts = [
+        f"SELECT CAST(i AS INTEGER) AS position, 'd' || i AS num_col, 'half' AS cat_col, 'lower' AS v1, 'upper' AS v2, {u} AS u, "
+        f"(greatest({u}, n1 * 1.0 * n2 - {u}) - n1 * 1.0 * n2 / 2.0 - 0.5) / sqrt({var}) AS z, "
+        "(m1 - m2) / sqrt(((n1 - 1) * s1 + (n2 - 1) * s2) / (n1 + n2 - 2)) AS d, n1 + n2 AS n_eff, normal, "
+        f"{student_p_sql('sqrt(f)', 'n1 + n2 - 2.0')} > 0.05 AS equal_var, n1, n2, m1, m2, s1, s2 "
+        f"FROM ({pairs}) JOIN ({sums}) USING (i) JOIN ({ties}) USING (i) JOIN ({normal}) USING (i)"
+    ]
     pooled = "(((n1 - 1) * s1 + (n2 - 1) * s2) / (n1 + n2 - 2.0))"
     staged = (
         f"SELECT *, CASE WHEN equal_var THEN (m1 - m2) / sqrt({pooled} * (1.0 / n1 + 1.0 / n2)) "

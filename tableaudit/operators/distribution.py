@@ -7,7 +7,7 @@ from functools import reduce
 from typing import TYPE_CHECKING
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -79,19 +79,25 @@ def normality_from(df: DataFrame, values: Mapping[str, Column], found: Sequence[
     Fewer than 8 values: not tested. Up to 5000: Shapiro-Wilk, each sample in one group, which the rule
     itself keeps small. Above: the omnibus test, from the moments alone.
     """
-    spark = df.sparkSession
-    table = small_table(
-        spark,
-        [(r["column"], r["n"], r["g1"], r["g2"], r["skewness"]) for r in found],
-        "column string, n bigint, g1 double, g2 double, skewness double",
-    )
     small = [r["column"] for r in found if 8 <= r["n"] <= SHAPIRO_ROWS]
+    tested = None
     if small:
         tested = (
             long_form(df, {c: values[c] for c in small})
             .groupBy("column")
             .applyInPandas(_shapiro_rows, "column string, w double, p double")
         )
+    return normality_gate(df.sparkSession, found, tested)
+
+
+def normality_gate(spark: SparkSession, found: Sequence[Mapping], tested: DataFrame | None) -> DataFrame:
+    """The gate from moments (column, n, g1, g2, skewness) and the Shapiro-Wilk results ``(column, w, p)`` of small samples."""
+    table = small_table(
+        spark,
+        [(r["column"], r["n"], r["g1"], r["g2"], r["skewness"]) for r in found],
+        "column string, n bigint, g1 double, g2 double, skewness double",
+    )
+    if tested is not None:
         table = table.join(tested, "column", "left")
     else:
         table = table.withColumns({"w": F.lit(None).cast("double"), "p": F.lit(None).cast("double")})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns, quoted, value_of
-from ..functions.tails import ks_p
+from ..functions.tails import ks_p_by
 from ..plans.aggregates import small_table
 from ..plans.prefix import ROWS_PER_BUCKET, bucket_limits, bucket_of
 from ..plans.quantiles import order_statistics
@@ -42,13 +42,14 @@ def rolling_mean_last(
 
 
 def drift_ks(
-    df: DataFrame, ts: str, value: str, min_half: int = 5, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, ts: str, value: str, min_half: int = 5, rows_per_bucket: int = ROWS_PER_BUCKET, method: str = "auto"
 ) -> DataFrame:
     """Kolmogorov-Smirnov test between the first ``n // 2`` rows in time order and the rest.
 
     ``(n_early, n_late, ks_stat, ks_pvalue, drift_detected)``. The cut is an exact order statistic of the
     time, so no row is sorted; rows at the cut time are split by value. Both distribution functions come
-    from value counts. NULL results when a half has fewer than ``min_half`` values.
+    from value counts. NULL results when a half has fewer than ``min_half`` values. ``method`` names the p value: ``exact``
+    path counts, the ``limit`` distribution, or ``auto``: counts up to 10 000 values a half.
     """
     flat = df.select(
         F.coalesce(F.unix_micros(parsed_time(df, ts)).cast("double"), F.lit(_NO_TIME)).alias("t"),
@@ -60,7 +61,7 @@ def drift_ks(
     table = small_table(df.sparkSession, [], "column string, distance double, n_early double, n_late double")
     if cut is not None and min(cut["early"], cut["late"]) >= min_half:
         table = _distance(flat, cut, rows_per_bucket)
-    p = ks_p(F.col("distance"), F.col("n_early"), F.col("n_late"))
+    p = ks_p_by[method](F.col("distance"), F.col("n_early"), F.col("n_late"))
     tested = table.withColumn("__p", p)
     result = tested.select(
         F.col("n_early").cast("long").alias("n_early"),

@@ -5,22 +5,26 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.columns import numeric_columns, other_columns, plain_number, quoted, text_of
 from ..functions.severity import correlation_strength
+from ..functions.shapiro import shapiro_wilk
 from ..functions.tails import chi_square_p, exact_u_p, f_p, fisher_p, normal_p, student_p
 from ..plans.aggregates import small_table
 from ..plans.freq import few_valued, value_counts
 from ..plans.joins import lookup_join
+from ..plans.materialise import materialise
 from ..plans.pairs import all_pairs, pair_moments
 from ..plans.prefix import bucket_limits, bucket_of, running_totals
 from ..plans.quantiles import counts_of, exact_quantiles
 from ..plans.ranks import BROADCAST_VALUES, rank_correlations
 from ..plans.tiles import is_wide, tiled_best, tiled_pairs
-from .distribution import moments, normality_from, numeric_values
+from .distribution import SHAPIRO_ROWS, moments, normality_gate, numeric_values
 from .facts import Facts
 
 
@@ -316,34 +320,120 @@ def simpsons(
 
 
 # --- two-group tests ----------------------------------------------------------------------------------
-def _mann_whitney(
-    df: DataFrame, sides: Mapping[str, tuple[Column, Column]], counts: Mapping[str, tuple[int, int]],
-    rows_per_bucket: int,
-) -> dict[str, tuple[float, float]]:
-    """{test: (U of the first group, normal score)} from value counts of both groups; no row is ranked."""
-    both = {t: F.coalesce(a, b) for t, (a, b) in sides.items()}
-    limits = bucket_limits(df, both, {t: sum(counts[t]) for t in sides}, rows_per_bucket)
-    cells = [x for t, (a, _) in sides.items() for x in (F.lit(t), both[t], a.isNotNull().cast("long"))]
-    counted = (
-        df.select(F.stack(F.lit(len(sides)), *cells).alias("column", "value", "first"))
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("n1"))
+#: categoricals whose counts are summed side by side
+_CATEGORIES_A_PASS = 8
+
+
+def _cells(df: DataFrame, values: Mapping[str, Column], levels: Mapping[str, Sequence[str]]) -> DataFrame:
+    """``(column, value, a0, b0, a1, b1, ...)``: rows of each numeric value with the first and second value of each categorical.
+
+    One row per distinct value, whatever the number of categoricals; partial counts are formed before the shuffle. U, ties,
+    moments, medians and distances from them all follow from this table.
+    """
+    codes = []
+    for i, (cat, (v1, v2)) in enumerate(levels.items()):
+        text = text_of(df, cat)
+        codes.append(F.when(text == v1, 1).when(text == v2, 2).alias(f"s{i}"))
+    wide = df.select(*codes, *[v.alias(f"v{j}") for j, v in enumerate(values.values())])
+    cells = [x for j, c in enumerate(values) for x in (F.lit(c), F.col(f"v{j}"))]
+    names = [f"s{i}" for i in range(len(levels))]
+    long = wide.select(*names, F.stack(F.lit(len(values)), *cells).alias("column", "value")).where(F.col("value").isNotNull())
+    counts = [F.count_if(F.col(s) == g + 1).alias(f"{side}{i}") for i, s in enumerate(names) for g, side in enumerate("ab")]
+    return long.groupBy("column", "value").agg(*counts)
+
+
+def _cell_moments(cells: DataFrame, categories: int) -> dict[tuple[str, int, int], dict]:
+    """{(column, categorical, side): n, mean, variance, g1, g2, skewness} in two passes over the cells."""
+    out: dict[tuple[str, int, int], dict] = {}
+    v = F.col("value")
+    for start in range(0, categories, _CATEGORIES_A_PASS):
+        sides = [f"{g}{i}" for i in range(start, min(start + _CATEGORIES_A_PASS, categories)) for g in "ab"]
+        sums = [x for s in sides for x in (F.sum(s).alias(f"n_{s}"), (F.sum(F.col(s) * v) / F.nullif(F.sum(s), F.lit(0))).alias(f"m_{s}"))]
+        means = cells.groupBy("column").agg(*sums)
+        central = [F.sum(F.col(s) * F.pow(v - F.col(f"m_{s}"), k)).alias(f"p{k}_{s}") for s in sides for k in (2, 3, 4)]
+        # one row per column
+        rows = cells.join(F.broadcast(means), "column").groupBy("column").agg(
+            *central, *[F.first(f"{x}_{s}").alias(f"{x}_{s}") for s in sides for x in "nm"]
+        )
+        for r in rows.collect():
+            for s in sides:
+                n, mean = r[f"n_{s}"], r[f"m_{s}"]
+                if not n:
+                    out[r["column"], int(s[1:]), "ab".index(s[0])] = {"n": 0}
+                    continue
+                m2, m3, m4 = (r[f"p{k}_{s}"] / n for k in (2, 3, 4))
+                if m2 <= (abs(mean) * 1e-13) ** 2:  # rounding of the mean of equal values
+                    m2 = 0.0
+                g1, g2 = (m3 / m2**1.5, m4 / m2**2 - 3) if m2 else (None, None)
+                out[r["column"], int(s[1:]), "ab".index(s[0])] = {
+                    "n": n,
+                    "mean": mean,
+                    "variance": m2 * n / (n - 1) if n > 1 else 0.0,
+                    "g1": g1,
+                    "g2": g2,
+                    "skewness": (g1 or 0.0) * (n * (n - 1.0)) ** 0.5 / (n - 2.0) if n > 2 else 0.0,
+                }
+    return out
+
+
+def _shapiro_cells(groups: pd.DataFrame) -> pd.DataFrame:
+    w, p = shapiro_wilk(np.repeat(groups["value"].to_numpy(), groups["n"].to_numpy()))
+    return pd.DataFrame({"column": [groups["key"].iloc[0]], "w": [w], "p": [p]})
+
+
+def _rank_statistics(cells: DataFrame, limits: Mapping[str, Sequence[float]], used: Sequence[int]) -> dict:
+    """{(column, categorical): (rank sum of the first group, sum of tie terms)}."""
+    both = cells.select("column", "value", *[f"a{i}" for i in used], *[(F.col(f"a{i}") + F.col(f"b{i}")).alias(f"t{i}") for i in used])
+    ranked = running_totals(both, [f"t{i}" for i in used], limits)
+    aggs = []
+    for i in used:
+        size = F.col(f"t{i}").cast("double")
+        rank = F.col(f"t{i}_before") + (size + 1) / 2.0
+        aggs += [F.sum(F.col(f"a{i}") * rank).alias(f"r{i}"), F.sum(size * size * size - size).alias(f"k{i}")]
+    rows = ranked.groupBy("column").agg(*aggs).collect()
+    return {(r["column"], i): (r[f"r{i}"], r[f"k{i}"]) for r in rows for i in used}
+
+
+def _u_statistic(r1: float, ties: float, n1: int, n2: int) -> tuple[float, float | None, bool]:
+    """(U of the first group, normal score, whether no values tie)."""
+    total = n1 + n2
+    u1 = r1 - n1 * (n1 + 1) / 2.0
+    var = n1 * n2 / 12.0 * ((total + 1) - ties / (total * (total - 1.0)))
+    z = (max(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) / var**0.5 if var > 0 else None
+    return u1, z, ties == 0
+
+
+def _levene_cells(cells: DataFrame, limits: Mapping[str, Sequence[float]], stats: Mapping, used: Sequence[int]) -> dict:
+    """{(column, categorical): (statistic, degrees of freedom)} of distances from the group medians."""
+    sides = [f"{g}{i}" for i in used for g in "ab"]
+    at = lambda s: (int(s[1:]), "ab".index(s[0]))
+    totals = running_totals(cells.select("column", "value", *sides), sides, limits)
+    columns = list(dict.fromkeys(c for c, _, _ in stats))
+    rows = [(c, *[stats.get((c, *at(s)), {"n": 0})["n"] for s in sides]) for c in columns]
+    counts = small_table(cells.sparkSession, rows, "column string, " + ", ".join(f"n_{s} bigint" for s in sides))
+    spot = lambda s, rank: F.max(
+        F.when((F.col(s) > 0) & (F.col(f"{s}_before") <= rank(F.col(f"n_{s}"))), F.col("value"))
+    )
+    low, high = lambda n: F.floor((n - 1) / 2), lambda n: F.ceil((n - 1) / 2)
+    mids = totals.join(F.broadcast(counts), "column").groupBy("column").agg(
+        *[((spot(s, low) + spot(s, high)) / 2).alias(f"m_{s}") for s in sides]
     )
-    ranked = running_totals(counted, ["n"], limits)
-    rank = F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)
-    size = F.col("n").cast("double")
-    found = ranked.groupBy("column").agg(
-        F.sum(F.col("n1") * rank).alias("r1"), F.sum(size * size * size - size).alias("ties")
+    away = lambda s: F.abs(F.col("value") - F.col(f"m_{s}"))
+    sums = cells.join(F.broadcast(mids), "column").groupBy("column").agg(
+        *[x for s in sides for x in (F.sum(F.col(s) * away(s)).alias(f"z_{s}"), F.sum(F.col(s) * away(s) * away(s)).alias(f"y_{s}"))]
     )
     out = {}
-    for r in found.collect():
-        n1, n2 = counts[r["column"]]
-        total = n1 + n2
-        u1 = r["r1"] - n1 * (n1 + 1) / 2.0
-        var = n1 * n2 / 12.0 * ((total + 1) - r["ties"] / (total * (total - 1.0)))
-        z = (max(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) / var**0.5 if var > 0 else None
-        out[r["column"]] = (u1, z, r["ties"] == 0)
+    for r in sums.collect():
+        for i in used:
+            n1, n2 = (stats[r["column"], i, g]["n"] for g in (0, 1))
+            if min(n1, n2) < 2:
+                continue
+            (m1, m2), (y1, y2) = ([r[f"{k}_{g}{i}"] for g in "ab"] for k in "zy")
+            m1, m2 = m1 / n1, m2 / n2
+            grand = (n1 * m1 + n2 * m2) / (n1 + n2)
+            between = n1 * (m1 - grand) ** 2 + n2 * (m2 - grand) ** 2
+            within = (y1 - n1 * m1 * m1) + (y2 - n2 * m2 * m2)
+            out[r["column"], i] = ((n1 + n2 - 2) * between / within if within > 0 else None, float(n1 + n2 - 2))
     return out
 
 
@@ -374,26 +464,7 @@ def _raw_group_tests(df, columns, groups, limit, min_n, order_col, rows_per_buck
     shared = facts is not None and groups is None and order_col == facts.order_col
     levels = facts.levels if shared else category_values(df, groups, order_col=order_col)
     levels = {c: v for c, v in levels.items() if len(v) == 2}
-    sides: dict[str, tuple[Column, Column]] = {}
-    names = {}
-    for cat, (v1, v2) in levels.items():
-        text = text_of(df, cat)
-        for num, value in values.items():
-            test = f"t{len(sides)}"
-            sides[test] = (F.when(text == v1, value), F.when(text == v2, value))
-            names[test] = (num, cat, v1, v2)
-    stats: dict = {}
-    kept: list[str] = []
-    # a limited family stops early: later tests are not computed
-    step = len(sides) if limit is None else 2 * limit
-    for part in (list(sides)[i : i + step] for i in range(0, len(sides), max(step, 1))):
-        flat = {f"{t}:{g}": side for t in part for g, side in enumerate(sides[t])}
-        stats |= {r["column"]: r for r in moments(df, flat).collect()}
-        kept += [t for t in part if min(stats[f"{t}:0"]["n"], stats[f"{t}:1"]["n"]) >= min_n]
-        if limit is not None and len(kept) >= limit:
-            kept = kept[:limit]
-            break
-    rows = _run_group_tests(df, kept, sides, names, stats, rows_per_bucket) if kept else []
+    rows = _run_group_tests(df, values, levels, limit, min_n, rows_per_bucket) if levels and values else []
     table = small_table(df.sparkSession, rows, _GROUP_TEST)
     # each family member carries the statistic its p value is read from
     raw = (
@@ -430,27 +501,55 @@ def cohens_d(a, b) -> float:
     return (a["mean"] - b["mean"]) / pooled if pooled else 0.0
 
 
-def _run_group_tests(df, kept, sides, names, stats, rows_per_bucket) -> list[tuple]:
-    flat = {f"{t}:{g}": sides[t][g] for t in kept for g in (0, 1)}
-    gate = normality_from(df, flat, [stats[k] for k in flat]).where("is_normal").select("column").collect()
-    passed = {r["column"] for r in gate}
-    normal = [t for t in kept if f"{t}:0" in passed and f"{t}:1" in passed]
-    equal = _equal_variances(df, {t: sides[t] for t in normal}, stats) if normal else {}
-    ranked = [t for t in kept if t not in normal]
-    sizes = {t: (stats[f"{t}:0"]["n"], stats[f"{t}:1"]["n"]) for t in kept}
-    u = _mann_whitney(df, {t: sides[t] for t in ranked}, sizes, rows_per_bucket) if ranked else {}
+def _run_group_tests(df, values, levels, limit, min_n, rows_per_bucket) -> list[tuple]:
+    spark, names = df.sparkSession, list(levels)
+    cells = materialise(_cells(df, values, levels))
+    stats = _cell_moments(cells, len(names))
+    size = lambda c, i: tuple(stats.get((c, i, g), {"n": 0})["n"] for g in (0, 1))
+    tests = [(c, i) for i in range(len(names)) for c in values if min(size(c, i)) >= min_n][:limit]
+    if not tests:
+        return []
+    sides = [(c, i, g) for c, i in tests for g in (0, 1)]
+    keyed = {side: f"{k}" for k, side in enumerate(sides)}
+    small = [(c, i, g, keyed[c, i, g]) for c, i, g in sides if 8 <= stats[c, i, g]["n"] <= SHAPIRO_ROWS]
+    tested = None
+    if small:
+        used = sorted({i for _, i, _, _ in small})
+        each = F.array(
+            *[F.struct(F.lit(i).alias("cat"), F.lit(g).alias("side"), F.col(f"{'ab'[g]}{i}").alias("n")) for i in used for g in (0, 1)]
+        )
+        wanted = small_table(spark, small, "column string, cat int, side int, key string")
+        rows = cells.select("column", "value", F.inline(each)).where("n > 0").join(F.broadcast(wanted), ["column", "cat", "side"])
+        tested = rows.select("key", "value", "n").groupBy("key").applyInPandas(_shapiro_cells, "column string, w double, p double")
+    found = [{"column": keyed[side], **stats[side]} for side in sides]
+    passed = {r["column"] for r in normality_gate(spark, found, tested).where("is_normal").select("column").collect()}
+    normal = [t for t in tests if all(keyed[(*t, g)] in passed for g in (0, 1))]
+    ranked = [t for t in tests if t not in set(normal)]
+    totals = {c: max(sum(size(c, i)) for i in range(len(names))) for c in values}
+    limits = bucket_limits(df, values, totals, rows_per_bucket)
+    equal, ranks = {}, {}
+    if normal:
+        levenes = _levene_cells(cells, limits, stats, sorted({i for _, i in normal}))
+        table = small_table(
+            spark, [(k, *levenes[t]) for k, t in enumerate(normal) if t in levenes], "test int, statistic double, dof double"
+        )
+        p = f_p(F.col("statistic"), F.lit(1.0), F.col("dof"))
+        equal = {normal[r["test"]]: r["p"] is not None and r["p"] > 0.05 for r in table.select("test", p.alias("p")).collect()}
+    if ranked:
+        ranks = _rank_statistics(cells, limits, sorted({i for _, i in ranked}))
     rows = []
-    for position, t in enumerate(kept):
-        a, b = stats[f"{t}:0"], stats[f"{t}:1"]
-        n1, n2 = sizes[t]
+    for position, t in enumerate(tests):
+        (c, i), (a, b) = t, (stats[(*t, g)] for g in (0, 1))
+        n1, n2 = a["n"], b["n"]
         stat = dof = z = exact = None
-        if t in u:
-            test, (stat, z, untied) = K.MANN_WHITNEY, u[t]
+        if t in equal or t in set(normal):
+            test, stat, dof = student_or_welch(a, b, equal.get(t, False))
+        else:
+            test = K.MANN_WHITNEY
+            stat, z, untied = _u_statistic(*ranks[t], n1, n2)
             if untied and min(n1, n2) <= 8:
                 exact = exact_u_p(stat, n1, n2)
-        else:
-            test, stat, dof = student_or_welch(a, b, equal[t])
-        rows.append((position, test, *names[t], stat, dof, z, exact, cohens_d(a, b), n1 + n2))
+        rows.append((position, test, c, names[i], *levels[names[i]], stat, dof, z, exact, cohens_d(a, b), n1 + n2))
     return rows
 
 
@@ -489,10 +588,6 @@ def levene(df: DataFrame, sides: Mapping[str, tuple[Column, Column]]) -> DataFra
     return table.select("test", "statistic", f_p(F.col("statistic"), F.lit(1.0), F.col("dof")).alias("p_value"))
 
 
-def _equal_variances(df, sides, stats) -> dict[str, bool]:
-    return {r["test"]: r["p_value"] is not None and r["p_value"] > 0.05 for r in levene(df, sides).collect()}
-
-
 # --- contingency tests ----------------------------------------------------------------------------------
 def contingency_table(df: DataFrame, col1: str, col2: str) -> DataFrame:
     """``(value1, value2, n)`` without missing values."""
