@@ -71,6 +71,12 @@ def adjust_family(tests: DataFrame, p: str = "raw_p_value", order: str = "positi
     )
 
 
+def adjust_large_family(tests: DataFrame, p: str = "raw_p_value", rows_per_bucket: int = 2_000_000) -> DataFrame:
+    """``adjust_family`` for any number of tests: no task orders all of them."""
+    kept = materialise(tests.withColumn("__family", F.lit(0)))
+    return bh_adjust(kept, p, "__family", rows_per_bucket).drop("__family", "family_size_m")
+
+
 def bh_adjust(
     df: DataFrame, p: str, family: str, rows_per_bucket: int = 2_000_000
 ) -> DataFrame:
@@ -151,19 +157,26 @@ def correlations(
     """Correlation family: coefficient, p value, adjusted p value and strength of every column pair.
 
     ``auto`` takes Pearson when both columns pass the normality gate and Spearman otherwise. With ``by``, one family per
-    segment.
+    segment. Pearson families of wide tables are worked out in tiles and adjusted without gathering them.
     """
     if by:
         from .segments import correlations_by
 
         return correlations_by(df, by, columns, method, min_n)
-    rows = _coefficients(df, facts or Facts(df, columns), method, min_n)
-    table = small_table(df.sparkSession, rows, _CORRELATION)
+    values = numeric_values(df, columns)
+    wide = is_wide(values) and method == "pearson"
+    if wide:
+        found = tiled_pairs(df, values).where(F.col("n_eff") >= min_n)
+        table = found.select(F.col("pair").alias("position"), "col1", "col2", F.lit(K.PEARSON).alias("method"), "r", "n_eff")
+    else:
+        rows = _coefficients(df, facts or Facts(df, columns), method, min_n)
+        table = small_table(df.sparkSession, rows, _CORRELATION)
     n, r = F.col("n_eff"), F.coalesce(F.col("r"), F.lit(0.0))
     t = F.abs("r") * F.sqrt(F.try_divide(n - 2, 1 - F.col("r") * F.col("r")))
     perfect = F.abs("r") >= 1.0
     raw = F.when(F.col("r").isNull(), 1.0).when(perfect, 0.0).otherwise(student_p(F.when(~perfect, t), n - 2))
-    tested = adjust_family(table.withColumn("raw_p_value", F.coalesce(raw, F.lit(1.0))))
+    tested = table.withColumn("raw_p_value", F.coalesce(raw, F.lit(1.0)))
+    tested = adjust_large_family(tested) if wide else adjust_family(tested)
     return tested.select(
         "position",
         F.concat_ws(" & ", "col1", "col2").alias("pair"),
@@ -801,12 +814,13 @@ def rank_insights(tests: DataFrame, pairs: DataFrame, top: int = 5) -> DataFrame
         "l_ci", F.greatest(F.lit(0.0), F.col("magnitude") - error)
     )
     best = Window.partitionBy("variables").orderBy(F.desc("l_ci"), "kind", "position")
-    order = Window.partitionBy().orderBy(F.desc("l_ci"), "kind", "position")
+    order = Window.partitionBy().orderBy(F.desc("l_ci"), "kind", "position")  # of the few rows that are left
     return (
         both.withColumn("__n", F.row_number().over(best))
         .where("__n = 1")
+        .orderBy(F.desc("l_ci"), "kind", "position")
+        .limit(top)
         .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= top)
         .select(
             "place",
             "type",

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tableaudit.operators.relations import pearson_matrix, redundant_pairs, vif_scores
+from tableaudit.operators.relations import adjust_family, adjust_large_family, correlations, pearson_matrix, redundant_pairs, vif_scores
 from tableaudit.plans import tiles
 from tableaudit.plans.pairs import pair_moments
 
@@ -62,3 +62,21 @@ def test_matrix_of_a_wide_table_has_all_pairs(spark):
     k = tiles.TILE + 5
     df = spark.range(50).select(*[F.rand(i).alias(f"c{i}") for i in range(k)])
     assert pearson_matrix(df).count() == k * (k - 1) // 2
+
+
+def test_large_families_are_adjusted_alike(spark):
+    rng = np.random.default_rng(5)
+    p = np.round(rng.random(3000) ** 4, 4)  # with ties
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)], "position int, raw_p_value double").repartition(5)
+    want = {r["position"]: (r["p_adj"], r["is_significant"]) for r in adjust_family(df).collect()}
+    for rows in (2_000_000, 100):
+        got = {r["position"]: (r["p_adj"], r["is_significant"]) for r in adjust_large_family(df, rows_per_bucket=rows).collect()}
+        assert got == want
+
+
+def test_wide_families(spark, monkeypatch):
+    df = spark.range(60).select(*[F.rand(i).alias(f"c{i}") for i in range(12)]).withColumn("twin", F.col("c3") + F.rand(99) / 10)
+    want = {r["pair"]: r for r in correlations(df, method="pearson").collect()}
+    monkeypatch.setattr(tiles, "TILE", 5)
+    got = {r["pair"]: r for r in correlations(df, method="pearson").collect()}
+    assert got == want and got["c3 & twin"]["is_significant"]
