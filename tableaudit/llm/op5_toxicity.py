@@ -1,11 +1,11 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled text. The ordinary one is trained on ordinary documents. The toxic one
-is not trained: it is the ordinary one, since toxic documents are mostly ordinary text, and what marks toxic text, chosen
-by counting: the words and word beginnings that recur in it in many different surroundings and hardly in ordinary text. A text
-is cut into windows of words. A window that gets shorter with the toxic dictionary than with the ordinary one holds
-toxic text; how much shorter is its margin. A document's margins (the largest ones, how many pass one and two bytes, their sum and share)
-meet weights and a threshold that are calibrated on labelled documents kept apart from the dictionaries.
+Two zstandard dictionaries are trained, one on the windows of ordinary and one on those of toxic labelled documents. Since
+toxic documents are mostly ordinary text, a third one is the ordinary one and what marks toxic text, chosen by counting: the
+words and word beginnings that recur in it in many different surroundings and hardly in ordinary text. A text is cut into
+windows of words. A window that gets shorter with the toxic or the marked dictionary than with the ordinary one speaks for
+toxic text; how much shorter is its margin. A document's margins (the largest ones, how many pass one and two bytes, their
+sum, mean and share) meet weights and a threshold that are calibrated on labelled documents kept apart from the dictionaries.
 
 Learning reads a bounded sample: at most ``TOXIC_ROWS`` toxic and ``ORDINARY_ROWS`` ordinary labelled documents of at
 most ``LONGEST`` characters, chosen by a hash of doc_id, none with crc32(doc_id) mod 5 = 0. Scoring reads every window
@@ -100,9 +100,10 @@ def _surroundings(texts: Sequence[str]) -> tuple[Counter, int]:
     return segments, len(places)
 
 
-def train_dictionaries(ordinary: Sequence[str], toxic: Sequence[str]) -> tuple[bytes, bytes]:
-    """Dictionaries of ordinary and of toxic text."""
+def train_dictionaries(ordinary: Sequence[str], toxic: Sequence[str]) -> tuple[bytes, bytes, bytes]:
+    """Dictionaries trained on ordinary and on toxic text, and the ordinary one with the marks of toxic text."""
     base = _train([w for t in ordinary for w in windows_of(t)], DICTIONARY_BYTES)
+    other = _train([w for t in toxic for w in windows_of(t)], DICTIONARY_BYTES)
     here, n_here = _surroundings(toxic)
     there, n_there = _surroundings(ordinary)
     least = max(SURROUNDINGS, SURROUNDINGS_SHARE * n_here)
@@ -111,32 +112,35 @@ def train_dictionaries(ordinary: Sequence[str], toxic: Sequence[str]) -> tuple[b
     ]
     # matches near the end are cheapest: the most frequent segments come last
     marks.sort(key=lambda s: (here[s], s))
-    return base, base + b"".join(marks)[-DICTIONARY_BYTES:]
+    return base, other, base + b"".join(marks)[-DICTIONARY_BYTES:]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Two dictionaries and the calibrated weights; small enough to go with every task."""
+    """Three dictionaries and the calibrated weights; small enough to go with every task."""
 
     ordinary: bytes
     toxic: bytes
+    marked: bytes
     centre: tuple[float, ...] = ()
     scale: tuple[float, ...] = ()
     weights: tuple[float, ...] = ()
 
     def features(self, texts: Sequence[str | None]) -> np.ndarray:
-        plain, marked = _compressor(self.ordinary), _compressor(self.toxic)
+        plain, toxic, marked = (_compressor(x) for x in (self.ordinary, self.toxic, self.marked))
         rows = []
         for text in texts:
             windows = windows_of(text)
-            margin = _sizes(plain, windows) - _sizes(marked, windows)
+            length = _sizes(plain, windows)
+            margin, other = length - _sizes(marked, windows), length - _sizes(toxic, windows)
             gain = np.sort(np.maximum(margin, 0))[::-1]
             one, two = int((margin >= 1).sum()), int((margin >= 2).sum())
             top = [*gain[:3].tolist(), 0, 0, 0][:3]
             rows.append(
                 [1.0, *top, np.log1p(one), np.log1p(two), np.log1p(gain.sum()), np.log(len(margin)), two / len(margin), margin.mean()]
+                + [other.max(), other.mean(), (other >= 2).mean()]
             )
-        return np.array(rows, float).reshape(len(texts), 10)
+        return np.array(rows, float).reshape(len(texts), 13)
 
     def scores(self, texts: Sequence[str | None]) -> np.ndarray:
         """Calibrated scores; 0.5 is the threshold."""
@@ -162,7 +166,7 @@ def calibrate(model: Model, texts: Sequence[str], labels: Sequence[int], share:
         slope = x.T @ (weight * (p - y)) + 0.01 * b
         bend = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(b))
         b -= np.linalg.solve(bend, slope)
-    return Model(model.ordinary, model.toxic, tuple(centre), tuple(scale), tuple(b))
+    return Model(model.ordinary, model.toxic, model.marked, tuple(centre), tuple(scale), tuple(b))
 
 
 def _remainder(doc_id: Column) -> Column:
@@ -194,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     )
     split = {(t, part): [r["text"] for r in rows if r["toxic"] == t and (r["share"] < TRAIN_SHARE) == part] for t in (0, 1) for part in (True, False)}
     if not all(split.values()):
-        return Model(b"", b"")
+        return Model(b"", b"", b"")
     model = Model(*train_dictionaries(split[0, True], split[1, True]))
     apart = split[0, False] + split[1, False]
     truth = [0] * len(split[0, False]) + [1] * len(split[1, False])

@@ -84,3 +84,27 @@ def test_given_tables(spark):
     caught = [r["predicted"] for r in rows if r["toxic"]]
     wrong = [r["predicted"] for r in rows if not r["toxic"]]
     assert sum(caught) / len(caught) >= 0.55 and sum(wrong) / len(wrong) <= 0.02
+
+
+def test_margins_against_single_compressions(fitted):
+    """Features of whole texts from one compressor call per window and dictionary."""
+    import numpy as np
+
+    _, _, model = fitted
+    draw = random.Random(7)
+    words = ["gruffhound", "the", "ÉTÉ", "of", "snarlix", "tion", "ing", "\x00", "a" * 300]
+    texts = [None, "", "one", "  ", *(" ".join(draw.choices(words, k=draw.randrange(1, 90))) for _ in range(25))]
+    one = {name: toxicity._compressor(getattr(model, name)) for name in ("ordinary", "toxic", "marked")}
+    for text, row in zip(texts, model.features(texts)):
+        own = toxicity.words_of(text)
+        windows = [own[i : i + 16] for i in range(0, len(own), 16)] or [[]]
+        length = lambda name: [len(one[name].compress(b" " + b" ".join(w) + b" ")) for w in windows]  # noqa: B023, E731
+        plain, toxic, marked = length("ordinary"), length("toxic"), length("marked")
+        margin = [a - b for a, b in zip(plain, marked)]
+        other = [a - b for a, b in zip(plain, toxic)]
+        gain = sorted((max(m, 0) for m in margin), reverse=True)
+        n = len(windows)
+        two = sum(m >= 2 for m in margin)
+        want = [1, *(gain + [0, 0, 0])[:3], np.log1p(sum(m >= 1 for m in margin)), np.log1p(two), np.log1p(sum(gain)), np.log(n)]
+        want += [two / n, sum(margin) / n, max(other), sum(other) / n, sum(m >= 2 for m in other) / n]
+        assert np.allclose(row, want)
