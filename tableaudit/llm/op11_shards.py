@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keep, table
 from .ordering import running
 
 SHARDS = 24
@@ -50,10 +50,10 @@ def place_sized(rows: DataFrame, shards: int = SHARDS, order: str = "doc_id") ->
     placed = running(
         rows, [F.col(order), F.col("text_crc32"), F.col("size")], {"__bytes": F.col("size"), "__rows": F.lit(1)}
     )
-    total = placed.agg(F.max(F.col("__bytes") + F.col("size")).alias("__all"))
+    total = rows.agg(F.sum("size")).first()[0] or 1
     middle = (F.col("__bytes") * 2 + F.col("size")).cast("decimal(38,0)")
-    cut = F.floor(middle * shards / (F.col("__all") * 2).cast("decimal(38,0)")).cast("int")
-    sharded = placed.join(F.broadcast(total)).withColumn("shard", F.least(cut, F.lit(shards - 1)))
+    cut = F.floor(middle * shards / F.lit(2 * total).cast("decimal(38,0)")).cast("int")
+    sharded = placed.withColumn("shard", F.least(cut, F.lit(shards - 1)))
     # at most one row a shard
     first = sharded.groupBy("shard").agg(F.min("__rows").alias("__first"))
     return sharded.join(F.broadcast(first), "shard").select(
@@ -75,7 +75,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, rows_per_file
 def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shard and slot under the law of equal bytes."""
     docs = table(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", size_of().alias("size"), checksum_of().alias("text_crc32"))
+    # written once, so that texts are read once: range limits are taken from a sample of their own
+    sized = keep(docs.select("doc_id", size_of().alias("size"), checksum_of().alias("text_crc32")))
     return place_sized(sized).select(
         "doc_id",
         "size",
