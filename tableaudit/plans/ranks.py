@@ -8,13 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .freq import number_counts
 from .joins import EASY_ROWS, HOT_SHARE
+from .materialise import materialise
 from .prefix import ROWS_PER_BUCKET, average_ranks, bucket_limits
 
 #: rank tables are broadcast, smallest first, while they hold this many distinct values together (about 60 MB)
 BROADCAST_VALUES = 1_000_000
 _SALTS = 64
+#: (set of gaps, column) combinations that are ranked together
+LABELS = 64
 
 
 def hot_values(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, list[float]]:
@@ -45,44 +47,6 @@ def _salted_join(rows: DataFrame, ranks: DataFrame, key: str, hot: Sequence[floa
     return rows.withColumn("__salt", salt).join(spread, [key, "__salt"], "left").drop("__salt")
 
 
-def _ranked(
-    df: DataFrame,
-    columns: Mapping[str, Column],
-    counts: Mapping[str, int],
-    distinct: Mapping[str, int],
-    rows_per_bucket: int,
-    broadcast_values: int,
-    easy_rows: int,
-) -> tuple[DataFrame, list[str]]:
-    """Rows with one centred and scaled rank per column, and a weight."""
-    names = list(columns)
-    limits = bucket_limits(df, columns, counts, rows_per_bucket)
-    flat = df.select(*[columns[c].alias(f"x{i}") for i, c in enumerate(names)])
-    small, room = set(), broadcast_values
-    for c in sorted(names, key=lambda c: distinct[c]):
-        size = min(distinct[c] * 1.5, counts[c])  # an estimate is within a few percent of the true number
-        if size <= room:
-            small.add(c)
-            room -= size
-    big = {c: columns[c] for c in names if c not in small}
-    hot = hot_values(df, big) if max(counts.values()) > easy_rows else dict.fromkeys(big, ())
-    if len(small) < len(names):
-        rows = flat.groupBy(*flat.columns).agg(F.count(F.lit(1)).alias("w"))
-    else:
-        rows = flat.withColumn("w", F.lit(1))
-    for i, c in enumerate(names):
-        table = average_ranks(number_counts(df, {c: columns[c]}), {c: limits[c]} if c in limits else {})
-        n = counts[c]
-        table = table.select(
-            F.col("value").alias(f"x{i}"), ((F.col("rank") - (n + 1) / 2.0) / float(max(n, 1))).alias(f"r{i}")
-        )
-        if c in small:
-            rows = rows.join(F.broadcast(table), f"x{i}", "left")
-        else:
-            rows = _salted_join(rows, table, f"x{i}", hot[c])
-    return rows, names
-
-
 def rank_correlations(
     df: DataFrame,
     columns: Mapping[str, Column],
@@ -98,31 +62,35 @@ def rank_correlations(
     """Spearman's rho of each pair over its pair-complete rows; None without spread.
 
     Ranks depend on the rows they are taken over. Pairs that are complete on the same rows, because their
-    columns have no gaps or the same gaps, are ranked together: one ranking per column and set of gaps.
+    columns have no gaps or the same gaps, are ranked together: one ranking per column and set of gaps, all by one pass.
     """
     gaps = _gap_classes(pairs, pair_counts, counts, total)
     groups: dict[frozenset, list[tuple[str, str]]] = {}
     for pair in pairs:
         groups.setdefault(frozenset(gaps[c] for c in pair if gaps[c] is not None), []).append(pair)
-    found, keys = [], []
+    # sets of gaps that are ranked by one pass: (missing columns, pairs, number of complete rows)
+    passes: list[list[tuple]] = [[]]
     for gap, members in groups.items():
-        part = df
-        for c in sorted(gap):
-            part = part.where(columns[c].isNotNull())
-        used = {c: columns[c] for c in dict.fromkeys(c for p in members for c in p)}
-        n = pair_counts[members[0]]
-        sums = _rank_sums(part, used, members, dict.fromkeys(used, n), distinct, rows_per_bucket, broadcast_values, easy_rows)
+        labels = sum(len({c for p in m for c in p}) for _, m, _ in passes[-1])
+        if passes[-1] and labels + len({c for p in members for c in p}) > LABELS:
+            passes.append([])
+        passes[-1].append((sorted(gap), members, pair_counts[members[0]]))
+    found, keys = [], []
+    for group in passes:
+        sums, sizes = _rank_sums(df, columns, group, distinct, rows_per_bucket, broadcast_values, easy_rows)
         found.append(sums.select(F.lit(len(keys)).alias("group"), F.array(*sums.columns).alias("sums")))
-        keys.append((members, list(used)))
+        keys.append((group, sizes))
     out: dict[tuple[str, str], float | None] = {}
     # one job: the groups run side by side
     for row in reduce(DataFrame.unionByName, found).collect():
-        members, names = keys[row["group"]]
-        squares = dict(zip(names, row["sums"]))
-        for (a, b), cross in zip(members, row["sums"][len(names) :]):
-            sa, sb = squares[a], squares[b]
-            # ranks of a column without spread are all zero once centred
-            out[(a, b)] = None if not sa or not sb else max(-1.0, min(1.0, cross / (sa * sb) ** 0.5))
+        group, labels = keys[row["group"]]
+        squares = dict(zip(labels, row["sums"]))
+        crosses = iter(row["sums"][len(labels) :])
+        for g, (_, members, _) in enumerate(group):
+            for a, b in members:
+                cross, sa, sb = next(crosses), squares[g, a], squares[g, b]
+                # ranks of a column without spread are all zero once centred
+                out[(a, b)] = None if not sa or not sb else max(-1.0, min(1.0, cross / (sa * sb) ** 0.5))
     return out
 
 
@@ -142,12 +110,67 @@ def _gap_classes(pairs, pair_counts, counts, total) -> dict[str, str | None]:
     return out
 
 
-def _rank_sums(df, columns, pairs, counts, distinct, rows_per_bucket, broadcast_values, easy_rows) -> DataFrame:
-    """One row: the sum of squared centred ranks of each column, then the cross sums of each pair."""
-    rows, names = _ranked(df, columns, counts, distinct, rows_per_bucket, broadcast_values, easy_rows)
-    at = {c: i for i, c in enumerate(names)}
+def _rank_sums(
+    df: DataFrame,
+    columns: Mapping[str, Column],
+    group: Sequence[tuple],
+    distinct: Mapping[str, int],
+    rows_per_bucket: int,
+    broadcast_values: int,
+    easy_rows: int,
+) -> tuple[DataFrame, list[tuple[int, str]]]:
+    """One row: the sum of squared centred ranks of each (set of gaps, column), then the cross sums of each pair.
+
+    One scan counts the values of every column for every set of gaps, and one pass over these counts ranks them all; a second
+    scan of the rows meets one table per column, which has the ranks of a value for each set.
+    """
+    names = list(dict.fromkeys(c for gap, members, _ in group for c in (*gap, *(c for p in members for c in p))))
+    at = {c: f"x{i}" for i, c in enumerate(names)}
+    labels = [(g, c) for g, (_, members, _) in enumerate(group) for c in dict.fromkeys(c for p in members for c in p)]
+    size = {(g, c): group[g][2] for g, c in labels}
+    ranked = [c for c in names if any(d == c for _, d in labels)]  # others only tell gaps
+    flat = df.select(*[columns[c].alias(at[c]) for c in names])
+    whole = [reduce(Column.__and__, [F.col(at[c]).isNotNull() for c in gap], F.lit(True)) for gap, _, _ in group]
+    held = {f"{g}:{at[c]}": F.when(whole[g], F.col(at[c])) for g, c in labels}
+    cells = [x for label, value in held.items() for x in (F.lit(label), value)]
+    long = flat.select(F.stack(F.lit(len(held)), *cells).alias("column", "value")).where(F.col("value").isNotNull())
+    limits = bucket_limits(flat, held, {f"{g}:{at[c]}": size[g, c] for g, c in labels}, rows_per_bucket)
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = materialise(average_ranks(counts, limits))
+    small, room = set(), broadcast_values
+    for c in sorted(ranked, key=lambda c: distinct[c]):
+        own = min(distinct[c] * 1.5, max(n for (_, d), n in size.items() if d == c))  # an estimate is a few percent off at most
+        if own <= room:
+            small.add(c)
+            room -= own
+    big = {c: F.col(at[c]) for c in ranked if c not in small}
+    hot = hot_values(flat, big) if max(size.values()) > easy_rows else dict.fromkeys(big, ())
+    rows = flat.groupBy(*flat.columns).agg(F.count(F.lit(1)).alias("w")) if big else flat.withColumn("w", F.lit(1))
+    for c in ranked:
+        mine = [g for g, d in labels if d == c]
+        table = (
+            ranks.where(F.col("column").isin([f"{g}:{at[c]}" for g in mine]))
+            .groupBy(F.col("value").alias(at[c]))
+            .agg(
+                *[
+                    F.max(F.when(F.col("column") == f"{g}:{at[c]}", (F.col("rank") - (size[g, c] + 1) / 2.0) / float(max(size[g, c], 1)))).alias(
+                        f"r{g}{at[c]}"
+                    )
+                    for g in mine
+                ]
+            )
+        )
+        if c in small:
+            rows = rows.join(F.broadcast(table), at[c], "left")
+        else:
+            rows = _salted_join(rows, table, at[c], hot[c])
     w = F.col("w")
-    return rows.agg(
-        *[F.sum(w * F.col(f"r{i}") * F.col(f"r{i}")).alias(f"s{i}") for i in range(len(names))],
-        *[F.sum(w * F.col(f"r{at[a]}") * F.col(f"r{at[b]}")).alias(f"p{k}") for k, (a, b) in enumerate(pairs)],
+    rank = lambda g, c: F.when(whole[g], F.col(f"r{g}{at[c]}"))
+    sums = rows.agg(
+        *[F.sum(w * rank(g, c) * rank(g, c)).alias(f"s{i}") for i, (g, c) in enumerate(labels)],
+        *[
+            F.sum(w * rank(g, a) * rank(g, b)).alias(f"p{k}")
+            for k, (g, a, b) in enumerate((g, a, b) for g, (_, members, _) in enumerate(group) for a, b in members)
+        ],
     )
+    return sums, labels
