@@ -149,8 +149,8 @@ def omnibus_sql(n: str, g1: str, g2: str) -> str:
     return f"(pow({z1}, 2) + pow({z2}, 2))"
 
 
-def shapiro_sql(source: str) -> str:
-    """From (label, x) to (label, n, skew, w, p) for samples of 12 to 5000 values.
+def _scores_sql(source: str) -> str:
+    """From (label, x) to (label, x, i, n, m): rank, number of values and normal score.
 
     The normal scores start from a rational approximation and take two Newton steps on the integrated density.
     """
@@ -173,7 +173,26 @@ def shapiro_sql(source: str) -> str:
     upper = f"SELECT *, greatest((i - 0.375) / (n + 0.25), 1.0 - (i - 0.375) / (n + 0.25)) AS q FROM ({placed})"
     zero = f"SELECT *, {start} AS z0 FROM ({upper})"
     one = f"SELECT *, {newton('z0')} AS z1 FROM ({zero})"
-    two = f"SELECT *, (CASE WHEN i - 0.375 < (n + 0.25) / 2.0 THEN -1.0 ELSE 1.0 END) * ({newton('z1')}) AS m FROM ({one})"
+    return f"SELECT *, (CASE WHEN i - 0.375 < (n + 0.25) / 2.0 THEN -1.0 ELSE 1.0 END) * ({newton('z1')}) AS m FROM ({one})"
+
+
+def francia_sql(source: str) -> str:
+    """From (label, x) to (label, n, skew, w, p) by the Shapiro-Francia test."""
+    stat = (
+        "SELECT label, count(*) AS n, skewness(x) AS skew, pow(sum(m * x), 2) / (sum(m * m) * var_pop(x) * count(*)) AS w "
+        f"FROM ({_scores_sql(source)}) GROUP BY label"
+    )
+    mean, sd = "(-1.2725 + 1.0521 * (ln(ln(n)) - ln(n)))", "(1.0308 - 0.26758 * (ln(ln(n)) + 2 / ln(n)))"
+    half = normal_p_sql("z") + " / 2.0"
+    return (
+        f"SELECT label, n, skew, w, CASE WHEN z > 0 THEN {half} ELSE 1.0 - {half} END AS p "
+        f"FROM (SELECT *, (ln(1.0 - w) - {mean}) / {sd} AS z FROM ({stat}))"
+    )
+
+
+def shapiro_sql(source: str) -> str:
+    """From (label, x) to (label, n, skew, w, p) for samples of 12 to 5000 values."""
+    two = _scores_sql(source)
     sums = (
         "SELECT *, sum(m * m) OVER w AS ss, max(m) OVER w AS top, max(m) FILTER (WHERE i = n - 1) OVER w AS nxt, "
         f"1.0 / sqrt(n) AS u FROM ({two}) WINDOW w AS (PARTITION BY label)"

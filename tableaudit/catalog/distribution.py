@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.constants import SHAPIRO
+from ..functions.constants import FRANCIA, SHAPIRO
 from ..operators.distribution import categorical_profile, moments, normality, numeric_profile, numeric_values, outliers
 from .common import (
     GAPPY_LINEITEM,
+    francia_sql,
     gappy_lineitem,
     omnibus_sql,
     shapiro_sql,
@@ -141,6 +142,50 @@ def _normality_sql() -> str:
     return union_all(parts)
 
 
+def event_francia(spark, sf_dir):
+    """The same columns, and their first 4000 rows, by one test whatever their size."""
+    events = table(spark, sf_dir, "events")
+    head = F.col("event_id") < 4000
+    df = events.select(
+        "value",
+        F.cbrt("value").alias("cbrt_value"),
+        F.when(head, F.col("value")).alias("head_value"),
+        F.when(head, F.cbrt("value")).alias("head_cbrt"),
+    )
+    return normality(df, method="francia")
+
+
+_FRANCIA = (
+    "SELECT unnest(['value', 'cbrt_value', 'head_value', 'head_cbrt']) AS label, unnest([value, cbrt(value), "
+    "CASE WHEN event_id < 4000 THEN value END, CASE WHEN event_id < 4000 THEN cbrt(value) END]) AS x FROM events"
+)
+
+
+def _francia_sql() -> str:
+    return (
+        f"SELECT label AS \"column\", n, '{FRANCIA}' AS test_used, round(w, 4) AS statistic, round(p, 4) AS p_value, "
+        f"round(skew, 4) AS skewness, p > 0.05 AND abs(skew) < 0.5 AS is_normal FROM ({francia_sql(_FRANCIA)})"
+    )
+
+
+def embedding_omnibus(spark, sf_dir):
+    """All embedding dimensions by the omnibus test, whatever their number of rows."""
+    df = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(64)])
+    found = normality(df, method="omnibus")
+    return found.withColumn("statistic", F.round("statistic", 2))
+
+
+def _omnibus_dims_sql() -> str:
+    g1 = "(skew * (n - 2) / sqrt(n * (n - 1.0)))"
+    g2 = "((kurt * (n - 2.0) * (n - 3.0) / (n - 1.0) - 6.0) / (n + 1.0))"
+    source = "SELECT 'd' || unnest(range(64)) AS label, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings"
+    return (
+        f"SELECT label AS \"column\", n, 'D''Agostino K^2' AS test_used, round(round(k2, 4), 2) AS statistic, round(exp(-k2 / 2), 4) AS p_value, "
+        f"round(skew, 4) AS skewness, exp(-k2 / 2) > 0.05 AND abs(skew) < 0.5 AS is_normal FROM (SELECT *, {omnibus_sql('n', g1, g2)} AS k2 "
+        f"FROM (SELECT label, count(x) AS n, skewness(x) AS skew, kurtosis(x) AS kurt FROM ({source}) GROUP BY label))"
+    )
+
+
 def embedding_normality(spark, sf_dir):
     """Normality of all embedding dimensions: Shapiro-Wilk for small tables."""
     df = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(64)])
@@ -188,6 +233,8 @@ QUERIES = {
     "lineitem_moments": (lineitem_moments, _moments_sql()),
     "event_outliers": (event_outliers, _outliers_sql()),
     "event_normality": (event_normality, _normality_sql()),
+    "event_francia": (event_francia, _francia_sql()),
+    "embedding_omnibus": (embedding_omnibus, _omnibus_dims_sql()),
     "embedding_normality": (embedding_normality, _embedding_sql()),
     "order_categories": (
         order_categories,

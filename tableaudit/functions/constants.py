@@ -61,6 +61,7 @@ CHI_SQUARE_WARNING = "Chi-Square (Warning: Cochran Rule Violated)"
 FISHER = "Fisher's Exact Test (Cochran Violation Fallback)"
 SHAPIRO = "Shapiro-Wilk"
 DAGOSTINO = "D'Agostino K^2"
+FRANCIA = "Shapiro-Francia"
 SAMPLE_CHECK = "Sample Check"
 
 # --- claim gate -------------------------------------------------------------------

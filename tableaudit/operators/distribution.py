@@ -14,9 +14,10 @@ from ..functions import constants as K
 from ..functions import severity
 from ..functions.columns import numeric_columns, other_columns, value_of
 from ..functions.moments import omnibus, sample_kurtosis, sample_skewness
-from ..functions.shapiro import shapiro_wilk
+from ..functions.shapiro import francia_p, score_sums, shapiro_wilk
 from ..plans.aggregates import per_column, small_table
-from ..plans.freq import long_form, value_counts, whole_texts
+from ..plans.freq import long_form, number_counts, value_counts, whole_texts
+from ..plans.prefix import bucket_limits, running_totals
 from ..plans.quantiles import DIRECT_ROWS, exact_quantiles
 from ..plans.spreads import counted_spreads
 
@@ -90,8 +91,10 @@ def normality_from(df: DataFrame, values: Mapping[str, Column], found: Sequence[
     return normality_gate(df.sparkSession, found, tested)
 
 
-def normality_gate(spark: SparkSession, found: Sequence[Mapping], tested: DataFrame | None) -> DataFrame:
-    """The gate from moments (column, n, g1, g2, skewness) and the Shapiro-Wilk results ``(column, w, p)`` of small samples."""
+def normality_gate(
+    spark: SparkSession, found: Sequence[Mapping], tested: DataFrame | None, method: str = "auto"
+) -> DataFrame:
+    """The gate from moments (column, n, g1, g2, skewness) and the results ``(column, w, p)`` of a test of the values."""
     table = small_table(
         spark,
         [(r["column"], r["n"], r["g1"], r["g2"], r["skewness"]) for r in found],
@@ -103,13 +106,15 @@ def normality_gate(spark: SparkSession, found: Sequence[Mapping], tested: DataFr
         table = table.withColumns({"w": F.lit(None).cast("double"), "p": F.lit(None).cast("double")})
     n = F.col("n")
     k2, tail = omnibus(n, F.col("g1"), F.col("g2"))
-    few, big = n < 8, n > SHAPIRO_ROWS
+    few = n < 8
+    big = {"auto": n > SHAPIRO_ROWS, "omnibus": F.lit(True), "francia": F.lit(False)}[method]
     stat = F.coalesce(F.when(few, 0.0).when(big, k2).otherwise(F.col("w")), F.lit(0.0))
     p = F.coalesce(F.when(few, 0.0).when(big, tail).otherwise(F.col("p")), F.lit(0.0))
+    other = K.FRANCIA if method == "francia" else K.SHAPIRO
     return table.select(
         "column",
         "n",
-        F.when(few, K.SAMPLE_CHECK).when(big, K.DAGOSTINO).otherwise(K.SHAPIRO).alias("test_used"),
+        F.when(few, K.SAMPLE_CHECK).when(big, K.DAGOSTINO).otherwise(other).alias("test_used"),
         F.round(stat, 4).alias("statistic"),
         F.round(p, 4).alias("p_value"),
         F.round("skewness", 4).alias("skewness"),
@@ -117,12 +122,55 @@ def normality_gate(spark: SparkSession, found: Sequence[Mapping], tested: DataFr
     )
 
 
-def normality(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(column, n, test_used, statistic, p_value, skewness, is_normal)`` per numeric column."""
+def normality(df: DataFrame, columns: Sequence[str] | None = None, method: str = "auto") -> DataFrame:
+    """``(column, n, test_used, statistic, p_value, skewness, is_normal)`` per numeric column.
+
+    ``auto`` is the published rule: Shapiro-Wilk up to 5000 values, the omnibus test above. ``omnibus`` and ``francia``
+    (Shapiro-Francia, from ranks and normal scores) hold for any number of values from 8 on, so that one row more never
+    changes the test.
+    """
     values = numeric_values(df, columns)
     if not values:
         return _no_normality(df)
-    return normality_from(df, values, moments(df, values).collect())
+    found = moments(df, values).collect()
+    if method == "auto":
+        return normality_from(df, values, found)
+    if method not in ("omnibus", "francia"):
+        raise ValueError(f"unknown method: {method}")
+    tested = _francia(df, values, found) if method == "francia" else None
+    return normality_gate(df.sparkSession, found, tested, method)
+
+
+def _score_rows(before: pd.Series, n: pd.Series, total: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([score_sums(int(a), int(b), int(c)) for a, b, c in zip(before, n, total)], columns=["sum", "squares"])
+
+
+def _francia(df: DataFrame, values: Mapping[str, Column], found: Sequence[Row]) -> DataFrame:
+    """``(column, w, p)``: the squared correlation of the values with their normal scores.
+
+    Works on value counts and running totals, so a column is spread over many tasks and equal values are one row.
+    """
+    sizes = {r["column"]: r["n"] for r in found if r["n"] >= 8}
+    if not sizes:
+        return small_table(df.sparkSession, [], "column string, w double, p double")
+    used = {c: values[c] for c in sizes}
+    ranked = running_totals(number_counts(df, used), ["n"], bucket_limits(df, used, sizes))
+    table = small_table(
+        df.sparkSession,
+        [(r["column"], r["n"], (r["variance"] or 0.0) * (r["n"] - 1), r["mean"]) for r in found if r["n"] >= 8],
+        "column string, total bigint, ss double, mean double",
+    )
+    scores = F.pandas_udf(_score_rows, "sum double, squares double")
+    rows = ranked.join(F.broadcast(table), "column").withColumn("m", scores("n_before", "n", "total"))
+    sums = rows.groupBy("column", "total", "ss").agg(
+        F.sum(F.col("m.sum") * (F.col("value") - F.col("mean"))).alias("cross"), F.sum("m.squares").alias("squares")
+    )
+    out = []
+    for r in sums.collect():  # one row per column
+        whole = r["ss"] * r["squares"]
+        w = min(1.0, r["cross"] ** 2 / whole) if whole and whole == whole and whole != float("inf") else None
+        out.append((r["column"], w, None if w is None else francia_p(w, r["total"])))
+    return small_table(df.sparkSession, out, "column string, w double, p double")
 
 
 def _no_normality(df: DataFrame) -> DataFrame:
