@@ -78,37 +78,63 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.held, self.n = np.empty(1 << 16, kind), 0
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.held[: self.n]
+
+    def extend(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.held):
+            larger = np.empty(2 * (self.n + len(more)), self.held.dtype)
+            larger[: self.n] = self.values
+            self.held = larger
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 class Known:
     """Ids of pieces that were met before."""
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.encode, self.batch = encode, 0
-        self.pieces = pa.array([], pa.large_string())
-        self.ids = np.empty(0, np.uint32)
-        self.sizes = self.met = np.empty(0, np.int64)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.pieces: list[pa.Array] = []
+        self.ids, self.starts, self.sizes, self.met = (Growing(t) for t in (np.uint32, np.int64, np.int64, np.int64))
+
+    def _add(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.pieces.append(pieces)
+        self.starts.extend(self.ids.n + np.cumsum(sizes) - sizes)
+        self.ids.extend(ids)
+        self.sizes.extend(sizes)
+        self.met.extend(np.full(len(sizes), self.batch))
 
     def find(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start, size): where the ids of each of some distinct pieces stand; only new ones are encoded."""
         self.batch += 1
-        found = pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = pa.chunked_array(self.pieces, pa.large_string())
+        found = pc.fill_null(pc.index_in(pieces, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(found < 0)
         if len(new):
             fresh = pieces.take(pa.array(new))
-            found[new] = len(self.pieces) + np.arange(len(new))
-            more, sizes = self.encode(fresh.to_pylist())
-            self.pieces = pa.concat_arrays([self.pieces, fresh])
-            self.ids, self.sizes = np.concatenate([self.ids, more]), np.concatenate([self.sizes, sizes])
-            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
-        self.met[found] = self.batch
-        ids, starts = self.ids, np.cumsum(self.sizes) - self.sizes
-        own = starts[found], self.sizes[found]
-        if len(self.pieces) > KEPT:
-            kept = np.flatnonzero(self.met > self.batch - KEPT_BATCHES)
-            if len(kept) > 2 * KEPT:
-                kept = np.flatnonzero(self.met == self.batch)
-            self.pieces = self.pieces.take(pa.array(kept))
-            self.ids = ids[_spread(starts[kept], self.sizes[kept])]
-            self.sizes, self.met = self.sizes[kept], self.met[kept]
+            found[new] = len(known) + np.arange(len(new))
+            self._add(fresh, *self.encode(fresh.to_pylist()))
+        self.met.values[found] = self.batch
+        ids, own = self.ids.values, (self.starts.values[found], self.sizes.values[found])
+        if self.sizes.n > KEPT:
+            met = self.met.values
+            kept = np.flatnonzero(met > self.batch - KEPT_BATCHES)
+            if len(kept) > KEPT // 2:
+                kept = np.flatnonzero(met == self.batch)
+            starts, sizes, old = self.starts.values[kept], self.sizes.values[kept], self.pieces
+            self._empty()
+            self._add(pa.chunked_array(old).combine_chunks().take(pa.array(kept)), ids[_spread(starts, sizes)], sizes)
         return ids, *own
 
 
