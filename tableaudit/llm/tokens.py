@@ -28,8 +28,8 @@ END_OF_DOCUMENT = 0
 BATCH_BYTES = 8_000_000
 #: Words and whole pieces, with the signs at their ends, that are kept with their ids from batch to batch, about 40 bytes
 #: each. Beyond, those stay that were met in the last few batches: rare ones come and go.
-KEPT = 1_000_000
-KEPT_BATCHES = 8
+KEPT = 500_000
+KEPT_BATCHES = 3
 PIECES_A_STRING = 2000
 ENDS = ".,"
 _CUT, _MARK = "\0", "\1"
@@ -104,7 +104,7 @@ class Known:
         own = starts[found], self.sizes[found]
         if len(self.pieces) > KEPT:
             kept = np.flatnonzero(self.met > self.batch - KEPT_BATCHES)
-            if len(kept) > 2 * KEPT:
+            if len(kept) > KEPT:
                 kept = np.flatnonzero(self.met == self.batch)
             self.pieces = self.pieces.take(pa.array(kept))
             self.ids = ids[_spread(starts[kept], self.sizes[kept])]
