@@ -22,7 +22,7 @@ from ..plans.materialise import materialise
 from ..plans.pairs import all_pairs, pair_moments
 from ..plans.prefix import bucket_limits, bucket_of, running_totals
 from ..plans.quantiles import counts_of, exact_quantiles
-from ..plans.ranks import BROADCAST_VALUES, rank_correlations
+from ..plans.ranks import rank_correlations
 from ..plans.tiles import is_wide, tiled_best, tiled_pairs
 from .distribution import SHAPIRO_ROWS, moments, normality_gate, numeric_values
 from .facts import Facts
@@ -207,13 +207,9 @@ def _coefficients(df: DataFrame, facts: Facts, method: str, min_n: int) -> list[
         sizes = df.agg(
             F.count(F.lit(1)).alias("total"),
             *[F.count(values[c]).alias(f"n{i}") for i, c in enumerate(used)],
+            *[F.approx_count_distinct(values[c]).alias(f"d{i}") for i, c in enumerate(used)],
         ).first()
-        # a column cannot have more values than rows; only larger columns need an estimate
-        counts = {c: sizes[f"n{i}"] for i, c in enumerate(used)}
-        distinct = dict(counts)
-        many = [c for c in used if counts[c] > BROADCAST_VALUES]
-        if many:
-            distinct |= zip(many, df.agg(*[F.approx_count_distinct(values[c]) for c in many]).first())
+        counts, distinct = ({c: sizes[f"{x}{i}"] for i, c in enumerate(used)} for x in "nd")
         rho = rank_correlations(
             df,
             {c: values[c] for c in used},

@@ -1,20 +1,23 @@
-"""Rank correlations: average ranks joined back to the rows they belong to."""
+"""Rank correlations: average ranks from counts of values, and sums of their products."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .freq import number_counts
 from .joins import EASY_ROWS, HOT_SHARE
-from .prefix import ROWS_PER_BUCKET, average_ranks, bucket_limits
+from .materialise import materialise
+from .prefix import ROWS_PER_BUCKET, average_ranks, bucket_limits, bucket_of
 
 #: rank tables are broadcast, smallest first, while they hold this many distinct values together (about 60 MB)
 BROADCAST_VALUES = 1_000_000
 _SALTS = 64
+#: sets of gaps that are ranked from the same scans
+_SETS_A_PASS = 16
 
 
 def hot_values(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, list[float]]:
@@ -95,37 +98,188 @@ def rank_correlations(
     broadcast_values: int = BROADCAST_VALUES,
     easy_rows: int = EASY_ROWS,
 ) -> dict[tuple[str, str], float | None]:
-    """Spearman's rho of each pair over its pair-complete rows; None without spread.
+    """Spearman's rho of each pair over its pair-complete rows; None without spread."""
+    found = keyed_rank_correlations(
+        df, F.lit(0), [0], columns, pairs, pair_counts, counts, distinct, total, rows_per_bucket, broadcast_values, easy_rows
+    )
+    return {pair: found.get((0, pair)) for pair in pairs}
+
 
-    Ranks depend on the rows they are taken over. Pairs that are complete on the same rows, because their
-    columns have no gaps or the same gaps, are ranked together: one ranking per column and set of gaps.
+def keyed_rank_correlations(
+    df: DataFrame,
+    key: Column,
+    keys: Sequence[int],
+    columns: Mapping[str, Column],
+    pairs: Sequence[tuple[str, str]],
+    pair_counts: Mapping[tuple[str, str], int],
+    counts: Mapping[str, int],
+    distinct: Mapping[str, int],
+    total: int,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    broadcast_values: int = BROADCAST_VALUES,
+    easy_rows: int = EASY_ROWS,
+) -> dict[tuple[int, tuple[str, str]], float | None]:
+    """Spearman's rho of each pair among the rows of each ``key``, a number in ``keys``; the counts are those of all rows.
+
+    Ranks depend on the rows they are taken over. Pairs that are complete on the same rows, because their columns have
+    no gaps or the same gaps, share a ranking: one per column and set of gaps, all of them from the same counts of values.
+    Ranks of columns with few values are sent to the rows. A column with many values is counted by value, beside the sum
+    of its partner's ranks at each value: running totals of the counts then give its own rank to the whole sum. Only
+    where both columns have many values do ranks travel to rows.
     """
     gaps = _gap_classes(pairs, pair_counts, counts, total)
     groups: dict[frozenset, list[tuple[str, str]]] = {}
     for pair in pairs:
         groups.setdefault(frozenset(gaps[c] for c in pair if gaps[c] is not None), []).append(pair)
-    found, keys = [], []
-    for gap, members in groups.items():
+    small, room = set(), broadcast_values
+    for c in sorted(gaps, key=lambda c: distinct[c]):
+        size = min(distinct[c] * 1.5, counts[c])  # an estimate is within a few percent of the true number
+        if size <= room:
+            small.add(c)
+            room -= size
+    found: list[DataFrame] = []
+    limits = bucket_limits(df, {c: columns[c] for c in gaps if c not in small}, counts, rows_per_bucket)
+    sets = list(groups)
+    for start in range(0, len(sets), _SETS_A_PASS):
+        part = {g: groups[g] for g in sets[start : start + _SETS_A_PASS]}
+        found += _summed(df, key, columns, part, small, limits)
+    both = [(gap, [p for p in members if not small & {*p}]) for gap, members in groups.items()]
+    for gap, members in both:
+        if not members:
+            continue
         part = df
         for c in sorted(gap):
             part = part.where(columns[c].isNotNull())
         used = {c: columns[c] for c in dict.fromkeys(c for p in members for c in p)}
-        n = pair_counts[members[0]]
-        sums = _rank_sums(part, used, members, dict.fromkeys(used, n), distinct, rows_per_bucket, broadcast_values, easy_rows)
-        found.append(sums.select(F.lit(len(keys)).alias("group"), F.array(*sums.columns).alias("sums")))
-        keys.append((members, list(used)))
-    out: dict[tuple[str, str], float | None] = {}
-    # one job: the groups run side by side
-    for row in reduce(DataFrame.unionByName, found).collect():
-        members, names = keys[row["group"]]
-        squares = dict(zip(names, row["sums"]))
-        for (a, b), cross in zip(members, row["sums"][len(names) :]):
-            sa, sb = squares[a], squares[b]
-            # ranks of a column without spread are all zero once centred
-            out[(a, b)] = None if not sa or not sb else max(-1.0, min(1.0, cross / (sa * sb) ** 0.5))
+        for k in keys:
+            one = part.where(key == k) if len(keys) > 1 else part
+            n = dict.fromkeys(used, pair_counts[members[0]])
+            if len(keys) > 1:
+                n = dict.fromkeys(used, one.count())
+            sums = _rank_sums(one, used, members, n, distinct, rows_per_bucket, 0, easy_rows)
+            at = {c: i for i, c in enumerate(used)}
+            cells = [
+                _cell(F.lit(k), a, b, F.col(f"p{i}"), F.col(f"s{at[a]}"), F.col(f"s{at[b]}")) for i, (a, b) in enumerate(members)
+            ]
+            found.append(sums.select(F.inline(F.array(*cells))))
+    # one job: all parts run side by side
+    rows = reduce(DataFrame.unionByName, found).groupBy("k", "a", "b").agg(*[F.sum(c).alias(c) for c in ("cross", "sa", "sb")])
+    out: dict[tuple[int, tuple[str, str]], float | None] = {}
+    for r in rows.collect():  # one row per key and pair
+        # ranks of a column without spread are all zero once centred
+        flat = not r["sa"] or not r["sb"] or r["cross"] is None
+        out[r["k"], (r["a"], r["b"])] = None if flat else max(-1.0, min(1.0, r["cross"] / (r["sa"] * r["sb"]) ** 0.5))
     return out
 
 
+def _cell(k: Column, a: str, b: str, cross: Column, sa: Column, sb: Column) -> Column:
+    """A pair's sums; parts of them may come in several cells."""
+    number = lambda x: x.cast("double")
+    return F.struct(
+        k.cast("int").alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b"),
+        number(cross).alias("cross"), number(sa).alias("sa"), number(sb).alias("sb"),
+    )
+
+
+def _summed(
+    df: DataFrame,
+    key: Column,
+    columns: Mapping[str, Column],
+    groups: Mapping[frozenset, list[tuple[str, str]]],
+    small: set[str],
+    limits: Mapping[str, Sequence[float]],
+) -> list[DataFrame]:
+    """``(k, a, b, cross, sa, sb)``, in parts, of the pairs of some sets of gaps with a column in ``small``."""
+    none = F.lit(None)
+    pairs = [(g, a, b) for g, members in enumerate(groups.values()) for a, b in members if a in small or b in small]
+    if not pairs:
+        return []
+    names = list(dict.fromkeys(c for _, a, b in pairs for c in (a, b)))
+    slot = {c: f"x{i}" for i, c in enumerate(names)}
+    whole = [reduce(Column.__and__, [columns[c].isNotNull() for c in sorted(gap)], F.lit(True)) for gap in groups]
+    flat = df.select(
+        key.cast("int").alias("k"), *[columns[c].alias(slot[c]) for c in names], *[w.alias(f"w{g}") for g, w in enumerate(whole)]
+    )
+    sets = range(len(whole))
+    numbers = [F.count_if(f"w{g}").alias(f"n{g}") for g in sets]
+    few = [c for c in names if c in small]
+    cells = [x for c in few for x in (F.lit(slot[c]), F.col(slot[c]))]
+    long = flat.select("k", *[f"w{g}" for g in sets], F.stack(F.lit(len(few)), *cells).alias("column", "value"))
+    table = long.where(F.col("value").isNotNull()).groupBy("k", "column", "value").agg(*numbers)
+    own = Window.partitionBy("k", "column")
+    before = own.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    middle = lambda g: _centred(F.coalesce(F.sum(f"n{g}").over(before), F.lit(0)), F.col(f"n{g}"), F.sum(f"n{g}").over(own))
+    # BROADCAST_VALUES rows at most
+    table = materialise(table.select("*", *[middle(g).alias(f"r{g}") for g in sets]))
+    squares = table.groupBy("k", "column").agg(*[F.sum(F.col(f"n{g}") * F.col(f"r{g}") * F.col(f"r{g}")).alias(f"q{g}") for g in sets])
+
+    def beside(rows: DataFrame, wanted: Sequence[str]) -> DataFrame:
+        """Rows with the ranks of some columns, null where the value is missing."""
+        for c in wanted:
+            at = sorted({g for g, a, b in pairs if c in (a, b)})
+            ranks = table.where(F.col("column") == slot[c]).select(
+                F.col("k"), F.col("value").alias(slot[c]), *[F.col(f"r{g}").alias(f"{slot[c]}_r{g}") for g in at]
+            )
+            rows = rows.join(F.broadcast(ranks), ["k", slot[c]], "left")
+        return rows
+
+    rank = lambda c, g: F.col(f"{slot[c]}_r{g}")
+    found = []
+    # the squares of a column with few values, for every pair it is in
+    parts = [
+        F.when(F.col("column") == slot[c], _cell(F.col("k"), a, b, none, *((F.col(f"q{g}"), none) if c == a else (none, F.col(f"q{g}")))))
+        for g, a, b in pairs
+        for c in (a, b)
+        if c in small
+    ]
+    found.append(squares.select(F.inline(F.filter(F.array(*parts), lambda x: x.isNotNull()))))
+    direct = [(g, a, b) for g, a, b in pairs if a in small and b in small]
+    if direct:
+        rows = beside(flat, list(dict.fromkeys(c for _, a, b in direct for c in (a, b))))
+        sums = rows.groupBy("k").agg(*[F.sum(rank(a, g) * rank(b, g)).alias(f"p{i}") for i, (g, a, b) in enumerate(direct)])
+        found.append(
+            sums.select(F.inline(F.array(*[_cell(F.col("k"), a, b, F.col(f"p{i}"), none, none) for i, (_, a, b) in enumerate(direct)])))
+        )
+    for c in names:
+        if c in small:
+            continue
+        mine = [(g, a, b, b if a == c else a) for g, a, b in pairs if c in (a, b)]
+        used = sorted({g for g, *_ in mine})
+        bucket = bucket_of(F.lit(c), F.col("value"), {c: limits[c]} if c in limits else {}).alias("bucket")
+        others = list(dict.fromkeys(o for *_, o in mine))
+        rows = flat.where(F.col(slot[c]).isNotNull()).withColumn("value", F.col(slot[c]))
+        sizes = [F.count_if(f"w{g}").alias(f"n{g}") for g in used]
+        counted = beside(rows, others).groupBy("k", "value").agg(
+            *sizes, *[F.sum(rank(o, g)).alias(f"p{i}") for i, (g, _, _, o) in enumerate(mine)]
+        )
+        # MAX_BUCKETS rows a key at most
+        blocks = rows.select("*", bucket).groupBy("k", "bucket").agg(*sizes)
+        earlier = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        totals = [F.sum(f"n{g}").over(Window.partitionBy("k")).alias(f"t{g}") for g in used]
+        starts = blocks.select(
+            "k", "bucket", *[F.coalesce(F.sum(f"n{g}").over(earlier), F.lit(0)).alias(f"o{g}") for g in used], *totals
+        )
+        joined = counted.select("*", bucket).join(F.broadcast(starts), ["k", "bucket"])
+        inside = Window.partitionBy("k", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        under = lambda g: F.col(f"o{g}") + F.coalesce(F.sum(f"n{g}").over(inside), F.lit(0))
+        ranked = joined.select("*", *[_centred(under(g), F.col(f"n{g}"), F.col(f"t{g}")).alias(f"r{g}") for g in used])
+        sums = ranked.groupBy("k").agg(
+            *[F.sum(F.col(f"n{g}") * F.col(f"r{g}") * F.col(f"r{g}")).alias(f"q{g}") for g in used],
+            *[F.sum(F.col(f"p{i}") * F.col(f"r{g}")).alias(f"c{i}") for i, (g, *_) in enumerate(mine)],
+        )
+        parts = [
+            _cell(F.col("k"), a, b, F.col(f"c{i}"), *((F.col(f"q{g}"), none) if a == c else (none, F.col(f"q{g}"))))
+            for i, (g, a, b, _) in enumerate(mine)
+        ]
+        found.append(sums.select(F.inline(F.array(*parts))))
+    return found
+
+
+def _centred(before: Column, n: Column, total: Column) -> Column:
+    """The mean rank of ``n`` rows after ``before`` others, less the mean of all ranks, as a share of all rows."""
+    return (before + (n + 1) / 2.0 - (total + 1) / 2.0) / F.greatest(total, F.lit(1)).cast("double")
+
+
 def _gap_classes(pairs, pair_counts, counts, total) -> dict[str, str | None]:
     """For each column the first column with the same missing rows, None if nothing is missing."""
     out: dict[str, str | None] = {}

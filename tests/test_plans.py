@@ -192,3 +192,42 @@ def test_infinite_values_count_the_same_in_both_forms(spark):
             assert r["cov"] == pytest.approx(one["cov"], abs=1e-12)
     found = {(r["col1"], r["col2"]): r["r"] for r in pair_moments(df, columns).collect()}
     assert all((v is None) == ("c2" in k) for k, v in found.items())
+
+
+@pytest.mark.parametrize(("broadcast", "bucket"), [(10**6, 10**6), (120, 700), (0, 700)])
+def test_rank_correlations_of_several_keys(spark, broadcast, bucket):
+    draw = np.random.default_rng(11)
+    n = 6000
+    frame = pd.DataFrame({"k": draw.integers(0, 3, n), "a": draw.integers(0, 9, n).astype(float), "b": draw.normal(size=n).round(2)})
+    frame["c"] = (frame.a + draw.integers(0, 4, n)).where(draw.random(n) > 0.2)
+    frame["d"] = (frame.b + frame.k * frame.a).round(3).where(draw.random(n) > 0.1)
+    names = list("abcd")
+    table = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "k int, a double, b double, c double, d double").repartition(5)
+    pairs = all_pairs(names)
+    got = ranks.keyed_rank_correlations(
+        table, F.col("k"), [0, 1, 2], {c: F.col(c) for c in names}, pairs,
+        {p: len(frame[list(p)].dropna()) for p in pairs}, {c: int(frame[c].count()) for c in names},
+        {c: sum(int(frame[frame.k == k][c].nunique()) for k in range(3)) for c in names}, n, bucket, broadcast, 0,
+    )
+    for k in range(3):
+        for a, b in pairs:
+            both = frame[frame.k == k][[a, b]].dropna().rank()
+            assert got[k, (a, b)] == pytest.approx(both[a].corr(both[b]), abs=1e-12)
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 30])
+def test_ranks_of_all_sets_of_gaps_come_from_few_scans(spark, broadcast, monkeypatch):
+    """One scan a set of gaps and column made time grow with their number; ranks must not join rows of large columns."""
+    rows = spark.range(2000).selectExpr("id % 7 + 0.0D AS a", "id * 3 % 1999 + 0.0D AS b", "CASE WHEN id % 5 > 0 THEN id % 11 + 0.0D END AS c")
+    joined = []
+    monkeypatch.setattr(ranks, "_salted_join", lambda *args: joined.append(args))
+    pairs, columns = all_pairs(list("abc")), {c: F.col(c) for c in "abc"}
+    n = {p: 1600 if "c" in p else 2000 for p in pairs}
+    got = ranks.rank_correlations(
+        rows, columns, pairs, n, {"a": 2000, "b": 2000, "c": 1600}, {"a": 7, "b": 1999, "c": 11}, 2000, 100, broadcast, 0
+    )
+    frame = rows.toPandas()
+    for a, b in pairs:
+        both = frame[[a, b]].dropna().rank()
+        assert got[a, b] == pytest.approx(both[a].corr(both[b]), abs=1e-12)
+    assert not joined
