@@ -36,7 +36,7 @@ from ..plans.aggregates import per_column, small_table
 from ..plans.materialise import materialise
 from ..plans.pairs import all_pairs, pair_moments
 from ..plans.quantiles import DIRECT_ROWS
-from ..plans.ranks import rank_correlations
+from ..plans.ranks import keyed_rank_correlations
 from ..plans.spreads import attach, spreads
 
 SEGMENT = "__segment"
@@ -327,22 +327,35 @@ def _ranked_by(rows: DataFrame, values: dict[str, Column], pairs: Sequence[tuple
     return ranked.groupBy(SEGMENT).agg(*aggs).select(SEGMENT, F.inline(F.array(*cells)))
 
 
-def _ranked_large(rows: DataFrame, values, pairs, large: DataFrame, moments: DataFrame) -> list[DataFrame]:
-    """The same for segments beyond ``WINDOW_ROWS`` rows, one after the other, by value counts and rank buckets."""
-    found = []
-    for row in large.collect():  # at most rows / WINDOW_ROWS segments
-        same = F.struct(*[F.lit(v).alias(k) for k, v in row[SEGMENT].asDict().items()])
-        part = rows.where(F.col(SEGMENT) == F.struct(*[same[f"by{i}"].alias(f"by{i}") for i in range(len(row[SEGMENT]))]))
-        names = list(dict.fromkeys(c for p in pairs for c in p))
-        counts = dict(zip(names, part.agg(*[F.count(values[c]) for c in names]).first()))
-        n_eff = {(r["col1"], r["col2"]): r["n_eff"] for r in moments.where(F.col(SEGMENT) == same).collect()}
-        used = [p for p in pairs if n_eff.get(p, 0) > 1]
-        if not used:
-            continue
-        rho = rank_correlations(part, values, used, n_eff, counts, counts, row["n"])
-        table = small_table(rows.sparkSession, [(a, b, r) for (a, b), r in rho.items()], "col1 string, col2 string, rho double")
-        found.append(table.select(same.alias(SEGMENT), "col1", "col2", "rho"))
-    return found
+def _ranked_large(rows: DataFrame, values: dict[str, Column], pairs: Sequence[tuple[str, str]], large: DataFrame) -> list[DataFrame]:
+    """The same for segments beyond ``WINDOW_ROWS`` rows, all of them together, by value counts and rank buckets."""
+    # at most rows / WINDOW_ROWS segments
+    numbered = materialise(large.select(SEGMENT, F.row_number().over(Window.partitionBy().orderBy(SEGMENT)).alias("__key")))
+    part = rows.join(F.broadcast(numbered), SEGMENT)
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    sizes = part.groupBy("__key").agg(
+        F.count(F.lit(1)).alias("total"),
+        *[F.count(values[c]).alias(f"n{i}") for i, c in enumerate(names)],
+        *[F.approx_count_distinct(values[c]).alias(f"d{i}") for i, c in enumerate(names)],
+        *[F.count(F.when(values[b].isNotNull(), values[a])).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
+    ).collect()
+    if not sizes:
+        return []
+    added = lambda of, x: {c: sum(r[f"{x}{i}"] for r in sizes) for i, c in enumerate(of)}
+    rho = keyed_rank_correlations(
+        part,
+        F.col("__key"),
+        [r["__key"] for r in sizes],
+        values,
+        pairs,
+        added(pairs, "p"),
+        added(names, "n"),
+        added(names, "d"),
+        sum(r["total"] for r in sizes),
+    )
+    table = [(k, a, b, r) for (k, (a, b)), r in rho.items()]
+    found = small_table(rows.sparkSession, table, "__key int, col1 string, col2 string, rho double")
+    return [found.join(F.broadcast(numbered), "__key").select(SEGMENT, "col1", "col2", "rho")]
 
 
 def correlations_by(
@@ -368,7 +381,7 @@ def correlations_by(
     pearson = found.withColumn("method", F.lit(K.PEARSON))
     if method != "pearson":
         large = materialise(rows.groupBy(SEGMENT).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > window_rows))
-        rho = [_ranked_by(rows, values, pairs, large), *_ranked_large(rows, values, pairs, large, found)]
+        rho = [_ranked_by(rows, values, pairs, large), *_ranked_large(rows, values, pairs, large)]
         ranked = found.join(reduce(DataFrame.unionByName, rho), both, "left")
         use = F.lit(True)
         if method == "auto":
