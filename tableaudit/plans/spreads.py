@@ -10,6 +10,7 @@ prove the ranges, and only the values inside are counted by value.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,8 +146,8 @@ def group_quantiles(
     for _ in range(_ROUNDS):
         if state.where(F.col("distinct") > direct).isEmpty():
             break
-        state = materialise(_narrowed(long, state, keys, direct))
-    inside = _held(long, state, keys).groupBy(*keys, "slot", "value").agg(F.count(F.lit(1)).alias("c"))
+        state = materialise(_narrowed(long, state, keys, direct, list(probs)))
+    inside = _held(long, state, keys, list(probs)).groupBy(*keys, "slot", "value").agg(F.count(F.lit(1)).alias("c"))
     order = Window.partitionBy(*keys, "slot").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     ranked = inside.withColumn("below", F.coalesce(F.sum("c").over(order), F.lit(0)))
     ranked = ranked.join(state.select(*keys, "slot", "n", "low", "high", "under"), [*keys, "slot"])
@@ -158,27 +159,49 @@ def group_quantiles(
     )
 
 
-def _held(long: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys..., slot, value)`` of the values inside each range."""
-    ranges = state.groupBy(*keys).agg(F.collect_list(F.struct("slot", "start", "end")).alias("__ranges"))
-    holds = lambda t: (
-        (t["start"].isNull() | (F.col("value") >= t["start"])) & (t["end"].isNull() | (F.col("value") <= t["end"]))
-    )
-    rows = attach(long, ranges, keys)
-    return rows.select(*keys, "value", F.explode(F.filter("__ranges", holds)).alias("__t")).select(
-        *keys, F.col("__t.slot").alias("slot"), "value"
+def _wide(state: DataFrame, keys: list[str], slots: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One row per group: each of ``columns`` as one column per slot, null where the group has no such slot."""
+    return state.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("slot") == s, F.col(c))).alias(f"__{c}{i}") for i, s in enumerate(slots) for c in columns],
+        *[F.bool_or(F.col("slot") == s).alias(f"__is{i}") for i, s in enumerate(slots)],
     )
 
 
-def _narrowed(long: DataFrame, state: DataFrame, keys: list[str], direct: int) -> DataFrame:
+def _held(long: DataFrame, state: DataFrame, keys: list[str], slots: Sequence[str]) -> DataFrame:
+    """``(keys..., slot, value)`` of the values inside each range; rows outside all of them are dropped first."""
+    rows = attach(long, _wide(state, keys, slots, ["start", "end"]), keys)
+    value = F.col("value")
+    holds = [
+        F.coalesce(
+            F.col(f"__is{i}")
+            & (F.col(f"__start{i}").isNull() | (value >= F.col(f"__start{i}")))
+            & (F.col(f"__end{i}").isNull() | (value <= F.col(f"__end{i}"))),
+            F.lit(False),
+        )
+        for i in range(len(slots))
+    ]
+    kept = rows.where(reduce(Column.__or__, holds)).select(*keys, "value", *[h.alias(f"__in{i}") for i, h in enumerate(holds)])
+    cells = [F.when(F.col(f"__in{i}"), s) for i, s in enumerate(slots)]
+    return kept.select(*keys, F.stack(F.lit(len(slots)), *cells).alias("slot"), "value").where(F.col("slot").isNotNull())
+
+
+def _sketched(long: DataFrame, wide: DataFrame, keys: list[str], slots: Sequence[str]) -> DataFrame:
+    """``(keys..., slot, __grid)`` of the values in each range; slots whose range is open still share one sketch of the group."""
+    grid = [i / _GRID for i in range(_GRID + 1)]
+    sketch = F.percentile_approx("value", grid, _ACCURACY).alias("__grid")
+    open_, cut = (wide.where(c) for c in (F.col("start").isNull() & F.col("end").isNull(), F.col("start").isNotNull() | F.col("end").isNotNull()))
+    found = []
+    if not open_.isEmpty():
+        found.append(open_.select(*keys, "slot").join(attach(long, open_.select(*keys).distinct(), keys).groupBy(*keys).agg(sketch), keys))
+    if not cut.isEmpty():
+        found.append(_held(long, cut, keys, slots).groupBy(*keys, "slot").agg(sketch))
+    return reduce(DataFrame.unionByName, found).select(*keys, "slot", "__grid")
+
+
+def _narrowed(long: DataFrame, state: DataFrame, keys: list[str], direct: int, slots: Sequence[str]) -> DataFrame:
     """Ranges cut down by one sketch scan and one counting scan; each end is adopted only when the counts prove it."""
     wide = state.where(F.col("distinct") > direct)
-    grid = [i / _GRID for i in range(_GRID + 1)]
-    sketch = (
-        _held(long, wide, keys)
-        .groupBy(*keys, "slot")
-        .agg(F.percentile_approx("value", grid, _ACCURACY).alias("__grid"))
-    )
+    sketch = _sketched(long, wide, keys, slots)
     # a sketch misplaces a rank by 1 / accuracy at most
     slack = 2.0 / _ACCURACY
     share = lambda rank: (rank - F.col("under")) / F.col("inside")
@@ -188,17 +211,17 @@ def _narrowed(long: DataFrame, state: DataFrame, keys: list[str], direct: int) -
         {"__from": F.get("__grid", first), "__to": F.get("__grid", last)}
     )
     proposed = materialise(proposed.drop("__grid"))
-    edges = proposed.groupBy(*keys).agg(F.collect_list(F.struct("slot", "__from", "__to")).alias("__edges"))
-    counted = (
-        attach(long, edges, keys)
-        .select(*keys, "value", F.explode("__edges").alias("e"))
-        .groupBy(*keys, F.col("e.slot").alias("slot"))
-        .agg(
-            F.count_if(F.col("value") < F.col("e.__from")).alias("lt"),
-            F.count_if(F.col("value") <= F.col("e.__to")).alias("le"),
-            F.count_if((F.col("value") > F.col("e.__from")) & (F.col("value") < F.col("e.__to"))).alias("mid"),
-        )
-    )
+    rows = attach(long, _wide(proposed, keys, slots, ["__from", "__to"]), keys)
+    value, counts, cells = F.col("value"), [], []
+    for i, s in enumerate(slots):
+        start, end = F.col(f"____from{i}"), F.col(f"____to{i}")
+        counts += [
+            F.count_if(value < start).alias(f"lt{i}"),
+            F.count_if(value <= end).alias(f"le{i}"),
+            F.count_if((value > start) & (value < end)).alias(f"mid{i}"),
+        ]
+        cells.append(F.struct(F.lit(s).alias("slot"), *[F.col(f"{c}{i}").alias(c) for c in ("lt", "le", "mid")]))
+    counted = rows.groupBy(*keys).agg(*counts).select(*keys, F.inline(F.array(*cells)))
     left, right = F.col("lt") <= F.col("low"), F.col("le") > F.col("high")
     start, end = F.when(left, F.col("__from")).otherwise(F.col("start")), F.when(right, F.col("__to")).otherwise(F.col("end"))
     under = F.when(left, F.col("lt")).otherwise(F.col("under"))

@@ -239,3 +239,16 @@ def test_many_classes_stay_rows(spark):
     df = spark.range(20_000).select((F.col("id") % 7000).cast("string").alias("t"))
     claim = C.balance_claims(class_distribution(df, "t"), class_balance(df, "t")).first()
     assert "7000 classes" in claim["claim"] and len(claim["claim"]) < 300
+
+
+def test_values_meet_ranges_without_a_lambda_a_row(spark):
+    """Ranges as arrays were searched by interpreted lambdas: most of the time of large groups."""
+    from tableaudit.plans import spreads as plan
+
+    rows = "g string, slot string, start double, end double"
+    state = spark.createDataFrame([("a", "p", None, 3.0), ("a", "q", 2.0, None), ("b", "q", 1.0, 1.0)], rows)
+    long = spark.createDataFrame([(g, float(v)) for g in "abc" for v in range(6)], "g string, value double")
+    held = plan._held(long, state, ["g"], ["p", "q"])
+    assert "lambda" not in held._jdf.queryExecution().toString()
+    want = [("a", "p", v) for v in (0.0, 1.0, 2.0, 3.0)] + [("a", "q", v) for v in (2.0, 3.0, 4.0, 5.0)] + [("b", "q", 1.0)]
+    assert sorted(map(tuple, held.collect())) == want
