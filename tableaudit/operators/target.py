@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import severity
 from ..functions.columns import is_numeric, key_of, numeric_columns, other_columns, quoted, text_of, value_of
@@ -141,6 +142,10 @@ def ml_readiness(df: DataFrame, target: str | None = None) -> dict[str, DataFram
 
 
 # --- exact split ------------------------------------------------------------------------------------------
+#: rows of so few different hashes are counted by them
+FEW_HASHES = 1_000_000
+
+
 @dataclass
 class Split:
     status: str
@@ -157,33 +162,65 @@ def split(
     Rows that share the hash at the cut are ordered by a hash of the whole row; equal rows are counted and
     dealt out by number.
     """
-    n = df.count()
+    n, different = _sized(df, keys)
     if n < min_rows:
         return Split("SKIPPED")
-    train, test = _cut(df, int(n * frac), n, [row_hash(df, keys, seed), row_hash(df, None, seed + 1)][0 if keys else 1 :])
+    hashes = [(row_hash(df, keys, seed), keys), (row_hash(df, None, seed + 1), None)] if keys else [(row_hash(df, None, seed), None)]
+    train, test = _cut(df, int(n * frac), n, different, hashes)
     return Split("COMPLETED", train, test)
 
 
-def _cut(df: DataFrame, take: int, n: int, hashes: list) -> tuple[DataFrame, DataFrame]:
-    """First ``take`` of ``n`` rows in the order of the hashes, and the rest."""
+def _sized(df: DataFrame, keys: Sequence[str] | None) -> tuple[int, int]:
+    """(rows, about how many combinations of ``keys``, by default of all columns)."""
+    names = list(keys or df.columns)
+    if any(isinstance(df.select(quoted(c)).schema[0].dataType, (T.ArrayType, T.MapType, T.StructType)) for c in names):
+        n = df.count()
+        return n, n
+    # missing values do not change the hash, so their places are hashed as well
+    combination = F.xxhash64(*[quoted(c) for c in names], *[quoted(c).isNull() for c in names])
+    return tuple(df.agg(F.count(F.lit(1)), F.approx_count_distinct(combination)).first())
+
+
+def _cut(df: DataFrame, take: int, n: int, different: int, hashes: list) -> tuple[DataFrame, DataFrame]:
+    """First ``take`` of ``n`` rows in the order of the hashes, and the rest; the first hash has about ``different`` values."""
     if take <= 0:
         return df.limit(0), df
     if take >= n:
         return df, df.limit(0)
     if not hashes:
         return _deal(df, take)
-    h = hashes[0]
-    # the hash is uniform, so the cut is close to its share of the range unless many rows are copies
-    spot, slack = take / n, 6.0 * (take / n * (1 - take / n) / n) ** 0.5
-    guess = {"h": ((spot - slack) * HASH_RANGE, (spot + slack) * HASH_RANGE)}
-    place = order_positions(df, {"h": h}, {"h": [take - 1]}, {"h": n}, guesses=guess)
-    limit, below, ties = place[("h", take - 1)]
+    h, keys = hashes[0]
+    if different <= min(FEW_HASHES, n // 8):
+        limit, below, ties = _place_of_few(df, h, keys, take - 1)
+    else:
+        # the hash is uniform, so the cut is close to its share of the range unless many rows are copies
+        spot, slack = take / n, 6.0 * (take / n * (1 - take / n) / n) ** 0.5
+        guess = {"h": ((spot - slack) * HASH_RANGE, (spot + slack) * HASH_RANGE)}
+        place = order_positions(df, {"h": h}, {"h": [take - 1]}, {"h": n}, guesses=guess)
+        limit, below, ties = place[("h", take - 1)]
     if below + ties == take:
         return df.where(h <= limit), df.where(h > limit)
-    head, tail = _cut(df.where(h == limit), take - below, ties, hashes[1:])
+    tied = df.where(h == limit) if ties < n else df
+    head, tail = _cut(tied, take - below, ties, _sized(tied, None)[1] if hashes[1:] else 0, hashes[1:])
+    if ties == n:
+        return head, tail
     return df.where(h < limit).unionByName(head), df.where(h > limit).unionByName(tail)
 
 
+def _place_of_few(df: DataFrame, h: Column, keys: Sequence[str] | None, rank: int) -> tuple[float, int, int]:
+    """(hash, rows below it, rows with it) at a zero-based rank, of rows that are mostly copies of few combinations of keys.
+
+    Rows are counted before they are hashed: one scan, and a hash for each combination.
+    """
+    counted = df.groupBy(*[quoted(c) for c in keys or df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    counted = counted.select(h.alias("__h"), "__n").groupBy("__h").agg(F.sum("__n").alias("__n"))
+    # FEW_HASHES rows at most, within the error of an estimate
+    before = Window.partitionBy().orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("__below", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    place = F.max(F.struct("__h", "__below", "__n"))
+    return tuple(placed.where(F.col("__below") <= rank).agg(place).first()[0])
+
+
 def _deal(df: DataFrame, take: int) -> tuple[DataFrame, DataFrame]:
     """Split rows with one common hash: distinct rows (nearly always one) with counts, dealt in order."""
     counted = df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))

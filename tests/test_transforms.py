@@ -149,6 +149,25 @@ def test_split_by_a_key_that_holds_a_third(spark):
         assert parts.train.unionAll(parts.test).distinct().count() == 3000
 
 
+def test_copies_are_counted_before_they_are_hashed(spark, monkeypatch):
+    """Rows of a few combinations of keys need no sketches and proofs of their hashes, scan by scan."""
+    df = spark.range(4000).select((F.col("id") % 3).alias("a"), F.when(F.col("id") % 5 > 0, "x").alias("b"))
+    slow = {}
+    monkeypatch.setattr(T, "FEW_HASHES", 0)
+    for keys in (None, ["a"], ["a", "b"]):
+        slow[str(keys)] = A.split(df, keys=keys).train.groupBy("a", "b").count().orderBy("a", "b").collect()
+    monkeypatch.undo()
+
+    def never(*args, **kwargs):
+        raise AssertionError("hashes of copies were searched")
+
+    monkeypatch.setattr(T, "order_positions", never)
+    for keys in (None, ["a"], ["a", "b"]):
+        parts = A.split(df, keys=keys)
+        assert parts.train.groupBy("a", "b").count().orderBy("a", "b").collect() == slow[str(keys)]
+        assert (parts.train.count(), parts.test.count()) == (3200, 800)
+
+
 def test_repeated_rows_are_made_in_blocks(spark):
     df = spark.createDataFrame([("a", 25), ("b", 0), ("c", 10)], "k string, n bigint")
     got = T._repeat(df, F.col("n"), ["k"], block=10).groupBy("k").count().orderBy("k").collect()
