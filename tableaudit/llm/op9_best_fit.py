@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keep, record, table, text_slices
-from .tokens import BATCH_BYTES, END_OF_DOCUMENT, default_path, encoder
+from .tokens import END_OF_DOCUMENT, default_path, encoder
 
 CAPACITY = 2048
+#: Text encoded at once: arrays of the encoder take many times as much, in every worker of an executor.
+PACK_BYTES = 3_000_000
 #: Documents of one length are ranked in groups of about so many.
 RANK_GROUP = 500
 #: Placement runs that may be broadcast; 40 bytes each.
@@ -52,7 +54,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
-        for batch in text_slices(batches, BATCH_BYTES):
+        for batch in text_slices(batches, PACK_BYTES):
             rows: list[tuple] = []
             coded = encoder(tokenizer).encode(batch.column("text").to_pylist())
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), coded):

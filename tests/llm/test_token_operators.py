@@ -172,3 +172,29 @@ def test_token_files(spark):
     empty = scratch(spark)
     files.write_tokens(table.limit(0), empty, PATH)
     assert files.read_documents(spark, empty).count() == 0
+
+
+def test_packing_encodes_little_text_at_once(spark, monkeypatch):
+    """All workers of an executor hold what they encode; 8 MB of text at once took too much of it."""
+    import pyarrow as pa
+
+    from tableaudit.llm import op9_best_fit
+
+    sizes = []
+
+    class Sizes:
+        def encode(self, texts):
+            sizes.append(sum(map(len, texts)))
+            return [b""] * len(texts)
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, work, schema):
+            return work
+
+    monkeypatch.setattr(op9_best_fit, "encoder", lambda path: Sizes())
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "text": ["word " * 1000] * 2000})
+    rows = sum(out.num_rows for out in op9_best_fit.cut_pieces(Docs(), "none")(iter([batch])))
+    assert rows == 2000 and sum(sizes) == 10_000_000 and max(sizes) <= 4_000_000
