@@ -202,13 +202,16 @@ def _shapiro_groups(groups: pd.DataFrame) -> pd.DataFrame:
 def _normality_by(long: DataFrame, found: DataFrame) -> DataFrame:
     """The normality gate from moments; groups of 8 to 5000 values are tested one by one, each in one task."""
     at = [SEGMENT, "column"]
-    numbered = found.select(*at, "n", "g1", "g2", "skewness")
+    numbered = materialise(found.select(*at, "n", "g1", "g2", "skewness"))
     few, big = F.col("n") < 8, F.col("n") > SHAPIRO_ROWS
     small = numbered.where(~few & ~big).select(*at, F.xxhash64(F.to_json(F.struct(*at))).alias("group"))
-    tested = attach(long, small, at).select("group", "value").groupBy("group").applyInPandas(
-        _shapiro_groups, "group bigint, w double, p double"
-    )
-    tested = small.join(tested, "group").drop("group")
+    if small.isEmpty():  # no scan for them
+        tested = small.select(*at, F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("p"))
+    else:
+        tested = attach(long, small, at).select("group", "value").groupBy("group").applyInPandas(
+            _shapiro_groups, "group bigint, w double, p double"
+        )
+        tested = small.join(tested, "group").select(*at, "w", "p")
     k2, tail = omnibus(F.col("n"), F.col("g1"), F.col("g2"))
     stat = F.coalesce(F.when(few, 0.0).when(big, k2).otherwise(F.col("w")), F.lit(0.0))
     p = F.coalesce(F.when(few, 0.0).when(big, tail).otherwise(F.col("p")), F.lit(0.0))

@@ -67,13 +67,17 @@ def spreads(
     keys = list(keys)
     if sizes is None:
         sizes = long.groupBy(*keys).agg(F.count("value").alias("n"))
-    large = materialise(sizes.where(F.col("n") > direct).select(*keys, "n"))
+    sizes = materialise(sizes.where(F.col("n") > 0).select(*keys, "n"))
+    large = materialise(sizes.where(F.col("n") > direct))
     long = long.select(*keys, "value").where(F.col("value").isNotNull())
     if large.isEmpty():
         return counted_spreads(long, keys, mad_limit, fence)
+    found = _bracketed(long, large, keys, mad_limit, fence, direct)
+    if sizes.where(F.col("n") <= direct).isEmpty():  # no scan for the rest
+        return found
     few = large.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     rest = long.join(F.broadcast(large) if few else large, keys, "left_anti")
-    return counted_spreads(rest, keys, mad_limit, fence).unionByName(_bracketed(long, large, keys, mad_limit, fence, direct))
+    return counted_spreads(rest, keys, mad_limit, fence).unionByName(found)
 
 
 def counted_spreads(

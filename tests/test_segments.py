@@ -252,3 +252,16 @@ def test_values_meet_ranges_without_a_lambda_a_row(spark):
     assert "lambda" not in held._jdf.queryExecution().toString()
     want = [("a", "p", v) for v in (0.0, 1.0, 2.0, 3.0)] + [("a", "q", v) for v in (2.0, 3.0, 4.0, 5.0)] + [("b", "q", 1.0)]
     assert sorted(map(tuple, held.collect())) == want
+
+
+def test_no_scan_for_small_groups_where_there_are_none(spark, monkeypatch):
+    from tableaudit.plans import spreads as plan
+
+    def never(*args, **kwargs):
+        raise AssertionError("rows were read for groups that are not there")
+
+    long = spark.createDataFrame([(g, float(v * k % 37)) for g, k in (("a", 3), ("b", 5)) for v in range(400)], "g string, value double")
+    monkeypatch.setattr(plan, "counted_spreads", never)
+    got = {r["g"]: tuple(r)[1:] for r in plan.spreads(long, ["g"], direct=20).collect()}
+    for g, k in (("a", 3), ("b", 5)):
+        assert np.allclose(np.array(got[g], float), np.array(plain_spread([v * k % 37 for v in range(400)]), float))
