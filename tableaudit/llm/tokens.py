@@ -78,6 +78,25 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _places(asked: pa.Array, held: pa.Array) -> np.ndarray:
+    """Where distinct strings stand among other distinct strings, -1 if they do not: the shorter list is made a table."""
+    if len(held) <= len(asked):
+        return pc.fill_null(pc.index_in(asked, value_set=held), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    there = pc.fill_null(pc.index_in(held, value_set=asked), -1).to_numpy(zero_copy_only=False)
+    both = np.flatnonzero(there >= 0)
+    out = np.full(len(asked), -1, np.int64)
+    out[there[both]] = both
+    return out
+
+
+def _strings(pieces: pa.Array) -> list[str]:
+    """Strings without cuts as a list: one string that is split takes a tenth of the time of ``to_pylist``."""
+    if not len(pieces) or pieces.nbytes >> 30:  # strings of a plain list have 31 bits of place
+        return pieces.to_pylist()
+    whole = pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces.cast(pa.string()))
+    return pc.binary_join(whole, _CUT)[0].as_py().split(_CUT)
+
+
 class Known:
     """Ids of pieces that were met before."""
 
@@ -90,12 +109,12 @@ class Known:
     def find(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, start, size): where the ids of each of some distinct pieces stand; only new ones are encoded."""
         self.batch += 1
-        found = pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = _places(pieces, self.pieces)
         new = np.flatnonzero(found < 0)
         if len(new):
             fresh = pieces.take(pa.array(new))
             found[new] = len(self.pieces) + np.arange(len(new))
-            more, sizes = self.encode(fresh.to_pylist())
+            more, sizes = self.encode(_strings(fresh))
             self.pieces = pa.concat_arrays([self.pieces, fresh])
             self.ids, self.sizes = np.concatenate([self.ids, more]), np.concatenate([self.sizes, sizes])
             self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])

@@ -198,3 +198,23 @@ def test_packing_encodes_little_text_at_once(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "text": ["word " * 1000] * 2000})
     rows = sum(out.num_rows for out in op9_best_fit.cut_pieces(Docs(), "none")(iter([batch])))
     assert rows == 2000 and sum(sizes) == 10_000_000 and max(sizes) <= 4_000_000
+
+
+def test_pieces_are_looked_up_in_a_table_of_the_shorter_list(monkeypatch):
+    """A batch of few new pieces beside many known ones hashes the few, and no piece becomes a string by itself."""
+    import pyarrow as pa
+
+    from tableaudit.llm import tokens
+
+    tables, index_in = [], tokens.pc.index_in
+
+    def counted(values, value_set):
+        tables.append(len(value_set))
+        return index_in(values, value_set=value_set)
+
+    monkeypatch.setattr(tokens.pc, "index_in", counted)
+    known = tokens.Known(lambda pieces: (np.array([len(p) for p in pieces], np.uint32), np.ones(len(pieces), np.int64)))
+    for pieces in ([f"w{i}" for i in range(1000)], ["w7", "", "é\n", "w999"], [f"w{i}" for i in range(3000)], ["w2999", "new", "w0"]):
+        ids, start, size = known.find(pa.array(pieces, pa.large_string()))
+        assert ids[start].tolist() == [len(p) for p in pieces] and (size == 1).all()
+    assert tables == [0, 4, 1002, 3]
