@@ -107,7 +107,11 @@ def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _pairs(queries: DataFrame, rows: DataFrame, slots: int) -> DataFrame:
-    """Every block of queries beside every list block."""
+    """Every block of queries beside every list block.
+
+    Both travel by slot: Spark takes the copies of the query blocks to be as small as the file of the queries, and a
+    broadcast of them would go through the driver.
+    """
     lists = rows.select(F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int").alias("slot"), "ids", "data")
     dealt = queries.select(
         F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"),
@@ -115,7 +119,7 @@ def _pairs(queries: DataFrame, rows: DataFrame, slots: int) -> DataFrame:
         F.col("data").alias("q_data"),
         "cuts",
     )
-    return dealt.join(lists, "slot").drop("slot")
+    return dealt.join(lists.hint("merge"), "slot").drop("slot")
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -188,10 +192,10 @@ def _inner(a: str, b: str) -> Column:
 
 
 def _resolved(pairs: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Scores of (query, row) pairs from the vectors."""
+    """Scores of (query, row) pairs from the vectors, whose files are a small part of their size in memory."""
     q = queries.select(F.col("id").alias("query"), F.col("v").alias("qv"))
     c = rows.select(F.col("id").alias("row"), F.col("v").alias("cv"))
-    return pairs.join(c, "row").join(q, "query").select("query", "row", _inner("qv", "cv").alias("score"))
+    return pairs.join(c.hint("merge"), "row").join(q.hint("merge"), "query").select("query", "row", _inner("qv", "cv").alias("score"))
 
 
 def _first(scored: DataFrame, n: int) -> DataFrame:

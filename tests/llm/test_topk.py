@@ -50,3 +50,21 @@ def test_vectors_that_take_no_part(spark):
     want = plain(whole, lambda i: i % 50 == 0, 5)
     assert got(topk.quantised(df), F.col("id") % 50 == 0, 5) == want
     assert topk.top_k(topk.quantised(df.limit(0)), F.lit(True)).count() == 0
+
+
+def test_blocks_do_not_go_through_the_driver(spark):
+    """The query blocks are copied to every slot, which no estimate of Spark's counts."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    rows = [(i, draw.integers(-200, 200, 16).tolist()) for i in range(200)]
+    vectors = topk.keep(spark.createDataFrame(rows, "id bigint, v array<bigint>"))
+    cut = vectors.withColumn("cut", F.lit(0).cast("bigint"))
+    blocks = topk.keep(topk._blocks(cut, 16, 2, 64))
+    scores = topk._resolved(vectors.select(F.col("id").alias("query"), (199 - F.col("id")).alias("row")), vectors, vectors)
+    for joined in (topk._pairs(blocks, blocks, 16), scores):
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+        joined.collect()
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    found = {(r["query"], r["row"]): r["score"] for r in scores.collect()}
+    assert found == {(i, 199 - i): sum(a * b for a, b in zip(rows[i][1], rows[199 - i][1])) for i in range(200)}
