@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from math import inf, nextafter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from .prefix import ROWS_PER_BUCKET, average_ranks, bucket_limits, bucket_of
 #: rank tables are broadcast, smallest first, while they hold this many distinct values together (about 60 MB)
 BROADCAST_VALUES = 1_000_000
 _SALTS = 64
+#: rows that are ranked together where they are dealt out by buckets of a column
+_ROWS_A_TASK = 250_000
 #: sets of gaps that are ranked from the same scans
 _SETS_A_PASS = 16
 
@@ -33,56 +36,63 @@ def hot_values(df: DataFrame, columns: Mapping[str, Column]) -> dict[str, list[f
     return {c: sorted({x for x, y in zip(q, q[1:]) if x == y}) if q else [] for c, q in zip(columns, row)}
 
 
-def _salted_join(rows: DataFrame, ranks: DataFrame, key: str, hot: Sequence[float]) -> DataFrame:
-    """Shuffle join of rows to their rank, with hot values spread by the rest of the row.
+def _salted_join(rows: DataFrame, starts: DataFrame, key: str, bucket: Column, hot: Sequence[float]) -> tuple[DataFrame, list[str]]:
+    """Rows with the rows before and in the bucket of ``key``, dealt out by bucket; and the columns they are dealt out by.
 
-    The rows are distinct, so rows that share a hot value differ elsewhere and spread out.
+    A hot value has a bucket of its own, so its rows need no others to be ranked and are spread by the rest of the row.
     """
-    if not hot:
-        return rows.join(ranks, key, "left")
-    is_hot = F.col(key).isin(list(hot))
-    others = [c for c in rows.columns if c != key]
-    salt = F.when(is_hot, F.pmod(F.xxhash64(*others), F.lit(_SALTS))).otherwise(F.lit(0)).cast("int")
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
-    spread = ranks.withColumn("__salt", F.explode(copies))
-    return rows.withColumn("__salt", salt).join(spread, [key, "__salt"], "left").drop("__salt")
+    placed, keys = rows.withColumn("__bucket", bucket), ["__bucket"]
+    if hot:
+        others = [c for c in rows.columns if c != key] or [key]
+        salt = F.when(F.col(key).isin(list(hot)), F.pmod(F.xxhash64(*others), F.lit(_SALTS))).otherwise(0)
+        placed, keys = placed.withColumn("__salt", salt.cast("int")), ["__bucket", "__salt"]
+    return placed.repartition(*keys).join(F.broadcast(starts), "__bucket"), keys
 
 
 def _ranked(
     df: DataFrame,
     columns: Mapping[str, Column],
-    counts: Mapping[str, int],
-    distinct: Mapping[str, int],
+    n: int,
+    small: set[str],
     rows_per_bucket: int,
-    broadcast_values: int,
     easy_rows: int,
 ) -> tuple[DataFrame, list[str]]:
-    """Rows with one centred and scaled rank per column, and a weight."""
+    """The ``n`` rows, none with gaps, with one rank per column, doubled to be a whole number, and a weight.
+
+    Ranks of ``small`` columns are sent to the rows. Then rows are dealt out by buckets of one other column after the
+    other and ranked where they lie, so that they cross one shuffle a column; the first one also adds equal rows up.
+    """
     names = list(columns)
-    limits = bucket_limits(df, columns, counts, rows_per_bucket)
-    flat = df.select(*[columns[c].alias(f"x{i}") for i, c in enumerate(names)])
-    small, room = set(), broadcast_values
-    for c in sorted(names, key=lambda c: distinct[c]):
-        size = min(distinct[c] * 1.5, counts[c])  # an estimate is within a few percent of the true number
-        if size <= room:
-            small.add(c)
-            room -= size
-    big = {c: columns[c] for c in names if c not in small}
-    hot = hot_values(df, big) if max(counts.values()) > easy_rows else dict.fromkeys(big, ())
-    if len(small) < len(names):
-        rows = flat.groupBy(*flat.columns).agg(F.count(F.lit(1)).alias("w"))
-    else:
-        rows = flat.withColumn("w", F.lit(1))
+    counts = dict.fromkeys(names, n)
+    limits = bucket_limits(df, columns, counts, min(rows_per_bucket, _ROWS_A_TASK))
+    large = [(i, c) for i, c in enumerate(names) if c not in small]
+    hot = hot_values(df, {c: columns[c] for _, c in large}) if n > easy_rows else {}
+    doubled = lambda rank, i: (2 * rank).cast("bigint").alias(f"k{i}")
+    rows = df.select(*[columns[c].alias(f"x{i}") for i, c in enumerate(names)])
     for i, c in enumerate(names):
-        table = average_ranks(number_counts(df, {c: columns[c]}), {c: limits[c]} if c in limits else {})
-        n = counts[c]
-        table = table.select(
-            F.col("value").alias(f"x{i}"), ((F.col("rank") - (n + 1) / 2.0) / float(max(n, 1))).alias(f"r{i}")
-        )
         if c in small:
-            rows = rows.join(F.broadcast(table), f"x{i}", "left")
-        else:
-            rows = _salted_join(rows, table, f"x{i}", hot[c])
+            table = average_ranks(number_counts(df, {c: columns[c]}), {c: limits[c]} if c in limits else {})
+            table = table.select(F.col("value").alias(f"x{i}"), doubled(F.col("rank"), i))
+            rows = rows.join(F.broadcast(table), f"x{i}", "left").drop(f"x{i}")
+    rows = rows.withColumn("w", F.lit(1).cast("bigint"))
+    for step, (i, c) in enumerate(large):
+        x, own = f"x{i}", [float(v) for v in hot.get(c, ())]
+        edges = sorted({*limits.get(c, ()), *own, *(nextafter(v, -inf) for v in own)})
+        bucket = lambda value: bucket_of(F.lit(c), value, {c: edges} if edges else {})  # noqa: B023, E731
+        # a few buckets a hot value and MAX_BUCKETS others at most
+        sizes = df.groupBy(bucket(columns[c]).alias("__bucket")).agg(F.count(F.lit(1)).alias("__size"))
+        before = Window.partitionBy().orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select("*", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+        rows, keys = _salted_join(rows, starts, x, bucket(F.col(x)), own)
+        if not step:  # equal rows lie in one part
+            rows = rows.groupBy(*[k for k in rows.columns if k != "w"]).agg(F.sum("w").alias("w"))
+        upto = F.sum("w").over(Window.partitionBy(*keys).orderBy(x))
+        same = F.sum("w").over(Window.partitionBy(*keys, x))
+        inside = upto - (same - 1) / 2.0
+        if own:
+            inside = F.when(F.col(x).isin(own), (F.col("__size") + 1) / 2.0).otherwise(inside)
+        rest = [k for k in rows.columns if k != x and not k.startswith("__")]
+        rows = rows.select(*rest, doubled(F.col("__before") + inside, i))
     return rows, names
 
 
@@ -125,7 +135,8 @@ def keyed_rank_correlations(
     no gaps or the same gaps, share a ranking: one per column and set of gaps, all of them from the same counts of values.
     Ranks of columns with few values are sent to the rows. A column with many values is counted by value, beside the sum
     of its partner's ranks at each value: running totals of the counts then give its own rank to the whole sum. Only
-    where both columns have many values do ranks travel to rows.
+    where both columns of a pair have many values are rows shuffled, once for each such column; all pairs of these columns
+    come from these rows.
     """
     gaps = _gap_classes(pairs, pair_counts, counts, total)
     groups: dict[frozenset, list[tuple[str, str]]] = {}
@@ -138,13 +149,17 @@ def keyed_rank_correlations(
             small.add(c)
             room -= size
     found: list[DataFrame] = []
-    limits = bucket_limits(df, {c: columns[c] for c in gaps if c not in small}, counts, rows_per_bucket)
-    sets = list(groups)
+    # columns with many values that have a pair with another one, and the pairs that come with them
+    shuffled = {gap: {c for p in members if not small & {*p} for c in p} for gap, members in groups.items()}
+    both = {gap: [p for p in members if shuffled[gap] & {*p}] for gap, members in groups.items()}
+    others = {gap: [p for p in members if not shuffled[gap] & {*p}] for gap, members in groups.items()}
+    alone = {c: columns[c] for members in others.values() for p in members for c in p if c not in small}
+    limits = bucket_limits(df, alone, counts, rows_per_bucket)
+    sets = [gap for gap in groups if others[gap]]
     for start in range(0, len(sets), _SETS_A_PASS):
-        part = {g: groups[g] for g in sets[start : start + _SETS_A_PASS]}
+        part = {g: others[g] for g in sets[start : start + _SETS_A_PASS]}
         found += _summed(df, key, columns, part, small, limits)
-    both = [(gap, [p for p in members if not small & {*p}]) for gap, members in groups.items()]
-    for gap, members in both:
+    for gap, members in both.items():
         if not members:
             continue
         part = df
@@ -153,10 +168,8 @@ def keyed_rank_correlations(
         used = {c: columns[c] for c in dict.fromkeys(c for p in members for c in p)}
         for k in keys:
             one = part.where(key == k) if len(keys) > 1 else part
-            n = dict.fromkeys(used, pair_counts[members[0]])
-            if len(keys) > 1:
-                n = dict.fromkeys(used, one.count())
-            sums = _rank_sums(one, used, members, n, distinct, rows_per_bucket, 0, easy_rows)
+            n = one.count() if len(keys) > 1 else pair_counts[members[0]]
+            sums = _rank_sums(one, used, members, n, small, rows_per_bucket, easy_rows)
             at = {c: i for i, c in enumerate(used)}
             cells = [
                 _cell(F.lit(k), a, b, F.col(f"p{i}"), F.col(f"s{at[a]}"), F.col(f"s{at[b]}")) for i, (a, b) in enumerate(members)
@@ -296,10 +309,12 @@ def _gap_classes(pairs, pair_counts, counts, total) -> dict[str, str | None]:
     return out
 
 
-def _rank_sums(df, columns, pairs, counts, distinct, rows_per_bucket, broadcast_values, easy_rows) -> DataFrame:
+def _rank_sums(df, columns, pairs, n, small, rows_per_bucket, easy_rows) -> DataFrame:
     """One row: the sum of squared centred ranks of each column, then the cross sums of each pair."""
-    rows, names = _ranked(df, columns, counts, distinct, rows_per_bucket, broadcast_values, easy_rows)
+    rows, names = _ranked(df, columns, n, small, rows_per_bucket, easy_rows)
     at = {c: i for i, c in enumerate(names)}
+    centred = lambda k: (k - (n + 1)) / (2.0 * max(n, 1))
+    rows = rows.select("w", *[centred(F.col(f"k{i}")).alias(f"r{i}") for i in range(len(names))])
     w = F.col("w")
     return rows.agg(
         *[F.sum(w * F.col(f"r{i}") * F.col(f"r{i}")).alias(f"s{i}") for i in range(len(names))],

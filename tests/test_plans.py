@@ -231,3 +231,28 @@ def test_ranks_of_all_sets_of_gaps_come_from_few_scans(spark, broadcast, monkeyp
         both = frame[[a, b]].dropna().rank()
         assert got[a, b] == pytest.approx(both[a].corr(both[b]), abs=1e-12)
     assert not joined
+
+
+def test_rows_cross_one_shuffle_for_each_column_with_many_values(spark, monkeypatch):
+    """Counts of values, equal rows and a join for each column took 5 times the input's size on disk."""
+    rows = spark.range(3000).selectExpr(
+        "id % 5 + 0.0D AS a", "id * 7 % 2999 + 0.0D AS b", "IF(id % 3 = 0, 4.5D, id * 11 % 2999) AS c", "sqrt(id % 1500) - 9 AS d"
+    ).union(spark.range(500).selectExpr("1.0D", "2.0D", "4.5D", "3.0D"))
+    seen = []
+    whole = ranks.reduce
+    monkeypatch.setattr(ranks, "reduce", lambda f, parts, *more: whole(f, seen.extend(parts) or parts if not more else parts, *more))
+    names, frame = list("abcd"), rows.toPandas()
+    got = ranks.rank_correlations(
+        rows, {c: F.col(c) for c in names}, all_pairs(names), dict.fromkeys(all_pairs(names), 3500), dict.fromkeys(names, 3500),
+        {c: int(frame[c].nunique()) for c in names}, 3500, 300, 20, 0,
+    )
+    for a, b in all_pairs(names):
+        both = frame[[a, b]].rank()
+        assert got[a, b] == pytest.approx(both[a].corr(both[b]), abs=1e-12)
+    plans = [p._jdf.queryExecution().executedPlan().toString() for p in seen if hasattr(p, "_jdf")]
+    shuffles = [line for plan in plans for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    # by buckets of b, c and d, of which only c has a hot value, and never by values; counts of buckets are the others
+    assert sum("__salt" in line for line in shuffles) == 1
+    assert sum("REPARTITION_BY_COL" in line for line in shuffles) == 3
+    assert sum("__bucket" in line for line in shuffles) <= 3 + 3 + 1
+    assert not [line for line in shuffles if "hashpartitioning(x" in line]
