@@ -235,9 +235,9 @@ def test_ranks_of_all_sets_of_gaps_come_from_few_scans(spark, broadcast, monkeyp
 
 def test_rows_cross_one_shuffle_for_each_column_with_many_values(spark, monkeypatch):
     """Counts of values, equal rows and a join for each column took 5 times the input's size on disk."""
-    rows = spark.range(3000).selectExpr(
+    rows = spark.range(3500).selectExpr("id % 3000 AS id").selectExpr(
         "id % 5 + 0.0D AS a", "id * 7 % 2999 + 0.0D AS b", "IF(id % 3 = 0, 4.5D, id * 11 % 2999) AS c", "sqrt(id % 1500) - 9 AS d"
-    ).union(spark.range(500).selectExpr("1.0D", "2.0D", "4.5D", "3.0D"))
+    )
     seen = []
     whole = ranks.reduce
     monkeypatch.setattr(ranks, "reduce", lambda f, parts, *more: whole(f, seen.extend(parts) or parts if not more else parts, *more))
