@@ -36,6 +36,8 @@ ROWS_A_BLOCK = 2048
 QUERIES_A_BLOCK = 1024
 #: Groups of list blocks that every query block is dealt to; queries are copied so many times.
 SLOTS = 256
+#: Bytes of query blocks that are sent to all tasks; larger ones are copied to the slots.
+SENT_BYTES = 32_000_000
 _LOWEST = -(1 << 62)
 
 _BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("data", pa.list_(pa.binary())), ("cuts", pa.binary())])
@@ -106,19 +108,18 @@ def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q @ c.T
 
 
-def _pairs(queries: DataFrame, rows: DataFrame, slots: int) -> DataFrame:
-    """Every block of queries beside every list block.
+def _pairs(queries: DataFrame, rows: DataFrame, slots: int, size: int = SENT_BYTES + 1) -> DataFrame:
+    """Every block of queries, of ``size`` bytes together, beside every list block.
 
-    Both travel by slot: Spark takes the copies of the query blocks to be as small as the file of the queries, and a
-    broadcast of them would go through the driver.
+    Spark takes the copies of query blocks to be as small as the file of the queries, and would send them all through the
+    driver: up to SENT_BYTES the blocks themselves are sent, beyond that their copies are shuffled.
     """
-    lists = rows.select(F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int").alias("slot"), "ids", "data")
-    dealt = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"),
-        F.col("ids").alias("q_ids"),
-        F.col("data").alias("q_data"),
-        "cuts",
-    )
+    slot = F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int").alias("slot")
+    lists = rows.select(slot, "ids", "data")
+    asked = [F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("cuts")]
+    if size <= SENT_BYTES:
+        return lists.repartition(slots, "slot").drop("slot").crossJoin(F.broadcast(queries.select(*asked)))
+    dealt = queries.select(F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), *asked)
     return dealt.join(lists.hint("merge"), "slot").drop("slot")
 
 
@@ -221,7 +222,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = PARTS,
 
     def paired(cut: DataFrame) -> DataFrame:
         few = cut.repartition(max(1, -(-count // QUERIES_A_BLOCK)))
-        return _pairs(_blocks(few, width, parts, QUERIES_A_BLOCK), lists, slots)
+        return _pairs(_blocks(few, width, parts, QUERIES_A_BLOCK), lists, slots, 8 * count * (width + 2))
 
     # 1: likely rows and the cutoff
     known = _best_lists(paired(queries.withColumn("cut", F.lit(0).cast("bigint"))), want)
